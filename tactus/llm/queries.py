@@ -10,18 +10,45 @@ from pyspark.sql import functions as F
 from tactus.llm.common import table
 from tactus.llm.sharding import shard_documents
 from tactus.llm.url_filter import judge_urls
+from tactus.llm.warc import warc_round_trip
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "sound")
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shard_documents(table(spark, sf_dir, "documents"))
     return out.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_warc": op5_warc,
     "op6_sharding": op6_sharding,
     "op7_url_filter": op7_url_filter,
 }
+
+ORACLE_SQL: dict[str, str] = {
+    "op5_warc": """
+        with p as (select page_id, coalesce(html, '') as html from pages),
+        d as (select page_id, octet_length(encode(html)) as n, sha1(html) as h, max(page_id) over (partition by html) as first from p)
+        select page_id, n as payload_bytes,
+            array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                1 + ((('0x' || substr(h, (5 * (i // 4) + 1)::int, 5))::int >> (15 - 5 * (i % 4))::int) & 31), 1)), '') as payload_digest,
+            case when page_id = first then 'response' else 'revisit' end as record_type,
+            case when page_id <> first then first end as refers_to,
+            true as sound
+        from d""",
+    "op7_url_filter": """
+        with p as (select page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+            coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') as path from pages),
+        r(verdict, rule, h, p) as (values ('allow', 'com/', 'com', '/'), ('block', 'example.com/en/', 'example.com', '/en/'),
+            ('allow', 'www.example.com/en/', 'www.example.com', '/en/'), ('block', 'net/es/', 'net', '/es/'), ('block', 'net/fr/', 'net', '/fr/')),
+        m as (select p.page_id, arg_max(r.rule, length(r.rule)) as rule, arg_max(r.verdict, length(r.rule)) as verdict
+            from p join r on (p.host = r.h or p.host like '%.' || r.h) and starts_with(p.path, r.p) group by p.page_id)
+        select p.page_id, p.host, p.path, m.rule, coalesce(m.verdict, 'allow') as verdict from p left join m using (page_id)""",
+}
