@@ -21,6 +21,8 @@ from tactus.llm.common import materialise
 SHARDS = 40
 #: Bytes that each row is charged besides its text.
 ROW_OVERHEAD = 16
+#: Keys that one counting task reads, at least: fewer tasks send fewer partial counts.
+ROWS_A_TASK = 2_000_000
 TOP = (1 << 63) - 1
 
 
@@ -137,6 +139,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, tolerance: float = 0.
     slim = materialise(rows.drop(*[f"_keep_{c}" for c in keep]).withColumn("one", F.lit(1).cast("long")), "shard_keys")
     rows = rows if keep else slim.drop("one")
     count = slim.count()
+    slim = slim.coalesce(max(docs.sparkSession.sparkContext.defaultParallelism, count // ROWS_A_TASK))
     cut = splitters(slim, "sort_key", "size", shards, tolerance) if count else np.full(shards - 1, TOP, np.int64)
     # cells: about equal numbers of rows, and never across a shard boundary; they give each slot its offset
     n_cells = 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
