@@ -77,9 +77,9 @@ def splitters(rows: DataFrame, key: str, weight: str, parts: int, tolerance: flo
         open_ = np.flatnonzero((hi - lo > 1) & ~done)
         if not len(open_):
             break
-        grid = [lo[k] + ((hi[k] - lo[k]) // (probes + 1) + 1) * np.arange(1, probes + 1, dtype=np.int64) for k in open_]
-        grid = [g[(g > lo[k]) & (g < hi[k])] for k, g in zip(open_, grid, strict=True)]
-        bounds = np.unique(np.concatenate([*grid, lo, hi]))
+        fine = probes if target is not None else max(probes, 2 * parts)  # all start with the same interval
+        grid = [lo[k] + ((hi[k] - lo[k]) // (fine + 1) + 1) * np.arange(1, fine + 1, dtype=np.int64) for k in (open_ if target is not None else open_[:1])]
+        bounds = np.unique(np.concatenate([g[(g > lo.min()) & (g < TOP)] for g in grid] + [lo[open_], hi[open_]]))
         sums, counts = histogram(rows, key, [weight, "one"], bounds) if weight != "one" else np.repeat(histogram(rows, key, ["one"], bounds), 2, axis=0)
         below = np.cumsum(sums)[:-1]  # weight of keys < bounds[i]
         if target is None:
@@ -142,7 +142,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, tolerance: float = 0.
     slim = slim.coalesce(max(docs.sparkSession.sparkContext.defaultParallelism, count // ROWS_A_TASK))
     cut = splitters(slim, "sort_key", "size", shards, tolerance) if count else np.full(shards - 1, TOP, np.int64)
     # cells: about equal numbers of rows, and never across a shard boundary; they give each slot its offset
-    n_cells = 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_cells = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     even = splitters(slim, "sort_key", "one", n_cells, tolerance=0.5, probes=4) if count else cut
     bounds = np.unique(np.concatenate([cut, even]))
     sizes = histogram(slim, "sort_key", ["one"], bounds)[0] if count else np.zeros(len(bounds) + 1, np.int64)
