@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tactus.llm.bpe import encode_documents
 from tactus.llm.common import table
+from tactus.llm.decontaminate import decontaminate
 from tactus.llm.sharding import shard_documents
 from tactus.llm.url_filter import judge_urls
 from tactus.llm.warc import warc_round_trip
@@ -25,6 +26,11 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -39,6 +45,7 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_decontamination": op3_decontamination,
     "op4_bpe": op4_bpe,
     "op5_warc": op5_warc,
     "op6_sharding": op6_sharding,
@@ -46,6 +53,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_decontamination": r"""
+        with t as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as x from documents),
+        d as (select doc_id, regexp_extract_all(x, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from t),
+        b as (select item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+        i as (select item_id, len(w) as n, w, unnest(range(1, greatest(1, len(w) - 9)::bigint + 1)) as p from b where len(w) > 0),
+        q as (select distinct item_id, least(n, 10) as k, array_to_string(w[p : p + 9], ' ') as s from i),
+        k as (select distinct k from q),
+        e as (select doc_id, w, unnest(range(1, len(w) + 1)) as p from d),
+        g as (select e.doc_id, e.p, k.k, array_to_string(e.w[e.p : e.p + k.k - 1], ' ') as s from e cross join k where e.p + k.k - 1 <= len(e.w)),
+        m as (select g.doc_id, g.p, g.k, q.item_id from g join q on g.k = q.k and g.s = q.s),
+        h as (select doc_id, count(distinct x) as n_hit from (select doc_id, unnest(range(p, p + k)) as x from m) group by doc_id),
+        n as (select doc_id, count(distinct item_id) as n_items, string_agg(distinct item_id::varchar, ',' order by item_id::varchar) as ids from m group by doc_id)
+        select d.doc_id, len(d.w)::bigint as n_words, coalesce(h.n_hit, 0)::bigint as n_hit, coalesce(n.n_items, 0)::bigint as n_items, sha256(coalesce(n.ids, '')) as items_sha256, h.n_hit is not null as contaminated
+        from d left join h using (doc_id) left join n using (doc_id)""",
     "op5_warc": """
         with p as (select page_id, coalesce(html, '') as html from pages),
         d as (select page_id, octet_length(encode(html)) as n, sha1(html) as h, max(page_id) over (partition by html) as first from p)
