@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tactus.llm.bpe import encode_documents
 from tactus.llm.common import table
 from tactus.llm.decontaminate import decontaminate
+from tactus.llm.jaccard_join import jaccard_join
 from tactus.llm.sharding import shard_documents
 from tactus.llm.url_filter import judge_urls
 from tactus.llm.warc import warc_round_trip
@@ -44,15 +45,30 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(table(spark, sf_dir, "documents"), k=3, percent=90).select("doc_id", "n_shingles", "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontamination": op3_decontamination,
     "op4_bpe": op4_bpe,
     "op5_warc": op5_warc,
     "op6_sharding": op6_sharding,
     "op7_url_filter": op7_url_filter,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op10_jaccard_join": r"""
+        with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \t-\r]+') as w from documents),
+        s as (select distinct doc_id, array_to_string(w[p : p + 2], ' ') as s from (select doc_id, w, unnest(range(1, greatest(1, len(w) - 2)::bigint + 1)) as p from w where len(w) > 0)),
+        n as (select doc_id, count(*) as n from s group by doc_id),
+        c as (select a.doc_id as x, b.doc_id as y, count(*) as k from s a join s b on a.s = b.s and a.doc_id <> b.doc_id group by 1, 2),
+        e as (select x, y from c join n p on p.doc_id = x join n q on q.doc_id = y where 100 * k >= 90 * (p.n + q.n - k)),
+        r(x, z) as (select x, y from e union select r.x, e.y from r join e on r.z = e.x),
+        m as (select x, min(z) as z from r group by x)
+        select w.doc_id, coalesce(n.n, 0)::bigint as n_shingles, least(w.doc_id, m.z) as component_id
+        from w left join n using (doc_id) left join m on m.x = w.doc_id""",
     "op3_decontamination": r"""
         with t as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as x from documents),
         d as (select doc_id, regexp_extract_all(x, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from t),
