@@ -27,7 +27,7 @@ from tactus.llm.common import row_blocks
 
 WORD_END = "</w>"
 #: Words (distinct) that a Python worker remembers; the memory is emptied when full, so its size is bounded.
-REMEMBERED = 200_000
+REMEMBERED = 500_000
 #: A word longer than this many symbols isn't remembered.
 LONGEST_REMEMBERED = 64
 #: Entries of the transition table that a Python worker keeps.
@@ -50,7 +50,10 @@ class TokenAutomaton:
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]]):
         self.labels = {i: s for s, i in vocab.items()}
         self.vocab = vocab
-        self.longest = max(map(len, vocab), default=1)
+        #: the longest label with given first three characters; of two at most, if there is none
+        self.reach: dict[str, int] = {}
+        for label in vocab:
+            self.reach[label[:3]] = max(self.reach.get(label[:3], 2), len(label))
         self.steps: dict[int, bool] = {}  # (token before, token) -> whether the arc exists; filled as used
         target: dict[int, int] = {}  # state after an arc labelled t
         parent = [-1]  # the state that this one was copied from
@@ -94,35 +97,58 @@ class TokenAutomaton:
             u = left.get(u)
         return True
 
-    def encode(self, text: str, ends: list[int]) -> list[int]:
-        """Ids of the one accepted path that spells text; ends: where its symbols end."""
-        vocab, steps, longest = self.vocab.get, self.steps, self.longest
-        last, back = {0: -1}, {}
-        starts = [0]
-        for e in ends:
-            for s in starts:
-                if e - s > longest:
-                    continue
+    def has_arc(self, before: int, token: int) -> bool:
+        """arc() after the token `before` (-1: at the start of a word), from the transition table, which fills as it is used."""
+        pair = before << 20 | token
+        ok = self.steps.get(pair)
+        if ok is None:
+            if len(self.steps) >= TRANSITIONS:
+                self.steps.clear()
+            ok = self.steps[pair] = token in self.target and self.arc(self.target[before] if before >= 0 else 0, token)
+        return ok
+
+    def encode(self, text: str, word_end: int) -> list[int]:
+        """Ids of the one accepted path that spells text, whose last symbol ends in word_end more characters.
+
+        Goes forward by the longest label that has an arc, and back where no arc leads on.
+        """
+        vocab, steps, reach = self.vocab.get, self.steps.get, self.reach.get
+        total = len(text)
+        inner = total - word_end - 1  # the last place before the end where a symbol ends
+        out: list[int] = []
+        starts: list[int] = []
+        dead: set[tuple[int, int]] = set()
+        s, before = 0, -1
+        e = min(reach(text[:3], 2), total)
+        if inner < e < total:
+            e = inner
+        while True:
+            while e > s:
                 t = vocab(text[s:e])
-                if t is None:
-                    continue
-                pair = last[s] << 20 | t
-                ok = steps.get(pair)
-                if ok is None:  # fill the transition table
-                    if len(steps) >= TRANSITIONS:
-                        steps.clear()
-                    ok = steps[pair] = t in self.target and self.arc(self.target[last[s]] if s else 0, t)
-                if ok:
-                    last[e], back[e] = t, s
-                    starts.append(e)
-                    break
-        e, out = len(text), []
-        if e not in last:
-            raise ValueError(f"no path spells {text!r}")
-        while e:
-            out.append(last[e])
-            e = back[e]
-        return out[::-1]
+                if t is not None:
+                    ok = steps(before << 20 | t)
+                    if ok is None:
+                        ok = self.has_arc(before, t)
+                    if ok and not (dead and (e, t) in dead):
+                        break
+                e = inner if e == total else e - 1
+            if e > s:
+                out.append(t)
+                if e == total:
+                    return out
+                starts.append(s)
+                s, before = e, t
+                e = s + reach(text[s : s + 3], 2)
+                if e >= total:
+                    e = total
+                elif e > inner:
+                    e = inner
+            else:
+                if not out:
+                    raise ValueError(f"no path spells {text!r}")
+                dead.add((s, before))
+                e = s - 1
+                s, before = starts.pop(), (out.pop(), out[-1] if out else -1)[1]
 
 
 #: White_Space of the Unicode standard.
@@ -169,9 +195,9 @@ class Codec:
 
     def word(self, word: str) -> tuple[str, str, int]:
         """(ids in decimal, labels, number of ids) of a pre-split word, each joined by spaces."""
-        text = "".join([self._bytes[b] for b in word.encode("utf-8")])
-        n = len(text)
-        ids = self.automaton.encode(text + self.word_end, [*range(1, n), n + len(self.word_end)])
+        plain = word.isascii() and word.isprintable()
+        text = word if plain else "".join([self._bytes[b] for b in word.encode("utf-8")])
+        ids = self.automaton.encode(text + self.word_end, len(self.word_end))
         labels = self.automaton.labels
         return (" ".join(map(str, ids)), " ".join([labels[i] for i in ids]), len(ids))
 
