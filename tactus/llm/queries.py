@@ -11,6 +11,7 @@ from tactus.llm.bpe import encode_documents
 from tactus.llm.common import table
 from tactus.llm.decontaminate import decontaminate
 from tactus.llm.jaccard_join import jaccard_join
+from tactus.llm.quality_rules import apply_rules, fit_rules
 from tactus.llm.sharding import shard_documents
 from tactus.llm.url_filter import judge_urls
 from tactus.llm.warc import warc_round_trip
@@ -45,6 +46,12 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = fit_rules(docs, table(spark, sf_dir, "labels"))
+    return apply_rules(docs, model)
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"), k=3, percent=90).select("doc_id", "n_shingles", "component_id")
 
@@ -55,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_warc": op5_warc,
     "op6_sharding": op6_sharding,
     "op7_url_filter": op7_url_filter,
+    "op9_quality_rules": op9_quality_rules,
     "op10_jaccard_join": op10_jaccard_join,
 }
 
