@@ -31,16 +31,14 @@ GAP = 1 << 10
 INDEX_SCHEMA = "segment long, token string, doc_ids array<long>, data binary"
 
 
-def _pack(positions: np.ndarray) -> bytes:
-    """Ascending positions as differences of 1, 2 or 4 bytes, whichever holds all of them."""
-    d = np.diff(positions, prepend=0)
-    top = int(d.max()) if len(d) else 0
-    width = 1 if top < 1 << 8 else 2 if top < 1 << 16 else 4
-    return bytes([width]) + d.astype(f"<u{width}").tobytes()
+def _unpack(raw: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(raw, "<u4"), dtype=np.int64)
 
 
-def _unpack(raw: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(raw, f"<u{raw[0]}", offset=1), dtype=np.int64)
+def _slices(values: np.ndarray, at: np.ndarray, kind: pa.DataType) -> pa.Array:
+    """values[at[i]:at[i+1]] as strings or binaries, without a Python object for each."""
+    offsets = (at * values.itemsize).astype(np.int64)
+    return pa.Array.from_buffers(kind, len(at) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -57,21 +55,24 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             # words are numbered through the segment, GAP more at each new text
             position = np.arange(len(doc)) + doc * GAP
             order = np.argsort(h, kind="stable")
-            sorted_h = h[order]
+            sorted_h, sorted_p = h[order], position[order]
             new = np.flatnonzero(np.concatenate([[True], sorted_h[1:] != sorted_h[:-1]])) if len(h) else np.zeros(0, np.int64)
-            low = lower_table()[data].tobytes()
-            spans = list(zip(new.tolist(), [*new[1:].tolist(), len(h)], strict=True))
+            # each list as differences, its first one from zero
+            step = np.diff(sorted_p, prepend=0)
+            step[new] = sorted_p[new]
+            lists = _slices(step.astype("<u4"), np.append(new, len(h)), pa.large_binary())
             lead = order[new]
-            tokens = [low[s:e].decode("utf-8", "replace") for s, e in zip(first[lead].tolist(), end[lead].tolist(), strict=True)]
-            sorted_p = position[order]
-            lists = [_pack(sorted_p[s:e]) for s, e in spans]
+            size = end[lead] - first[lead]
+            at_token = np.concatenate([[0], np.cumsum(size)])
+            letters = lower_table()[data[np.repeat(first[lead] - at_token[:-1], size) + np.arange(at_token[-1])]]
+            tokens = _slices(letters, at_token, pa.large_string())
             ids = b.column("doc_id").to_pylist()
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.full(len(tokens) + 1, number)),
-                    pa.array([None, *tokens], pa.string()),
+                    pa.concat_arrays([pa.nulls(1, pa.string()), tokens.cast(pa.string())]),
                     pa.array([ids, *[None] * len(tokens)], pa.list_(pa.int64())),
-                    pa.array([counts.astype("<i8").tobytes(), *lists], pa.binary()),
+                    pa.concat_arrays([pa.array([counts.astype("<i8").tobytes()], pa.binary()), lists.cast(pa.binary())]),
                 ],
                 names=["segment", "token", "doc_ids", "data"],
             )
@@ -161,7 +162,7 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Postings]
 
 def _by_segment(index: DataFrame, terms: DataFrame) -> DataFrame:
     """Directories and the postings of the given terms, each segment whole and sorted in one partition."""
-    wanted = index.where("token is not null").join(terms, "token", "left_semi")
+    wanted = index.where("token is not null").join(F.broadcast(terms), "token", "left_semi")  # terms of items_bytes of text at most
     rows = index.where("token is null").unionByName(wanted)
     return rows.repartition("segment").sortWithinPartitions("segment", F.col("token").asc_nulls_first())
 
