@@ -11,6 +11,7 @@ from tactus.llm.bpe import encode_documents
 from tactus.llm.common import table
 from tactus.llm.decontaminate import decontaminate
 from tactus.llm.jaccard_join import jaccard_join
+from tactus.llm.language_id import fit_languages, identify
 from tactus.llm.quality_rules import apply_rules, fit_rules
 from tactus.llm.sharding import shard_documents
 from tactus.llm.url_filter import judge_urls
@@ -46,6 +47,11 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return identify(docs, fit_languages(docs))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit_rules(docs, table(spark, sf_dir, "labels"))
@@ -62,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_warc": op5_warc,
     "op6_sharding": op6_sharding,
     "op7_url_filter": op7_url_filter,
+    "op8_language_id": op8_language_id,
     "op9_quality_rules": op9_quality_rules,
     "op10_jaccard_join": op10_jaccard_join,
 }
