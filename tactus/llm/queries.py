@@ -12,6 +12,7 @@ from tactus.llm.common import table
 from tactus.llm.decontaminate import decontaminate
 from tactus.llm.jaccard_join import jaccard_join
 from tactus.llm.language_id import fit_languages, identify
+from tactus.llm.quality_crf import classify, fit_quality
 from tactus.llm.quality_rules import apply_rules, fit_rules
 from tactus.llm.sharding import shard_documents
 from tactus.llm.url_filter import judge_urls
@@ -29,6 +30,11 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return classify(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
@@ -63,6 +69,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality": op2_quality,
     "op3_decontamination": op3_decontamination,
     "op4_bpe": op4_bpe,
     "op5_warc": op5_warc,

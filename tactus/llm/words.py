@@ -77,6 +77,11 @@ def hash_words(data: np.ndarray, first: np.ndarray, end: np.ndarray, lower: bool
     out = np.empty(len(first), np.uint64)
     if not len(first):
         return out
+    if not sizes.all():  # empty stretches have the hash of nothing
+        full = np.flatnonzero(sizes)
+        out[:] = mix(np.zeros(1, np.uint64))
+        out[full] = hash_words(data, first[full], end[full], lower)
+        return out
     values = _byte_values()
     if lower:
         values = values[lower_table()]
