@@ -2,8 +2,13 @@
 
 A text is the set of its distinct word k-grams. Two sets of Jaccard similarity t or more share a token within their first
 n - ceil(t n) + 1 tokens under any fixed order of all tokens. Candidates come from an inverted index of those prefixes under a
-first order, rarest tokens first; a candidate must share a prefix token under every further order as well before it is
-verified on the whole sets.
+first order that puts rare tokens first; a candidate must share a prefix token under the further orders as well before
+it is verified on the whole sets.
+
+The first order needs document frequencies, but not of all tokens: they are counted exactly for the tokens in a fixed
+part of the hash space, a few times as large as a prefix. The order is: counted tokens of at most RARE classes; tokens outside
+that part; the other, common ones; each by hash. The prefix of almost every text lies in the first group. Texts whose prefix reaches on
+("deficient" ones) can only meet each other there, so only they post further tokens.
 
 Equal sets are one class, so copies never multiply. Prefix tokens with up to GROUP classes give pairs; classes under a
 more frequent token are dealt into cells by set size and hash, and compared within the cell, which returns
@@ -29,6 +34,12 @@ COUNT_BYTES = 4 << 20
 FREQUENT = 0.004
 #: A token in this share of all classes, or more, comes last in every order. At most 2 * (mean set size) / FREQUENT tokens are.
 HEAVY = 0.002
+#: Part of the hash space in which frequencies are counted, in prefixes.
+COUNTED = 3
+#: Counted tokens of more classes are common.
+RARE = 8
+#: Counted tokens that one task compares.
+RANGE_TOKENS = 1_000_000
 #: Classes under one prefix token that are paired directly.
 GROUP = 32
 #: Classes of one hash block of a cell.
@@ -79,15 +90,27 @@ def _prints(w: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-_SLIM = "doc_id long, n long, p1 long, p2 long, token long, df long"
+_SLIM = "doc_id long, n long, p1 long, p2 long, short boolean, token long, df long"
+
+
+def counted_below(percent: int) -> np.uint64:
+    """Upper bound of the counted tokens (32 bits)."""
+    return np.uint64(min(1 << 32, (1 << 32) * COUNTED * (100 - percent) // 100))
+
 
+def _key32(w: np.ndarray) -> np.ndarray:
+    return mix(w ^ _SEEDS[0]) >> np.uint64(32)
 
-def _scan(k: int):
+
+def _scan(k: int, percent: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in row_blocks(whole, "text", COUNT_BYTES):
                 w, at = shingle_sets(b, k)
                 p1, p2 = _prints(w, at)
+                size = np.diff(at)
+                counted = np.diff(np.concatenate([[0], np.cumsum(_key32(w) < counted_below(percent))])[at])
+                short = counted < prefix_lengths(size, percent)
                 _, lead = np.unique(p1, return_index=True)  # copies within a block count once
                 sets = [w[at[i] : at[i + 1]] for i in lead.tolist()]
                 u, c = np.unique(np.concatenate(sets), return_counts=True) if sets else (w, w)
@@ -100,10 +123,11 @@ def _scan(k: int):
                         pa.concat_arrays([pa.array(np.diff(at)), nulls(m)]),
                         pa.concat_arrays([pa.array(p1), nulls(m)]),
                         pa.concat_arrays([pa.array(p2), nulls(m)]),
+                        pa.concat_arrays([pa.array(short), pa.nulls(m, pa.bool_())]),
                         pa.concat_arrays([nulls(n), pa.array(u[often].view(np.int64))]),
                         pa.concat_arrays([nulls(n), pa.array(c[often].astype(np.int64))]),
                     ],
-                    names=["doc_id", "n", "p1", "p2", "token", "df"],
+                    names=["doc_id", "n", "p1", "p2", "short", "token", "df"],
                 )
 
     return scan
@@ -124,33 +148,176 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1 if n else 0
 
 
-def _prefixes(k: int, percent: int, packed):
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heavy, rank = packed.value
+def prefix_lengths(n: np.ndarray, percent: int) -> np.ndarray:
+    return np.where(n > 0, n - -(-percent * n // 100) + 1, 0)
+
+
+def _contains(ordered: np.ndarray, w: np.ndarray) -> np.ndarray:
+    if not len(ordered):
+        return np.zeros(len(w), bool)
+    i = np.searchsorted(ordered, w)
+    i[i == len(ordered)] = 0
+    return ordered[i] == w
+
+
+_POSTED = "range int, classes binary, sizes binary, token binary, owner binary, place binary"
+
+
+def _postings(k: int, percent: int, ranges: int, packed):
+    """The counted tokens of each class that this task meets first, packed by token range; a class whose heavy tokens make it
+    deficient is posted without a token."""
+    limit = counted_below(percent)
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heavy, _ = packed.value
         seen: set[int] = set()
         for whole in batches:
             for b in row_blocks(whole, "text", BLOCK_BYTES):
                 w, at = shingle_sets(b, k)
                 p1, _ = _prints(w, at)
-                key = order_keys(w, heavy, rank, 0)
-                tokens, classes = [], []
-                for i, (s, e, p) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), p1.tolist(), strict=True)):
-                    if s == e or p in seen:
-                        continue
-                    seen.add(p)
-                    m = prefix_length(e - s, percent)
-                    x = key[s:e]
-                    tokens.append(np.partition(x, m - 1)[:m] if m < e - s else x)
-                    classes.append((p, m))
-                if not classes:
+                size = np.diff(at)
+                new = np.zeros(len(size), bool)
+                for i, (n, c) in enumerate(zip(size.tolist(), p1.tolist(), strict=True)):
+                    if n and c not in seen:
+                        seen.add(c)
+                        new[i] = True
+                owner = np.repeat(np.arange(len(size)), size)
+                key = mix(w ^ _SEEDS[0])
+                use = new[owner] & (key >> np.uint64(32) < limit)
+                owner, key, w = owner[use], key[use], w[use]
+                everything = np.bincount(owner, minlength=len(size))
+                light = ~_contains(heavy, w)
+                owner, key = owner[light], key[light]
+                o = np.lexsort((key, owner))
+                owner, token = owner[o], (key[o] >> np.uint64(32)).astype(np.int64)
+                count = np.bincount(owner, minlength=len(size))
+                place = np.arange(len(owner)) - (np.cumsum(count) - count)[owner]
+                m = prefix_lengths(size, percent)
+                at_range = token * ranges // int(limit)
+                notice = np.flatnonzero(new & (count < m) & (everything >= m))
+                if len(notice):  # with the place of no token
+                    owner, token, place = np.concatenate([owner, notice]), np.concatenate([token, notice * 0]), np.concatenate([place, notice * 0 - 1])
+                    at_range = np.concatenate([at_range, notice % ranges])
+                o = np.argsort(at_range, kind="stable")
+                cuts = np.searchsorted(at_range[o], np.arange(ranges + 1))
+                rows = []
+                for r in np.flatnonzero(np.diff(cuts)).tolist():
+                    i = o[cuts[r] : cuts[r + 1]]
+                    docs, local = np.unique(owner[i], return_inverse=True)
+                    sizes = np.stack([m[docs], count[docs]], axis=1)
+                    rows.append((r, p1[docs].tobytes(), sizes.astype("<u4").tobytes(), token[i].astype("<u4").tobytes(), local.astype("<u4").tobytes(), place[i].astype("<i4").tobytes()))
+                if rows:
+                    cols = list(zip(*rows, strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=["range", "classes", "sizes", "token", "owner", "place"])
+
+    return post
+
+
+_REPEATED = "token int, class long, place int, prefix int, counted int, classes int"
+
+
+def _repeated(t: pa.Table) -> pa.Table:
+    """Postings of tokens of several classes, with the number of classes, and the notices (place -1), of one token range."""
+    parts = []
+    for classes, sizes, token, owner, place in zip(*[t.column(c).to_pylist() for c in ("classes", "sizes", "token", "owner", "place")], strict=True):
+        i = np.frombuffer(owner, "<u4")
+        parts.append((np.frombuffer(token, "<u4"), np.frombuffer(classes, np.int64)[i], np.frombuffer(place, "<i4"), np.frombuffer(sizes, "<u4").reshape(-1, 2)[i]))
+    token, cls, place = (np.concatenate([p[c] for p in parts]) for c in range(3))
+    size = np.concatenate([p[3] for p in parts])
+    o = np.lexsort((cls, token, place < 0))
+    token, cls, place, size = token[o], cls[o], place[o], size[o]
+    notice = place < 0
+    fresh = np.ones(len(token), bool)  # tasks may repeat a class
+    fresh[1:] = (token[1:] != token[:-1]) | (cls[1:] != cls[:-1]) | (notice[1:] != notice[:-1])
+    token, cls, place, size, notice = token[fresh], cls[fresh], place[fresh], size[fresh], notice[fresh]
+    new = np.ones(len(token), bool)
+    new[1:] = (token[1:] != token[:-1]) | (notice[1:] != notice[:-1])
+    start = np.flatnonzero(new)
+    n = np.diff(np.append(start, len(token)))
+    df = np.repeat(n, n)
+    keep = (df > 1) | notice
+    return pa.table(
+        {
+            "token": pa.array(token[keep].astype(np.uint32).view(np.int32)),
+            "class": pa.array(cls[keep]),
+            "place": pa.array(place[keep].astype(np.int32)),
+            "prefix": pa.array(size[keep, 0].astype(np.int32)),
+            "counted": pa.array(size[keep, 1].astype(np.int32)),
+            "classes": pa.array(np.where(notice[keep], 0, np.minimum(df[keep], 1 << 30)).astype(np.int32)),
+        }
+    )
+
+
+#: Kinds of rows that _ranked gives: prefix token of a class, deficient class, common token of a deficient class.
+POSTING, DEFICIENT, COMMON = 0, 1, 2
+
+
+def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows sorted by class and place: which rare tokens are in their class's prefix, and the deficient classes."""
+    names = ["token", "class", "place", "prefix", "counted", "classes"]
+
+    def settle(c: list[np.ndarray]) -> pa.RecordBatch:
+        token, cls, place, prefix, counted, classes = c
+        new = np.ones(len(cls), bool)
+        new[1:] = cls[1:] != cls[:-1]
+        start = np.flatnonzero(new)
+        length = np.diff(np.append(start, len(cls)))
+        common = (classes > RARE).astype(np.int64)
+        run = np.cumsum(common) - common
+        before = run - np.repeat(run[start], length)
+        posting = (classes > 1) & (classes <= RARE) & (place - before < prefix)
+        lack = counted[start] - np.add.reduceat(common, start) < prefix[start] if len(start) else np.zeros(0, bool)
+        of_lacking = (classes > RARE) & np.repeat(lack, length)
+        d = start[lack]
+        kind = np.repeat(np.array([POSTING, DEFICIENT, COMMON], np.int8), [posting.sum(), len(d), of_lacking.sum()])
+        return pa.RecordBatch.from_pydict(
+            {"token": np.concatenate([token[posting], token[d] * 0, token[of_lacking]]), "class": np.concatenate([cls[posting], cls[d], cls[of_lacking]]), "kind": pa.array(kind)}
+        )
+
+    held = None
+    for b in batches:
+        c = [b.column(n).to_numpy(zero_copy_only=False) for n in names]
+        if held is not None:
+            c = [np.concatenate(x) for x in zip(held, c, strict=True)]
+        if not len(c[0]):
+            continue
+        last = int(np.searchsorted(c[1], c[1][-1], "left"))
+        held = [x[last:] for x in c]
+        if last:
+            yield settle([x[:last] for x in c])
+    if held is not None and len(held[0]):
+        yield settle(held)
+
+
+def _rest(percent: int, packed):
+    """Prefix tokens of deficient classes beyond their rare counted ones."""
+    limit = counted_below(percent)
+
+    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heavy, _ = packed.value
+        for b in batches:
+            tokens, classes, sizes = [], [], []
+            for cls, raw, commons in zip(b.column("class").to_pylist(), b.column("tokens"), b.column("commons").to_pylist(), strict=True):
+                w = np.frombuffer(raw.as_buffer(), np.uint64)
+                key = mix(w ^ _SEEDS[0])
+                token = key >> np.uint64(32)
+                known = np.array(sorted(c & 0xFFFFFFFF for c in commons or []), np.uint64)
+                loud = _contains(heavy, w)
+                inside = token < limit
+                common = loud | (inside & _contains(known, token))
+                need = prefix_length(len(w), percent) - int((inside & ~common).sum())
+                if need <= 0:
                     continue
-                t = np.concatenate(tokens)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array((mix(t) >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(np.repeat(np.array([p for p, _ in classes]), [m for _, m in classes]))],
-                    names=["token", "class"],
-                )
+                group = np.where(common, 2, np.where(inside, 0, 1))
+                o = np.lexsort((key, group))
+                o = o[group[o] > 0][:need]
+                tokens.append(token[o].astype(np.uint32).view(np.int32))
+                classes.append(cls)
+                sizes.append(len(o))
+            if tokens:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.repeat(np.array(classes, np.int64), sizes))], names=["token", "class"])
 
-    return prefixes
+    return rest
 
 
 def _pairs_of(token: np.ndarray, cls: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -347,6 +514,14 @@ def _forest(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarra
     return i[keep], j[keep]
 
 
+def _sets_of(texts: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """(p1, rep, n, tokens) of the classes (p1, p2, n, rep) in wanted, from the text of one document of each."""
+    marks = texts.sparkSession.sparkContext.broadcast(_id_map(wanted.select("rep")))
+    sets = texts.where("doc_id is not null").mapInArrow(_sets(k, marks), "doc_id long, p1 long, p2 long, tokens binary")
+    w = wanted.select(F.col("p1").alias("w1"), F.col("p2").alias("w2"), "n", "rep")
+    return sets.join(w, F.expr("doc_id = rep and p1 = w1 and p2 = w2")).select("p1", "rep", "n", "tokens").dropDuplicates(["rep", "p1"])
+
+
 def jaccard_join(docs: DataFrame, k: int = 3, percent: int = 90, orders: int = ORDERS) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_shingles, class_id, component_id.
 
@@ -359,10 +534,10 @@ def jaccard_join(docs: DataFrame, k: int = 3, percent: int = 90, orders: int = O
         raise ValueError("one or two orders")
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long"), "text")
-    scanned = materialise(texts.mapInArrow(_scan(k), _SLIM), "shingle_counts")
-    slim = scanned.where("token is null").select("doc_id", "n", "p1", "p2")
-    n_classes = slim.where("n > 0").count()
-    heavy = scanned.where("token is not null").groupBy("token").agg(F.sum("df").alias("df")).where(F.col("df") >= max(16, HEAVY * n_classes)).collect()
+    scanned = materialise(texts.mapInArrow(_scan(k, percent), _SLIM), "shingle_counts")
+    slim = scanned.where("token is null").select("doc_id", "n", "p1", "p2", "short")
+    total = slim.where("n > 0").agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    heavy = scanned.where("token is not null").groupBy("token").agg(F.sum("df").alias("df")).where(F.col("df") >= max(16, HEAVY * total[0])).collect()
     by_token = sorted((r["token"] & (1 << 64) - 1, r["df"]) for r in heavy)
     hashes = np.array([t for t, _ in by_token], np.uint64)
     frequency = np.array([d for _, d in by_token], np.int64)
@@ -370,21 +545,30 @@ def jaccard_join(docs: DataFrame, k: int = 3, percent: int = 90, orders: int = O
     rank[np.lexsort((hashes, frequency))] = np.arange(len(hashes), dtype=np.uint64)
     packed = spark.sparkContext.broadcast((hashes, rank))  # bounded through HEAVY
 
-    postings = texts.mapInArrow(_prefixes(k, percent, packed), "token int, class long")
+    # frequencies of counted tokens, and with them the prefixes that lie among rare ones
+    ranges = int(max(1, total[1] * COUNTED * (100 - percent) / 100 / RANGE_TOKENS))
+    posted = texts.mapInArrow(_postings(k, percent, ranges, packed), _POSTED)
+    repeated = posted.groupBy("range").applyInArrow(_repeated, _REPEATED)
+    ranked = repeated.repartition("class").sortWithinPartitions("class", "place").mapInArrow(_ranked, "token int, class long, kind byte")
+    ranked = materialise(ranked, "prefixes")
+
+    classes = slim.where("n > 0").groupBy("p1", "p2", "n").agg(F.min("doc_id").alias("rep"), F.bool_or("short").alias("short")).where("rep is not null")
+    lacking = ranked.where(F.col("kind") == DEFICIENT).select(F.col("class").alias("p1")).distinct()
+    lacking = classes.where("short").select("p1", "p2", "n", "rep").unionAll(classes.where("not short").join(lacking, "p1").select("p1", "p2", "n", "rep"))
+    commons = ranked.where(F.col("kind") == COMMON).groupBy("class").agg(F.collect_list("token").alias("commons"))
+    lacking_sets = _sets_of(texts, materialise(lacking, "deficient"), k)
+    more = lacking_sets.select(F.col("p1").alias("class"), "tokens").join(commons, "class", "left").mapInArrow(_rest(percent, packed), "token int, class long")
+
+    postings = ranked.where(F.col("kind") == POSTING).select("token", "class").unionAll(more)
     sorted_ = postings.repartition("token").sortWithinPartitions("token", "class")
     found = materialise(sorted_.mapInArrow(_candidates, "token int, a long, b long"), "candidates")
     pairs = found.where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     members = found.where("b is null").select("token", F.col("a").alias("class"))
 
     # whole sets of the classes in question, once per class
-    classes = slim.where("n > 0").groupBy("p1", "p2", "n").agg(F.min("doc_id").alias("rep"))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("p1")).unionAll(members.select(F.col("class").alias("p1"))).distinct()
-    wanted = materialise(classes.where("rep is not null").join(wanted, "p1").select("p1", "p2", "n", "rep"), "wanted")
-    marks = spark.sparkContext.broadcast(_id_map(wanted.select("rep")))
-    sets = texts.where("doc_id is not null").mapInArrow(_sets(k, marks), "doc_id long, p1 long, p2 long, tokens binary")
-    w = wanted.select(F.col("p1").alias("w1"), F.col("p2").alias("w2"), "n", "rep")
-    sets = sets.join(w, F.expr("doc_id = rep and p1 = w1 and p2 = w2")).select("p1", "rep", "n", "tokens").dropDuplicates(["rep", "p1"])
-    sets = materialise(sets, "sets")
+    wanted = materialise(classes.join(wanted, "p1").select("p1", "p2", "n", "rep"), "wanted")
+    sets = materialise(_sets_of(texts, wanted, k), "sets")
 
     x = sets.select(F.col("p1").alias("a"), F.col("rep").alias("src"), F.col("tokens").alias("x"), F.col("n").alias("n1"))
     y = sets.select(F.col("p1").alias("b"), F.col("rep").alias("dst"), F.col("tokens").alias("y"), F.col("n").alias("n2"))
@@ -406,8 +590,9 @@ def jaccard_join(docs: DataFrame, k: int = 3, percent: int = 90, orders: int = O
 
     links = materialise(direct.unionAll(within), "links")
     components = connected_components(links)
+    classes = slim.where("n > 0").groupBy("p1", "p2", "n").agg(F.min("doc_id").alias("rep"))
     named = classes.join(components.withColumnRenamed("node", "rep"), "rep", "left").select("p1", "p2", "n", F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id"))
-    full = slim.join(named, ["p1", "p2", "n"], "left")
+    full = slim.drop("short").join(named, ["p1", "p2", "n"], "left")
     return full.select(
         "doc_id",
         F.col("n").alias("n_shingles"),
