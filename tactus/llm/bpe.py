@@ -15,15 +15,14 @@ from __future__ import annotations
 import hashlib
 import json
 import pickle
-from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from tactus.llm.common import row_blocks
+from tactus.llm.common import map_texts
 
 WORD_END = "</w>"
 #: Words (distinct) that a Python worker remembers; the memory is emptied when full, so its size is bounded.
@@ -32,7 +31,7 @@ REMEMBERED = 500_000
 LONGEST_REMEMBERED = 64
 #: Entries of the transition table that a Python worker keeps.
 TRANSITIONS = 2_000_000
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 2 << 20
 
 SCHEMA = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -247,51 +246,44 @@ def load_codec(path: str) -> Codec:
 _codecs: dict[str, Codec] = {}
 
 
-def _coder(packed, with_ids: bool):
-    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw = packed.value
-        key = raw[:16].hex()
-        codec = _codecs.get(key)
-        if codec is None:  # once for each Python worker
-            _codecs.clear()
-            codec = _codecs[key] = pickle.loads(raw[16:])
-        for whole in batches:
-            for b in row_blocks(whole, "text", BLOCK_BYTES):
-                counts, ids, decoded, lists, shown = [], [], [], [], []
-                for text in b.column(b.schema.get_field_index("text")).to_pylist():
-                    pieces = codec.pieces(text) if text else []
-                    pieces, labels, sizes = zip(*pieces, strict=True) if pieces else ((), (), ())
-                    joined, back = " ".join(pieces), " ".join(labels)
-                    counts.append(sum(sizes))
-                    ids.append(hashlib.sha256(joined.encode()).hexdigest())
-                    decoded.append(hashlib.sha256(back.encode()).hexdigest())
-                    if with_ids:
-                        lists.append([int(i) for i in joined.split()])
-                        shown.append(back)
-                rest = [b.column(i) for i, f in enumerate(b.schema) if f.name != "text"]
-                new = [pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())]
-                names = [f.name for f in b.schema if f.name != "text"] + ["n_tokens", "ids_sha256", "decoded_sha256"]
-                if with_ids:
-                    new += [pa.array(lists, pa.list_(pa.int32())), pa.array(shown, pa.string())]
-                    names += ["ids", "decoded"]
-                yield pa.RecordBatch.from_arrays(rest + new, names=names)
-
-    return code
+def _worker_codec(raw: bytes) -> Codec:
+    """The codec packed in raw, once for each Python worker, with the words that it remembers."""
+    key = raw[:16].hex()
+    if key not in _codecs:
+        _codecs.clear()
+        _codecs[key] = pickle.loads(raw[16:])
+    return _codecs[key]
 
 
 def encode_documents(docs: DataFrame, tokenizer: str, with_ids: bool = False, keep: list[str] | None = None) -> DataFrame:
     """Encode and decode every whole text of docs.
 
     tokenizer: path of the vocabulary file on the driver; its compiled automaton, whose size is bounded by the vocabulary, is
-    broadcast. Returns the columns named in `keep` (doc_id by default), n_tokens, ids_sha256 and decoded_sha256, and with with_ids also ids
+    broadcast. Returns the columns named in keep (doc_id by default), n_tokens, ids_sha256 and decoded_sha256, and with with_ids also ids
     (array<int>) and decoded. Null and empty texts have no tokens. Repeated rows give repeated rows; an empty table
-    gives an empty result. Other columns are dropped, so clashing names do no harm.
+    gives an empty result. Other columns are dropped.
     """
-    keep = keep or ["doc_id"]
     raw = pickle.dumps(load_codec(tokenizer), pickle.HIGHEST_PROTOCOL)
     packed = docs.sparkSession.sparkContext.broadcast(hashlib.md5(raw).digest() + raw)
-    rows = docs.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)], "text")
-    kinds = dict(docs.dtypes)
-    schema = ", ".join(f"_k{i} {kinds[c]}" for i, c in enumerate(keep)) + ", " + SCHEMA + (", ids array<int>, decoded string" if with_ids else "")
-    out = rows.mapInArrow(_coder(packed, with_ids), schema)
-    return out.withColumnsRenamed({f"_k{i}": c for i, c in enumerate(keep)})
+
+    def block():
+        codec = _worker_codec(packed.value)
+
+        def code(texts: pa.Array) -> dict:
+            counts, ids, decoded, lists, shown = [], [], [], [], []
+            for text in texts.to_pylist():
+                pieces = codec.pieces(text) if text else []
+                pieces, labels, sizes = zip(*pieces, strict=True) if pieces else ((), (), ())
+                joined, back = " ".join(pieces), " ".join(labels)
+                counts.append(sum(sizes))
+                ids.append(hashlib.sha256(joined.encode()).hexdigest())
+                decoded.append(hashlib.sha256(back.encode()).hexdigest())
+                if with_ids:
+                    lists.append(np.array(joined.split(), np.int32))
+                    shown.append(back)
+            out = {"n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(ids, pa.string()), "decoded_sha256": pa.array(decoded, pa.string())}
+            return out | ({"ids": pa.array(lists, pa.list_(pa.int32())), "decoded": pa.array(shown, pa.string())} if with_ids else {})
+
+        return code
+
+    return map_texts(docs, keep or ["doc_id"], block, SCHEMA + (", ids array<int>, decoded string" if with_ids else ""), BLOCK_BYTES)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -99,3 +99,22 @@ def row_blocks(batch: pa.RecordBatch, text: str, most: int) -> Iterator[pa.Recor
         to = max(at + 1, int(np.searchsorted(ends, done + most, "right")))
         yield batch.slice(at, to - at)
         at = to
+
+
+def map_texts(docs: DataFrame, keep: list[str], block: Callable[[], Callable[[pa.Array], dict]], schema: str, block_bytes: int) -> DataFrame:
+    """The columns named in keep, and those that block()(texts) makes of each block of at most block_bytes of text.
+
+    block() is called once in each task. Other columns of docs are dropped, so clashing names do no harm.
+    """
+    rows = docs.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)], F.col("text").alias("_text"))
+    names = [f"_k{i}" for i in range(len(keep))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = block()
+        for whole in batches:
+            for b in row_blocks(whole, "_text", block_bytes):
+                made = make(b.column(len(names)))
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], *[x if isinstance(x, pa.Array) else pa.array(x) for x in made.values()]], names=[*names, *made])
+
+    kept = "".join(f"_k{i} {docs.schema[c].dataType.simpleString()}, " for i, c in enumerate(keep))
+    return rows.mapInArrow(run, kept + schema).withColumnsRenamed(dict(zip(names, keep, strict=True)))

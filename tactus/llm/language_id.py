@@ -10,7 +10,6 @@ all pieces of many texts advance together, one table look-up each, whatever the
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tactus.llm.common import held_out, row_blocks, text_bytes
+from tactus.llm.common import held_out, map_texts, text_bytes
 from tactus.llm.training import texts_of
 
 #: Letters of reference text for each language, and rows that they are taken from, at most.
@@ -152,29 +151,6 @@ def _has_letter(column: pa.Array) -> np.ndarray:
     return np.asarray(pc.fill_null(pc.match_substring_regex(column, r"\pL"), False))
 
 
-def _scorer(packed):
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: LanguageModel = packed.value
-        for whole in batches:
-            for b in row_blocks(whole, "text", BLOCK_BYTES):
-                letters, offsets = _letters(*text_bytes(b.column("text")))
-                size = np.maximum(np.diff(offsets), 1)
-                rate = model.phrases(letters, offsets) * model.bits / size[:, None]  # bits a letter
-                best = rate.argmin(axis=1)
-                odds = np.exp2(-4 * (rate - rate.min(axis=1, keepdims=True)))
-                ok = _has_letter(b.column("text"))
-                names = np.array([*model.languages, UNDETERMINED])
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "doc_id": b.column("doc_id"),
-                        "lang_pred": pa.array(names[np.where(ok, best, len(model.languages))].tolist(), pa.string()),
-                        "score": np.where(ok, 1 / odds.sum(axis=1), 0.0),
-                    }
-                )
-
-    return score
-
-
 def fit_languages(docs: DataFrame, letters: int = REFERENCE_LETTERS, rows: int = REFERENCE_ROWS) -> LanguageModel:
     """Learn every lang of the training fold from at most `rows` rows and `letters` letters each, by the least hash of doc_id."""
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"), FOLDS, HELD_OUT))
@@ -197,14 +173,30 @@ def fit_languages(docs: DataFrame, letters: int = REFERENCE_LETTERS, rows: int =
     return train({name: b"\0".join(p) for name, p in parts.items() if p} or {UNDETERMINED: b"a"})
 
 
-def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """One row per row of docs (doc_id, text): doc_id, held_out, lang_pred, score.
+def identify(docs: DataFrame, model: LanguageModel, keep: list[str] | None = None) -> DataFrame:
+    """One row per row of docs (doc_id, text): the columns named in keep (doc_id by default), held_out, lang_pred, score.
 
     lang_pred is a learned language, or `und` with score 0 if the text is null or has no letter. score: the winner's
     share of the odds, from the bits a letter that each language needs. Ties go to the language with more training rows. Repeated
     rows are judged alike; an empty table gives an empty result; other columns are ignored.
     """
+    keep = keep or ["doc_id"]
     packed = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MOST_LANGUAGES and REFERENCE_LETTERS
-    rows = docs.select(F.col("doc_id").cast("long"), "text")
-    out = rows.mapInArrow(_scorer(packed), "doc_id long, lang_pred string, score double")
-    return out.select("doc_id", held_out(F.col("doc_id"), FOLDS, HELD_OUT).alias("held_out"), "lang_pred", "score")
+
+    def block():
+        model: LanguageModel = packed.value
+        names = np.array([*model.languages, UNDETERMINED])
+
+        def judge(texts: pa.Array) -> dict:
+            letters, offsets = _letters(*text_bytes(texts))
+            size = np.maximum(np.diff(offsets), 1)
+            rate = model.phrases(letters, offsets) * model.bits / size[:, None]  # bits a letter
+            odds = np.exp2(-4 * (rate - rate.min(axis=1, keepdims=True)))
+            ok = _has_letter(texts)
+            found = names[np.where(ok, rate.argmin(axis=1), len(model.languages))]
+            return {"lang_pred": pa.array(found.tolist(), pa.string()), "score": np.where(ok, 1 / odds.sum(axis=1), 0.0)}
+
+        return judge
+
+    out = map_texts(docs, keep, block, "lang_pred string, score double", BLOCK_BYTES)
+    return out.select(*keep, held_out(F.col("doc_id"), FOLDS, HELD_OUT).alias("held_out"), "lang_pred", "score")

@@ -8,7 +8,6 @@ marginals of being good, weighted by line length, give a text's quality, which i
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tactus.llm.common import held_out, row_blocks, text_bytes
+from tactus.llm.common import held_out, map_texts, text_bytes
 from tactus.llm.quality_rules import find_lines, repeats
 from tactus.llm.training import class_weights, fit_platt, labelled_sample, sigmoid
 from tactus.llm.words import find_words, hash_words, mix
@@ -203,29 +202,26 @@ def train(sample: list[tuple[int, str, int]], counts: dict[int, int], rounds: in
     return LineField(field.weights, field.trans, slope, offset)
 
 
-def _scorer(packed):
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        field: LineField = packed.value
-        for whole in batches:
-            for b in row_blocks(whole, "text", BLOCK_BYTES):
-                data, at = text_bytes(b.column("text"))
-                doc, size, x = line_features(data, at)
-                yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "score": field.score(doc, size, x, b.num_rows), "n_lines": np.bincount(doc, minlength=b.num_rows)})
-
-    return score
-
-
 def fit_quality(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> LineField:
     """Train on labelled rows outside the held-out fold."""
     return train(*labelled_sample(docs, labels, "quality", per_class, held_out(F.col("doc_id"), FOLDS, HELD_OUT)))
 
 
-def classify(docs: DataFrame, field: LineField, good_from: float = GOOD_FROM) -> DataFrame:
-    """One row per row of docs (doc_id, text): doc_id, held_out, score, predicted, n_lines.
+def classify(docs: DataFrame, field: LineField, good_from: float = GOOD_FROM, keep: list[str] | None = None) -> DataFrame:
+    """One row per row of docs (doc_id, text): the columns named in keep (doc_id by default), held_out, score, predicted, n_lines.
 
     Null and empty texts have one empty line and a score like any other. Repeated rows score alike; an empty table
     gives an empty result; other columns are ignored.
     """
+    keep = keep or ["doc_id"]
     packed = docs.sparkSession.sparkContext.broadcast(field)  # a few dozen weights
-    out = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_scorer(packed), "doc_id long, score double, n_lines long")
-    return out.select("doc_id", held_out(F.col("doc_id"), FOLDS, HELD_OUT).alias("held_out"), "score", (F.col("score") >= good_from).cast("int").alias("predicted"), "n_lines")
+
+    def block():
+        def score(texts: pa.Array) -> dict:
+            doc, size, x = line_features(*text_bytes(texts))
+            return {"score": packed.value.score(doc, size, x, len(texts)), "n_lines": np.bincount(doc, minlength=len(texts))}
+
+        return score
+
+    out = map_texts(docs, keep, block, "score double, n_lines long", BLOCK_BYTES)
+    return out.select(*keep, held_out(F.col("doc_id"), FOLDS, HELD_OUT).alias("held_out"), "score", (F.col("score") >= good_from).cast("int").alias("predicted"), "n_lines")
