@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tactus.llm.bpe import encode_documents
+from tactus.llm.chat_format import repair_chats
 from tactus.llm.common import table
 from tactus.llm.decontaminate import decontaminate
 from tactus.llm.jaccard_join import jaccard_join
@@ -19,6 +20,10 @@ from tactus.llm.url_filter import judge_urls
 from tactus.llm.warc import warc_round_trip
 
 
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_chats(table(spark, sf_dir, "conversations"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -69,6 +74,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat_format": op1_chat_format,
     "op2_quality": op2_quality,
     "op3_decontamination": op3_decontamination,
     "op4_bpe": op4_bpe,
