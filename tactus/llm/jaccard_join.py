@@ -2,8 +2,9 @@
 
 A text is the set of its distinct word k-grams. Two sets of Jaccard similarity t or more share a token within their first
 n - ceil(t n) + 1 tokens under any fixed order of all tokens. Candidates come from an inverted index of those prefixes under a
-first order that puts rare tokens first; a candidate must share a prefix token under the further orders as well before
-it is verified on the whole sets.
+first order that puts rare tokens first. Each set also carries its prefixes under two more orders, as short keys: a candidate
+must share a prefix token under these too, and where both prefixes are complete they may not differ by more tokens than
+sets of that similarity can. Only pairs that pass all filters are verified on the whole sets.
 
 The first order needs document frequencies, but not of all tokens: they are counted exactly for the tokens in a fixed
 part of the hash space, a few times as large as a prefix. The order is: counted tokens of at most RARE classes; tokens outside
@@ -11,8 +12,10 @@ that part; the other, common ones; each by hash. The prefix of almost every text
 ("deficient" ones) can only meet each other there, so only they post further tokens.
 
 Equal sets are one class, so copies never multiply. Prefix tokens with up to GROUP classes give pairs; classes under a
-more frequent token are dealt into cells by set size and hash, and compared within the cell, which returns
-links that connect what is connected, not all pairs. Shingles are 64-bit hashes of their words.
+more frequent token are dealt into cells by set size and hash, where the filters are intersected at once. A cell with few
+survivors gives pairs; a dense one is compared on whole sets and returns links that connect what is connected, not all
+pairs: first under one token for each class, then under the tokens whose classes are not yet connected.
+Shingles are 64-bit hashes of their words.
 """
 
 from __future__ import annotations
@@ -44,11 +47,14 @@ RANGE_TOKENS = 1_000_000
 GROUP = 32
 #: Classes of one hash block of a cell.
 CELL = 1024
-ORDERS = 2
+#: A cell with more surviving pairs than this many times its classes is dense.
+DENSE = 4
 #: Bits of the map that tells which texts may be candidates; more candidates make it prune less, not wrongly.
 MAP_BITS = 24
 
-_SEEDS = np.array([0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89], np.uint64)
+_SEEDS = np.array([0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89, 0x452821E638D01377], np.uint64)
+#: Seeds of the further orders.
+_FURTHER = (1, 4)
 _TOP = np.uint64(1 << 63)
 
 
@@ -90,7 +96,25 @@ def _prints(w: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-_SLIM = "doc_id long, n long, p1 long, p2 long, short boolean, token long, df long"
+_SLIM = "doc_id long, n long, p1 long, p2 long, short boolean, sig binary, token long, df long"
+
+
+def signatures(w: np.ndarray, at: np.ndarray, percent: int) -> list[bytes]:
+    """For each set its prefixes under the further orders, as sorted 32-bit keys, one list after the other.
+
+    A list shorter than the prefix length (equal keys) is filled up with its last key.
+    """
+    m = prefix_lengths(np.diff(at), percent).tolist()
+    keys = [(mix(w ^ _SEEDS[o]) >> np.uint64(32)).astype(np.uint32) for o in _FURTHER]
+    out = []
+    for s, e, k in zip(at[:-1].tolist(), at[1:].tolist(), m, strict=True):
+        made = []
+        for key in keys:
+            own = key[s:e]
+            own = np.sort(np.partition(own, k - 1)[:k]) if k < e - s else np.sort(own)
+            made.append(own.tobytes())
+        out.append(b"".join(made))
+    return out
 
 
 def counted_below(percent: int) -> np.uint64:
@@ -124,26 +148,16 @@ def _scan(k: int, percent: int):
                         pa.concat_arrays([pa.array(p1), nulls(m)]),
                         pa.concat_arrays([pa.array(p2), nulls(m)]),
                         pa.concat_arrays([pa.array(short), pa.nulls(m, pa.bool_())]),
+                        pa.concat_arrays([pa.array(signatures(w, at, percent), pa.binary()), pa.nulls(m, pa.binary())]),
                         pa.concat_arrays([nulls(n), pa.array(u[often].view(np.int64))]),
                         pa.concat_arrays([nulls(n), pa.array(c[often].astype(np.int64))]),
                     ],
-                    names=["doc_id", "n", "p1", "p2", "short", "token", "df"],
+                    names=["doc_id", "n", "p1", "p2", "short", "sig", "token", "df"],
                 )
 
     return scan
 
 
-def order_keys(w: np.ndarray, heavy: np.ndarray, rank: np.ndarray, order: int) -> np.ndarray:
-    """The place of each token in global order number `order`: tokens outside `heavy` by a seeded hash, then those by frequency."""
-    key = mix(w ^ _SEEDS[order]) >> np.uint64(1)
-    if len(heavy):
-        i = np.searchsorted(heavy, w)
-        i[i == len(heavy)] = 0
-        is_heavy = heavy[i] == w
-        key[is_heavy] = _TOP + rank[i[is_heavy]]
-    return key
-
-
 def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1 if n else 0
 
@@ -253,7 +267,7 @@ POSTING, DEFICIENT, COMMON = 0, 1, 2
 
 
 def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by class and place: which rare tokens are in their class's prefix, and the deficient classes."""
+    """From rows sorted by class and place: which rare tokens are in their class's prefix, and the deficient classes, each with the prefix length."""
     names = ["token", "class", "place", "prefix", "counted", "classes"]
 
     def settle(c: list[np.ndarray]) -> pa.RecordBatch:
@@ -271,7 +285,7 @@ def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         d = start[lack]
         kind = np.repeat(np.array([POSTING, DEFICIENT, COMMON], np.int8), [posting.sum(), len(d), of_lacking.sum()])
         return pa.RecordBatch.from_pydict(
-            {"token": np.concatenate([token[posting], token[d] * 0, token[of_lacking]]), "class": np.concatenate([cls[posting], cls[d], cls[of_lacking]]), "kind": pa.array(kind)}
+            {"token": np.concatenate([token[posting], token[d] * 0, token[of_lacking]]), "class": np.concatenate([cls[posting], cls[d], cls[of_lacking]]), "prefix": np.concatenate([prefix[posting], prefix[d], prefix[of_lacking]]), "kind": pa.array(kind)}
         )
 
     held = None
@@ -296,7 +310,7 @@ def _rest(percent: int, packed):
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heavy, _ = packed.value
         for b in batches:
-            tokens, classes, sizes = [], [], []
+            tokens, classes, sizes, prefixes = [], [], [], []
             for cls, raw, commons in zip(b.column("class").to_pylist(), b.column("tokens"), b.column("commons").to_pylist(), strict=True):
                 w = np.frombuffer(raw.as_buffer(), np.uint64)
                 key = mix(w ^ _SEEDS[0])
@@ -314,63 +328,75 @@ def _rest(percent: int, packed):
                 tokens.append(token[o].astype(np.uint32).view(np.int32))
                 classes.append(cls)
                 sizes.append(len(o))
+                prefixes.append(prefix_length(len(w), percent))
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.repeat(np.array(classes, np.int64), sizes))], names=["token", "class"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(tokens)), pa.array(np.repeat(np.array(classes, np.int64), sizes)), pa.array(np.repeat(np.array(prefixes, np.int32), sizes))], names=["token", "class", "prefix"]
+                )
 
     return rest
 
 
-def _pairs_of(token: np.ndarray, cls: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(token, a, b) for whole groups sorted by token and class; b is -1 and `paired` false for members of large groups."""
+def _fits(m1: np.ndarray, m2: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets with these prefix lengths can be alike in size: m - 1 is the whole part of (100 - percent) % of the size."""
+    return 100 * np.minimum(m1, m2) >= percent * (np.maximum(m1, m2) - 1)
+
+
+def _pairs_of(token: np.ndarray, cls: np.ndarray, m: np.ndarray, percent: int) -> Iterator[tuple]:
+    """(None, a, b) pairs of small groups, or (token, member, None) of large ones, from whole groups sorted by token and class."""
     new = np.ones(len(token), bool)
     new[1:] = token[1:] != token[:-1]
     start = np.flatnonzero(new)
     size = np.diff(np.append(start, len(token)))
     for s in np.unique(size[(size > 1) & (size <= GROUP)]).tolist():
-        rows = cls[start[size == s][:, None] + np.arange(s)]
+        at = start[size == s][:, None] + np.arange(s)
         i, j = np.triu_indices(s, 1)
-        yield None, rows[:, i].ravel(), rows[:, j].ravel()
+        i, j = at[:, i].ravel(), at[:, j].ravel()
+        fits = _fits(m[i], m[j], percent)
+        yield None, cls[i[fits]], cls[j[fits]]
     large = np.repeat(size > GROUP, size)
     if large.any():
         yield token[large], cls[large], None
 
 
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of small groups and members of large ones, from rows sorted by token and class; holds one batch and GROUP + 1 rows."""
-    token, cls = np.zeros(0, np.int32), np.zeros(0, np.int64)
-    passing = None  # the large group that is passing through
-
-    def rows(t, a, b):
-        n = len(a)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(t) if t is not None else pa.nulls(n, pa.int32()), pa.array(a), pa.array(b) if b is not None else pa.nulls(n, pa.int64())], names=["token", "a", "b"]
-        )
+def _candidates(percent: int):
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs of small groups and members of large ones, from rows sorted by token and class; holds one batch and GROUP + 1 rows."""
+        token, cls, m = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        passing = None  # the large group that is passing through
+
+        def rows(t, a, b):
+            n = len(a)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(t) if t is not None else pa.nulls(n, pa.int32()), pa.array(a), pa.array(b) if b is not None else pa.nulls(n, pa.int64())], names=["token", "a", "b"]
+            )
+
+        for batch in batches:
+            t, c, p = (np.concatenate([old, batch.column(n).to_numpy(zero_copy_only=False)]) for old, n in ((token, "token"), (cls, "class"), (m, "prefix")))
+            fresh = np.ones(len(t), bool)  # tasks may repeat a class
+            fresh[1:] = (t[1:] != t[:-1]) | (c[1:] != c[:-1])
+            t, c, p = t[fresh], c[fresh], p[fresh]
+            if passing is not None:
+                go = int(np.searchsorted(t, passing, "right"))
+                own = slice(1 if go and len(token) and c[0] == cls[-1] else 0, go)
+                if own.stop > own.start:
+                    yield rows(t[own], c[own], None)
+                if go == len(t):
+                    token, cls, m = t[-1:], c[-1:], p[-1:]
+                    continue
+                passing, t, c, p = None, t[go:], c[go:], p[go:]
+            last = int(np.searchsorted(t, t[-1], "left")) if len(t) else 0
+            for got in _pairs_of(t[:last], c[:last], p[:last], percent):
+                yield rows(*got)
+            token, cls, m = t[last:], c[last:], p[last:]
+            if len(token) > GROUP:
+                yield rows(token, cls, None)
+                passing, token, cls, m = token[-1], token[-1:], cls[-1:], m[-1:]
+        if passing is None:
+            for got in _pairs_of(token, cls, m, percent):
+                yield rows(*got)
 
-    for batch in batches:
-        t = np.concatenate([token, batch.column("token").to_numpy(zero_copy_only=False)])
-        c = np.concatenate([cls, batch.column("class").to_numpy(zero_copy_only=False)])
-        fresh = np.ones(len(t), bool)  # tasks may repeat a class
-        fresh[1:] = (t[1:] != t[:-1]) | (c[1:] != c[:-1])
-        t, c = t[fresh], c[fresh]
-        if passing is not None:
-            go = int(np.searchsorted(t, passing, "right"))
-            own = slice(1 if go and len(token) and c[0] == cls[-1] else 0, go)
-            if own.stop > own.start:
-                yield rows(t[own], c[own], None)
-            if go == len(t):
-                token, cls = t[-1:], c[-1:]
-                continue
-            passing, t, c = None, t[go:], c[go:]
-        last = int(np.searchsorted(t, t[-1], "left")) if len(t) else 0
-        for got in _pairs_of(t[:last], c[:last]):
-            yield rows(*got)
-        token, cls = t[last:], c[last:]
-        if len(token) > GROUP:
-            yield rows(token, cls, None)
-            passing, token, cls = token[-1], token[-1:], cls[-1:]
-    if passing is None:
-        for got in _pairs_of(token, cls):
-            yield rows(*got)
+    return candidates
 
 
 def _sets(k: int, packed):
@@ -417,35 +443,72 @@ def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-class Prefixes:
-    """Prefix tokens of sets under the further orders."""
-
-    def __init__(self, heavy: np.ndarray, rank: np.ndarray, percent: int, orders: int):
-        self.heavy, self.rank, self.percent, self.orders = heavy, rank, percent, orders
-
-    def of(self, w: np.ndarray) -> list[np.ndarray]:
-        m = prefix_length(len(w), self.percent)
-        out = []
-        for o in range(1, self.orders):
-            key = order_keys(w, self.heavy, self.rank, o)
-            out.append(np.sort(np.partition(key, m - 1)[:m]))
-        return out
+class Filters:
+    """Tests of pairs of sets by their sizes and signatures."""
+
+    def __init__(self, percent: int):
+        self.percent = percent
+
+    def lists(self, n: int, sig: np.ndarray) -> list[np.ndarray]:
+        """The prefixes of a signature, each key once."""
+        m = prefix_length(n, self.percent)
+        return [np.unique(sig[i * m : (i + 1) * m]) for i in range(len(_FURTHER))]
+
+    def limit(self, n: int, prefix: np.ndarray) -> int:
+        """Keys below it that a set of n tokens has are all in its prefix."""
+        return int(prefix[-1]) if prefix_length(n, self.percent) < n else 1 << 33
+
+    def differ(self, n1, n2):
+        """Most tokens in which similar sets of these sizes differ."""
+        return n1 + n2 - 2 * -(-self.percent * (n1 + n2) // (100 + self.percent))
+
+    def pair(self, n1: int, a: list[np.ndarray], n2: int, b: list[np.ndarray]) -> bool:
+        if min(n1, n2) * 100 < self.percent * max(n1, n2):
+            return False
+        most = self.differ(n1, n2)
+        for x, y in zip(a, b, strict=True):
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            if not both:
+                return False
+            to = min(self.limit(n1, x), self.limit(n2, y))
+            if np.searchsorted(x, to) + np.searchsorted(y, to) - 2 * both > most:
+                return False
+        return True
+
+    def table(self, n: np.ndarray, prefixes: list[list[np.ndarray]]) -> np.ndarray:
+        """pair() of every two sets; true above the diagonal only."""
+        may = np.minimum(n[:, None], n) * 100 >= self.percent * np.maximum(n[:, None], n)
+        may &= np.triu(np.ones_like(may), 1).astype(bool)
+        most = self.differ(n[:, None], n)
+        for o in range(len(_FURTHER)):
+            own = [p[o] for p in prefixes]
+            both = _common(own)
+            top = np.array([self.limit(int(k), p) for k, p in zip(n, own, strict=True)], np.int64)
+            low = np.minimum(top[:, None], top)
+            below = np.stack([np.searchsorted(p.astype(np.int64), row) for p, row in zip(own, low, strict=True)])
+            may &= (both > 0) & (below + below.T - 2 * both <= most)
+        return may
+
+
+def _filter_pairs(percent: int):
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filters = Filters(percent)
+        for b in batches:
+            ok = np.zeros(b.num_rows, bool)
+            for i, (n1, n2, x, y) in enumerate(zip(b.column("n1").to_pylist(), b.column("n2").to_pylist(), b.column("x"), b.column("y"), strict=True)):
+                ok[i] = filters.pair(n1, filters.lists(n1, np.frombuffer(x.as_buffer(), np.uint32)), n2, filters.lists(n2, np.frombuffer(y.as_buffer(), np.uint32)))
+            yield b.select(["a", "b"]).filter(pa.array(ok))
 
-    def share(self, a: list[np.ndarray], b: list[np.ndarray]) -> bool:
-        return all(len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(a, b, strict=True))
+    return keep
 
 
-def _verify(percent: int, orders: int, packed):
+def _verify(percent: int):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filters = Prefixes(*packed.value, percent, orders)
         for b in batches:
-            src, dst = [], []
-            for i, j, x, y in zip(b.column("src").to_pylist(), b.column("dst").to_pylist(), b.column("x"), b.column("y"), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                if min(len(x), len(y)) * 100 >= percent * max(len(x), len(y)) and filters.share(filters.of(x), filters.of(y)) and _similar(x, y, percent):
-                    src.append(i)
-                    dst.append(j)
-            yield pa.RecordBatch.from_pydict({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64())})
+            ok = np.zeros(b.num_rows, bool)
+            for i, (x, y) in enumerate(zip(b.column("x"), b.column("y"), strict=True)):
+                ok[i] = _similar(*(np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y)), percent)
+            yield b.select(["src", "dst"]).filter(pa.array(ok))
 
     return verify
 
@@ -470,27 +533,43 @@ def _common(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _cell(percent: int, orders: int, packed):
+def _sifted(percent: int):
+    """Of one cell: its surviving pairs of different components (column c), or, if it is dense, the classes that are in one (b is null)."""
+
+    def sift(t: pa.Table) -> pa.Table:
+        filters = Filters(percent)
+        t = t.combine_chunks()
+        cls = t.column("class").to_numpy()
+        _, lead = np.unique(cls, return_index=True)
+        cls, n = cls[lead], t.column("n").to_numpy()[lead]
+        sigs = [np.frombuffer(v.as_buffer(), np.uint32) for v in t.column("sig").take(pa.array(lead))]
+        c = t.column("c").to_numpy()[lead]
+        i, j = np.nonzero(filters.table(n, [filters.lists(int(k), x) for k, x in zip(n, sigs, strict=True)]) & (c[:, None] != c))
+        token = t.column("token")[0].as_py()
+        if len(i) > DENSE * len(cls):
+            a = cls[np.unique(np.concatenate([i, j]))]
+            b = pa.nulls(len(a), pa.int64())
+        else:
+            a, b = np.minimum(cls[i], cls[j]), pa.array(np.maximum(cls[i], cls[j]))
+        return pa.table({"token": pa.array(np.full(len(a), token, np.int32)), "a": pa.array(a, pa.int64()), "b": b})
+
+    return sift
+
+
+def _cell(percent: int):
+    """Links that connect what the links of one dense cell connect."""
+
     def cell(t: pa.Table) -> pa.Table:
-        filters = Prefixes(*packed.value, percent, orders)
         t = t.combine_chunks()
         ids = t.column("rep").to_numpy()
         _, lead = np.unique(ids, return_index=True)
         ids = ids[lead]
         sets = [np.frombuffer(v.as_buffer(), np.uint64) for v in t.column("tokens").take(pa.array(lead))]
         n = np.array([len(s) for s in sets])
-        may = np.minimum(n[:, None], n) * 100 >= percent * np.maximum(n[:, None], n)
-        shorts = [filters.of(s) for s in sets]
-        for o in range(orders - 1):  # intersect the filters, then verify
-            may &= _common([p[o] for p in shorts]) > 0
-        may &= np.triu(np.ones_like(may), 1).astype(bool)
-        src, dst = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        if may.any():
-            both = _common(sets)
-            linked = may & (100 * both >= percent * (n[:, None] + n - both))
-            i, j = np.nonzero(linked)
-            src, dst = _forest(i, j, len(ids))
-        return pa.table({"src": pa.array(ids[src.astype(np.int64)], pa.int64()), "dst": pa.array(ids[dst.astype(np.int64)], pa.int64())})
+        both = _common(sets)
+        linked = np.triu(100 * both >= percent * (n[:, None] + n - both), 1)
+        src, dst = _forest(*np.nonzero(linked), len(ids))
+        return pa.table({"src": pa.array(ids[src], pa.int64()), "dst": pa.array(ids[dst], pa.int64())})
 
     return cell
 
@@ -522,7 +601,18 @@ def _sets_of(texts: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     return sets.join(w, F.expr("doc_id = rep and p1 = w1 and p2 = w2")).select("p1", "rep", "n", "tokens").dropDuplicates(["rep", "p1"])
 
 
-def jaccard_join(docs: DataFrame, k: int = 3, percent: int = 90, orders: int = ORDERS) -> DataFrame:
+def _cells(members: DataFrame, percent: int) -> DataFrame:
+    """members (token, rep, n, ...) dealt into cells (token, band, i, j): neighbouring size bands, hash blocks of about CELL crossed pairwise."""
+    band = F.floor(F.log("n") / float(np.log(100 / percent)) + 1e-9).cast("int") if percent < 100 else F.col("n").cast("int")
+    placed = members.withColumn("band", band).withColumn("band", F.explode(F.array("band", F.col("band") + 1)))
+    sizes = placed.groupBy("token", "band").agg(F.ceil(F.count("*") / CELL).cast("int").alias("blocks"), F.count("*").alias("_m")).where("_m > 1").drop("_m")
+    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    dealt = placed.join(sizes, ["token", "band"]).withColumn("block", block)
+    both = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))
+    return dealt.withColumn("_at", F.explode(both)).select("*", "_at.i", "_at.j").drop("_at", "block", "blocks")
+
+
+def jaccard_join(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_shingles, class_id, component_id.
 
     Words are runs of other than blank and 0x09-0x0D, A-Z lowered. Sets link when 100 * intersection >= percent * union;
@@ -530,8 +620,6 @@ def jaccard_join(docs: DataFrame, k: int = 3, percent: int = 90, orders: int = O
     (null, empty or blank text) a text has an empty set, links with nothing and is its own component. Repeated rows
     fall into one class; a row without doc_id takes its class's ids. An empty table gives an empty result. Other columns are ignored.
     """
-    if not 1 <= orders <= 2:
-        raise ValueError("one or two orders")
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long"), "text")
     scanned = materialise(texts.mapInArrow(_scan(k, percent), _SLIM), "shingle_counts")
@@ -549,7 +637,7 @@ def jaccard_join(docs: DataFrame, k: int = 3, percent: int = 90, orders: int = O
     ranges = int(max(1, total[1] * COUNTED * (100 - percent) / 100 / RANGE_TOKENS))
     posted = texts.mapInArrow(_postings(k, percent, ranges, packed), _POSTED)
     repeated = posted.groupBy("range").applyInArrow(_repeated, _REPEATED)
-    ranked = repeated.repartition("class").sortWithinPartitions("class", "place").mapInArrow(_ranked, "token int, class long, kind byte")
+    ranked = repeated.repartition("class").sortWithinPartitions("class", "place").mapInArrow(_ranked, "token int, class long, prefix int, kind byte")
     ranked = materialise(ranked, "prefixes")
 
     classes = slim.where("n > 0").groupBy("p1", "p2", "n").agg(F.min("doc_id").alias("rep"), F.bool_or("short").alias("short")).where("rep is not null")
@@ -557,38 +645,63 @@ def jaccard_join(docs: DataFrame, k: int = 3, percent: int = 90, orders: int = O
     lacking = classes.where("short").select("p1", "p2", "n", "rep").unionAll(classes.where("not short").join(lacking, "p1").select("p1", "p2", "n", "rep"))
     commons = ranked.where(F.col("kind") == COMMON).groupBy("class").agg(F.collect_list("token").alias("commons"))
     lacking_sets = _sets_of(texts, materialise(lacking, "deficient"), k)
-    more = lacking_sets.select(F.col("p1").alias("class"), "tokens").join(commons, "class", "left").mapInArrow(_rest(percent, packed), "token int, class long")
+    more = lacking_sets.select(F.col("p1").alias("class"), "tokens").join(commons, "class", "left").mapInArrow(_rest(percent, packed), "token int, class long, prefix int")
 
-    postings = ranked.where(F.col("kind") == POSTING).select("token", "class").unionAll(more)
+    postings = ranked.where(F.col("kind") == POSTING).select("token", "class", "prefix").unionAll(more)
     sorted_ = postings.repartition("token").sortWithinPartitions("token", "class")
-    found = materialise(sorted_.mapInArrow(_candidates, "token int, a long, b long"), "candidates")
+    found = materialise(sorted_.mapInArrow(_candidates(percent), "token int, a long, b long"), "candidates")
     pairs = found.where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     members = found.where("b is null").select("token", F.col("a").alias("class"))
 
-    # whole sets of the classes in question, once per class
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("p1")).unionAll(members.select(F.col("class").alias("p1"))).distinct()
+    # the filters of the further orders, on signatures
+    asked = found.select(F.explode(F.array("a", "b")).alias("p1")).where("p1 is not null").distinct()
+    asked = classes.select("p1", "p2", "n", "rep").join(asked, "p1")
+    signed = scanned.where("token is null").select(F.col("doc_id").alias("rep"), "p1", "p2", "sig").join(asked, ["rep", "p1", "p2"]).dropDuplicates(["p1"])
+    signed = materialise(signed.select("p1", "rep", "n", "sig"), "signatures")
+    x = signed.select(F.col("p1").alias("a"), F.col("n").alias("n1"), F.col("sig").alias("x"))
+    y = signed.select(F.col("p1").alias("b"), F.col("n").alias("n2"), F.col("sig").alias("y"))
+    alike = F.least("n1", "n2") * 100 >= F.greatest("n1", "n2") * percent
+    sizes = pairs.join(x.drop("x"), "a").join(y.drop("y"), "b").where(alike).select("a", "b")
+    direct = sizes.join(x, "a").join(y, "b").mapInArrow(_filter_pairs(percent), "a long, b long")
+
+    def sifted(rows: DataFrame) -> DataFrame:
+        """Survivors in the cells of (token, class, rep, n, sig, c): pairs (a, b), and members a of dense cells without b."""
+        cells = _cells(rows, percent).select("token", "band", "i", "j", "class", "n", "sig", "c")
+        return cells.groupBy("token", "band", "i", "j").applyInArrow(_sifted(percent), "token int, a long, b long")
+
+    of_class = signed.withColumnRenamed("p1", "class")
+    left = materialise(direct.select(F.lit(None).cast("int").alias("token"), "a", "b").unionAll(sifted(members.join(of_class.withColumn("c", F.col("rep")), "class"))).distinct(), "survivors")
+    pairs = left.where("b is not null").select("a", "b").distinct()
+    dense = left.where("b is null").select("token", F.col("a").alias("p1"))
+
+    # whole sets of the classes that are left, once per class
+    wanted = left.select(F.explode(F.array("a", "b")).alias("p1")).where("p1 is not null").distinct()
     wanted = materialise(classes.join(wanted, "p1").select("p1", "p2", "n", "rep"), "wanted")
     sets = materialise(_sets_of(texts, wanted, k), "sets")
-
-    x = sets.select(F.col("p1").alias("a"), F.col("rep").alias("src"), F.col("tokens").alias("x"), F.col("n").alias("n1"))
-    y = sets.select(F.col("p1").alias("b"), F.col("rep").alias("dst"), F.col("tokens").alias("y"), F.col("n").alias("n2"))
-    fits = F.least("n1", "n2") * 100 >= F.greatest("n1", "n2") * percent
-    direct = pairs.join(x, "a").join(y, "b").where(fits).select("src", "dst", "x", "y").mapInArrow(_verify(percent, orders, packed), "src long, dst long")
-
-    # cells of the large groups: neighbouring size bands, hash blocks crossed pairwise
-    band = F.floor(F.log("n") / float(np.log(100 / percent)) + 1e-9).cast("int") if percent < 100 else F.col("n").cast("int")
-    m = members.join(sets, members["class"] == sets["p1"]).select("token", "rep", "n", band.alias("band"))
-    placed = m.select("token", "rep", F.explode(F.array("band", F.col("band") + 1)).alias("band"))
-    sizes = placed.groupBy("token", "band").agg(F.ceil(F.count("*") / CELL).cast("int").alias("blocks")).where("blocks > 0")
-    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    dealt = placed.join(sizes, ["token", "band"]).select("token", "band", "rep", "blocks", block.alias("block"))
-    dealt = dealt.select(
-        "token", "band", "rep", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))).alias("c")
-    )
-    cells = dealt.join(sets.select("rep", "tokens"), "rep").select("token", "band", "c.i", "c.j", "rep", "tokens")
-    within = cells.groupBy("token", "band", "i", "j").applyInArrow(_cell(percent, orders, packed), "src long, dst long")
-
-    links = materialise(direct.unionAll(within), "links")
+    x = sets.select(F.col("p1").alias("a"), F.col("rep").alias("src"), F.col("tokens").alias("x"))
+    y = sets.select(F.col("p1").alias("b"), F.col("rep").alias("dst"), F.col("tokens").alias("y"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        return pairs.join(x, "a").join(y, "b").select("src", "dst", "x", "y").mapInArrow(_verify(percent), "src long, dst long")
+
+    links = materialise(verified(pairs), "links")
+
+    def within(chosen: DataFrame) -> DataFrame:
+        """Links of dense groups (token, p1)."""
+        dealt = _cells(chosen.join(sets.select("p1", "rep", "n"), "p1"), percent).select("token", "band", "i", "j", "rep")
+        whole = dealt.join(sets.select("rep", "tokens"), "rep")
+        return whole.groupBy("token", "band", "i", "j").applyInArrow(_cell(percent), "src long, dst long")
+
+    if not dense.isEmpty():
+        once = dense.groupBy("p1").agg(F.min("token").alias("token"))
+        links = materialise(links.unionAll(within(once)), "links")
+        known = connected_components(links).select(F.col("node").alias("rep"), "component")
+        state = dense.withColumnRenamed("p1", "class").join(of_class, "class").join(known, "rep", "left").withColumn("c", F.coalesce("component", "rep"))
+        open_ = state.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("token")
+        more = materialise(sifted(state.join(open_, "token").drop("component")).distinct(), "open_groups")
+        if not more.isEmpty():
+            again = more.where("b is null").select("token", F.col("a").alias("p1"))
+            links = materialise(links.unionAll(verified(more.where("b is not null").select("a", "b").distinct())).unionAll(within(again)), "links")
     components = connected_components(links)
     classes = slim.where("n > 0").groupBy("p1", "p2", "n").agg(F.min("doc_id").alias("rep"))
     named = classes.join(components.withColumnRenamed("node", "rep"), "rep", "left").select("p1", "p2", "n", F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id"))
