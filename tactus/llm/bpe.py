@@ -26,11 +26,11 @@ from tactus.llm.common import map_texts
 
 WORD_END = "</w>"
 #: Words (distinct) that a Python worker remembers; the memory is emptied when full, so its size is bounded.
-REMEMBERED = 500_000
+REMEMBERED = 150_000
 #: A word longer than this many symbols isn't remembered.
 LONGEST_REMEMBERED = 64
 #: Entries of the transition table that a Python worker keeps.
-TRANSITIONS = 2_000_000
+TRANSITIONS = 500_000
 BLOCK_BYTES = 2 << 20
 
 SCHEMA = "n_tokens long, ids_sha256 string, decoded_sha256 string"

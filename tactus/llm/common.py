@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -86,6 +87,15 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def release() -> None:
+    """Give memory that is free back to the system: Python workers stay for later tasks, beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def row_blocks(batch: pa.RecordBatch, text: str, most: int) -> Iterator[pa.RecordBatch]:
     """Runs of rows with at most `most` bytes of text each; a longer row stands alone."""
     n = batch.num_rows
@@ -115,6 +125,7 @@ def map_texts(docs: DataFrame, keep: list[str], block: Callable[[], Callable[[pa
             for b in row_blocks(whole, "_text", block_bytes):
                 made = make(b.column(len(names)))
                 yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], *[x if isinstance(x, pa.Array) else pa.array(x) for x in made.values()]], names=[*names, *made])
+        release()
 
     kept = "".join(f"_k{i} {docs.schema[c].dataType.simpleString()}, " for i, c in enumerate(keep))
     return rows.mapInArrow(run, kept + schema).withColumnsRenamed(dict(zip(names, keep, strict=True)))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tactus.llm.common import new_table_path, row_blocks, text_bytes
+from tactus.llm.common import new_table_path, release, row_blocks, text_bytes
 from tactus.llm.words import find_words, hash_words, lower_table
 
 WINDOW = 10
@@ -77,6 +77,7 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 names=["segment", "token", "doc_ids", "data"],
             )
             number += 1
+    release()
 
 
 def build_index(docs: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tactus.llm.common import materialise, row_blocks, text_bytes
+from tactus.llm.common import materialise, release, row_blocks, text_bytes
 from tactus.llm.components import connected_components
 from tactus.llm.words import find_words, hash_words, mix, windows
 
@@ -154,6 +154,7 @@ def _scan(k: int, percent: int):
                     ],
                     names=["doc_id", "n", "p1", "p2", "short", "sig", "token", "df"],
                 )
+        release()
 
     return scan
 
@@ -223,6 +224,7 @@ def _postings(k: int, percent: int, ranges: int, packed):
                 if rows:
                     cols = list(zip(*rows, strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=["range", "classes", "sizes", "token", "owner", "place"])
+        release()
 
     return post
 
@@ -413,6 +415,7 @@ def _sets(k: int, packed):
                     [b.column("doc_id"), pa.array(p1), pa.array(p2), pa.array([w[s:e].tobytes() for s, e in zip(at[:-1], at[1:], strict=True)], pa.binary())],
                     names=["doc_id", "p1", "p2", "tokens"],
                 )
+        release()
 
     return sets
 
