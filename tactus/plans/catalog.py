@@ -1,6 +1,6 @@
 """Every query of the library outside the corpus operators, with its SQL where there is one."""
 
-from tactus.plans import series_queries
+from tactus.plans import series_queries, table_queries
 
-QUERIES = dict(series_queries.QUERIES)
-ORACLE = dict(series_queries.ORACLE)
+QUERIES = series_queries.QUERIES | table_queries.QUERIES
+ORACLE = series_queries.ORACLE | table_queries.ORACLE
