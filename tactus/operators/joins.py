@@ -95,8 +95,8 @@ def match_within(ref: DataFrame, est: DataFrame, keys: list[str], at: str, toler
         i = F.when(front.isNull(), F.size("e")).when(hit, front["i"] + 1).otherwise(front["i"])
         return F.struct(i.alias("i"), F.when(hit, F.concat(s["m"], F.array(F.struct(r.alias("r"), front["x"].alias("e"))))).otherwise(s["m"]).alias("m"))
 
-    found = lists.withColumn("m", F.explode(F.aggregate("r", zero, step)["m"]))
-    return found.select(*keys, F.col("m.r").alias("ref_at"), F.col("m.e").alias("est_at"))
+    found = lists.withColumn("_hit", F.explode(F.aggregate("r", zero, step)["m"]))
+    return found.select(*keys, F.col("_hit.r").alias("ref_at"), F.col("_hit.e").alias("est_at"))
 
 
 def gather(rows: DataFrame, curve: DataFrame, keys: list[str], at: Column, idx: str, value: str) -> DataFrame:

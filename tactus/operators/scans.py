@@ -34,8 +34,8 @@ def collapse_gaps(peaks: DataFrame, keys: list[str], at: str, value: str, gap: f
         head = F.slice(kept, 1, F.greatest(F.lit(0), F.size(kept) - 1))
         return F.when(~near, F.concat(kept, F.array(p))).when(p["v"] > F.when(F.size(kept) > 0, last["v"]), F.concat(head, F.array(p))).otherwise(kept)
 
-    kept = lists.withColumn("k", F.explode(F.aggregate("p", none, step)))
-    return kept.select(*keys, F.col("k.t").alias(at), F.col("k.v").alias(value))
+    kept = lists.withColumn("_kept", F.explode(F.aggregate("p", none, step)))
+    return kept.select(*keys, F.col("_kept.t").alias(at), F.col("_kept.v").alias(value))
 
 
 def suppress(peaks: DataFrame, keys: list[str], at: str, value: str, distance: float, bucket: Column) -> DataFrame:
@@ -45,8 +45,8 @@ def suppress(peaks: DataFrame, keys: list[str], at: str, value: str, distance: f
     lists = cut.groupBy(*keys, "session").agg(F.array_sort(F.collect_list(F.struct((-F.col("_v")).alias("n"), F.col("_t").alias("t")))).alias("p"))
     none = F.array().cast("array<struct<n:double,t:double>>")
     step = lambda kept, p: F.when(F.exists(kept, lambda k: F.abs(k["t"] - p["t"]) < distance), kept).otherwise(F.concat(kept, F.array(p)))
-    kept = lists.withColumn("k", F.explode(F.aggregate("p", none, step)))
-    return kept.select(*keys, F.col("k.t").alias(at), (-F.col("k.n")).alias(value))
+    kept = lists.withColumn("_kept", F.explode(F.aggregate("p", none, step)))
+    return kept.select(*keys, F.col("_kept.t").alias(at), (-F.col("_kept.n")).alias(value))
 
 
 def follow_tempo(peaks: DataFrame, keys: list[str], at: str, value: str, period: str, share: float = 0.35, least: float = 0.02) -> DataFrame:
@@ -134,7 +134,7 @@ def top_windows(windows: DataFrame, keys: list[str], start: str, score: Column,
     lists = windows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct((-score).alias("n"), F.col(start).cast("double").alias("t")))).alias("p"))
     none = F.array().cast("array<struct<n:double,t:double>>")
     step = lambda kept, p: F.when((F.size(kept) >= most) | F.exists(kept, lambda k: F.abs(k["t"] - p["t"]) < length), kept).otherwise(F.concat(kept, F.array(p)))
-    return lists.select(*keys, F.posexplode(F.aggregate("p", none, step)).alias("place", "k")).select(*keys, "place", F.col("k.t").alias(start), (-F.col("k.n")).alias("score"))
+    return lists.select(*keys, F.posexplode(F.aggregate("p", none, step)).alias("place", "_kept")).select(*keys, "place", F.col("_kept.t").alias(start), (-F.col("_kept.n")).alias("score"))
 
 
 def novelty(pairs: DataFrame, keys: list[str], half: int) -> DataFrame:
