@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -191,26 +192,33 @@ def total(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double"))
 
 
+def bound(value: Column, made: Callable[[Column], Column]) -> Column:
+    """made(value), where value is computed once however often made uses it, also inside lambdas."""
+    return F.get(F.transform(F.array(value), made), F.lit(0))
+
+
 def l1_normal(a: Column, least: float = 1e-9) -> Column:
-    t = total(a)
-    return F.when(t > least, F.transform(a, lambda x: x.cast("double") / t)).otherwise(F.transform(a, lambda x: x.cast("double")))
+    scaled = lambda v: bound(total(v), lambda t: F.transform(v, lambda x: x.cast("double") / F.when(t > least, t).otherwise(1.0)))
+    return bound(a, scaled)
 
 
 def l2_normal(a: Column, least: float = 1e-9) -> Column:
-    n = F.sqrt(dot(a, a))
-    return F.when(n > least, F.transform(a, lambda x: x.cast("double") / n)).otherwise(F.transform(a, lambda x: x.cast("double")))
+    scaled = lambda v: bound(F.sqrt(dot(v, v)), lambda n: F.transform(v, lambda x: x.cast("double") / F.when(n > least, n).otherwise(1.0)))
+    return bound(a, scaled)
 
 
 def log_softmax(a: Column, temperature: float) -> Column:
-    m = F.array_max(a).cast("double")
-    z = F.aggregate(a, F.lit(0.0), lambda s, x: s + F.exp((x.cast("double") - m) / temperature))
-    return F.transform(a, lambda x: (x.cast("double") - m) / temperature - F.log(z))
+    def logs(v: Column) -> Column:
+        z = lambda m: F.aggregate(v, F.lit(0.0), lambda s, x: s + F.exp((x.cast("double") - m) / temperature))
+        return bound(F.array_max(v).cast("double"), lambda m: bound(F.log(z(m)), lambda logz: F.transform(v, lambda x: (x.cast("double") - m) / temperature - logz)))
+
+    return bound(a, logs)
 
 
 def less_harmonics(a: Column, fifth: float = 0.6, third: float = 0.3) -> Column:
     """max(0, x[p] - fifth * x[p-7] - third * x[p-4]) around a circle of twelve."""
-    at = lambda i: F.element_at(a, (F.pmod(i, F.lit(12)) + 1).cast("int")).cast("double")
-    return F.transform(F.sequence(F.lit(0), F.lit(11)), lambda p: F.greatest(F.lit(0.0), at(p) - fifth * at(p - 7) - third * at(p - 4)))
+    at = lambda v, i: F.get(v, F.lit(i % 12)).cast("double")
+    return bound(a, lambda v: F.array(*[F.greatest(F.lit(0.0), at(v, p) - fifth * at(v, p - 7) - third * at(v, p - 4)) for p in range(12)]))
 
 
 def rotated(values: tuple, by: Column) -> Column:
@@ -227,7 +235,7 @@ def noisy_or(p: Column) -> Column:
 def gated(masks: Column, present: Column, least: float = 1e-8) -> Column:
     """Masks of the present sources, scaled to sum 1; silence if none is present."""
     kept = F.zip_with(masks, present, lambda m, p: m.cast("double") * p.cast("double"))
-    return F.transform(kept, lambda m: m / F.greatest(total(kept), F.lit(least)))
+    return bound(kept, lambda k: bound(F.greatest(total(k), F.lit(least)), lambda t: F.transform(k, lambda m: m / t)))
 
 
 def hann(n: int) -> Column:

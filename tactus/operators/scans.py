@@ -7,8 +7,6 @@ is walked whole; a series is then the unit of parallel work, in Arrow batches, a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -153,15 +151,3 @@ def novelty(pairs: DataFrame, keys: list[str], half: int) -> DataFrame:
     sums = both.groupBy(*keys, F.col("c").alias("idx")).agg(F.sum(weight * F.col("similarity")).alias("_s"))
     inside = F.col("idx") + half - 1 <= F.col("_last")
     return sums.join(n, keys).where(F.col("idx") <= F.col("_last")).select(*keys, "idx", F.when(inside, F.col("_s")).otherwise(0.0).alias("novelty"))
-
-
-def frames(batches: Iterator[pd.DataFrame], samples: str, hop: int, win: int, pad: str) -> Iterator[tuple[pd.Series, np.ndarray]]:
-    """(row, frames x win) of each row's samples; frame k is centred at k * hop, or starts there without padding."""
-    for pdf in batches:
-        for _, row in pdf.iterrows():
-            x = np.asarray(row[samples], float)
-            if pad != "none":
-                half = win // 2
-                x = np.pad(x, half, "reflect" if pad == "reflect" and len(x) > half else "constant")
-            n = max(0, 1 + (len(x) - win) // hop)
-            yield row, np.lib.stride_tricks.sliding_window_view(x, win)[::hop][:n] if n else np.zeros((0, win))

@@ -1,6 +1,6 @@
 """Every query of the library outside the corpus operators, with its SQL where there is one."""
 
-from tactus.plans import series_queries, table_queries
+from tactus.plans import series_queries, signal_queries, table_queries
 
-QUERIES = series_queries.QUERIES | table_queries.QUERIES
-ORACLE = series_queries.ORACLE | table_queries.ORACLE
+QUERIES = series_queries.QUERIES | signal_queries.QUERIES | table_queries.QUERIES
+ORACLE = series_queries.ORACLE | signal_queries.ORACLE | table_queries.ORACLE

@@ -1,9 +1,12 @@
-"""Content-keyed materialisation: a result is written once under a digest of its stage and parameters and read afterwards."""
+"""Materialisation: a result is written once, under a digest of its stage and parameters or for this run only, and read afterwards."""
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 import json
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,3 +30,29 @@ def resolve(spark: SparkSession, root: str, key: str, compute: Callable[[], Data
     if not fs.exists(done):
         compute().write.mode("overwrite").option("compression", "zstd").parquet(path)
     return spark.read.parquet(path)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; one of our own only where that is unset."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tactus_"))
+        named = spark.sparkContext.getCheckpointDir()
+    return named.rstrip("/")
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        fs, p = _fs(spark, path)
+        fs.delete(p, True)
+    except Exception:  # noqa: BLE001  the session may be gone at exit
+        pass
+
+
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """df written once to the shared folder and read back: later steps that use it several times don't compute it again, and lost executors cost only what follows. Removed when the driver ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/cut/{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
