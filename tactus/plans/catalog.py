@@ -1,6 +1,7 @@
 """Every query of the library outside the corpus operators, with its SQL where there is one."""
 
-from tactus.plans import series_queries, signal_queries, table_queries
+from tactus.plans import evaluation_queries, series_queries, signal_queries, table_queries
 
-QUERIES = series_queries.QUERIES | signal_queries.QUERIES | table_queries.QUERIES
-ORACLE = series_queries.ORACLE | signal_queries.ORACLE | table_queries.ORACLE
+_PARTS = (series_queries, signal_queries, table_queries, evaluation_queries)
+QUERIES = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
+ORACLE = {name: sql for part in _PARTS for name, sql in part.ORACLE.items()}
