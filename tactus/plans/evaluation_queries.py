@@ -47,10 +47,10 @@ def a30_least_squares(spark, d):
 
 
 @query(f"""with {_I}, l as (select a.user_id, k.k as lag, sum(a.value * b.value) as p from i a cross join range(-12, 13) k(k) join i b on b.user_id = a.user_id and b.idx = a.idx + k.k and b.event_id % 3 > 0 where a.event_id % 2 = 0 group by all),
-    r as (select *, row_number() over (partition by user_id order by round(p, 6) desc, lag) as o from l) select user_id, lag::bigint as lag, round(p, 3) as product from r where o = 1 and user_id in (select user_id from i where event_id % 2 = 0)""")
+    r as (select *, row_number() over (partition by user_id order by round(p, 6) desc, lag) as o from l) select user_id, lag::bigint as lag, round(p, 5) as product from r where o = 1 and user_id in (select user_id from i where event_id % 2 = 0)""")
 def a32_best_lag(spark, d):
     i = indexed(events(spark, d).select("user_id", "event_id", "us", "value"))
-    return V.best_lag(i.where("event_id % 2 = 0"), i.where("event_id % 3 > 0"), KEY, "idx", "value", 12).select("user_id", "lag", r6("product", 3).alias("product"))
+    return V.best_lag(i.where("event_id % 2 = 0"), i.where("event_id % 3 > 0"), KEY, "idx", "value", 12).select("user_id", "lag", r6("product", 5).alias("product"))
 
 
 @query("""with s as (select l_orderkey, l_returnflag, avg(abs(l_discount * l_quantity)) as e, avg(abs(case when l_linestatus = 'F' then l_quantity else 0 end)) as t from lineitem group by all)
@@ -90,13 +90,13 @@ def w39_chunks(spark, d):
 
 @query(f"""with {_I}, c as (select distinct user_id, n, unnest(range(0, n, 12)) as k from i), s as (select distinct user_id, n, least(k, greatest(0, n - 16)) as start from c where k < greatest(0, n - 16) union select distinct user_id, n, greatest(0, n - 16) from i),
     p as (select i.event_id, s.start, i.value, least(16, i.n) as size, i.idx - s.start as place from i join s on s.user_id = i.user_id and i.idx >= s.start and i.idx < s.start + 16), m as (select *, avg(value) over (partition by start, u) as est from (select p.*, e.user_id as u from p join e using (event_id)))
-    select event_id, round(sum(pow(sin(pi() * (place + 0.5) / size), 2) * est) / greatest(1e-8, sum(pow(sin(pi() * (place + 0.5) / size), 2))), 6) as value from m group by event_id""")
+    select event_id, round(sum(pow(sin(pi() * (place + 0.5) / size), 2) * est) / greatest(1e-8, sum(pow(sin(pi() * (place + 0.5) / size), 2))), 8) as value from m group by event_id""")
 def w41_cross_fade(spark, d):
     """Chunks of 16 every 12, the last right-aligned; each estimates its mean, and the estimates cross-fade."""
     x = sized(spark, d).withColumn("start", F.explode(V.chunks_over(F.col("idx"), F.col("n"), 16, 12)))
     est = x.groupBy("user_id", "start").agg(F.avg("value").alias("est"))
     out = V.cross_faded(x.join(est, ["user_id", "start"]), ["user_id"], "event_id", F.col("idx") - F.col("start"), F.least(F.lit(16), F.col("n")), F.col("est"))
-    return out.select("event_id", r6("value").alias("value"))
+    return out.select("event_id", r6("value", 8).alias("value"))
 
 
 @query(f"""with {_I}, p as (select i.user_id, i.idx, k.k, x.value from i cross join range(-2, 3) k(k) join i x on x.user_id = i.user_id and x.idx = least(greatest(0, i.idx + k.k), i.n - 1)) select user_id, idx, median(value) as level from p group by all""")
