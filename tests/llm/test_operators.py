@@ -206,6 +206,33 @@ def test_languages_on_unseen_texts(spark):
     assert language_id.identify(df.limit(0), language_id.fit_languages(df.limit(0))).collect() == []
 
 
+def test_every_language_is_learned(spark):
+    r = random.Random(21)
+    vocab = {f"l{k:02}": ["".join(r.choice(string.ascii_lowercase) for _ in range(6)) for _ in range(8)] for k in range(70)}
+    say = lambda lang: " ".join(r.choice(vocab[lang]) for _ in range(20))
+    rows = [(20 * k + j, say(lang), lang) for k, lang in enumerate(vocab) for j in range(12 - k // 10)]
+    rows += [(None, say("l00"), "l00"), (0, rows[0][1], "l00"), (None, "nur ohne kennung", "zz")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    reference = language_id.fit_languages(df)
+    assert set(reference) == {*vocab, "zz"}
+    got = language_id.identify(df, reference, keep=["doc_id", "text", "lang"]).collect()
+    assert len(got) == len(rows) and all(x["lang_pred"] == x["lang"] for x in got)
+    whole = {x["text"]: x for x in language_id.identify(df, reference, keep=["doc_id", "text"], block_languages=100).collect()}
+    assert all(x["lang_pred"] == whole[x["text"]]["lang_pred"] and abs(x["score"] - whole[x["text"]]["score"]) < 1e-9 for x in got)
+
+
+def test_reference_is_spread_over_rows(spark):
+    def text(i):
+        return "x" * 3000 + f" middle{chr(97 + i)} " * 300 + f" ending{chr(97 + i)}" * 300
+
+    rows = [(i, text(i % 26), "aa") for i in range(200)] + [(7, text(7), "aa")] * 500
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    reference = language_id.fit_languages(df)["aa"]
+    assert b"middle" in reference and b"ending" in reference
+    assert sum(p.startswith(b"x" * 20) for p in reference.split(b"\0")) == 2 * 60  # two of four places of each row
+    assert 0.9 * 24_000 <= len(reference) <= 24_000 + 60
+
+
 def base(t):
     w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
     lines = [x for x in (t or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
