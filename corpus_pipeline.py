@@ -1,7 +1,8 @@
 """The corpus pipeline: quality, language, near duplicates, benchmark decontamination, tokens.
 
 STAGES are (name, function of (spark, docs, sf_dir)); each result is written as Parquet and read again as the next
-stage's docs. All but the last return the columns of documents.
+stage's docs. All but the last return the columns of documents. Each row stays or goes by its own text: an id may be null or
+shared by rows with other texts.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tactus.llm.bpe import encode_documents
-from tactus.llm.common import materialise, table
+from tactus.llm.common import ROW, materialise, table, with_rows
 from tactus.llm.decontaminate import decontaminate
 from tactus.llm.jaccard_join import jaccard_join
 from tactus.llm.language_id import UNDETERMINED, fit_languages, identify
@@ -34,20 +35,27 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near duplicates; of repeated rows of one doc_id, one."""
-    joined = materialise(jaccard_join(docs, SHINGLE_WORDS, SIMILAR_PERCENT).select("doc_id", "component_id"), "groups")
-    surplus = joined.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(surplus, "doc_id", "left_anti").select(*docs.columns)
-    twice = joined.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if twice.isEmpty():
-        return kept
-    return kept.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(kept.join(twice, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
+    """The document with the smallest doc_id of each group of near duplicates, null after all others, and of equal ids one.
+
+    Texts without words are near duplicates of nothing: one stays of those that share a doc_id, and all without a doc_id.
+    """
+    keyed = with_rows(docs)
+    joined = jaccard_join(keyed.select(F.col(ROW).alias("doc_id"), "text"), SHINGLE_WORDS, SIMILAR_PERCENT)
+    ids = keyed.select(ROW, F.col("doc_id").alias("id"))
+    joined = joined.select(F.col("doc_id").alias(ROW), "n_shingles", "component_id").join(ids, ROW)
+    named = (F.col("n_shingles") == 0) & F.col("id").isNotNull()
+    groups = materialise(joined.select(ROW, "id", F.when(~named, F.col("component_id")).alias("component"), F.when(named, F.col("id")).alias("wordless")), "groups")
+    first = groups.groupBy("component", "wordless").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", ROW)).alias("first"))
+    surplus = groups.join(first.select(f"first.{ROW}"), ROW, "left_anti").select(ROW)
+    return keyed.join(surplus, ROW, "left_anti").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of a benchmark item."""
-    hit = decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+    keyed = with_rows(docs)
+    judged = decontaminate(keyed.select(F.col(ROW).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    hit = judged.where("contaminated").select(F.col("doc_id").alias(ROW))
+    return keyed.join(hit, ROW, "left_anti").select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -58,6 +58,19 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: The column that tells rows apart whose ids are null or repeated.
+ROW = "_row"
+
+
+def with_rows(docs: DataFrame) -> DataFrame:
+    """docs with a key of each row, `_row`, written once into the shared folder so that a row has the same key whenever it is read."""
+    spark = docs.sparkSession
+    keyed = docs.withColumn(ROW, F.monotonically_increasing_id())
+    path = new_table_path(spark, "rows")
+    keyed.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(keyed.schema).parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

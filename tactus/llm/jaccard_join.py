@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tactus.llm.common import materialise, release, row_blocks, text_bytes
+from tactus.llm.common import ROW, materialise, release, row_blocks, text_bytes, with_rows
 from tactus.llm.components import connected_components
 from tactus.llm.words import find_words, hash_words, mix, windows
 
@@ -621,10 +621,23 @@ def jaccard_join(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     Words are runs of other than blank and 0x09-0x0D, A-Z lowered. Sets link when 100 * intersection >= percent * union;
     class_id is the smallest doc_id with the same set, component_id the smallest doc_id that links reach. Without words
     (null, empty or blank text) a text has an empty set, links with nothing and is its own component. Repeated rows
-    fall into one class; a row without doc_id takes its class's ids. An empty table gives an empty result. Other columns are ignored.
+    fall into one class; a row without doc_id links like any other and takes the ids of its class and component, null if no row there has one. An empty table gives an empty result. Other columns are ignored.
     """
-    spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long"), "text")
+    if texts.where("doc_id is null").isEmpty():
+        return _joined(texts, k, percent)
+    keyed = with_rows(texts)
+    found = _joined(keyed.select(F.col(ROW).alias("doc_id"), "text"), k, percent).withColumnRenamed("doc_id", ROW)
+    found = materialise(found.join(keyed.select(ROW, "doc_id"), ROW), "numbered")
+    for c in ("class_id", "component_id"):
+        least = found.where("n_shingles > 0").groupBy(c).agg(F.min("doc_id").alias("_least"))
+        found = found.join(least, c, "left").withColumn(c, F.when(F.col("n_shingles") > 0, F.col("_least")).otherwise(F.col("doc_id"))).drop("_least")
+    return found.select("doc_id", "n_shingles", "class_id", "component_id")
+
+
+def _joined(texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """jaccard_join() of texts (doc_id, text) that all have a doc_id."""
+    spark = texts.sparkSession
     scanned = materialise(texts.mapInArrow(_scan(k, percent), _SLIM), "shingle_counts")
     slim = scanned.where("token is null").select("doc_id", "n", "p1", "p2", "short")
     total = slim.where("n > 0").agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()

@@ -82,3 +82,12 @@ def test_empty_table_and_missing_ids(spark):
     rows = [(None, "a b c d"), (4, "a b c d"), (3, "A b c d"), (None, None)]
     got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {(None, 2, 3), (4, 2, 3), (3, 2, 3), (None, 0, None)}
+
+
+def test_classes_of_missing_ids_link(spark):
+    words = [f"w{i}" for i in range(60)]
+    text = lambda *other: " ".join("other" if i in other else w for i, w in enumerate(words))
+    # 9 and 4 are too far apart; the row without id is near both
+    rows = [(9, text(0)), (None, text()), (4, text(59)), (None, "lone words without an id"), (None, "lone words without an id"), (7, "far from all others")]
+    got = sorted(((r["doc_id"], r["n_shingles"], r["class_id"], r["component_id"]) for r in jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), 3, 96).collect()), key=str)
+    assert got == sorted([(9, 58, 9, 4), (None, 58, None, 4), (4, 58, 4, 4), (None, 3, None, None), (None, 3, None, None), (7, 2, 7, 7)], key=str)
