@@ -54,7 +54,7 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = shard_documents(table(spark, sf_dir, "documents"))
+    out = shard_documents(table(spark, sf_dir, "documents"), keep=["text"]).drop("text")
     return out.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
 
 

@@ -30,6 +30,10 @@ def row_size(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + ROW_OVERHEAD
 
 
+def _crc(text: Column) -> Column:
+    return F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32")
+
+
 def sort_key(text: Column, doc_id: Column) -> Column:
     """39 bits of md5(text), then 24 bits of md5(doc_id as text): a non-negative long. Nulls hash as ''."""
     hex10 = F.substring(F.md5(F.coalesce(text, F.lit("")).cast("binary")), 1, 10)
@@ -126,17 +130,20 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, tolerance: float = 0.
     cut only where a boundary falls into it. slot is gapless from 0 within a shard, in key order, then by doc_id.
     Null or empty text: size 16, crc32 of nothing. Rows with equal key and doc_id (repeated rows) are interchangeable.
     An empty table gives an empty result. Extra columns are ignored unless named in `keep`.
+    With text in `keep` the whole text moves once to its shard, and size and text_crc32 are those of the text that arrived.
     """
     keep = keep or []
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(
-        F.col("doc_id"),
-        row_size(F.col("text")).alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"),
-        sort_key(F.col("text"), F.col("doc_id")).alias("sort_key"),
-        *[F.col(c).alias(f"_keep_{c}") for c in keep],
-    )
-    slim = materialise(rows.drop(*[f"_keep_{c}" for c in keep]).withColumn("one", F.lit(1).cast("long")), "shard_keys")
+    size = row_size(F.col("text")).alias("size")
+    key = sort_key(F.col("text"), F.col("doc_id")).alias("sort_key")
+    kept = [F.col(c).alias(f"_keep_{c}") for c in keep]
+    moved = "text" in keep
+    if moved:
+        rows = docs.select("doc_id", key, *kept)
+        slim = docs.select(size, key)
+    else:
+        rows = docs.select("doc_id", size, _crc(F.col("text")), key, *kept)
+        slim = rows.drop(*[f"_keep_{c}" for c in keep])
+    slim = materialise(slim.withColumn("one", F.lit(1).cast("long")), "shard_keys")
     rows = rows if keep else slim.drop("one")
     count = slim.count()
     slim = slim.coalesce(max(docs.sparkSession.sparkContext.defaultParallelism, count // ROWS_A_TASK))
@@ -153,6 +160,9 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, tolerance: float = 0.
     where = docs.sparkSession.createDataFrame([(i, int(s), int(o)) for i, (s, o) in enumerate(zip(shard, offset, strict=True))], "cell long, shard int, offset long")
     schema = T.StructType([*rows.schema.fields, T.StructField("cell", T.LongType())])
     placed = rows.mapInArrow(_label(bounds), schema).join(F.broadcast(where), "cell")
+    if moved:
+        text = F.col("_keep_text")
+        placed = placed.repartition("cell").select("*", row_size(text).alias("size"), _crc(text))
     rank = F.row_number().over(Window.partitionBy("cell").orderBy("sort_key", "doc_id", "text_crc32"))
     return placed.select(
         "doc_id", "size", "text_crc32", "shard", (F.col("offset") + rank - 1).cast("long").alias("slot"), *[F.col(f"_keep_{c}").alias(c) for c in keep]

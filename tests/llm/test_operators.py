@@ -6,12 +6,13 @@ import itertools
 import random
 import re
 import string
+import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tactus.llm import language_id, quality_crf, quality_rules
+from tactus.llm import language_id, quality_crf, quality_rules, queries
 from tactus.llm.bpe import encode_documents, load_codec
 from tactus.llm.components import connected_components
 from tactus.llm.decontaminate import build_index, decontaminate, find_near
@@ -142,6 +143,26 @@ def test_shards(spark):
     assert shard_documents(frame(spark, [])).collect() == []
 
 
+def test_shards_hold_the_texts(spark):
+    rows = texts(6, 200) + [(1000 + i, "one text that many rows have " * 90) for i in range(400)] + [(None, "no id"), (None, None), (2000, "日本" * 400_000)]
+    slim = shard_documents(frame(spark, rows), shards=7).collect()
+    out = shard_documents(frame(spark, rows), shards=7, keep=["text", "lang"])
+    got = out.collect()
+    key = lambda rs: sorted(((r["doc_id"], r["size"], r["text_crc32"], r["shard"], r["slot"]) for r in rs), key=str)
+    assert key(got) == key(slim)
+    assert sorted(((r["doc_id"], r["text"]) for r in got), key=str) == sorted(rows, key=str)
+    assert all(r["size"] == len((r["text"] or "").encode()) + 16 and r["text_crc32"] == zlib.crc32((r["text"] or "").encode()) and r["lang"] == "en" for r in got)
+    assert len({r["shard"] for r in got if r["text"] == rows[-4][1]}) > 1  # copies of one text are cut where a boundary falls
+
+
+def test_query_exchanges_texts(spark, tmp_path):
+    frame(spark, texts(7, 30)).write.parquet(f"{tmp_path}/documents.parquet")
+    plan = queries.op6_sharding(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    top = plan[: plan.index("RepartitionByExpression")]
+    below = plan[plan.index("RepartitionByExpression") :]
+    assert "crc32(" in top and "octet_length(" in top and "crc32(" not in below and "_keep_text" in below
+
+
 # --- components and URL filter ---
 
 
