@@ -25,7 +25,7 @@ WINDOW = 10
 SEGMENT_BYTES = 4 << 20
 #: Terms of all searched items together up to which the items are broadcast; above, items are searched in several passes.
 ITEMS_BYTES = 32 << 20
-#: Positions between two texts of a segment, so that no match crosses from one to the next.
+#: Positions between two texts of a segment, so that no phrase crosses from one to the next.
 GAP = 1 << 10
 
 INDEX_SCHEMA = "segment long, token string, doc_ids array<long>, data binary"
@@ -129,9 +129,13 @@ class Postings:
             return np.zeros(0, np.int64)
         rare, *more = sorted(set(terms), key=lambda t: len(self.raw[t]))
         hits = self.list_of(rare)
+        doc = self.doc_of(hits)
+        low = np.maximum(hits - span, self.start[doc])  # a span of any length stays within its text
+        high = np.minimum(hits + span, self.start[doc] + self.counts[doc] - 1)
         for t in more:
             other = self.list_of(t)
-            hits = hits[np.searchsorted(other, hits - span, "left") < np.searchsorted(other, hits + span, "right")]
+            ok = np.searchsorted(other, low, "left") < np.searchsorted(other, high, "right")
+            hits, low, high = hits[ok], low[ok], high[ok]
         return hits
 
     def doc_of(self, positions: np.ndarray) -> np.ndarray:
@@ -255,7 +259,7 @@ def find_near(index: DataFrame, term_sets: list[str], span: int) -> DataFrame:
     """Proximity matches: (doc_id, term_set number, word number of its rarest term) where all words of a term set lie within `span` words of that term."""
     sets = [tuple(item_words(t)) for t in term_sets]
     rows = _by_segment(index, _terms(index.sparkSession, sets))
-    return rows.mapInArrow(_near_searcher(sets, min(span, GAP - 1)), MATCH_SCHEMA)
+    return rows.mapInArrow(_near_searcher(sets, span), MATCH_SCHEMA)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, items_bytes: int = ITEMS_BYTES) -> DataFrame:

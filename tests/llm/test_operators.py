@@ -104,6 +104,14 @@ def test_decontamination_against_brute_force(spark):
     assert sorted(x["doc_id"] for x in near.select("doc_id").distinct().collect()) == [1, 3]
 
 
+def test_proximity_of_long_spans(spark):
+    apart = lambda n: "left " + "x " * (n - 1) + "right"
+    rows = [(1, apart(1500)), (2, apart(3000)), (3, "left " + "x " * 10), (4, "x right"), (5, "right left"), (None, apart(1023)), (6, apart(2001))]
+    index = build_index(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))  # one segment
+    for span, want in ((1023, {None, 5}), (2000, {None, 1, 5}), (2001, {None, 1, 5, 6}), (1 << 40, {None, 1, 2, 5, 6})):
+        assert {r["doc_id"] for r in find_near(index, ["left right"], span).collect()} == want
+
+
 # --- WARC ---
 
 
