@@ -7,6 +7,7 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +24,12 @@ def ascii_lower(c: Column | str) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a folder of our own only where that is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder named in spark.checkpoint.dir; a folder of our own only where that is unset and all runs in one JVM."""
     context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
-        named = context.getCheckpointDir()
-    if not named:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="shared_"))
         named = context.getCheckpointDir()
     return named.rstrip("/")
@@ -43,19 +44,63 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: Shuffle files of a finished write go at once, not when the driver next collects garbage.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _clean_shuffles(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEAN, before)
+
+
 def new_table_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder, removed when the driver ends."""
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
     atexit.register(_remove, spark, path)
+    if _made:
+        _made[-1].append(path)
     return path
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df once into the shared folder and read it back: cuts lineage, survives lost executors."""
+def materialise(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+    """Write df once into the shared folder and read it back: cuts lineage, survives lost executors. drop() removes it early."""
     spark = df.sparkSession
     path = new_table_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with _clean_shuffles(spark):
+        df.write.option("compression", compression).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._path = path
+    return table
+
+
+def drop(*tables: DataFrame) -> None:
+    """Remove tables of materialise() that nothing reads any more."""
+    for t in tables:
+        _remove(t.sparkSession, t._path)
+
+
+#: Paths of the tables that are made within settled().
+_made: list[list[str]] = []
+
+
+def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """make()'s result as a table; all other tables that it made in the shared folder are removed."""
+    _made.append([])
+    try:
+        out = make()
+        paths = list(_made[-1])
+        _made[-1] = []
+        table = materialise(out, name)
+        for path in paths:
+            _remove(table.sparkSession, path)
+    finally:
+        _made.pop()
+    return table
 
 
 #: The column that tells rows apart whose ids are null or repeated.
@@ -64,11 +109,12 @@ ROW = "_row"
 
 def with_rows(docs: DataFrame) -> DataFrame:
     """docs with a key of each row, `_row`, written once into the shared folder so that a row has the same key whenever it is read."""
-    spark = docs.sparkSession
-    keyed = docs.withColumn(ROW, F.monotonically_increasing_id())
-    path = new_table_path(spark, "rows")
-    keyed.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(keyed.schema).parquet(path)
+    return materialise(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows", "zstd")
+
+
+def ids_are_keys(docs: DataFrame) -> bool:
+    """Whether every row has a doc_id of its own."""
+    return docs.groupBy("doc_id").count().where("doc_id is null or count > 1").isEmpty()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

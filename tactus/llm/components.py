@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tactus.llm.common import materialise
+from tactus.llm.common import drop, materialise
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -24,6 +24,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     e = materialise(e, "edges")
     state = _state(e)
     while state[0]:
+        of = e
         # large star: every larger neighbour of u, and u itself, points to the least of u's neighbourhood
         both = e.select("u", "v").unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -32,7 +33,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select("v", "m", "u")
         e = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
-        e = materialise(e.where("u <> v").distinct(), "edges")
+        old, e = of, materialise(e.where("u <> v").distinct(), "edges")
+        drop(old)
         before, state = state, _state(e)
         if before == state:
             break

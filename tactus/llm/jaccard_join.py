@@ -2,60 +2,60 @@
 
 A text is the set of its distinct word k-grams. Two sets of Jaccard similarity t or more share a token within their first
 n - ceil(t n) + 1 tokens under any fixed order of all tokens. Candidates come from an inverted index of those prefixes under a
-first order that puts rare tokens first. Each set also carries its prefixes under two more orders, as short keys: a candidate
-must share a prefix token under these too, and where both prefixes are complete they may not differ by more tokens than
+first order that puts rare tokens first. Prefixes under two more orders, as short keys, filter the candidates: a pair must
+share a prefix token under these too, and where both prefixes are complete they may not differ by more tokens than
 sets of that similarity can. Only pairs that pass all filters are verified on the whole sets.
 
-The first order needs document frequencies, but not of all tokens: they are counted exactly for the tokens in a fixed
-part of the hash space, a few times as large as a prefix. The order is: counted tokens of at most RARE classes; tokens outside
-that part; the other, common ones; each by hash. The prefix of almost every text lies in the first group. Texts whose prefix reaches on
-("deficient" ones) can only meet each other there, so only they post further tokens.
+The first order is by document frequency. It is counted exactly, but only for the tokens in a fixed part of the hash space, some
+times as large as a prefix: those come first, then the tokens outside that part by hash, then the few that are in very
+many texts. A prefix almost always lies among the counted tokens, and most prefixes only have tokens of a single text, which meet no one.
 
-Equal sets are one class, so copies never multiply. Prefix tokens with up to GROUP classes give pairs; classes under a
-more frequent token are dealt into cells by set size and hash, where the filters are intersected at once. A cell with few
-survivors gives pairs; a dense one is compared on whole sets and returns links that connect what is connected, not all
-pairs: first under one token for each class, then under the tokens whose classes are not yet connected.
-Shingles are 64-bit hashes of their words.
+Equal sets are one class, so copies never multiply. Prefix tokens of up to GROUP classes give pairs. Under a more frequent
+token all classes are compared with one of them, the leader h, whole, so that a group of any size costs a row for each member. If x is not
+linked with h, then a set y can only be linked with x if both miss the same token of h or both have the same
+token outside it: otherwise their intersection lies within x's and h's, and their union holds x's and h's. How many they must share follows
+from the sizes, so x and y must share a prefix token of their differences from h, where tokens outside h come first. Those tokens form
+the next groups: those of up to DIFFERENCE_GROUP give pairs, larger ones go through a leader again. Leaders go down a fixed order, so this ends; links
+between classes that are both linked with a leader add nothing to a component and aren't searched for.
+
+Shingles are 64-bit hashes of their words. Equal sets are told by 96 bits.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tactus.llm.common import ROW, materialise, release, row_blocks, text_bytes, with_rows
+from tactus.llm.common import ROW, drop, ids_are_keys, materialise, release, row_blocks, text_bytes, with_rows
 from tactus.llm.components import connected_components
 from tactus.llm.words import find_words, hash_words, mix, windows
 
 BLOCK_BYTES = 2 << 20
-#: Blocks in which document frequencies are counted; tokens under FREQUENT of a block's texts aren't reported.
+#: Blocks in which heavy tokens are looked for; tokens under FREQUENT of a block's texts aren't reported.
 COUNT_BYTES = 4 << 20
 FREQUENT = 0.004
-#: A token in this share of all classes, or more, comes last in every order. At most 2 * (mean set size) / FREQUENT tokens are.
+#: A token in this share of all classes, or more, comes last in the first order. At most 2 * (mean set size) / FREQUENT tokens are.
 HEAVY = 0.002
 #: Part of the hash space in which frequencies are counted, in prefixes.
-COUNTED = 3
-#: Counted tokens of more classes are common.
-RARE = 8
+COUNTED = 2
 #: Counted tokens that one task compares.
-RANGE_TOKENS = 1_000_000
-#: Classes under one prefix token that are paired directly.
-GROUP = 32
-#: Classes of one hash block of a cell.
-CELL = 1024
-#: A cell with more surviving pairs than this many times its classes is dense.
-DENSE = 4
-#: Bits of the map that tells which texts may be candidates; more candidates make it prune less, not wrongly.
-MAP_BITS = 24
+RANGE_TOKENS = 500_000
+#: Classes under one token of the first order that are paired directly, and such under one difference from a leader, where few pairs pass.
+GROUP, DIFFERENCE_GROUP = 8, 2048
+#: Pairs tested at once.
+PAIRS_AT_ONCE = 1 << 20
+#: The map of texts that are compared whole has about so many bits for each of them, and 2 ** MAP_LIMIT at most; beyond that it prunes less, not wrongly.
+MAP_LOAD, MAP_LIMIT = 8, 26
 
 _SEEDS = np.array([0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89, 0x452821E638D01377], np.uint64)
 #: Seeds of the further orders.
 _FURTHER = (1, 4)
-_TOP = np.uint64(1 << 63)
+_LOW = np.uint64(0xFFFFFFFF)
 
 
 def shingle_sets(b: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -88,362 +88,256 @@ def shingle_sets(b: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prints(w: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit fingerprints of each set; zero for empty ones."""
+    """Fingerprints of 64 and 32 bits of each set."""
     out = []
     for seed in _SEEDS[2:4]:
         c = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(w ^ seed))])
         out.append(mix(c[at[1:]] - c[at[:-1]]).view(np.int64))
-    return out[0], out[1]
+    return out[0], (out[1] >> 32).astype(np.int32)
 
 
-_SLIM = "doc_id long, n long, p1 long, p2 long, short boolean, sig binary, token long, df long"
+def prefix_length(n: int, percent: int) -> int:
+    return n - -(-percent * n // 100) + 1 if n else 0
 
 
-def signatures(w: np.ndarray, at: np.ndarray, percent: int) -> list[bytes]:
-    """For each set its prefixes under the further orders, as sorted 32-bit keys, one list after the other.
+def prefix_lengths(n: np.ndarray, percent: int) -> np.ndarray:
+    return np.where(n > 0, n - -(-percent * n // 100) + 1, 0)
 
-    A list shorter than the prefix length (equal keys) is filled up with its last key.
-    """
-    m = prefix_lengths(np.diff(at), percent).tolist()
-    keys = [(mix(w ^ _SEEDS[o]) >> np.uint64(32)).astype(np.uint32) for o in _FURTHER]
-    out = []
-    for s, e, k in zip(at[:-1].tolist(), at[1:].tolist(), m, strict=True):
-        made = []
-        for key in keys:
-            own = key[s:e]
-            own = np.sort(np.partition(own, k - 1)[:k]) if k < e - s else np.sort(own)
-            made.append(own.tobytes())
-        out.append(b"".join(made))
-    return out
 
+def _contains(ordered: np.ndarray, w: np.ndarray) -> np.ndarray:
+    if not len(ordered):
+        return np.zeros(len(w), bool)
+    i = np.searchsorted(ordered, w)
+    i[i == len(ordered)] = 0
+    return ordered[i] == w
 
-def counted_below(percent: int) -> np.uint64:
-    """Upper bound of the counted tokens (32 bits)."""
-    return np.uint64(min(1 << 32, (1 << 32) * COUNTED * (100 - percent) // 100))
 
+# --- classes and heavy tokens ---------------------------------------------------------------------
+
+_SLIM = "doc_id long, n long, p1 long, p2 int, token long, df long"
 
-def _key32(w: np.ndarray) -> np.ndarray:
-    return mix(w ^ _SEEDS[0]) >> np.uint64(32)
 
+def _scan(k: int):
+    """Of each text its set's size and fingerprints; of each block the tokens in many of its texts."""
 
-def _scan(k: int, percent: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in row_blocks(whole, "text", COUNT_BYTES):
                 w, at = shingle_sets(b, k)
                 p1, p2 = _prints(w, at)
-                size = np.diff(at)
-                counted = np.diff(np.concatenate([[0], np.cumsum(_key32(w) < counted_below(percent))])[at])
-                short = counted < prefix_lengths(size, percent)
                 _, lead = np.unique(p1, return_index=True)  # copies within a block count once
                 sets = [w[at[i] : at[i + 1]] for i in lead.tolist()]
                 u, c = np.unique(np.concatenate(sets), return_counts=True) if sets else (w, w)
                 often = c >= max(4, FREQUENT * len(lead))
                 n, m = b.num_rows, int(often.sum())
-                nulls = lambda k: pa.nulls(k, pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.concat_arrays([b.column("doc_id"), nulls(m)]),
-                        pa.concat_arrays([pa.array(np.diff(at)), nulls(m)]),
-                        pa.concat_arrays([pa.array(p1), nulls(m)]),
-                        pa.concat_arrays([pa.array(p2), nulls(m)]),
-                        pa.concat_arrays([pa.array(short), pa.nulls(m, pa.bool_())]),
-                        pa.concat_arrays([pa.array(signatures(w, at, percent), pa.binary()), pa.nulls(m, pa.binary())]),
-                        pa.concat_arrays([nulls(n), pa.array(u[often].view(np.int64))]),
-                        pa.concat_arrays([nulls(n), pa.array(c[often].astype(np.int64))]),
-                    ],
-                    names=["doc_id", "n", "p1", "p2", "short", "sig", "token", "df"],
-                )
+                own = {"doc_id": b.column("doc_id"), "n": pa.array(np.diff(at)), "p1": pa.array(p1), "p2": pa.array(p2)}
+                counts = {"token": pa.array(u[often].view(np.int64)), "df": pa.array(c[often].astype(np.int64))}
+                columns = [pa.concat_arrays([v, pa.nulls(m, v.type)]) for v in own.values()] + [pa.concat_arrays([pa.nulls(n, v.type), v]) for v in counts.values()]
+                yield pa.RecordBatch.from_arrays(columns, names=[*own, *counts])
         release()
 
     return scan
 
 
-def prefix_length(n: int, percent: int) -> int:
-    return n - -(-percent * n // 100) + 1 if n else 0
+# --- the first order ----------------------------------------------------------------------
 
+#: A class as it is posted: fingerprints, counted tokens beyond its prefix, tokens that follow.
+_CLASS = np.dtype([("p1", "<i8"), ("p2", "<i4"), ("spare", "<i4"), ("tokens", "<i4")])
+_POSTED = "range long, classes binary, tokens binary"
 
-def prefix_lengths(n: np.ndarray, percent: int) -> np.ndarray:
-    return np.where(n > 0, n - -(-percent * n // 100) + 1, 0)
 
+def counted_below(percent: int) -> np.uint64:
+    """Tokens whose key's low 32 bits are below it are counted."""
+    return np.uint64(min(1 << 32, (1 << 32) * COUNTED * (100 - percent) // 100))
 
-def _contains(ordered: np.ndarray, w: np.ndarray) -> np.ndarray:
-    if not len(ordered):
-        return np.zeros(len(w), bool)
-    i = np.searchsorted(ordered, w)
-    i[i == len(ordered)] = 0
-    return ordered[i] == w
+
+def _names(key: np.ndarray, ranges: int) -> np.ndarray:
+    """Tokens as a range and 32 bits within it, so that few tokens share a name however many there are."""
+    return ((key >> np.uint64(32)) % np.uint64(ranges) << np.uint64(32)) | (key & _LOW)
 
 
-_POSTED = "range int, classes binary, sizes binary, token binary, owner binary, place binary"
+def _by_owner(owner: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both sorted by owner and value, each value of an owner once."""
+    o = np.lexsort((values, owner))
+    owner, values = owner[o], values[o]
+    fresh = np.ones(len(owner), bool)
+    fresh[1:] = (owner[1:] != owner[:-1]) | (values[1:] != values[:-1])
+    return owner[fresh], values[fresh]
 
 
 def _postings(k: int, percent: int, ranges: int, packed):
-    """The counted tokens of each class that this task meets first, packed by token range; a class whose heavy tokens make it
-    deficient is posted without a token."""
+    """The counted tokens of each class that this task meets first, packed by token range; classes whose prefix reaches further also
+    post its other tokens, in ranges below zero."""
     limit = counted_below(percent)
 
+    def beyond(w: np.ndarray, need: int, heavy: np.ndarray, rank: np.ndarray) -> np.ndarray:
+        """Names of the first `need` tokens of a set that follow the counted ones: those outside that part by hash, then heavy ones by frequency."""
+        loud = _contains(heavy, w)
+        key = mix(w ^ _SEEDS[0])
+        outside = np.unique(_names(key[~loud & (key & _LOW >= limit)], ranges))[:need]
+        last = w[loud][np.argsort(rank[np.searchsorted(heavy, w[loud])])]
+        return np.concatenate([outside, _names(mix(last[: need - len(outside)] ^ _SEEDS[0]), ranges)])
+
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heavy, _ = packed.value
-        seen: set[int] = set()
+        heavy, rank = packed.value
+        seen: set[tuple[int, int]] = set()
         for whole in batches:
             for b in row_blocks(whole, "text", BLOCK_BYTES):
                 w, at = shingle_sets(b, k)
-                p1, _ = _prints(w, at)
                 size = np.diff(at)
+                made = np.zeros(len(size), _CLASS)
+                made["p1"], made["p2"] = _prints(w, at)
                 new = np.zeros(len(size), bool)
-                for i, (n, c) in enumerate(zip(size.tolist(), p1.tolist(), strict=True)):
+                for i, (n, c) in enumerate(zip(size.tolist(), made[["p1", "p2"]].tolist(), strict=True)):
                     if n and c not in seen:
                         seen.add(c)
                         new[i] = True
                 owner = np.repeat(np.arange(len(size)), size)
                 key = mix(w ^ _SEEDS[0])
-                use = new[owner] & (key >> np.uint64(32) < limit)
-                owner, key, w = owner[use], key[use], w[use]
-                everything = np.bincount(owner, minlength=len(size))
-                light = ~_contains(heavy, w)
-                owner, key = owner[light], key[light]
-                o = np.lexsort((key, owner))
-                owner, token = owner[o], (key[o] >> np.uint64(32)).astype(np.int64)
-                count = np.bincount(owner, minlength=len(size))
-                place = np.arange(len(owner)) - (np.cumsum(count) - count)[owner]
-                m = prefix_lengths(size, percent)
-                at_range = token * ranges // int(limit)
-                notice = np.flatnonzero(new & (count < m) & (everything >= m))
-                if len(notice):  # with the place of no token
-                    owner, token, place = np.concatenate([owner, notice]), np.concatenate([token, notice * 0]), np.concatenate([place, notice * 0 - 1])
-                    at_range = np.concatenate([at_range, notice % ranges])
+                use = new[owner] & (key & _LOW < limit)
+                use[use] = ~_contains(heavy, w[use])
+                owner, name = _by_owner(owner[use], _names(key[use], ranges))
+                made["spare"] = np.bincount(owner, minlength=len(size)) - prefix_lengths(size, percent)
+                at_range = (name >> np.uint64(32)).astype(np.int64)
                 o = np.argsort(at_range, kind="stable")
                 cuts = np.searchsorted(at_range[o], np.arange(ranges + 1))
                 rows = []
                 for r in np.flatnonzero(np.diff(cuts)).tolist():
                     i = o[cuts[r] : cuts[r + 1]]
-                    docs, local = np.unique(owner[i], return_inverse=True)
-                    sizes = np.stack([m[docs], count[docs]], axis=1)
-                    rows.append((r, p1[docs].tobytes(), sizes.astype("<u4").tobytes(), token[i].astype("<u4").tobytes(), local.astype("<u4").tobytes(), place[i].astype("<i4").tobytes()))
+                    docs, count = np.unique(owner[i], return_counts=True)
+                    head = made[docs]
+                    head["tokens"] = count
+                    rows.append((r, head.tobytes(), (name[i] & _LOW).astype("<u4").tobytes()))
+                for i in np.flatnonzero(new & (made["spare"] < 0)).tolist():
+                    more = beyond(w[at[i] : at[i + 1]], -int(made["spare"][i]), heavy, rank)
+                    head = made[i : i + 1].copy()
+                    head["tokens"] = len(more)
+                    rows.append((-1 - int(made["p1"][i]) % ranges, head.tobytes(), more.astype("<u8").tobytes()))
                 if rows:
-                    cols = list(zip(*rows, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=["range", "classes", "sizes", "token", "owner", "place"])
+                    numbers, heads, tokens = zip(*rows, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(heads, pa.binary()), pa.array(tokens, pa.binary())], names=["range", "classes", "tokens"])
         release()
 
     return post
 
 
-_REPEATED = "token int, class long, place int, prefix int, counted int, classes int"
+_REPEATED = "token long, p1 long, p2 int, spare int, df int"
 
 
 def _repeated(t: pa.Table) -> pa.Table:
-    """Postings of tokens of several classes, with the number of classes, and the notices (place -1), of one token range."""
-    parts = []
-    for classes, sizes, token, owner, place in zip(*[t.column(c).to_pylist() for c in ("classes", "sizes", "token", "owner", "place")], strict=True):
-        i = np.frombuffer(owner, "<u4")
-        parts.append((np.frombuffer(token, "<u4"), np.frombuffer(classes, np.int64)[i], np.frombuffer(place, "<i4"), np.frombuffer(sizes, "<u4").reshape(-1, 2)[i]))
-    token, cls, place = (np.concatenate([p[c] for p in parts]) for c in range(3))
-    size = np.concatenate([p[3] for p in parts])
-    o = np.lexsort((cls, token, place < 0))
-    token, cls, place, size = token[o], cls[o], place[o], size[o]
-    notice = place < 0
-    fresh = np.ones(len(token), bool)  # tasks may repeat a class
-    fresh[1:] = (token[1:] != token[:-1]) | (cls[1:] != cls[:-1]) | (notice[1:] != notice[:-1])
-    token, cls, place, size, notice = token[fresh], cls[fresh], place[fresh], size[fresh], notice[fresh]
-    new = np.ones(len(token), bool)
-    new[1:] = (token[1:] != token[:-1]) | (notice[1:] != notice[:-1])
-    start = np.flatnonzero(new)
-    n = np.diff(np.append(start, len(token)))
-    df = np.repeat(n, n)
-    keep = (df > 1) | notice
-    return pa.table(
-        {
-            "token": pa.array(token[keep].astype(np.uint32).view(np.int32)),
-            "class": pa.array(cls[keep]),
-            "place": pa.array(place[keep].astype(np.int32)),
-            "prefix": pa.array(size[keep, 0].astype(np.int32)),
-            "counted": pa.array(size[keep, 1].astype(np.int32)),
-            "classes": pa.array(np.where(notice[keep], 0, np.minimum(df[keep], 1 << 30)).astype(np.int32)),
-        }
-    )
+    """Of one token range the postings of tokens of several classes, with the number of classes; of a range below zero all, without it."""
+    number = t.column("range")[0].as_py()
+    head = np.concatenate([np.frombuffer(v.as_buffer(), _CLASS) for v in t.column("classes")])
+    tokens = np.concatenate([np.frombuffer(v.as_buffer(), "<u8" if number < 0 else "<u4") for v in t.column("tokens")])
+    row = np.repeat(np.arange(len(head)), head["tokens"])
+    if number < 0:
+        df = np.full(len(tokens), -1, np.int32)
+    else:
+        o = np.argsort(tokens)
+        tokens, row = tokens[o], row[o]
+        several = np.zeros(len(tokens), bool)
+        several[1:] = tokens[1:] == tokens[:-1]
+        several[:-1] |= several[1:]
+        tokens, row = tokens[several], row[several]
+        o = np.lexsort((head["p2"][row], head["p1"][row], tokens))
+        tokens, row = tokens[o], row[o]
+        fresh = np.ones(len(tokens), bool)  # tasks may repeat a class
+        fresh[1:] = (tokens[1:] != tokens[:-1]) | (head["p1"][row[1:]] != head["p1"][row[:-1]]) | (head["p2"][row[1:]] != head["p2"][row[:-1]])
+        tokens, row = tokens[fresh], row[fresh]
+        start = np.flatnonzero(np.concatenate([np.ones(min(1, len(tokens)), bool), tokens[1:] != tokens[:-1]]))
+        count = np.diff(np.append(start, len(tokens)))
+        df = np.repeat(np.minimum(count, 1 << 30), count).astype(np.int32)
+        keep = df > 1
+        tokens, row, df = (tokens[keep].astype(np.int64) | number << 32), row[keep], df[keep]
+    return pa.table({"token": tokens.astype(np.int64), "p1": head["p1"][row], "p2": head["p2"][row], "spare": head["spare"][row], "df": df})
+
+
+def prefix_postings(texts: DataFrame, classes: DataFrame, heavy: np.ndarray, rank: np.ndarray, total: int, k: int, percent: int) -> DataFrame:
+    """Members of groups, and df: the tokens of each class's prefix under the first order that other classes have; df is -1 outside the
+    counted part. n, d and place aren't set. The more of them, the larger weight: the class is less unlike others."""
+    packed = texts.sparkSession.sparkContext.broadcast((heavy, rank))  # bounded through HEAVY
+    ranges = int(max(1, total * COUNTED * (100 - percent) / 100 / RANGE_TOKENS))
+    repeated = texts.mapInArrow(_postings(k, percent, ranges, packed), _POSTED).groupBy("range").applyInArrow(_repeated, _REPEATED)
+    # tokens of one class come before all others; of the rest, the `spare` most frequent ones are not in the prefix
+    of_class = Window.partitionBy("p1", "p2")
+    kept = repeated.withColumn("_place", F.row_number().over(of_class.orderBy(F.desc("df"), F.desc("token")))).where("_place > spare")
+    kept = kept.withColumn("weight", F.count("*").over(of_class)).distinct()
+    role, zero = F.lit(ALIKE).cast("byte").alias("role"), F.lit(0)
+    return kept.join(classes.select("p1", "p2", "rep"), ["p1", "p2"]).select("token", "rep", "weight", role, zero.alias("n"), zero.alias("d"), zero.alias("place"), "df")
+
+
+# --- whole sets of candidates ------------------------------------------------------------------
 
 
-#: Kinds of rows that _ranked gives: prefix token of a class, deficient class, common token of a deficient class.
-POSTING, DEFICIENT, COMMON = 0, 1, 2
-
-
-def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by class and place: which rare tokens are in their class's prefix, and the deficient classes, each with the prefix length."""
-    names = ["token", "class", "place", "prefix", "counted", "classes"]
-
-    def settle(c: list[np.ndarray]) -> pa.RecordBatch:
-        token, cls, place, prefix, counted, classes = c
-        new = np.ones(len(cls), bool)
-        new[1:] = cls[1:] != cls[:-1]
-        start = np.flatnonzero(new)
-        length = np.diff(np.append(start, len(cls)))
-        common = (classes > RARE).astype(np.int64)
-        run = np.cumsum(common) - common
-        before = run - np.repeat(run[start], length)
-        posting = (classes > 1) & (classes <= RARE) & (place - before < prefix)
-        lack = counted[start] - np.add.reduceat(common, start) < prefix[start] if len(start) else np.zeros(0, bool)
-        of_lacking = (classes > RARE) & np.repeat(lack, length)
-        d = start[lack]
-        kind = np.repeat(np.array([POSTING, DEFICIENT, COMMON], np.int8), [posting.sum(), len(d), of_lacking.sum()])
-        return pa.RecordBatch.from_pydict(
-            {"token": np.concatenate([token[posting], token[d] * 0, token[of_lacking]]), "class": np.concatenate([cls[posting], cls[d], cls[of_lacking]]), "prefix": np.concatenate([prefix[posting], prefix[d], prefix[of_lacking]]), "kind": pa.array(kind)}
-        )
-
-    held = None
-    for b in batches:
-        c = [b.column(n).to_numpy(zero_copy_only=False) for n in names]
-        if held is not None:
-            c = [np.concatenate(x) for x in zip(held, c, strict=True)]
-        if not len(c[0]):
-            continue
-        last = int(np.searchsorted(c[1], c[1][-1], "left"))
-        held = [x[last:] for x in c]
-        if last:
-            yield settle([x[:last] for x in c])
-    if held is not None and len(held[0]):
-        yield settle(held)
-
-
-def _rest(percent: int, packed):
-    """Prefix tokens of deficient classes beyond their rare counted ones."""
-    limit = counted_below(percent)
+def signatures(w: np.ndarray, at: np.ndarray, percent: int) -> list[bytes]:
+    """For each set its prefixes under the further orders, as sorted 32-bit keys, one list after the other."""
+    m = prefix_lengths(np.diff(at), percent).tolist()
+    keys = [(mix(w ^ _SEEDS[o]) >> np.uint64(32)).astype(np.uint32) for o in _FURTHER]
+    out = []
+    for s, e, k in zip(at[:-1].tolist(), at[1:].tolist(), m, strict=True):
+        made = []
+        for key in keys:
+            own = key[s:e]
+            own = np.sort(np.partition(own, k - 1)[:k]) if k < e - s else np.sort(own)
+            made.append(own.tobytes())
+        out.append(b"".join(made))
+    return out
+
 
-    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heavy, _ = packed.value
+def _slot(ids: np.ndarray, bits: int) -> np.ndarray:
+    return (mix(ids.view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _id_map(ids: DataFrame, n: int) -> tuple[bytes, int]:
+    """A bit for the hash of each of n ids, and the number of bits as a power of two: partial maps of each task are joined by word."""
+    bits = int(min(MAP_LIMIT, max(12, int(MAP_LOAD * n).bit_length())))
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = np.zeros(1 << bits - 6, np.uint64)
         for b in batches:
-            tokens, classes, sizes, prefixes = [], [], [], []
-            for cls, raw, commons in zip(b.column("class").to_pylist(), b.column("tokens"), b.column("commons").to_pylist(), strict=True):
-                w = np.frombuffer(raw.as_buffer(), np.uint64)
-                key = mix(w ^ _SEEDS[0])
-                token = key >> np.uint64(32)
-                known = np.array(sorted(c & 0xFFFFFFFF for c in commons or []), np.uint64)
-                loud = _contains(heavy, w)
-                inside = token < limit
-                common = loud | (inside & _contains(known, token))
-                need = prefix_length(len(w), percent) - int((inside & ~common).sum())
-                if need <= 0:
-                    continue
-                group = np.where(common, 2, np.where(inside, 0, 1))
-                o = np.lexsort((key, group))
-                o = o[group[o] > 0][:need]
-                tokens.append(token[o].astype(np.uint32).view(np.int32))
-                classes.append(cls)
-                sizes.append(len(o))
-                prefixes.append(prefix_length(len(w), percent))
-            if tokens:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(tokens)), pa.array(np.repeat(np.array(classes, np.int64), sizes)), pa.array(np.repeat(np.array(prefixes, np.int32), sizes))], names=["token", "class", "prefix"]
-                )
-
-    return rest
-
-
-def _fits(m1: np.ndarray, m2: np.ndarray, percent: int) -> np.ndarray:
-    """Whether sets with these prefix lengths can be alike in size: m - 1 is the whole part of (100 - percent) % of the size."""
-    return 100 * np.minimum(m1, m2) >= percent * (np.maximum(m1, m2) - 1)
-
-
-def _pairs_of(token: np.ndarray, cls: np.ndarray, m: np.ndarray, percent: int) -> Iterator[tuple]:
-    """(None, a, b) pairs of small groups, or (token, member, None) of large ones, from whole groups sorted by token and class."""
-    new = np.ones(len(token), bool)
-    new[1:] = token[1:] != token[:-1]
-    start = np.flatnonzero(new)
-    size = np.diff(np.append(start, len(token)))
-    for s in np.unique(size[(size > 1) & (size <= GROUP)]).tolist():
-        at = start[size == s][:, None] + np.arange(s)
-        i, j = np.triu_indices(s, 1)
-        i, j = at[:, i].ravel(), at[:, j].ravel()
-        fits = _fits(m[i], m[j], percent)
-        yield None, cls[i[fits]], cls[j[fits]]
-    large = np.repeat(size > GROUP, size)
-    if large.any():
-        yield token[large], cls[large], None
-
-
-def _candidates(percent: int):
-    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs of small groups and members of large ones, from rows sorted by token and class; holds one batch and GROUP + 1 rows."""
-        token, cls, m = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int32)
-        passing = None  # the large group that is passing through
-
-        def rows(t, a, b):
-            n = len(a)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(t) if t is not None else pa.nulls(n, pa.int32()), pa.array(a), pa.array(b) if b is not None else pa.nulls(n, pa.int64())], names=["token", "a", "b"]
-            )
-
-        for batch in batches:
-            t, c, p = (np.concatenate([old, batch.column(n).to_numpy(zero_copy_only=False)]) for old, n in ((token, "token"), (cls, "class"), (m, "prefix")))
-            fresh = np.ones(len(t), bool)  # tasks may repeat a class
-            fresh[1:] = (t[1:] != t[:-1]) | (c[1:] != c[:-1])
-            t, c, p = t[fresh], c[fresh], p[fresh]
-            if passing is not None:
-                go = int(np.searchsorted(t, passing, "right"))
-                own = slice(1 if go and len(token) and c[0] == cls[-1] else 0, go)
-                if own.stop > own.start:
-                    yield rows(t[own], c[own], None)
-                if go == len(t):
-                    token, cls, m = t[-1:], c[-1:], p[-1:]
-                    continue
-                passing, t, c, p = None, t[go:], c[go:], p[go:]
-            last = int(np.searchsorted(t, t[-1], "left")) if len(t) else 0
-            for got in _pairs_of(t[:last], c[:last], p[:last], percent):
-                yield rows(*got)
-            token, cls, m = t[last:], c[last:], p[last:]
-            if len(token) > GROUP:
-                yield rows(token, cls, None)
-                passing, token, cls, m = token[-1], token[-1:], cls[-1:], m[-1:]
-        if passing is None:
-            for got in _pairs_of(token, cls, m, percent):
-                yield rows(*got)
-
-    return candidates
-
-
-def _sets(k: int, packed):
+            slot = _slot(b.column(0).to_numpy(zero_copy_only=False), bits)
+            np.bitwise_or.at(words, slot >> 6, np.uint64(1) << (slot & 63).astype(np.uint64))
+        full = np.flatnonzero(words)
+        yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(words[full].view(np.int64))], names=["word", "bits"])
+
+    out = np.zeros(1 << bits - 6, np.int64)
+    for r in ids.mapInArrow(mark, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow().to_batches():
+        out[r.column("word").to_numpy()] = r.column("bits").to_numpy()
+    return out.tobytes(), bits
+
+
+def _sets(k: int, percent: int):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(packed.value, np.uint8)
         for whole in batches:
-            ids = whole.column("doc_id")
-            slot = mix(ids.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)) >> np.uint64(64 - MAP_BITS)
-            may = (bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1
-            for b in row_blocks(whole.filter(pa.array(may.astype(bool))), "text", BLOCK_BYTES):
+            for b in row_blocks(whole, "text", BLOCK_BYTES):
                 w, at = shingle_sets(b, k)
-                p1, p2 = _prints(w, at)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id"), pa.array(p1), pa.array(p2), pa.array([w[s:e].tobytes() for s, e in zip(at[:-1], at[1:], strict=True)], pa.binary())],
-                    names=["doc_id", "p1", "p2", "tokens"],
-                )
+                tokens = pa.array([w[s:e].tobytes() for s, e in zip(at[:-1], at[1:], strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(at)), pa.array(signatures(w, at, percent), pa.binary()), tokens], names=["rep", "n", "sig", "tokens"])
         release()
 
     return sets
 
 
-def _id_map(ids: DataFrame) -> bytes:
-    """A bit for the hash of each id, gathered from partitions as partial maps of fixed size."""
+def sets_of(texts: DataFrame, wanted: DataFrame, k: int, percent: int) -> DataFrame:
+    """(rep, n, sig, tokens): the whole sets, and the prefixes under the further orders, of the texts whose doc_id is a rep in wanted."""
+    wanted = materialise(wanted, "wanted")
+    marks, bits = _id_map(wanted, wanted.count())
+    packed = texts.sparkSession.sparkContext.broadcast(marks)  # 2 ** MAP_LIMIT bits at most
 
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << MAP_BITS, bool)
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = np.frombuffer(packed.value, np.uint64)
         for b in batches:
-            slot = mix(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)) >> np.uint64(64 - MAP_BITS)
-            bits[slot.astype(np.int64)] = True
-        raw = np.packbits(bits, bitorder="little").reshape(-1, 4096)
-        full = np.flatnonzero(raw.any(axis=1))
-        yield pa.RecordBatch.from_pydict({"block": full, "bits": pa.array([raw[i].tobytes() for i in full.tolist()], pa.binary())})
+            slot = _slot(b.column("doc_id").to_numpy(zero_copy_only=False), bits)
+            yield b.filter(pa.array((words[slot >> 6] >> (slot & 63).astype(np.uint64) & np.uint64(1)).astype(bool)))
 
-    out = np.zeros((1 << MAP_BITS) // 8, np.uint8).reshape(-1, 4096)
-    few = ids.coalesce(max(1, ids.sparkSession.sparkContext.defaultParallelism))
-    for r in few.mapInArrow(mark, "block long, bits binary").toLocalIterator():
-        out[r["block"]] |= np.frombuffer(bytes(r["bits"]), np.uint8)
-    return out.tobytes()
+    of = texts.mapInArrow(marked, texts.schema).join(wanted, F.col("doc_id") == F.col("rep"), "left_semi")
+    out = materialise(of.mapInArrow(_sets(k, percent), "rep long, n long, sig binary, tokens binary"), "sets")
+    drop(wanted)
+    packed.destroy()
+    return out
 
 
-def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    if min(len(a), len(b)) * 100 < percent * max(len(a), len(b)):
-        return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= percent * (len(a) + len(b) - both)
+# --- filters and verification -------------------------------------------------------------------
 
 
 class Filters:
@@ -461,14 +355,10 @@ class Filters:
         """Keys below it that a set of n tokens has are all in its prefix."""
         return int(prefix[-1]) if prefix_length(n, self.percent) < n else 1 << 33
 
-    def differ(self, n1, n2):
-        """Most tokens in which similar sets of these sizes differ."""
-        return n1 + n2 - 2 * -(-self.percent * (n1 + n2) // (100 + self.percent))
-
     def pair(self, n1: int, a: list[np.ndarray], n2: int, b: list[np.ndarray]) -> bool:
         if min(n1, n2) * 100 < self.percent * max(n1, n2):
             return False
-        most = self.differ(n1, n2)
+        most = most_apart(n1, n2, self.percent)
         for x, y in zip(a, b, strict=True):
             both = len(np.intersect1d(x, y, assume_unique=True))
             if not both:
@@ -478,20 +368,6 @@ class Filters:
                 return False
         return True
 
-    def table(self, n: np.ndarray, prefixes: list[list[np.ndarray]]) -> np.ndarray:
-        """pair() of every two sets; true above the diagonal only."""
-        may = np.minimum(n[:, None], n) * 100 >= self.percent * np.maximum(n[:, None], n)
-        may &= np.triu(np.ones_like(may), 1).astype(bool)
-        most = self.differ(n[:, None], n)
-        for o in range(len(_FURTHER)):
-            own = [p[o] for p in prefixes]
-            both = _common(own)
-            top = np.array([self.limit(int(k), p) for k, p in zip(n, own, strict=True)], np.int64)
-            low = np.minimum(top[:, None], top)
-            below = np.stack([np.searchsorted(p.astype(np.int64), row) for p, row in zip(own, low, strict=True)])
-            may &= (both > 0) & (below + below.T - 2 * both <= most)
-        return may
-
 
 def _filter_pairs(percent: int):
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -505,6 +381,13 @@ def _filter_pairs(percent: int):
     return keep
 
 
+def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    if min(len(a), len(b)) * 100 < percent * max(len(a), len(b)):
+        return False
+    both = int(_contains(a, b).sum())
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
 def _verify(percent: int):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -516,103 +399,185 @@ def _verify(percent: int):
     return verify
 
 
-def _incidence(sets: list[np.ndarray], tokens: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(sets), len(tokens)), np.float32)
-    for row, w in zip(out, sets, strict=True):
-        i = np.searchsorted(tokens, w)
-        i[i == len(tokens)] = 0
-        row[i[tokens[i] == w]] = 1
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The links (src, dst) among pairs (a, b) of classes: filters of the further orders first, then whole sets."""
+    sig = lambda s, n, x: sets.select(F.col("rep").alias(s), F.col("n").alias(n), F.col("sig").alias(x))
+    alike = F.least("n1", "n2") * 100 >= F.greatest("n1", "n2") * percent
+    sizes = pairs.join(sig("a", "n1", "x").drop("x"), "a").join(sig("b", "n2", "y").drop("y"), "b").where(alike).select("a", "b")
+    left = materialise(sizes.join(sig("a", "n1", "x"), "a").join(sig("b", "n2", "y"), "b").mapInArrow(_filter_pairs(percent), "a long, b long"), "survivors")
+    x, y = (sets.select(F.col("rep").alias(r), F.col("tokens").alias(t)) for r, t in (("src", "x"), ("dst", "y")))
+    links = left.select(F.col("a").alias("src"), F.col("b").alias("dst")).join(x, "src").join(y, "dst")
+    out = materialise(links.mapInArrow(_verify(percent), "src long, dst long"), "links")
+    drop(left)
     return out
 
 
-def _common(sets: list[np.ndarray]) -> np.ndarray:
-    """Size of the intersection of every two sets; tokens of a single set don't matter."""
-    u, c = np.unique(np.concatenate(sets), return_counts=True)
-    u = u[c > 1]
-    out = np.zeros((len(sets), len(sets)), np.float32)
-    for a in range(0, len(u), 2048):
-        m = _incidence(sets, u[a : a + 2048])
-        out += m @ m.T
-    return out
+# --- groups of any size: leaders and differences from them -----------------------------------------
 
+#: Parts that rows of a group play: any two ALIKE ones may be linked; of the others, a PROBE with a LINKED one.
+ALIKE, PROBE, LINKED = 0, 1, 2
+_JUDGED = "leader long, rep long, weight long, linked boolean, n int, d int, differences binary"
+_MEMBERS = "token long, rep long, weight long, role byte, n int, d int, place int"
 
-def _sifted(percent: int):
-    """Of one cell: its surviving pairs of different components (column c), or, if it is dense, the classes that are in one (b is null)."""
 
-    def sift(t: pa.Table) -> pa.Table:
-        filters = Filters(percent)
-        t = t.combine_chunks()
-        cls = t.column("class").to_numpy()
-        _, lead = np.unique(cls, return_index=True)
-        cls, n = cls[lead], t.column("n").to_numpy()[lead]
-        sigs = [np.frombuffer(v.as_buffer(), np.uint32) for v in t.column("sig").take(pa.array(lead))]
-        c = t.column("c").to_numpy()[lead]
-        i, j = np.nonzero(filters.table(n, [filters.lists(int(k), x) for k, x in zip(n, sigs, strict=True)]) & (c[:, None] != c))
-        token = t.column("token")[0].as_py()
-        if len(i) > DENSE * len(cls):
-            a = cls[np.unique(np.concatenate([i, j]))]
-            b = pa.nulls(len(a), pa.int64())
-        else:
-            a, b = np.minimum(cls[i], cls[j]), pa.array(np.maximum(cls[i], cls[j]))
-        return pa.table({"token": pa.array(np.full(len(a), token, np.int32)), "a": pa.array(a, pa.int64()), "b": b})
-
-    return sift
-
-
-def _cell(percent: int):
-    """Links that connect what the links of one dense cell connect."""
-
-    def cell(t: pa.Table) -> pa.Table:
-        t = t.combine_chunks()
-        ids = t.column("rep").to_numpy()
-        _, lead = np.unique(ids, return_index=True)
-        ids = ids[lead]
-        sets = [np.frombuffer(v.as_buffer(), np.uint64) for v in t.column("tokens").take(pa.array(lead))]
-        n = np.array([len(s) for s in sets])
-        both = _common(sets)
-        linked = np.triu(100 * both >= percent * (n[:, None] + n - both), 1)
-        src, dst = _forest(*np.nonzero(linked), len(ids))
-        return pa.table({"src": pa.array(ids[src], pa.int64()), "dst": pa.array(ids[dst], pa.int64())})
-
-    return cell
-
-
-def _forest(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that connect what the links (i, j) connect."""
-    root = list(range(n))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    keep = []
-    for k, (a, b) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
-        a, b = find(a), find(b)
-        if a != b:
-            root[max(a, b)] = min(a, b)
-            keep.append(k)
-    return i[keep], j[keep]
-
-
-def _sets_of(texts: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(p1, rep, n, tokens) of the classes (p1, p2, n, rep) in wanted, from the text of one document of each."""
-    marks = texts.sparkSession.sparkContext.broadcast(_id_map(wanted.select("rep")))
-    sets = texts.where("doc_id is not null").mapInArrow(_sets(k, marks), "doc_id long, p1 long, p2 long, tokens binary")
-    w = wanted.select(F.col("p1").alias("w1"), F.col("p2").alias("w2"), "n", "rep")
-    return sets.join(w, F.expr("doc_id = rep and p1 = w1 and p2 = w2")).select("p1", "rep", "n", "tokens").dropDuplicates(["rep", "p1"])
-
-
-def _cells(members: DataFrame, percent: int) -> DataFrame:
-    """members (token, rep, n, ...) dealt into cells (token, band, i, j): neighbouring size bands, hash blocks of about CELL crossed pairwise."""
-    band = F.floor(F.log("n") / float(np.log(100 / percent)) + 1e-9).cast("int") if percent < 100 else F.col("n").cast("int")
-    placed = members.withColumn("band", band).withColumn("band", F.explode(F.array("band", F.col("band") + 1)))
-    sizes = placed.groupBy("token", "band").agg(F.ceil(F.count("*") / CELL).cast("int").alias("blocks"), F.count("*").alias("_m")).where("_m > 1").drop("_m")
-    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    dealt = placed.join(sizes, ["token", "band"]).withColumn("block", block)
-    both = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))
-    return dealt.withColumn("_at", F.explode(both)).select("*", "_at.i", "_at.j").drop("_at", "block", "blocks")
+def most_apart(n1, n2, percent: int):
+    """Most tokens in which similar sets of these sizes differ."""
+    return n1 + n2 - 2 * -(-percent * (n1 + n2) // (100 + percent))
+
+
+def shared_at_least(n: int, d: int, n_leader: int, percent: int) -> int:
+    """Fewest differences from a leader that a set of n tokens and d differences shares with a similar set, if one of both isn't linked with the leader.
+
+    Sets x, y share (dx + dy - |x - y|) / 2 of them, |x - y| is at most c (nx + ny) with c = (1 - t) / (1 + t), and of
+    one that isn't linked d is over c (n + n_leader) - 2.
+    """
+    return max(1, -(-((d - 1) * (100 + percent) + (100 - percent) * (n_leader - n)) // (2 * (100 + percent))))
+
+
+def differences(leader: np.ndarray, own: np.ndarray, percent: int) -> tuple[bool, int, np.ndarray]:
+    """Whether two sets are similar, the size of their difference, and the prefix of it that own posts: own's tokens that leader misses, then leader's that own misses, each by hash."""
+    inside = _contains(leader, own)
+    both = int(inside.sum())
+    d = len(leader) + len(own) - 2 * both
+    linked = d <= most_apart(len(leader), len(own), percent)
+    length = d - shared_at_least(len(own), d, len(leader), percent) + 1
+    if not linked:  # it may meet linked sets of few differences
+        length = max(length, (100 - percent) * len(own) // percent + 1)
+    more = own[~inside]
+    more = more[np.argsort(mix(more))][:length]
+    if len(more) < length:
+        lost = leader[~_contains(own, leader)]
+        more = np.concatenate([more, lost[np.argsort(mix(lost))][: length - len(more)]])
+    return linked, d, more
+
+
+def _against(percent: int):
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            linked, n, apart, found = [], [], [], []
+            leaders = mix(b.column("leader").to_numpy().view(np.uint64))
+            for i, (h, x) in enumerate(zip(b.column("h"), b.column("x"), strict=True)):
+                own = np.frombuffer(x.as_buffer(), np.uint64)
+                near, d, more = differences(np.frombuffer(h.as_buffer(), np.uint64), own, percent)
+                linked.append(near)
+                n.append(len(own))
+                apart.append(d)
+                found.append(mix(more + leaders[i]).tobytes())
+            made = [pa.array(linked, pa.bool_()), pa.array(n, pa.int32()), pa.array(apart, pa.int32()), pa.array(found, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("leader", "rep", "weight")), *made], names=["leader", "rep", "weight", "linked", "n", "d", "differences"])
+
+    return judge
+
+
+def _opened(percent: int):
+    """Members of groups: a row for each difference, of sets that aren't linked once as ALIKE, as far as that reaches, and once as PROBE."""
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = [np.frombuffer(v.as_buffer(), np.uint64) for v in b.column("differences")]
+            n, d, linked = (b.column(c).to_numpy(zero_copy_only=False) for c in ("n", "d", "linked"))
+            short = np.array([x - shared_at_least(y, x, h, percent) + 1 for y, x, h in zip(n.tolist(), d.tolist(), b.column("n_leader").to_pylist(), strict=True)], np.int64)
+            sizes = np.array([len(v) for v in lists], np.int64)
+            row = np.repeat(np.arange(b.num_rows), sizes)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            token = np.concatenate(lists) if lists else np.zeros(0, np.uint64)
+            alike = np.flatnonzero(~linked[row] & (place < short[row]))
+            role = np.concatenate([np.full(len(alike), ALIKE), np.where(linked[row], LINKED, PROBE)]).astype(np.int8)
+            token, row, place = np.concatenate([mix(token[alike]), token]), np.concatenate([row[alike], row]), np.concatenate([place[alike], place])
+            take = lambda c: b.column(c).take(pa.array(row))  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), take("rep"), take("weight"), pa.array(role), take("n"), take("d"), pa.array(place.astype(np.int32))], names=["token", "rep", "weight", "role", "n", "d", "place"])
+
+    return opened
+
+
+def _pairs(percent: int):
+    """Pairs (a, b) of the members of each token that may be linked, from rows sorted by token; holds a batch and one group.
+
+    The differences from the shared one on must be enough to make two members similar; if it isn't the first one that they share,
+    the first one's group finds the pair. Members without n, d and place always pass.
+    """
+
+    def fits(role, n, d, place, i, j) -> np.ndarray:
+        roles = role[i] + role[j]
+        both = 2 * np.minimum(d[i] - place[i], d[j] - place[j]) >= d[i] + d[j] - most_apart(n[i], n[j], percent)
+        return both & ((roles == PROBE + LINKED) | (roles == 2 * ALIKE))
+
+    def settle(token, rep, *rest) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        size = np.diff(np.append(start, len(token)))
+        for s in np.unique(size[size > 1]).tolist():
+            i, j = np.triu_indices(s, 1)
+            firsts = start[size == s]
+            for f in np.array_split(firsts, -(-len(firsts) * len(i) // PAIRS_AT_ONCE)):
+                x, y = (f[:, None] + i).ravel(), (f[:, None] + j).ravel()
+                ok = fits(*rest, x, y)
+                x, y = rep[x[ok]], rep[y[ok]]
+                yield np.minimum(x, y), np.maximum(x, y)
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+
+        def rows(columns):
+            for x, y in settle(*columns):
+                apart = x != y  # a row may be there twice
+                x, y = np.unique(np.stack([x[apart], y[apart]]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
+
+        for b in batches:
+            columns = [b.column(c).to_numpy().astype(np.int64) for c in ("token", "rep", "role", "n", "d", "place")]
+            if held is not None:
+                columns = [np.concatenate(x) for x in zip(held, columns, strict=True)]
+            if not len(columns[0]):
+                continue
+            last = int(np.searchsorted(columns[0], columns[0][-1], "left"))
+            held = [x[last:] for x in columns]
+            if last:
+                yield from rows([x[:last] for x in columns])
+        if held is not None and len(held[0]):
+            yield from rows(held)
+
+    return pairs
+
+
+def pairs_within(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs a < b that may be linked among the members of each token, all groups of which are small."""
+    dealt = members.select("token", "rep", "role", "n", "d", "place").repartition("token").sortWithinPartitions("token")
+    return dealt.mapInArrow(_pairs(percent), "a long, b long").distinct()
+
+
+def _groups(members: DataFrame) -> DataFrame:
+    """Of each token whose members may be linked: their number, and the leader: of the greatest weight, of those the smallest."""
+    top = F.max(F.struct("weight", (-F.col("rep")).alias("other"))).alias("top")
+    of = lambda role: F.count_if(F.col("role") == role).alias(f"r{role}")
+    counted = members.groupBy("token").agg(of(ALIKE), of(PROBE), of(LINKED), top)
+    return counted.where("r0 > 1 or r1 > 0 and r2 > 0").select("token", F.expr("r0 + r1 + r2").alias("members"), "top")
+
+
+def _led(members: DataFrame, groups: DataFrame) -> DataFrame:
+    """(leader, rep, weight): members of groups with those that lead them."""
+    tops = groups.select("token", (-F.col("top.other")).alias("leader"))
+    return members.join(tops, "token").where("rep <> leader").select("leader", "rep", "weight").distinct()
+
+
+def _through_leaders(led: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Of (leader, rep, weight): the links (src, dst), pairs (a, b) that are still to be verified, and what the leaders of the next groups lead."""
+    h = sets.select(F.col("rep").alias("leader"), F.col("tokens").alias("h"))
+    x = sets.select("rep", F.col("tokens").alias("x"))
+    judged = materialise(led.join(x, "rep").join(h, "leader").mapInArrow(_against(percent), _JUDGED), "judged")
+    links = materialise(judged.where("linked").select(F.col("leader").alias("src"), F.col("rep").alias("dst")), "links")
+    open_ = judged.where("not linked").select("leader").distinct().join(sets.select(F.col("rep").alias("leader"), F.col("n").alias("n_leader")), "leader")
+    rows = materialise(judged.join(open_, "leader").drop("leader").mapInArrow(_opened(percent), _MEMBERS), "members")
+    groups = materialise(_groups(rows), "groups")
+    pairs = materialise(pairs_within(rows.join(groups.where(F.col("members") <= DIFFERENCE_GROUP).select("token"), "token"), percent), "pairs")
+    led = materialise(_led(rows, groups.where(F.col("members") > DIFFERENCE_GROUP)), "led")
+    drop(judged, rows, groups)
+    if led.isEmpty():
+        drop(led)
+        return links, pairs, None
+    return links, pairs, led
+
+
+# --- the join -------------------------------------------------------------------------------
 
 
 def jaccard_join(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
@@ -620,15 +585,17 @@ def jaccard_join(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
 
     Words are runs of other than blank and 0x09-0x0D, A-Z lowered. Sets link when 100 * intersection >= percent * union;
     class_id is the smallest doc_id with the same set, component_id the smallest doc_id that links reach. Without words
-    (null, empty or blank text) a text has an empty set, links with nothing and is its own component. Repeated rows
-    fall into one class; a row without doc_id links like any other and takes the ids of its class and component, null if no row there has one. An empty table gives an empty result. Other columns are ignored.
+    (null, empty or blank text) a text has an empty set, links with nothing and is its own component. Very long texts are read whole, in
+    blocks. Repeated rows fall into one class; a row without doc_id links like any other and takes the ids of its class and component, null
+    if no row there has one. An empty table gives an empty result. Other columns are ignored.
     """
     texts = docs.select(F.col("doc_id").cast("long"), "text")
-    if texts.where("doc_id is null").isEmpty():
+    if ids_are_keys(texts):
         return _joined(texts, k, percent)
     keyed = with_rows(texts)
-    found = _joined(keyed.select(F.col(ROW).alias("doc_id"), "text"), k, percent).withColumnRenamed("doc_id", ROW)
-    found = materialise(found.join(keyed.select(ROW, "doc_id"), ROW), "numbered")
+    joined = _joined(keyed.select(F.col(ROW).alias("doc_id"), "text"), k, percent).withColumnRenamed("doc_id", ROW)
+    found = materialise(joined.join(keyed.select(ROW, "doc_id"), ROW), "numbered")
+    drop(keyed)
     for c in ("class_id", "component_id"):
         least = found.where("n_shingles > 0").groupBy(c).agg(F.min("doc_id").alias("_least"))
         found = found.join(least, c, "left").withColumn(c, F.when(F.col("n_shingles") > 0, F.col("_least")).otherwise(F.col("doc_id"))).drop("_least")
@@ -636,92 +603,40 @@ def jaccard_join(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
 
 
 def _joined(texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """jaccard_join() of texts (doc_id, text) that all have a doc_id."""
-    spark = texts.sparkSession
-    scanned = materialise(texts.mapInArrow(_scan(k, percent), _SLIM), "shingle_counts")
-    slim = scanned.where("token is null").select("doc_id", "n", "p1", "p2", "short")
+    """jaccard_join() of texts (doc_id, text) whose doc_ids are keys."""
+    scanned = materialise(texts.mapInArrow(_scan(k), _SLIM), "shingle_counts")
+    slim = scanned.where("token is null").select("doc_id", "n", "p1", "p2")
     total = slim.where("n > 0").agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    heavy = scanned.where("token is not null").groupBy("token").agg(F.sum("df").alias("df")).where(F.col("df") >= max(16, HEAVY * total[0])).collect()
-    by_token = sorted((r["token"] & (1 << 64) - 1, r["df"]) for r in heavy)
-    hashes = np.array([t for t, _ in by_token], np.uint64)
-    frequency = np.array([d for _, d in by_token], np.int64)
-    rank = np.empty(len(hashes), np.uint64)
-    rank[np.lexsort((hashes, frequency))] = np.arange(len(hashes), dtype=np.uint64)
-    packed = spark.sparkContext.broadcast((hashes, rank))  # bounded through HEAVY
-
-    # frequencies of counted tokens, and with them the prefixes that lie among rare ones
-    ranges = int(max(1, total[1] * COUNTED * (100 - percent) / 100 / RANGE_TOKENS))
-    posted = texts.mapInArrow(_postings(k, percent, ranges, packed), _POSTED)
-    repeated = posted.groupBy("range").applyInArrow(_repeated, _REPEATED)
-    ranked = repeated.repartition("class").sortWithinPartitions("class", "place").mapInArrow(_ranked, "token int, class long, prefix int, kind byte")
-    ranked = materialise(ranked, "prefixes")
-
-    classes = slim.where("n > 0").groupBy("p1", "p2", "n").agg(F.min("doc_id").alias("rep"), F.bool_or("short").alias("short")).where("rep is not null")
-    lacking = ranked.where(F.col("kind") == DEFICIENT).select(F.col("class").alias("p1")).distinct()
-    lacking = classes.where("short").select("p1", "p2", "n", "rep").unionAll(classes.where("not short").join(lacking, "p1").select("p1", "p2", "n", "rep"))
-    commons = ranked.where(F.col("kind") == COMMON).groupBy("class").agg(F.collect_list("token").alias("commons"))
-    lacking_sets = _sets_of(texts, materialise(lacking, "deficient"), k)
-    more = lacking_sets.select(F.col("p1").alias("class"), "tokens").join(commons, "class", "left").mapInArrow(_rest(percent, packed), "token int, class long, prefix int")
-
-    postings = ranked.where(F.col("kind") == POSTING).select("token", "class", "prefix").unionAll(more)
-    sorted_ = postings.repartition("token").sortWithinPartitions("token", "class")
-    found = materialise(sorted_.mapInArrow(_candidates(percent), "token int, a long, b long"), "candidates")
-    pairs = found.where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    members = found.where("b is null").select("token", F.col("a").alias("class"))
-
-    # the filters of the further orders, on signatures
-    asked = found.select(F.explode(F.array("a", "b")).alias("p1")).where("p1 is not null").distinct()
-    asked = classes.select("p1", "p2", "n", "rep").join(asked, "p1")
-    signed = scanned.where("token is null").select(F.col("doc_id").alias("rep"), "p1", "p2", "sig").join(asked, ["rep", "p1", "p2"]).dropDuplicates(["p1"])
-    signed = materialise(signed.select("p1", "rep", "n", "sig"), "signatures")
-    x = signed.select(F.col("p1").alias("a"), F.col("n").alias("n1"), F.col("sig").alias("x"))
-    y = signed.select(F.col("p1").alias("b"), F.col("n").alias("n2"), F.col("sig").alias("y"))
-    alike = F.least("n1", "n2") * 100 >= F.greatest("n1", "n2") * percent
-    sizes = pairs.join(x.drop("x"), "a").join(y.drop("y"), "b").where(alike).select("a", "b")
-    direct = sizes.join(x, "a").join(y, "b").mapInArrow(_filter_pairs(percent), "a long, b long")
-
-    def sifted(rows: DataFrame) -> DataFrame:
-        """Survivors in the cells of (token, class, rep, n, sig, c): pairs (a, b), and members a of dense cells without b."""
-        cells = _cells(rows, percent).select("token", "band", "i", "j", "class", "n", "sig", "c")
-        return cells.groupBy("token", "band", "i", "j").applyInArrow(_sifted(percent), "token int, a long, b long")
-
-    of_class = signed.withColumnRenamed("p1", "class")
-    left = materialise(direct.select(F.lit(None).cast("int").alias("token"), "a", "b").unionAll(sifted(members.join(of_class.withColumn("c", F.col("rep")), "class"))).distinct(), "survivors")
-    pairs = left.where("b is not null").select("a", "b").distinct()
-    dense = left.where("b is null").select("token", F.col("a").alias("p1"))
-
-    # whole sets of the classes that are left, once per class
-    wanted = left.select(F.explode(F.array("a", "b")).alias("p1")).where("p1 is not null").distinct()
-    wanted = materialise(classes.join(wanted, "p1").select("p1", "p2", "n", "rep"), "wanted")
-    sets = materialise(_sets_of(texts, wanted, k), "sets")
-    x = sets.select(F.col("p1").alias("a"), F.col("rep").alias("src"), F.col("tokens").alias("x"))
-    y = sets.select(F.col("p1").alias("b"), F.col("rep").alias("dst"), F.col("tokens").alias("y"))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        return pairs.join(x, "a").join(y, "b").select("src", "dst", "x", "y").mapInArrow(_verify(percent), "src long, dst long")
-
-    links = materialise(verified(pairs), "links")
-
-    def within(chosen: DataFrame) -> DataFrame:
-        """Links of dense groups (token, p1)."""
-        dealt = _cells(chosen.join(sets.select("p1", "rep", "n"), "p1"), percent).select("token", "band", "i", "j", "rep")
-        whole = dealt.join(sets.select("rep", "tokens"), "rep")
-        return whole.groupBy("token", "band", "i", "j").applyInArrow(_cell(percent), "src long, dst long")
-
-    if not dense.isEmpty():
-        once = dense.groupBy("p1").agg(F.min("token").alias("token"))
-        links = materialise(links.unionAll(within(once)), "links")
-        known = connected_components(links).select(F.col("node").alias("rep"), "component")
-        state = dense.withColumnRenamed("p1", "class").join(of_class, "class").join(known, "rep", "left").withColumn("c", F.coalesce("component", "rep"))
-        open_ = state.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("token")
-        more = materialise(sifted(state.join(open_, "token").drop("component")).distinct(), "open_groups")
-        if not more.isEmpty():
-            again = more.where("b is null").select("token", F.col("a").alias("p1"))
-            links = materialise(links.unionAll(verified(more.where("b is not null").select("a", "b").distinct())).unionAll(within(again)), "links")
-    components = connected_components(links)
-    classes = slim.where("n > 0").groupBy("p1", "p2", "n").agg(F.min("doc_id").alias("rep"))
-    named = classes.join(components.withColumnRenamed("node", "rep"), "rep", "left").select("p1", "p2", "n", F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id"))
-    full = slim.drop("short").join(named, ["p1", "p2", "n"], "left")
+    heavy = scanned.where("token is not null").groupBy("token").agg(F.sum("df").alias("df")).where(F.col("df") >= max(16, HEAVY * total[0])).toArrow()  # bounded through HEAVY
+    hashes, frequency = heavy.column("token").to_numpy().view(np.uint64), heavy.column("df").to_numpy()
+    o = np.argsort(hashes)
+    hashes, frequency = hashes[o], frequency[o]
+    rank = np.empty(len(hashes), np.int64)
+    rank[np.lexsort((hashes, frequency))] = np.arange(len(hashes))
+
+    classes = materialise(slim.where("n > 0").groupBy("p1", "p2").agg(F.min("doc_id").alias("rep")), "classes")
+    postings = materialise(prefix_postings(texts, classes, hashes, rank, total[1], k, percent), "prefixes")
+    rare = F.col("df").between(2, GROUP)
+    pairs = [materialise(pairs_within(postings.where(rare), percent), "pairs")]
+    often = postings.where(~rare)
+    led = materialise(_led(often, _groups(often)), "led")
+    drop(postings)
+
+    wanted = pairs[0].select(F.explode(F.array("a", "b")).alias("rep")).unionAll(led.select(F.explode(F.array("leader", "rep")).alias("rep"))).distinct()
+    sets = sets_of(texts, wanted, k, percent)
+    links = []
+    while led is not None:
+        found, more, after = _through_leaders(led, sets, percent)
+        drop(led)
+        links.append(found)
+        pairs.append(more)
+        led = after
+    links.append(verified(reduce(DataFrame.unionAll, pairs).distinct(), sets, percent))
+    drop(sets, *pairs)
+    components = connected_components(reduce(DataFrame.unionAll, links))
+    drop(*links)
+    named = classes.join(components.withColumnRenamed("node", "rep"), "rep", "left").select("p1", "p2", F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id"))
+    full = slim.join(named, ["p1", "p2"], "left")
     return full.select(
         "doc_id",
         F.col("n").alias("n_shingles"),

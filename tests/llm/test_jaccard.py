@@ -3,6 +3,7 @@
 import random
 import re
 
+from tactus.llm import jaccard_join as join
 from tactus.llm.jaccard_join import jaccard_join
 
 
@@ -91,3 +92,41 @@ def test_classes_of_missing_ids_link(spark):
     rows = [(9, text(0)), (None, text()), (4, text(59)), (None, "lone words without an id"), (None, "lone words without an id"), (7, "far from all others")]
     got = sorted(((r["doc_id"], r["n_shingles"], r["class_id"], r["component_id"]) for r in jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), 3, 96).collect()), key=str)
     assert got == sorted([(9, 58, 9, 4), (None, 58, None, 4), (4, 58, 4, 4), (None, 3, None, None), (None, 3, None, None), (7, 2, 7, 7)], key=str)
+
+
+def family(seed, size, length=60):
+    """Near copies of one text with other words at some places, some of them at the same places, and a second version of it."""
+    r = random.Random(seed)
+    base = [r.choice(WORDS) for _ in range(length)]
+    other = base[:20] + [r.choice(WORDS) for _ in range(6)] + base[26:]
+    rows = []
+    for i in range(size):
+        w = list(base if i % 3 else other)
+        for _ in range(r.randint(0, 4)):
+            w[r.choice((5, 30, 31, r.randrange(length)))] = r.choice(WORDS[:7])
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+WORDS = [f"v{i}" for i in range(800)]
+
+
+def test_groups_of_any_size_go_through_leaders(spark, monkeypatch):
+    monkeypatch.setattr(join, "DIFFERENCE_GROUP", 30)  # so that leaders of leaders' groups are needed
+    rows = family(1, 140)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join(df, 3, 80).collect()} == brute(rows, 3, 80)
+
+
+def test_a_large_family(spark):
+    rows = family(3, 700) + [(1000 + i, t) for i, t in family(3, 700)]  # each text twice
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join(df, 3, 90).collect()} == brute(rows, 3, 90)
+
+
+def test_a_very_long_text_and_repeated_ids(spark):
+    r = random.Random(9)
+    long = [r.choice(WORDS) for _ in range(300_000)]
+    rows = [(1, " ".join(long)), (2, " ".join(long[:299_000])), (2, "one two three four"), (5, "one two three four"), (2, "one two three four")]
+    got = sorted((x["doc_id"], x["n_shingles"] > 2, x["component_id"]) for x in jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted([(1, True, 1), (2, True, 1), (2, False, 2), (5, False, 2), (2, False, 2)])
