@@ -9,11 +9,13 @@ import string
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tactus.llm import language_id, quality_crf, quality_rules, queries
+from tactus.llm import language_id, quality_crf, quality_rules, queries, url_filter
 from tactus.llm.bpe import encode_documents, load_codec
+from tactus.llm.common import text_bytes
 from tactus.llm.components import connected_components
 from tactus.llm.decontaminate import build_index, decontaminate, find_near
 from tactus.llm.queries import tokenizer_path
@@ -317,3 +319,77 @@ def test_quality_tells_lines_apart(spark):
     assert all(x["predicted"] == int(x["score"] >= 0.3) for x in got.values())
     assert quality_crf.classify(df.limit(0), quality_crf.fit_quality(df, labels.limit(0))).collect() == []
     assert out.where(F.col("n_lines") < 1).count() == 0
+
+
+def test_many_rules_are_joined(spark):
+    r = random.Random(5)
+    hosts = ["a.com", "b.com", "x.a.com", "y.x.a.com", "com", "net", "c.net", ""]
+    path = lambda: "/" + "/".join(r.choice(["en", "fr", "e", "long-part"]) for _ in range(r.randint(0, 4)))
+    rules = list({(r.choice(["allow", "block"]), r.choice(hosts[:-1]) + path() + str(r.choice(["", "/", i]))) for i in range(5000)})
+    urls = [None, "no scheme", "http://"] + [f"http://{r.choice(['', 'www.'])}{r.choice(hosts)}{path()}{r.choice(['', '/', '?q', '/en/12'])}" for _ in range(400)]
+    df = spark.createDataFrame([(i, u, None) for i, u in enumerate(urls)], "page_id long, url string, html string")
+
+    def brute(host, path):
+        fits = [(-len(rule), v != "allow", rule, v) for v, rule in rules for h, _, p in [rule.partition("/")] if (host == h or host.endswith("." + h)) and path.startswith("/" + p)]
+        return min(fits)[2:] if fits else (None, "allow")
+
+    got = url_filter.judge_urls(df, rules).collect()
+    assert len(rules) > 2000 and len(got) == len(urls)
+    for x in got:
+        assert (x["rule"], x["verdict"]) == brute(x["host"], x["path"]), x
+
+
+def test_phrases_against_a_naive_parse():
+    r = random.Random(7)
+    voc = ["".join(r.choice("abcde") for _ in range(r.randint(2, 7))) for _ in range(60)]
+    ref = {x: " ".join(r.choice(voc[i : i + 40]) for _ in range(300)).replace(" ", "\0").encode() for i, x in ((0, "p"), (20, "q"))}
+    # a text of one phrase after another is the same from any start; one long phrase is not
+    texts = ["", "a", "zz", ref["p"].decode().replace("\0", " ") * 2, " ".join(r.choice(voc) for _ in range(4000)), "ab" * 700, "abz" * 300 + "q", "é" + voc[0]]
+    parser = language_id.train(ref).opened()
+
+    def naive(letters, reference):
+        at = count = 0
+        while at < len(letters):
+            n = 1
+            while at + n <= len(letters) and letters[at : at + n] in reference:
+                n += 1
+            at += max(1, n - 1)
+            count += 1
+        return count
+
+    data, at = text_bytes(pa.array(texts))
+    letters, offsets = language_id._letters(data, at)
+    got = parser.phrases(letters, offsets)
+    for i in range(len(texts)):
+        own = letters[offsets[i] : offsets[i + 1]].tobytes()
+        assert got[i].tolist() == [naive(own, ref[x]) for x in ref], i
+
+
+def test_rules_score_against_plain_python(spark):
+    rows = texts(11, 20)
+    size = 1 << quality_rules.HASH_BITS
+    rng = np.random.default_rng(3)
+    model = quality_rules.NgramModel(rng.normal(0, 3, (3, size)).astype(np.float32), 0.1, 1.3, -0.2)
+
+    def slots(text, kind):
+        data = np.frombuffer(text.encode(), np.uint8)
+        at = np.array([0, len(data)])
+        doc, first, end = quality_rules.find_words(data, at, "space")
+        return quality_rules.feature_slots(data, at, doc, quality_rules.hash_words(data, first, end, False))[kind][1].tolist()
+
+    def p(text):
+        w = re.findall(r"[^\x20\x09-\x0D]+", text)
+        z = model.bias
+        for kind, features in enumerate((w, [" ".join(x) for x in zip(w, w[1:])], [text[i : i + 3] for i in range(len(text) - 2)])):
+            # a feature has the same slot wherever it stands: ask for it alone
+            found = [slots(f, kind)[0] for f in dict.fromkeys(features)]
+            known = dict(zip(dict.fromkeys(features), found, strict=True))
+            z += sum(float(model.weights[kind][known[f]]) for f in features) / max(1, len(features))
+        return 1 / (1 + np.exp(-(model.slope * z + model.offset)))
+
+    got = quality_rules.apply_rules(frame(spark, rows), model).collect()
+    want = {i: p(t or "") for i, t in rows}
+    assert len(got) == len(rows)
+    for r in got:
+        assert abs(r["p_good"] - want[r["doc_id"]]) < 1e-6
+        assert r["kept"] == (not r["base_failed"] and r["p_good"] >= quality_rules.KEEP_AT)
