@@ -186,6 +186,16 @@ def _windows_of(items: list[tuple[str, list[str]]], window: int) -> dict[tuple[s
     return out
 
 
+def _by_rarest(phrases: dict[tuple[str, ...], list[str]], postings: dict[str, int]) -> dict[str, list]:
+    """The phrases by the term that has the fewest postings: a segment without it is done with them. Terms without postings find nothing."""
+    out: dict[str, list] = {}
+    for words, names in phrases.items():
+        rarest = min(words, key=lambda t: (postings.get(t, 0), t))
+        if rarest in postings:
+            out.setdefault(rarest, []).append((words, names))
+    return out
+
+
 def _runs(hit: np.ndarray) -> list[dict[str, int]]:
     """Maximal runs of true values."""
     edges = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
@@ -194,12 +204,12 @@ def _runs(hit: np.ndarray) -> list[dict[str, int]]:
 
 def _phrase_searcher(packed):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        phrases = packed.value
+        by_term = packed.value
         for number, seg in _grouped(batches):
             n_docs = len(seg.ids)
             hit = np.zeros(int(seg.counts.sum()) + n_docs * GAP, bool)
             found: dict[int, set[str]] = {}
-            for words, names in phrases.items():
+            for words, names in (p for term in seg.raw if term in by_term for p in by_term[term]):
                 starts = seg.phrase(words)
                 if len(starts):
                     for i in range(len(words)):
@@ -267,7 +277,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
 
     A document word is hit if it lies in an occurrence of `window` consecutive words of an item (of all words, if the item
     has fewer). spans: the runs of hit words [first, end). Null and empty texts have no words; items without words match
-    nothing; a null item_id counts as ''. Repeated rows each give a row. The benchmark is searched in blocks of at most items_bytes
+    nothing; a null item_id counts as ''. Repeated rows each give a row, a very long text is a segment of its own, and an empty table gives an empty
+    result; with an empty benchmark nothing is hit. The benchmark is searched in blocks of at most items_bytes
     of text against the whole index, so neither side has to fit in memory. Other columns are ignored.
     """
     if window > GAP:
@@ -277,8 +288,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
     results = []
     for block in _item_blocks(benchmark, items_bytes):
         phrases = _windows_of(block, window)
-        packed = spark.sparkContext.broadcast(phrases)  # bounded by items_bytes
-        results.append(_by_segment(index, _terms(spark, phrases)).mapInArrow(_phrase_searcher(packed), RESULT_SCHEMA))
+        terms = _terms(spark, phrases)
+        sizes = index.where("token is not null").join(F.broadcast(terms), "token").groupBy("token").agg(F.sum(F.octet_length("data")).alias("n"))
+        by_term = _by_rarest(phrases, {r["token"]: r["n"] for r in sizes.toLocalIterator()})
+        packed = spark.sparkContext.broadcast(by_term)  # bounded by items_bytes
+        results.append(_by_segment(index, terms).mapInArrow(_phrase_searcher(packed), RESULT_SCHEMA))
     out = results[0]
     if len(results) > 1:  # every block gives a row for every text
         every = reduce(DataFrame.unionAll, results)
