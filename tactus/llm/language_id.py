@@ -5,7 +5,8 @@ parsed greedily into phrases, each the longest that occurs in the language's tex
 few bits. The language that needs the fewest phrases, in proportion to the text and to the bits that name a phrase, wins.
 
 Letters are bytes: A-Z are lowered, runs of other than letters become one mark. Texts are parsed in pieces of PIECE letters, so
-all pieces of many texts advance together, one table look-up each, whatever the lengths of the texts. Any number of languages
+all pieces of many texts advance together, one table look-up each, whatever the lengths of the texts; each piece's start is then
+parsed again from where the piece before ended, so phrases are those of the whole text. Any number of languages
 is scored in blocks of BLOCK_LANGUAGES, one table at a time, keeping the best rate so far.
 """
 
@@ -28,7 +29,8 @@ REFERENCE_ROWS = 60
 PLACES = 4
 #: Languages whose tables are in memory together.
 BLOCK_LANGUAGES = 8
-PIECE = 256
+#: Letters of a text that are parsed in step with others, and letters after which a parse that began elsewhere is in the same state, if not, the text is parsed letter by letter.
+PIECE, MEET = 256, 64
 BLOCK_BYTES = 1 << 20
 #: Text that is held while the blocks of languages pass, if there are several.
 HELD_BYTES = 16 << 20
@@ -135,18 +137,55 @@ class Parser:
         first = offsets[:-1][owner] + nth * PIECE
         left = np.minimum(offsets[1:][owner] - first, PIECE)
         o = np.argsort(-left, kind="stable")  # the pieces that go on are always the first ones
+        place = np.empty_like(o)
+        place[o] = np.arange(len(o))
+        before = np.where(nth[o] > 0, place[o - 1], -1)  # where the piece before is
         first, left, owner = first[o], left[o], owner[o]
         column = self.letter[letters].astype(np.int32)
         state = np.repeat(self.start[:, None], len(owner), axis=1)
         count = np.zeros((k, len(owner)), np.int32)
         going = np.searchsorted(-left, -np.arange(PIECE), "left")  # pieces longer than t
-        for t in range(int(left[0]) if len(left) else 0):
+        longest = int(left[0]) if len(left) else 0
+        seen = []
+        for t in range(longest):
             m = int(going[t])
             got = self.table[state[:, :m] + column[first[:m] + t]]
             count[:, :m] += got & 3
             state[:, :m] = got >> 2
-        count += state != self.start[:, None]  # the phrase that the end of a piece cuts off
-        return np.stack([np.bincount(owner, c, minlength=n) for c in count], axis=1)
+            if t < MEET:
+                seen.append((state[:, :m].copy(), count[:, :m].copy()))
+        # each piece was parsed as if a phrase began there; the parse that comes from the piece before soon is in the same state
+        open_ = np.repeat(before[None, :] >= 0, k, axis=0)
+        now, more = state[:, before], np.zeros((k, len(owner)), np.int32)
+        for t in range(min(MEET, longest)):
+            m = int(going[t])
+            got = self.table[now[:, :m] + column[first[:m] + t]]
+            more[:, :m] += got & 3
+            now[:, :m] = got >> 2
+            was, counted = seen[t]
+            met = open_[:, :m] & (now[:, :m] == was)
+            count[:, :m] += np.where(met, more[:, :m] - counted, 0)
+            open_[:, :m] &= ~met
+        ended = open_ & (left <= MEET)  # a short last piece
+        count, state = np.where(ended, more, count), np.where(ended, now, state)
+        last = np.ones(len(owner), bool)
+        last[before[before >= 0]] = False
+        count += (state != self.start[:, None]) & last  # the phrase that the end of the text cuts off
+        out = np.stack([np.bincount(owner, c, minlength=n) for c in count], axis=1)
+        langs, apart = np.nonzero(open_ & ~ended)
+        for lang, text in set(zip(langs.tolist(), owner[apart].tolist(), strict=True)):
+            out[text, lang] = self.walk(column[offsets[text] : offsets[text + 1]], lang)
+        return out
+
+    def walk(self, columns: np.ndarray, lang: int) -> int:
+        """Phrases of one text, letter by letter."""
+        state = start = int(self.start[lang])
+        count = 0
+        for c in columns.tolist():
+            got = int(self.table[state + c])
+            count += got & 3
+            state = got >> 2
+        return count + (state != start)
 
 
 def train(reference: dict[str, bytes]) -> LanguageModel:
