@@ -1,7 +1,7 @@
 """Quality rules: counted base rules, then a hashed n-gram logistic regression.
 
-Features are hashed words and hashed byte n-grams, each as its share of the text's words or n-grams, so a score is
-a mean of weights and the length of a text doesn't matter. The model is trained on a bounded sample of labelled
+Features are hashed words and word pairs, and hashed n-grams of characters (code points), each as its share of the text's words, pairs
+or n-grams, so a score is a mean of weights and the length of a text doesn't matter. The model is trained on a bounded sample of labelled
 rows, calibrated on a part of it that training doesn't see, and applied to whole texts in Arrow batches.
 """
 
@@ -93,31 +93,59 @@ def base_counts(data: np.ndarray, at: np.ndarray) -> tuple[dict[str, np.ndarray]
     return out, doc, h
 
 
-def gram_slots(data: np.ndarray) -> np.ndarray:
-    """Hash slot of the byte n-gram that starts at each byte (the last GRAM-1 have none)."""
-    n = max(0, len(data) - GRAM + 1)
-    g = data[:n].astype(np.uint32)
-    for i in range(1, GRAM):
-        g = (g << np.uint32(8)) | data[i : n + i]
-    return (g * np.uint32(0x9E3779B1)) >> np.uint32(32 - HASH_BITS)
+def characters(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of UTF-8 texts, each as its bytes in one number, and offsets of the texts among them."""
+    lead = (data & 0xC0) != 0x80
+    first = np.flatnonzero(lead)
+    size = np.diff(np.append(first, len(data)))
+    out = data[first].astype(np.uint32)
+    for i in range(1, 4):
+        more = np.flatnonzero(size > i)
+        out[more] = out[more] << np.uint32(8) | data[first[more] + i]
+    return out, np.concatenate([[0], np.cumsum(lead)])[at]
+
+
+def gram_slots(chars: np.ndarray) -> np.ndarray:
+    """Hash slot of the n-gram of characters that starts at each character (the last GRAM-1 have none)."""
+    n = max(0, len(chars) - GRAM + 1)
+    g = np.zeros(n, np.uint32)
+    for i in range(GRAM):
+        g = (g ^ chars[i : n + i]) * np.uint32(0x9E3779B1)
+        g ^= g >> np.uint32(15)
+    return (g * np.uint32(0x85EBCA6B)) >> np.uint32(32 - HASH_BITS)
+
+
+def word_slots(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - HASH_BITS)).astype(np.int64)
+
+
+#: Kinds of features: words, pairs of neighbouring words, n-grams of characters.
+KINDS = 3
+
+
+def feature_slots(data: np.ndarray, at: np.ndarray, doc: np.ndarray, h: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(document number, slot) of the features of each kind."""
+    i, pairs = windows(doc, h, 2)
+    chars, of = characters(data, at)
+    grams = gram_slots(chars)
+    owner = np.repeat(np.arange(len(at) - 1), np.diff(of))
+    whole = np.flatnonzero(owner[: len(grams)] == owner[GRAM - 1 :])
+    return [(doc, word_slots(h)), (doc[i], word_slots(pairs)), (owner[whole], grams[whole].astype(np.int64))]
 
 
 @dataclass
 class NgramModel:
-    word_weights: np.ndarray
-    gram_weights: np.ndarray
+    weights: np.ndarray  # kind, slot
     bias: float
     slope: float = 1.0
     offset: float = 0.0
 
     def logit(self, data: np.ndarray, at: np.ndarray, doc: np.ndarray, h: np.ndarray) -> np.ndarray:
         n = len(at) - 1
-        words = np.bincount(doc, self.word_weights[(h >> np.uint64(64 - HASH_BITS)).astype(np.int64)], minlength=n)
-        sums = np.concatenate([[0.0], np.cumsum(self.gram_weights[gram_slots(data)], dtype=np.float64)])
-        last = np.minimum(np.maximum(at[1:] - GRAM + 1, at[:-1]), len(sums) - 1)
-        grams = sums[last] - sums[np.minimum(at[:-1], len(sums) - 1)]
-        n_words = np.bincount(doc, minlength=n)
-        return self.bias + words / np.maximum(n_words, 1) + grams / np.maximum(np.diff(at) - GRAM + 1, 1)
+        out = np.full(n, self.bias)
+        for weights, (owner, slots) in zip(self.weights, feature_slots(data, at, doc, h), strict=True):
+            out += np.bincount(owner, weights[slots], minlength=n) / np.maximum(np.bincount(owner, minlength=n), 1)
+        return out
 
     def probability(self, *a) -> np.ndarray:
         return sigmoid(self.slope * self.logit(*a) + self.offset)
@@ -127,30 +155,29 @@ def train(sample: list[tuple[int, str, int]], counts: dict[int, int], rounds: in
     """Fit by Adam on the whole sample's sparse feature matrix; every fifth row calibrates instead."""
     size = 1 << HASH_BITS
     if not sample or len({y for *_, y in sample}) < 2:  # nothing to learn from: keep everything that the base rules keep
-        return NgramModel(np.zeros(size, np.float32), np.zeros(size, np.float32), 10.0)
+        return NgramModel(np.zeros((KINDS, size), np.float32), 10.0)
     y = np.array([s[2] for s in sample])
     rows, cols, vals = [], [], []
     for r, (_, text, _) in enumerate(sample):
         data = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
         at = np.array([0, len(data)])
-        _, first, end = find_words(data, at, "space")
-        slots = (hash_words(data, first, end, False) >> np.uint64(64 - HASH_BITS)).astype(np.int64)
-        for s, base in ((slots, 0), (gram_slots(data).astype(np.int64), size)):
-            u, c = np.unique(s, return_counts=True)
+        doc, first, end = find_words(data, at, "space")
+        for kind, (_, slots) in enumerate(feature_slots(data, at, doc, hash_words(data, first, end, False))):
+            u, c = np.unique(slots, return_counts=True)
             rows.append(np.full(len(u), r))
-            cols.append(u + base)
-            vals.append(c / max(1, len(s)))
+            cols.append(u + kind * size)
+            vals.append(c / max(1, len(slots)))
     rows, cols, vals = np.concatenate(rows), np.concatenate(cols), np.concatenate(vals)
     fit = np.arange(len(sample)) % 5 != 0
     use = fit[rows]
     fr, fc, fv = rows[use], cols[use], vals[use]
     balance = class_weights(y, {0: 1, 1: 1}) * fit
-    w, b = np.zeros(2 * size), 0.0
+    w, b = np.zeros(KINDS * size), 0.0
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, rounds + 1):
         z = np.bincount(fr, fv * w[fc], minlength=len(y)) + b
         d = balance * (sigmoid(z) - y) / fit.sum()
-        g = np.bincount(fc, fv * d[fr], minlength=2 * size) + ridge * w
+        g = np.bincount(fc, fv * d[fr], minlength=KINDS * size) + ridge * w
         gb = d.sum()
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
@@ -160,7 +187,7 @@ def train(sample: list[tuple[int, str, int]], counts: dict[int, int], rounds: in
     z = np.bincount(rows, vals * w[cols], minlength=len(y)) + b
     held = ~fit
     slope, offset = fit_platt(z[held], y[held], class_weights(y, counts)[held])
-    return NgramModel(w[:size].astype(np.float32), w[size:].astype(np.float32), b, slope, offset)
+    return NgramModel(w.reshape(KINDS, size).astype(np.float32), b, slope, offset)
 
 
 _SCHEMA = "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", p_good double"
@@ -187,7 +214,7 @@ def apply_rules(docs: DataFrame, model: NgramModel, keep_at: float = KEEP_AT) ->
     """One row per row of docs (doc_id, text): the base counts, base_failed, p_good and kept.
 
     Null and empty texts have zero counts and fail the base rules. Repeated rows are judged alike; an empty
-    table gives an empty result; other columns are ignored.
+    table gives an empty result; very long texts are scored whole; other columns are ignored.
     """
     packed = docs.sparkSession.sparkContext.broadcast(model)  # 2**HASH_BITS weights of each kind
     out = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_scorer(packed), _SCHEMA)
