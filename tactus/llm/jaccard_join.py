@@ -44,7 +44,7 @@ HEAVY = 0.002
 #: Part of the hash space in which frequencies are counted, in prefixes.
 COUNTED = 2
 #: Counted tokens that one task compares.
-RANGE_TOKENS = 500_000
+RANGE_TOKENS = 200_000
 #: Classes under one token of the first order that are paired directly, and such under one difference from a leader, where few pairs pass.
 GROUP, DIFFERENCE_GROUP = 8, 2048
 #: Pairs tested at once.
@@ -212,7 +212,7 @@ def _postings(k: int, percent: int, ranges: int, packed):
                     more = beyond(w[at[i] : at[i + 1]], -int(made["spare"][i]), heavy, rank)
                     head = made[i : i + 1].copy()
                     head["tokens"] = len(more)
-                    rows.append((-1 - int(made["p1"][i]) % ranges, head.tobytes(), more.astype("<u8").tobytes()))
+                    rows.append((-1 - int(made["p1"][i]) % (64 * ranges), head.tobytes(), more.astype("<u8").tobytes()))
                 if rows:
                     numbers, heads, tokens = zip(*rows, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(heads, pa.binary()), pa.array(tokens, pa.binary())], names=["range", "classes", "tokens"])
