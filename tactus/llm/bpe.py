@@ -26,7 +26,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tactus.llm.common import map_texts
+from tactus.llm.common import hold, map_texts
 
 WORD_END = "</w>"
 #: Words (distinct) that a Python worker remembers; the memory is emptied when full, so its size is bounded.
@@ -34,7 +34,7 @@ REMEMBERED = 150_000
 #: A word longer than this many symbols isn't remembered.
 LONGEST_REMEMBERED = 64
 #: States of the automaton over symbols, and arcs of tokens, that a Python worker keeps; the tables are emptied when full.
-STATES, TRANSITIONS = 100_000, 300_000
+STATES, TRANSITIONS = 60_000, 200_000
 BLOCK_BYTES = 2 << 20
 
 SCHEMA = "n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -282,10 +282,11 @@ class Codec:
     specials: dict[str, int]
     pattern: str
     word_end: str
+    low_pattern: str = ""  # pattern for texts without code points from U+10000
 
     def __post_init__(self):
-        self._find = regex.compile(self.pattern)
-        self._find_low = re.compile(regex.sub(r"\\p\{\w+\}", lambda m: _plane(m[0]), self.pattern))
+        self.low_pattern = self.low_pattern or regex.sub(r"\\p\{\w+\}", lambda m: _plane(m[0]), self.pattern)
+        self._find, self._find_low = regex.compile(self.pattern), re.compile(self.low_pattern)
         self._cut = regex.compile("|".join(regex.escape(s) for s in sorted(self.specials, key=len, reverse=True))) if self.specials else None
         self._hint = os.path.commonprefix(list(self.specials))
         self._bytes = byte_symbols()
@@ -293,7 +294,7 @@ class Codec:
         self._table = Transitions(self.automaton, self.word_end)
 
     def __getstate__(self):
-        return {"automaton": self.automaton, "specials": self.specials, "pattern": self.pattern, "word_end": self.word_end}
+        return {"automaton": self.automaton, "specials": self.specials, "pattern": self.pattern, "word_end": self.word_end, "low_pattern": self.low_pattern}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
@@ -376,18 +377,6 @@ def load_codec(path: str) -> Codec:
     return Codec(TokenAutomaton(model["vocab"], merges), specials, pattern, model["end_of_word_suffix"] or "")
 
 
-_codecs: dict[str, Codec] = {}
-
-
-def _worker_codec(raw: bytes) -> Codec:
-    """The codec packed in raw, once for each Python worker, with the words that it remembers."""
-    key = raw[:16].hex()
-    if key not in _codecs:
-        _codecs.clear()
-        _codecs[key] = pickle.loads(raw[16:])
-    return _codecs[key]
-
-
 def encode_documents(docs: DataFrame, tokenizer: str, with_ids: bool = False, keep: list[str] | None = None) -> DataFrame:
     """Encode and decode every whole text of docs.
 
@@ -400,7 +389,8 @@ def encode_documents(docs: DataFrame, tokenizer: str, with_ids: bool = False, ke
     packed = docs.sparkSession.sparkContext.broadcast(hashlib.md5(raw).digest() + raw)
 
     def block():
-        codec = _worker_codec(packed.value)
+        raw = packed.value
+        codec = hold(f"bpe {raw[:16].hex()}", lambda: pickle.loads(raw[16:]))  # with the words that it remembers
 
         def code(texts: pa.Array) -> dict:
             counts, ids, decoded, lists, shown = [], [], [], [], []
@@ -419,4 +409,4 @@ def encode_documents(docs: DataFrame, tokenizer: str, with_ids: bool = False, ke
 
         return code
 
-    return map_texts(docs, keep or ["doc_id"], block, SCHEMA + (", ids array<int>, decoded string" if with_ids else ""), BLOCK_BYTES)
+    return map_texts(docs, keep or ["doc_id"], block, SCHEMA + (", ids array<int>, decoded string" if with_ids else ""), BLOCK_BYTES, holds=True)

@@ -155,6 +155,24 @@ def release() -> None:
         pass
 
 
+#: What a Python worker keeps from task to task: one thing, such as a tokenizer's tables.
+_held: dict[str, object] = {}
+
+
+def hold(key: str, make: Callable[[], object]) -> object:
+    """make()'s result, kept for the worker's next tasks until another operator's task comes."""
+    if key not in _held:
+        forget()
+        _held[key] = make()
+    return _held[key]
+
+
+def forget() -> None:
+    if _held:
+        _held.clear()
+        release()
+
+
 def row_blocks(batch: pa.RecordBatch, text: str, most: int) -> Iterator[pa.RecordBatch]:
     """Runs of rows with at most `most` bytes of text each; a longer row stands alone."""
     n = batch.num_rows
@@ -170,15 +188,17 @@ def row_blocks(batch: pa.RecordBatch, text: str, most: int) -> Iterator[pa.Recor
         at = to
 
 
-def map_texts(docs: DataFrame, keep: list[str], block: Callable[[], Callable[[pa.Array], dict]], schema: str, block_bytes: int) -> DataFrame:
+def map_texts(docs: DataFrame, keep: list[str], block: Callable[[], Callable[[pa.Array], dict]], schema: str, block_bytes: int, holds: bool = False) -> DataFrame:
     """The columns named in keep, and those that block()(texts) makes of each block of at most block_bytes of text.
 
-    block() is called once in each task. Other columns of docs are dropped, so clashing names do no harm.
+    block() is called once in each task; holds: it uses hold(). Other columns of docs are dropped, so clashing names do no harm.
     """
     rows = docs.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)], F.col("text").alias("_text"))
     names = [f"_k{i}" for i in range(len(keep))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not holds:
+            forget()
         make = block()
         for whole in batches:
             for b in row_blocks(whole, "_text", block_bytes):

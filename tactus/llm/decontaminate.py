@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tactus.llm.common import new_table_path, release, row_blocks, text_bytes
+from tactus.llm.common import forget, new_table_path, release, row_blocks, text_bytes
 from tactus.llm.words import find_words, hash_words, lower_table
 
 WINDOW = 10
@@ -46,6 +46,7 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     number = TaskContext.get().partitionId() << 32
+    forget()
     for whole in batches:
         for b in row_blocks(whole, "text", SEGMENT_BYTES):
             data, at = text_bytes(b.column("text"))

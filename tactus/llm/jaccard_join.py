@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tactus.llm.common import ROW, drop, ids_are_keys, materialise, release, row_blocks, text_bytes, with_rows
+from tactus.llm.common import ROW, drop, forget, ids_are_keys, materialise, release, row_blocks, text_bytes, with_rows
 from tactus.llm.components import connected_components
 from tactus.llm.words import find_words, hash_words, mix, windows
 
@@ -121,6 +121,7 @@ def _scan(k: int):
     """Of each text its set's size and fingerprints; of each block the tokens in many of its texts."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for whole in batches:
             for b in row_blocks(whole, "text", COUNT_BYTES):
                 w, at = shingle_sets(b, k)
