@@ -30,7 +30,7 @@ from tactus.llm.common import hold, map_texts
 
 WORD_END = "</w>"
 #: Words (distinct) that a Python worker remembers; the memory is emptied when full, so its size is bounded.
-REMEMBERED = 150_000
+REMEMBERED = 130_000
 #: A word longer than this many symbols isn't remembered.
 LONGEST_REMEMBERED = 64
 #: States of the automaton over symbols, and arcs of tokens, that a Python worker keeps; the tables are emptied when full.

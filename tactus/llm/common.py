@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -170,6 +171,7 @@ def hold(key: str, make: Callable[[], object]) -> object:
 def forget() -> None:
     if _held:
         _held.clear()
+        gc.collect()
         release()
 
 

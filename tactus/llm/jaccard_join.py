@@ -331,7 +331,8 @@ def sets_of(texts: DataFrame, wanted: DataFrame, k: int, percent: int) -> DataFr
             slot = _slot(b.column("doc_id").to_numpy(zero_copy_only=False), bits)
             yield b.filter(pa.array((words[slot >> 6] >> (slot & 63).astype(np.uint64) & np.uint64(1)).astype(bool)))
 
-    of = texts.mapInArrow(marked, texts.schema).join(wanted, F.col("doc_id") == F.col("rep"), "left_semi")
+    # a merge join parts both steps, so a core has one Python worker at a time
+    of = texts.mapInArrow(marked, texts.schema).join(wanted.hint("merge"), F.col("doc_id") == F.col("rep"), "left_semi")
     out = materialise(of.mapInArrow(_sets(k, percent), "rep long, n long, sig binary, tokens binary"), "sets")
     drop(wanted)
     packed.destroy()
