@@ -273,7 +273,7 @@ def split_sizes(total_: Column, weight: Column) -> Column:
     return F.greatest(F.lit(1), F.rint(total_ * weight).cast("long"))
 
 
-def learning_rate(step: Column, top: float, warm: int, steps: int) -> Column:
-    """Linear warm-up, then a cosine to 0."""
+def learning_rate(step: Column, top: float, warm: int, steps: int, final: float = 1.0) -> Column:
+    """Linear warm-up, then a cosine from top to the share `final` of it at the last step; 1 keeps the rate."""
     done = F.least(F.lit(1.0), (step - warm) / float(max(1, steps - warm)))
-    return F.when(step < warm, top * (step + 1) / float(warm)).otherwise(top * 0.5 * (1 + F.cos(math.pi * done)))
+    return F.when(step < warm, top * (step + 1) / float(warm)).otherwise(top * (final + (1 - final) * 0.5 * (1 + F.cos(math.pi * done))))

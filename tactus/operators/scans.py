@@ -50,30 +50,27 @@ def suppress(peaks: DataFrame, keys: list[str], at: str, value: str, distance: f
 def follow_tempo(peaks: DataFrame, keys: list[str], at: str, value: str, period: str, share: float = 0.35, least: float = 0.02) -> DataFrame:
     """Peaks that a steady beat of `period` (a column, constant for each key) picks: keys, at.
 
-    From the first peak on, the strongest peak within max(share * period, least) of the expected time is taken (ties: the first) and sets the next
-    expectation; without one the expectation moves on by a period.
+    The first expectation is the first peak's time. The strongest peak nearer than max(share * period, least) to it (below it: up to that far; ties: the first) is
+    taken, sets the next expectation a period later, and all peaks of its window are done with; without one the expectation moves on by a period. A series
+    of one peak, or without a positive finite period, keeps all its peaks.
     """
     kinds = {f.name: f.dataType.simpleString() for f in peaks.schema.fields}
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(at, kind="stable")
         t, v, step = pdf[at].to_numpy(float), pdf[value].to_numpy(float), float(pdf[period].iloc[0])
+        if len(t) < 2 or not (0 < step < np.inf):
+            return pdf[[*keys, at]]
         keep: list[int] = []
-        if len(t) and step > 0:
-            half = max(share * step, least)
-            keep.append(0)
-            want, i = t[0] + step, 1
-            while i < len(t):
-                lo, hi = np.searchsorted(t, want - half, "left"), np.searchsorted(t, want + half, "right")
-                lo = max(lo, i)
-                if hi > lo:
-                    best = lo + int(v[lo:hi].argmax())
-                    keep.append(best)
-                    want, i = t[best] + step, best + 1
-                else:  # nothing near: skip the periods before the next peak's window
-                    i = max(i, hi)
-                    if i < len(t):
-                        want += step * max(1, np.ceil((t[i] - half - want) / step))
+        half, want, i = max(share * step, least), t[0], 0
+        while i < len(t):
+            lo, hi = max(i, int(np.searchsorted(t, want - half, "left"))), int(np.searchsorted(t, want + half, "left"))
+            if hi > lo:
+                keep.append(lo + int(v[lo:hi].argmax()))
+                want, i = t[keep[-1]] + step, hi
+            else:
+                want += step
+                i = max(i, int(np.searchsorted(t, want - half, "left")))
         return pdf.iloc[keep][[*keys, at]]
 
     return peaks.select(*keys, at, value, period).groupBy(*keys).applyInPandas(walk, ", ".join(f"{k} {kinds[k]}" for k in [*keys, at]))

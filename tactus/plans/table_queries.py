@@ -392,7 +392,7 @@ def f31_names(spark, d):
 
 @query("""select n_nationkey, greatest(1, round_even(n_nationkey * 0.5, 0)::bigint) as share, round(case when n_nationkey < 5 then 0.001 * (n_nationkey + 1) / 5 else 0.001 * 0.5 * (1 + cos(pi() * least(1, (n_nationkey - 5) / 20))) end, 9) as rate from nation""")
 def w45_schedules(spark, d):
-    return tb(spark, d, "nation").select("n_nationkey", S.split_sizes(F.col("n_nationkey"), F.lit(0.5)).alias("share"), r6(S.learning_rate(F.col("n_nationkey"), 0.001, 5, 25), 9).alias("rate"))
+    return tb(spark, d, "nation").select("n_nationkey", S.split_sizes(F.col("n_nationkey"), F.lit(0.5)).alias("share"), r6(S.learning_rate(F.col("n_nationkey"), 0.001, 5, 25, 0.0), 9).alias("rate"))
 
 
 # --- derived draws ---

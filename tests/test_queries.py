@@ -145,3 +145,39 @@ def test_library_stands_without_the_corpus_operators():
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     code = "import sys; sys.modules['tactus.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; assert len(e.queries()) >= 80 and 'pipeline' not in e.queries()"
     subprocess.run([sys.executable, "-c", code], cwd=root, check=True)
+
+
+def tempo_walk(peaks, period):
+    """The rule of follow_tempo, peak by peak."""
+    if len(peaks) < 2 or not (0 < period < float("inf")):
+        return [t for t, _ in peaks]
+    half, want, i, out = max(0.35 * period, 0.02), peaks[0][0], 0, []
+    while i < len(peaks):
+        near = [p for p in peaks[i:] if want - half <= p[0] < want + half]
+        if near:
+            best = max(near, key=lambda p: (p[1], -p[0]))
+            i = max(k for k, p in enumerate(peaks) if p[0] < want + half) + 1
+            out.append(best[0])
+            want = best[0] + period
+        else:
+            want += period
+            while i < len(peaks) and peaks[i][0] < want - half:
+                i += 1
+    return out
+
+
+def test_follow_tempo_against_a_plain_walk(spark):
+    r = random.Random(4)
+    lists = {0: ([(0.43, 0.17), (0.581, 0.502)], 0.5), 1: ([(0.1, 0.2), (0.2, 0.1)], 0.0), 2: ([(1.0, 1.0)], 0.5)}
+    frame = 256 / 22050
+    lists[3] = ([(i * frame, 0.6) for i in range(0, 400, 20)], 40 * frame)  # a pulse twice as fast as the beat
+    for k in range(4, 300):
+        lists[k] = (sorted((round(r.uniform(0, 12), 3), round(r.random(), 1)) for _ in range(r.randint(0, 40))), r.choice([0.01, 0.3, 0.5, 1.1]))
+    rows = [(k, t, v, p) for k, (peaks, p) in lists.items() for t, v in dict(peaks).items()]
+    df = spark.createDataFrame(rows, "k long, t double, v double, p double").repartition(4)
+    got = {}
+    for x in scans.follow_tempo(df, ["k"], "t", "v", "p").collect():
+        got.setdefault(x["k"], []).append(x["t"])
+    for k, (peaks, p) in lists.items():
+        assert sorted(got.get(k, [])) == tempo_walk(sorted(dict(peaks).items()), p), k
+    assert sorted(got[0]) == [0.581] and 9 <= len(got[3]) <= 11
