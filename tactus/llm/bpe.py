@@ -13,11 +13,14 @@ are small: `target[t]`, `parent[state]`, `lost[(state, t)]` and, for each token,
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import os
 import pickle
 import re
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import cache
 
@@ -147,9 +150,12 @@ class TokenAutomaton:
 
 
 class State(dict):
-    """Symbol -> (next state, last token of what has been read, symbols of that token)."""
+    """Symbol -> (next state, last token of what has been read, symbols of that token); missing ones are worked out."""
 
-    __slots__ = ("ends", "node")
+    __slots__ = ("ends", "node", "step")
+
+    def __missing__(self, symbol: str) -> tuple[State, int, int]:
+        return self.step(self, symbol)
 
 
 class Transitions:
@@ -190,6 +196,8 @@ class Transitions:
         self.clear()
 
     def clear(self) -> None:
+        for state in getattr(self, "states", {}).values():
+            state.clear()  # no cycles are left for the collector to find
         self.states: dict[tuple, State] = {}
         self.start = self.state(0, (-1,))
 
@@ -211,7 +219,7 @@ class Transitions:
         got = self.states.get((node, ends))
         if got is None:
             got = self.states[node, ends] = State()
-            got.node, got.ends = node, ends
+            got.node, got.ends, got.step = node, ends, self.step
         return got
 
     def step(self, state: State, symbol: str) -> tuple[State, int, int]:
@@ -229,9 +237,7 @@ class Transitions:
             self.clear()
         state, read = self.start, []
         for c in symbols:
-            got = state.get(c)
-            if got is None:
-                got = self.step(state, c)
+            got = state[c]
             read.append(got)
             state = got[0]
         at, out = len(read), []
@@ -258,6 +264,18 @@ def _plane(kind: str) -> str:
     return "".join(f"\\u{a:04x}-\\u{b - 1:04x}" for a, b in edges.tolist())
 
 
+@contextmanager
+def _uncollected() -> Iterator[None]:
+    """No cyclic collections for a block of texts: encoding makes many lasting objects and no cycles, which the collector would walk over and over."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 class _Words(dict):
     """Pre-split word -> (ids in decimal, labels, number of ids); missing words are encoded."""
 
@@ -394,16 +412,17 @@ def encode_documents(docs: DataFrame, tokenizer: str, with_ids: bool = False, ke
 
         def code(texts: pa.Array) -> dict:
             counts, ids, decoded, lists, shown = [], [], [], [], []
-            for text in texts.to_pylist():
-                pieces = codec.pieces(text) if text else []
-                pieces, labels, sizes = zip(*pieces, strict=True) if pieces else ((), (), ())
-                joined, back = " ".join(pieces), " ".join(labels)
-                counts.append(sum(sizes))
-                ids.append(hashlib.sha256(joined.encode()).hexdigest())
-                decoded.append(hashlib.sha256(back.encode()).hexdigest())
-                if with_ids:
-                    lists.append(np.array(joined.split(), np.int32))
-                    shown.append(back)
+            with _uncollected():
+                for text in texts.to_pylist():
+                    pieces = codec.pieces(text) if text else []
+                    pieces, labels, sizes = zip(*pieces, strict=True) if pieces else ((), (), ())
+                    joined, back = " ".join(pieces), " ".join(labels)
+                    counts.append(sum(sizes))
+                    ids.append(hashlib.sha256(joined.encode()).hexdigest())
+                    decoded.append(hashlib.sha256(back.encode()).hexdigest())
+                    if with_ids:
+                        lists.append(np.array(joined.split(), np.int32))
+                        shown.append(back)
             out = {"n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(ids, pa.string()), "decoded_sha256": pa.array(decoded, pa.string())}
             return out | ({"ids": pa.array(lists, pa.list_(pa.int32())), "decoded": pa.array(shown, pa.string())} if with_ids else {})
 
