@@ -21,6 +21,8 @@ from tactus.llm.queries import tokenizer_path
 
 #: Near duplicates: word shingles of this length, and percent of Jaccard similarity.
 SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
+#: Part of the encoder's working tables that a task of the last stage may fill.
+BPE_ROOM = 0.4
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,8 +71,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document."""
-    return encode_documents(docs, tokenizer_path(), with_ids=True, keep=["doc_id", "lang", "source"]).drop("decoded")
+    """Token ids of every document. Workers that the stages before started are still there, so none keeps tables while it is idle."""
+    return encode_documents(docs, tokenizer_path(), with_ids=True, keep=["doc_id", "lang", "source"], lasting=False, room=BPE_ROOM).drop("decoded")
 
 
 STAGES = [

@@ -56,6 +56,7 @@ class TokenAutomaton:
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]]):
         self.labels = {i: s for s, i in vocab.items()}
         self.vocab = vocab
+        self.most_steps = TRANSITIONS
         self.steps: dict[tuple[int, int], bool] = {}  # (token before, token) -> whether the arc exists; filled as used
         target: dict[int, int] = {}  # state after an arc labelled t
         parent = [-1]  # the state that this one was copied from
@@ -143,7 +144,7 @@ class TokenAutomaton:
         """arc_of() after the token `before` (-1: at the start of a word), remembered."""
         ok = self.steps.get((before, token))
         if ok is None:
-            if len(self.steps) >= TRANSITIONS:
+            if len(self.steps) >= self.most_steps:
                 self.steps.clear()
             ok = self.steps[before, token] = self.arc_of(self.target[before] if before >= 0 else 0, token)
         return ok
@@ -166,8 +167,10 @@ class Transitions:
     is encoded by one look-up a symbol, and its tokens are picked from its end.
     """
 
-    def __init__(self, automaton: TokenAutomaton, word_end: str):
+    def __init__(self, automaton: TokenAutomaton, word_end: str, room: float = 1.0):
         self.automaton = automaton
+        automaton.most_steps = int(room * TRANSITIONS)
+        self.most = int(room * STATES)
         self.word_end = word_end
         leaf: dict[str, int] = {}
         self.next, self.fail, self.depth, self.found = [{}], [0], [0], [()]
@@ -233,7 +236,7 @@ class Transitions:
         return got
 
     def encode(self, symbols: list[str]) -> list[int]:
-        if len(self.states) > STATES:
+        if len(self.states) > self.most:
             self.clear()
         state, read = self.start, []
         for c in symbols:
@@ -279,14 +282,15 @@ def _uncollected() -> Iterator[None]:
 class _Words(dict):
     """Pre-split word -> (ids in decimal, labels, number of ids); missing words are encoded."""
 
-    def __init__(self, encode):
+    def __init__(self, encode, most: int):
         super().__init__()
         self.encode = encode
+        self.most = most
 
     def __missing__(self, word: str) -> tuple[str, str, int]:
         got = self.encode(word)
         if len(word) <= LONGEST_REMEMBERED:
-            if len(self) >= REMEMBERED:
+            if len(self) >= self.most:
                 self.clear()
             self[word] = got
         return got
@@ -301,6 +305,7 @@ class Codec:
     pattern: str
     word_end: str
     low_pattern: str = ""  # pattern for texts without code points from U+10000
+    room: float = 1.0  # part of REMEMBERED, STATES and TRANSITIONS that is kept
 
     def __post_init__(self):
         self.low_pattern = self.low_pattern or regex.sub(r"\\p\{\w+\}", lambda m: _plane(m[0]), self.pattern)
@@ -308,11 +313,16 @@ class Codec:
         self._cut = regex.compile("|".join(regex.escape(s) for s in sorted(self.specials, key=len, reverse=True))) if self.specials else None
         self._hint = os.path.commonprefix(list(self.specials))
         self._bytes = byte_symbols()
-        self._known = _Words(self.word)
-        self._table = Transitions(self.automaton, self.word_end)
+        self.furnish(self.room)
+
+    def furnish(self, room: float) -> None:
+        """Empty tables of words and transitions, with room for this part of the most that may be kept."""
+        self.room = room
+        self._known = _Words(self.word, int(room * REMEMBERED))
+        self._table = Transitions(self.automaton, self.word_end, room)
 
     def __getstate__(self):
-        return {"automaton": self.automaton, "specials": self.specials, "pattern": self.pattern, "word_end": self.word_end, "low_pattern": self.low_pattern}
+        return {"automaton": self.automaton, "specials": self.specials, "pattern": self.pattern, "word_end": self.word_end, "low_pattern": self.low_pattern, "room": self.room}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
@@ -395,20 +405,25 @@ def load_codec(path: str) -> Codec:
     return Codec(TokenAutomaton(model["vocab"], merges), specials, pattern, model["end_of_word_suffix"] or "")
 
 
-def encode_documents(docs: DataFrame, tokenizer: str, with_ids: bool = False, keep: list[str] | None = None) -> DataFrame:
+def encode_documents(docs: DataFrame, tokenizer: str, with_ids: bool = False, keep: list[str] | None = None, lasting: bool = True, room: float = 1.0) -> DataFrame:
     """Encode and decode every whole text of docs.
 
+    lasting: a Python worker keeps its tables for its next task; otherwise only tasks that run have tables, so idle workers take no memory.
+    room: part of REMEMBERED, STATES and TRANSITIONS that a worker keeps: less takes less memory and more time. Neither changes results.
+
     tokenizer: path of the vocabulary file on the driver; its compiled automaton, whose size is bounded by the vocabulary, is
     broadcast; a file that asks for other steps than the codec's is an error. Very long texts are encoded whole. Returns the columns named in keep (doc_id by default), n_tokens, ids_sha256 and decoded_sha256, and with with_ids also ids
     (array<int>) and decoded. Null and empty texts have no tokens. Repeated rows give repeated rows; an empty table
     gives an empty result. Other columns are dropped.
     """
-    raw = pickle.dumps(load_codec(tokenizer), pickle.HIGHEST_PROTOCOL)
+    compiled = load_codec(tokenizer)
+    compiled.furnish(room)
+    raw = pickle.dumps(compiled, pickle.HIGHEST_PROTOCOL)
     packed = docs.sparkSession.sparkContext.broadcast(hashlib.md5(raw).digest() + raw)
 
     def block():
         raw = packed.value
-        codec = hold(f"bpe {raw[:16].hex()}", lambda: pickle.loads(raw[16:]))  # with the words that it remembers
+        codec = hold(f"bpe {raw[:16].hex()}", lambda: pickle.loads(raw[16:])) if lasting else pickle.loads(raw[16:])  # with the words that it remembers
 
         def code(texts: pa.Array) -> dict:
             counts, ids, decoded, lists, shown = [], [], [], [], []
@@ -428,4 +443,4 @@ def encode_documents(docs: DataFrame, tokenizer: str, with_ids: bool = False, ke
 
         return code
 
-    return map_texts(docs, keep or ["doc_id"], block, SCHEMA + (", ids array<int>, decoded string" if with_ids else ""), BLOCK_BYTES, holds=True)
+    return map_texts(docs, keep or ["doc_id"], block, SCHEMA + (", ids array<int>, decoded string" if with_ids else ""), BLOCK_BYTES, holds=lasting)

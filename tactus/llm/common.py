@@ -206,6 +206,9 @@ def map_texts(docs: DataFrame, keep: list[str], block: Callable[[], Callable[[pa
             for b in row_blocks(whole, "_text", block_bytes):
                 made = make(b.column(len(names)))
                 yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], *[x if isinstance(x, pa.Array) else pa.array(x) for x in made.values()]], names=[*names, *made])
+        if not holds:
+            make = whole = b = made = None  # block()'s tables, which may refer to one another
+            gc.collect()
         release()
 
     kept = "".join(f"_k{i} {docs.schema[c].dataType.simpleString()}, " for i, c in enumerate(keep))
