@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -156,6 +157,29 @@ def release() -> None:
         pass
 
 
+#: Bytes from which glibc maps an array of its own, which goes back to the system when it is freed; by itself it raises this up to 32 MB.
+MAPPED_BYTES = 4 << 20
+
+
+def map_large() -> None:
+    """Keep glibc's limit for arrays that are mapped on their own at MAPPED_BYTES."""
+    try:
+        ctypes.CDLL(None).mallopt(-3, MAPPED_BYTES)  # M_MMAP_THRESHOLD
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def map_arrow(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """df.mapInArrow(work, schema), whose tasks give free memory back when work has ended and its arrays are gone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        map_large()
+        yield from work(batches)
+        release()
+
+    return df.mapInArrow(run, schema)
+
+
 #: What a Python worker keeps from task to task: one thing, such as a tokenizer's tables.
 _held: dict[str, object] = {}
 
@@ -199,6 +223,7 @@ def map_texts(docs: DataFrame, keep: list[str], block: Callable[[], Callable[[pa
     names = [f"_k{i}" for i in range(len(keep))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        map_large()
         if not holds:
             forget()
         make = block()

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tactus.llm.common import forget, new_table_path, release, row_blocks, text_bytes
+from tactus.llm.common import forget, map_arrow, new_table_path, row_blocks, text_bytes
 from tactus.llm.words import find_words, hash_words, lower_table
 
 WINDOW = 10
@@ -78,14 +78,13 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 names=["segment", "token", "doc_ids", "data"],
             )
             number += 1
-    release()
 
 
 def build_index(docs: DataFrame) -> DataFrame:
     """The positional inverted index of docs (doc_id, text), written as a table in the shared folder."""
     spark = docs.sparkSession
     path = new_table_path(spark, "postings")
-    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_segments, INDEX_SCHEMA)
+    rows = map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), _segments, INDEX_SCHEMA)
     rows.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(INDEX_SCHEMA).parquet(path)
 
@@ -270,7 +269,7 @@ def find_near(index: DataFrame, term_sets: list[str], span: int) -> DataFrame:
     """Proximity matches: (doc_id, term_set number, word number of its rarest term) where all words of a term set lie within `span` words of that term."""
     sets = [tuple(item_words(t)) for t in term_sets]
     rows = _by_segment(index, _terms(index.sparkSession, sets))
-    return rows.mapInArrow(_near_searcher(sets, span), MATCH_SCHEMA)
+    return map_arrow(rows, _near_searcher(sets, span), MATCH_SCHEMA)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, items_bytes: int = ITEMS_BYTES) -> DataFrame:
@@ -293,7 +292,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
         sizes = index.where("token is not null").join(F.broadcast(terms), "token").groupBy("token").agg(F.sum(F.octet_length("data")).alias("n"))
         by_term = _by_rarest(phrases, {r["token"]: r["n"] for r in sizes.toLocalIterator()})
         packed = spark.sparkContext.broadcast(by_term)  # bounded by items_bytes
-        results.append(_by_segment(index, terms).mapInArrow(_phrase_searcher(packed), RESULT_SCHEMA))
+        results.append(map_arrow(_by_segment(index, terms), _phrase_searcher(packed), RESULT_SCHEMA))
     out = results[0]
     if len(results) > 1:  # every block gives a row for every text
         every = reduce(DataFrame.unionAll, results)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tactus.llm.common import ROW, drop, forget, ids_are_keys, materialise, release, row_blocks, text_bytes, with_rows
+from tactus.llm.common import ROW, drop, forget, ids_are_keys, map_arrow, materialise, row_blocks, text_bytes, with_rows
 from tactus.llm.components import connected_components
 from tactus.llm.words import find_words, hash_words, mix, windows
 
@@ -135,7 +135,6 @@ def _scan(k: int):
                 counts = {"token": pa.array(u[often].view(np.int64)), "df": pa.array(c[often].astype(np.int64))}
                 columns = [pa.concat_arrays([v, pa.nulls(m, v.type)]) for v in own.values()] + [pa.concat_arrays([pa.nulls(n, v.type), v]) for v in counts.values()]
                 yield pa.RecordBatch.from_arrays(columns, names=[*own, *counts])
-        release()
 
     return scan
 
@@ -217,7 +216,6 @@ def _postings(k: int, percent: int, ranges: int, packed):
                 if rows:
                     numbers, heads, tokens = zip(*rows, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(heads, pa.binary()), pa.array(tokens, pa.binary())], names=["range", "classes", "tokens"])
-        release()
 
     return post
 
@@ -258,7 +256,7 @@ def prefix_postings(texts: DataFrame, classes: DataFrame, heavy: np.ndarray, ran
     counted part. n, d and place aren't set. The more of them, the larger weight: the class is less unlike others."""
     packed = texts.sparkSession.sparkContext.broadcast((heavy, rank))  # bounded through HEAVY
     ranges = int(max(1, total * COUNTED * (100 - percent) / 100 / RANGE_TOKENS))
-    repeated = texts.mapInArrow(_postings(k, percent, ranges, packed), _POSTED).groupBy("range").applyInArrow(_repeated, _REPEATED)
+    repeated = map_arrow(texts, _postings(k, percent, ranges, packed), _POSTED).groupBy("range").applyInArrow(_repeated, _REPEATED)
     # tokens of one class come before all others; of the rest, the `spare` most frequent ones are not in the prefix
     of_class = Window.partitionBy("p1", "p2")
     kept = repeated.withColumn("_place", F.row_number().over(of_class.orderBy(F.desc("df"), F.desc("token")))).where("_place > spare")
@@ -302,7 +300,7 @@ def _id_map(ids: DataFrame, n: int) -> tuple[bytes, int]:
         yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(words[full].view(np.int64))], names=["word", "bits"])
 
     out = np.zeros(1 << bits - 6, np.int64)
-    for r in ids.mapInArrow(mark, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow().to_batches():
+    for r in map_arrow(ids, mark, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow().to_batches():
         out[r.column("word").to_numpy()] = r.column("bits").to_numpy()
     return out.tobytes(), bits
 
@@ -314,7 +312,6 @@ def _sets(k: int, percent: int):
                 w, at = shingle_sets(b, k)
                 tokens = pa.array([w[s:e].tobytes() for s, e in zip(at[:-1], at[1:], strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(at)), pa.array(signatures(w, at, percent), pa.binary()), tokens], names=["rep", "n", "sig", "tokens"])
-        release()
 
     return sets
 
@@ -332,8 +329,8 @@ def sets_of(texts: DataFrame, wanted: DataFrame, k: int, percent: int) -> DataFr
             yield b.filter(pa.array((words[slot >> 6] >> (slot & 63).astype(np.uint64) & np.uint64(1)).astype(bool)))
 
     # a merge join parts both steps, so a core has one Python worker at a time
-    of = texts.mapInArrow(marked, texts.schema).join(wanted.hint("merge"), F.col("doc_id") == F.col("rep"), "left_semi")
-    out = materialise(of.mapInArrow(_sets(k, percent), "rep long, n long, sig binary, tokens binary"), "sets")
+    of = map_arrow(texts, marked, texts.schema).join(wanted.hint("merge"), F.col("doc_id") == F.col("rep"), "left_semi")
+    out = materialise(map_arrow(of, _sets(k, percent), "rep long, n long, sig binary, tokens binary"), "sets")
     drop(wanted)
     packed.destroy()
     return out
@@ -406,10 +403,10 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     sig = lambda s, n, x: sets.select(F.col("rep").alias(s), F.col("n").alias(n), F.col("sig").alias(x))
     alike = F.least("n1", "n2") * 100 >= F.greatest("n1", "n2") * percent
     sizes = pairs.join(sig("a", "n1", "x").drop("x"), "a").join(sig("b", "n2", "y").drop("y"), "b").where(alike).select("a", "b")
-    left = materialise(sizes.join(sig("a", "n1", "x"), "a").join(sig("b", "n2", "y"), "b").mapInArrow(_filter_pairs(percent), "a long, b long"), "survivors")
+    left = materialise(map_arrow(sizes.join(sig("a", "n1", "x"), "a").join(sig("b", "n2", "y"), "b"), _filter_pairs(percent), "a long, b long"), "survivors")
     x, y = (sets.select(F.col("rep").alias(r), F.col("tokens").alias(t)) for r, t in (("src", "x"), ("dst", "y")))
     links = left.select(F.col("a").alias("src"), F.col("b").alias("dst")).join(x, "src").join(y, "dst")
-    out = materialise(links.mapInArrow(_verify(percent), "src long, dst long"), "links")
+    out = materialise(map_arrow(links, _verify(percent), "src long, dst long"), "links")
     drop(left)
     return out
 
@@ -544,7 +541,7 @@ def _pairs(percent: int):
 def pairs_within(members: DataFrame, percent: int) -> DataFrame:
     """Pairs a < b that may be linked among the members of each token, all groups of which are small."""
     dealt = members.select("token", "rep", "role", "n", "d", "place").repartition("token").sortWithinPartitions("token")
-    return dealt.mapInArrow(_pairs(percent), "a long, b long").distinct()
+    return map_arrow(dealt, _pairs(percent), "a long, b long").distinct()
 
 
 def _groups(members: DataFrame) -> DataFrame:
@@ -565,10 +562,10 @@ def _through_leaders(led: DataFrame, sets: DataFrame, percent: int) -> tuple[Dat
     """Of (leader, rep, weight): the links (src, dst), pairs (a, b) that are still to be verified, and what the leaders of the next groups lead."""
     h = sets.select(F.col("rep").alias("leader"), F.col("tokens").alias("h"))
     x = sets.select("rep", F.col("tokens").alias("x"))
-    judged = materialise(led.join(x, "rep").join(h, "leader").mapInArrow(_against(percent), _JUDGED), "judged")
+    judged = materialise(map_arrow(led.join(x, "rep").join(h, "leader"), _against(percent), _JUDGED), "judged")
     links = materialise(judged.where("linked").select(F.col("leader").alias("src"), F.col("rep").alias("dst")), "links")
     open_ = judged.where("not linked").select("leader").distinct().join(sets.select(F.col("rep").alias("leader"), F.col("n").alias("n_leader")), "leader")
-    rows = materialise(judged.join(open_, "leader").drop("leader").mapInArrow(_opened(percent), _MEMBERS), "members")
+    rows = materialise(map_arrow(judged.join(open_, "leader").drop("leader"), _opened(percent), _MEMBERS), "members")
     groups = materialise(_groups(rows), "groups")
     pairs = materialise(pairs_within(rows.join(groups.where(F.col("members") <= DIFFERENCE_GROUP).select("token"), "token"), percent), "pairs")
     led = materialise(_led(rows, groups.where(F.col("members") > DIFFERENCE_GROUP)), "led")
@@ -606,7 +603,7 @@ def jaccard_join(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
 
 def _joined(texts: DataFrame, k: int, percent: int) -> DataFrame:
     """jaccard_join() of texts (doc_id, text) whose doc_ids are keys."""
-    scanned = materialise(texts.mapInArrow(_scan(k), _SLIM), "shingle_counts")
+    scanned = materialise(map_arrow(texts, _scan(k), _SLIM), "shingle_counts")
     slim = scanned.where("token is null").select("doc_id", "n", "p1", "p2")
     total = slim.where("n > 0").agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     heavy = scanned.where("token is not null").groupBy("token").agg(F.sum("df").alias("df")).where(F.col("df") >= max(16, HEAVY * total[0])).toArrow()  # bounded through HEAVY
