@@ -46,7 +46,7 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+    return encode_documents(table(spark, sf_dir, "documents"), tokenizer_path(), room=3)  # nothing stands beside it: larger tables, less CPU time
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
