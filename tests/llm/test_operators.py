@@ -59,6 +59,8 @@ def test_bpe_against_the_library(spark):
             assert r["decoded"] == lib.decode(ids, skip_special_tokens=False)
             assert r["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
             assert r["decoded_sha256"] == hashlib.sha256(r["decoded"].encode()).hexdigest()
+    small = encode_documents(frame(spark, rows), tokenizer_path(), with_ids=True, lasting=False, room=0.0005)  # tables of a few dozen entries
+    assert sorted(map(str, small.collect())) == sorted(str(r) for found in got.values() for r in found)
     codec = load_codec(tokenizer_path())
     assert codec.decode(codec.encode("Hello there")) == lib.decode(lib.encode("Hello there", add_special_tokens=False).ids, skip_special_tokens=False)
     assert encode_documents(frame(spark, []), tokenizer_path()).collect() == []
