@@ -11,6 +11,7 @@ from tactus.llm.bpe import encode_documents
 from tactus.llm.chat_format import repair_chats
 from tactus.llm.common import table
 from tactus.llm.decontaminate import decontaminate
+from tactus.llm.filter_audit import audit, failures
 from tactus.llm.jaccard_join import jaccard_join
 from tactus.llm.language_id import fit_languages, identify
 from tactus.llm.quality_crf import classify, fit_quality
@@ -73,6 +74,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"), k=3, percent=90).select("doc_id", "n_shingles", "component_id")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(failures(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))).drop("filter")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_quality": op2_quality,
@@ -84,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_quality_rules": op9_quality_rules,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_filter_audit": op11_filter_audit,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -129,4 +135,23 @@ ORACLE_SQL: dict[str, str] = {
         m as (select p.page_id, arg_max(r.rule, length(r.rule)) as rule, arg_max(r.verdict, length(r.rule)) as verdict
             from p join r on (p.host = r.h or p.host like '%.' || r.h) and starts_with(p.path, r.p) group by p.page_id)
         select p.page_id, p.host, p.path, m.rule, coalesce(m.verdict, 'allow') as verdict from p left join m using (page_id)""",
+    "op11_filter_audit": r"""
+        with recursive t as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as x, regexp_extract_all(coalesce(text, ''), '[^ \t-\r]+') as w from documents),
+        f as (select doc_id, part, (len(w) < 50)::int + 2 * (100 * len(list_distinct(w)) < 65 * len(w))::int + 4 * (100 * length(regexp_replace(x, '[^A-Z]', '', 'g')) > 5 * length(x))::int
+            + 8 * regexp_matches(x, '[#$%&*|]')::int + 16 * coalesce(doc_id > min(doc_id) over (partition by x), false)::int as m from t),
+        l as (select doc_id, max((quality = 1)::int) as good, max((toxic = 1)::int) as toxic from labels group by doc_id),
+        c as (select part, m, count(*) as n, sum(coalesce(good, 0)) as good, sum(coalesce(toxic, 0)) as toxic from f left join l using (doc_id) group by part, m),
+        b as (select unnest(range(5)) as i),
+        o(s, used, k) as (select '', 0, 0 union all select s || chr(65 + i::int), used | (1 << i::int), k + 1 from o, b where k < 5 and used & (1 << i::int) = 0),
+        z as (select s, k, (1 << (ascii(s[k]) - 65)) as bit, list_reduce(list_prepend(0, list_transform(range(1, k), lambda j: 1 << (ascii(s[j]) - 65))), lambda x, y: x | y) as before
+            from (select s, unnest(range(1, 6)) as k from o where o.k = 5)),
+        r as (select part, s as filter_order, k::int as step, bit,
+            sum(case when m & (before | bit) = 0 then n else 0 end)::bigint as kept,
+            sum(case when m & before = 0 and m & bit > 0 then n else 0 end)::bigint as removed,
+            sum(case when m & before > 0 and m & bit > 0 then n else 0 end)::bigint as redundant,
+            sum(case when m = bit then n else 0 end)::bigint as unique_fails,
+            sum(case when m & before = 0 and m & bit > 0 then good else 0 end)::bigint as good_lost,
+            sum(case when m & before = 0 and m & bit > 0 then toxic else 0 end)::bigint as toxic_lost
+            from c, z group by all)
+        select * exclude (bit), (sum(removed) over (partition by part, bit))::bigint as shapley from r""",
 }
