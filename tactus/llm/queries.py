@@ -14,6 +14,7 @@ from tactus.llm.decontaminate import decontaminate
 from tactus.llm.filter_audit import audit, failures
 from tactus.llm.jaccard_join import jaccard_join
 from tactus.llm.language_id import fit_languages, identify
+from tactus.llm.prefix_trie import prefix_trie
 from tactus.llm.quality_crf import classify, fit_quality
 from tactus.llm.quality_rules import apply_rules, fit_rules
 from tactus.llm.sharding import shard_documents
@@ -78,6 +79,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(failures(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))).drop("filter")
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations")).drop("path", "path2", "parent", "parent2")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_quality": op2_quality,
@@ -90,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_jaccard_join": op10_jaccard_join,
     "op11_filter_audit": op11_filter_audit,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -154,4 +160,19 @@ ORACLE_SQL: dict[str, str] = {
             sum(case when m & before = 0 and m & bit > 0 then toxic else 0 end)::bigint as toxic_lost
             from c, z group by all)
         select * exclude (bit), (sum(removed) over (partition by part, bit))::bigint as shapley from r""",
+    "op13_prefix_trie": r"""
+        with t as (select conv_id, row_number() over (partition by conv_id order by turn nulls first, role, text) as k, {'r': coalesce(role, ''), 'x': coalesce(text, '')} as v from conversations where conv_id is not null),
+        s as (select conv_id, list(v order by k) as own from t group by conv_id),
+        h as (select conv_id, own, list_reduce(list_prepend(4294967295::bigint, flatten(list_transform(string_split(conv_id::varchar, ''), lambda c: [ascii(c)::bigint, 0, 0, 0, 0, 0, 0, 0]))),
+            lambda a, b: xor(xor(a, b) >> 1, case when xor(a, b) & 1 = 1 then 3988292384 else 0 end)) as c from s),
+        b as (select h.conv_id, h.own, (xor(c, 4294967295::bigint) % 6)::int as n, coalesce(s.own, []) as base from h left join s on s.conv_id = h.conv_id - h.conv_id % 100),
+        q as (select conv_id, list_concat(base[1:n], own[n + 1:]) as seq from b),
+        m as (select conv_id, len(seq) as total, d, seq[d] as last, sha256(seq[1:d]::varchar) as id, sha256(seq[1:d - 1]::varchar) as up from (select conv_id, seq, unnest(range(0, len(seq) + 1)) as d from q)),
+        n as (select id, d, any_value(up) as up, min(conv_id) as conv_id, count(*) as n_convs, any_value(coalesce(length(last.x), 0)) as points,
+            sha256(coalesce(string_agg(case when total = d then conv_id::varchar end, ',' order by conv_id), '')) as ends_sha256 from m group by id, d),
+        c as (select up, d, count(*) as k from n where d > 0 group by up, d),
+        a as (select distinct x.id as id, x.d as d, y.id as below from m x join m y on x.conv_id = y.conv_id and y.d >= x.d),
+        z as (select a.id, a.d, count(*) filter (where c.k is null) as n_leaves, sum((n.n_convs - 1) * n.points) as saved from a join n on n.id = a.below left join c on c.up = n.id and c.d = n.d + 1 group by a.id, a.d)
+        select n.d::bigint as depth, n.conv_id, p.conv_id as parent_conv_id, n.n_convs, coalesce(c.k, 0)::bigint as n_children, z.n_leaves, z.saved::bigint as saved_tokens, n.ends_sha256
+        from n left join n p on n.d > 0 and p.id = n.up and p.d = n.d - 1 left join c on c.up = n.id and c.d = n.d + 1 join z on z.id = n.id and z.d = n.d""",
 }
