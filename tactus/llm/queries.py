@@ -18,6 +18,7 @@ from tactus.llm.prefix_trie import prefix_trie
 from tactus.llm.quality_crf import classify, fit_quality
 from tactus.llm.quality_rules import apply_rules, fit_rules
 from tactus.llm.sharding import shard_documents
+from tactus.llm.substring_dedup import remove_repeats
 from tactus.llm.url_filter import judge_urls
 from tactus.llm.warc import warc_round_trip
 
@@ -79,6 +80,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(failures(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))).drop("filter")
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(table(spark, sf_dir, "conversations")).drop("path", "path2", "parent", "parent2")
 
@@ -95,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_jaccard_join": op10_jaccard_join,
     "op11_filter_audit": op11_filter_audit,
+    "op12_substring_dedup": op12_substring_dedup,
     "op13_prefix_trie": op13_prefix_trie,
 }
 
@@ -160,6 +166,14 @@ ORACLE_SQL: dict[str, str] = {
             sum(case when m & before = 0 and m & bit > 0 then toxic else 0 end)::bigint as toxic_lost
             from c, z group by all)
         select * exclude (bit), (sum(removed) over (partition by part, bit))::bigint as shapley from r""",
+    "op12_substring_dedup": r"""
+        with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^ \t-\r]+') as w from documents),
+        g as (select doc_id, p, array_to_string(w[p : p + 49], ' ') as s from (select doc_id, w, unnest(range(1, len(w) - 48)) as p from d where len(w) >= 50)),
+        m as (select doc_id, p, min(doc_id) over (partition by s) as least from g),
+        r as (select distinct doc_id, unnest(range(p, p + 50)) as k from m where least < doc_id),
+        t as (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as k from d),
+        x as (select t.doc_id, string_agg(t.word, ' ' order by t.k) as kept, count(*) as n from t anti join r on r.doc_id = t.doc_id and r.k = t.k group by t.doc_id)
+        select d.doc_id, len(d.w)::bigint as n_words, (len(d.w) - coalesce(x.n, 0))::bigint as n_removed, sha256(coalesce(x.kept, '')) as kept_sha256 from d left join x using (doc_id)""",
     "op13_prefix_trie": r"""
         with t as (select conv_id, row_number() over (partition by conv_id order by turn nulls first, role, text) as k, {'r': coalesce(role, ''), 'x': coalesce(text, '')} as v from conversations where conv_id is not null),
         s as (select conv_id, list(v order by k) as own from t group by conv_id),
