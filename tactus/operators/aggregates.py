@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tactus.operators.series import carry, index_rows
+from tactus.operators.series import carry, index_rows, running_sum
+from tactus.sources.materialise import cut
 
 
 def probe(df: DataFrame, keys: list[str], value: Column, clip: float = 0.999) -> DataFrame:
@@ -146,8 +147,6 @@ def lower_median(df: DataFrame, keys: list[str], order: list[str], value: str, b
 
 def prune_oldest(items: DataFrame, order: list[str], size: str, bucket: Column, budget: float) -> DataFrame:
     """Items to evict, oldest first, until the rest fits the budget; adds `before`: the size of all older ones."""
-    from tactus.operators.series import running_sum
-
     one = items.withColumn("_all", F.lit(0))
     summed = running_sum(one, ["_all"], order, bucket, F.col(size).cast("double"), "_to")
     total = one.groupBy("_all").agg(F.sum(F.col(size).cast("double")).alias("_total"))
@@ -155,23 +154,33 @@ def prune_oldest(items: DataFrame, order: list[str], size: str, bucket: Column,
     return summed.join(F.broadcast(total), "_all").withColumn("before", before).where(F.col("_total") - F.col("before") > budget).drop("_all", "_to", "_total")
 
 
-def bootstrap(df: DataFrame, group: str, item: str, value: str, draws: int, seed: str) -> DataFrame:
+def poisson(u: Column, rate: Column) -> Column:
+    """The Poisson count of `rate` at the quantile u in [0, 1)."""
+    step = lambda s, k: F.struct(
+        (s["n"] + (u >= s["sum"]).cast("int")).alias("n"), (s["p"] * rate / k).alias("p"), (s["sum"] + s["p"] * rate / k).alias("sum")
+    )
+    first = F.exp(-rate)
+    return F.aggregate(F.sequence(F.lit(1), 20 + 4 * F.ceil(rate).cast("int")), F.struct(F.lit(0).alias("n"), first.alias("p"), first.alias("sum")), step)["n"]
+
+
+def bootstrap(df: DataFrame, group: str, item: str, value: str, draws: int, seed: str, bucket: Column) -> DataFrame:
     """Means of `draws` resamples, first of groups, then of items within them, with their 95 % interval from sorted places.
 
-    Draws are hashes, so results repeat. Work is groups * draws for the first level, and items of drawn groups for the second;
-    both join on (group, place), never item by item.
+    Draws are hashes, so results repeat. How often a draw takes each group is counted from as many slots as there are groups (a multinomial count); how often it takes an item of a
+    group that it took c times is a Poisson count of rate c of its own, so items are never gathered, numbered or written once a draw: each adds to the draws' sums where it is read.
+    bucket: an expression of the group that follows its order, for numbering groups.
     """
     from tactus.functions.scalar import uniform
 
-    placed = df.withColumn("_i", F.row_number().over(Window.partitionBy(group).orderBy(item)) - 1)
-    sizes = df.groupBy(group).agg(F.count("*").alias("_n"))
-    g = sizes.withColumn("_g", F.row_number().over(Window.orderBy(group)) - 1)  # one row for each group
-    n_groups = g.count()
-    draw = F.sequence(F.lit(0), F.lit(draws - 1))
-    slots = df.sparkSession.range(n_groups).select(F.col("id").alias("slot"), F.explode(draw).alias("draw"))
-    drawn = slots.withColumn("_g", F.floor(uniform(F.concat_ws("/", "draw", "slot"), seed) * n_groups).cast("int")).join(g, "_g")
-    items = drawn.withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
-    items = items.withColumn("_i", F.floor(uniform(F.concat_ws("/", "draw", "slot", "_k"), seed, 1) * F.col("_n")).cast("int"))
-    means = items.join(placed.select(group, "_i", value), [group, "_i"]).groupBy("draw").agg(F.avg(value).alias("mean"))
+    groups = df.where(F.col(group).isNotNull()).select(group).distinct().withColumn("_all", F.lit(0))
+    placed = cut(index_rows(groups, ["_all"], [group], bucket, "_g").drop("_all"), "places")
+    n = placed.count()
+    draw = F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")
+    slots = df.sparkSession.range(n).select(F.col("id").alias("slot"), draw)
+    taken = slots.groupBy("draw", F.floor(uniform(F.concat_ws("/", "draw", "slot"), seed) * n).alias("_g")).agg(F.count("*").alias("c"))
+    taken = taken.join(placed, "_g").groupBy(group).agg(F.collect_list(F.struct("draw", "c")).alias("_taken"))
+    each = df.select(group, F.col(item).alias("_item"), F.col(value).cast("double").alias("_v")).where("_v is not null").join(taken, group).select(group, "_item", "_v", F.inline("_taken"))
+    times = poisson(uniform(F.concat_ws("/", "draw", group, "_item"), seed, 1), F.col("c").cast("double"))
+    means = each.withColumn("_w", times).groupBy("draw").agg(F.try_divide(F.sum(F.col("_w") * F.col("_v")), F.sum("_w")).alias("mean"))
     s = F.array_sort(F.collect_list("mean"))
     return means.agg(F.avg("mean").alias("mean"), F.get(s, F.lit(int(0.025 * draws))).alias("low"), F.get(s, F.lit(int(0.975 * draws) - 1)).alias("high"))

@@ -6,9 +6,12 @@ intervals into cells of a fixed width and join on (key, cell), so the work is in
 
 from __future__ import annotations
 
+from collections import deque
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tactus.operators.block_scans import stream_sorted
 from tactus.operators.series import carry, sessions
 
 GRID, ROW = 0, 1
@@ -74,29 +77,41 @@ def match_within(ref: DataFrame, est: DataFrame, keys: list[str], at: str, toler
     """Greedy one-to-one matches of two lists of times: keys, ref_at, est_at.
 
     Both lists are walked in order; the two front times match if they are within tolerance, else the smaller is passed over.
-    Where two neighbouring times of the merged lists lie more than the tolerance apart nothing can match across, so
-    each such session is walked on its own.
+    The merged times stream by: those of one list that wait for a match are a queue, from whose front the times out of reach are dropped. Where two neighbouring times lie more than the tolerance apart
+    nothing can match across, so such sessions are walked by themselves.
     """
-    both = ref.select(*keys, F.col(at).alias("_t"), F.lit(0).alias("_kind")).unionAll(est.select(*keys, F.col(at).alias("_t"), F.lit(1).alias("_kind")))
-    both = both.withColumn("_tie", F.monotonically_increasing_id())
+    kinds = {f.name: f.dataType.simpleString() for f in ref.schema.fields}
+    side = lambda df, kind: df.select(*keys, F.col(at).cast("double").alias("_t"), F.lit(kind).alias("_kind"))
+    both = side(ref, 0).unionAll(side(est, 1)).where("_t is not null").withColumn("_tie", F.monotonically_increasing_id())
     # a hair above the tolerance: equal to it still matches
-    cut = sessions(both, keys, ["_t", "_kind", "_tie"], bucket, F.col("_t").cast("double"), tolerance * (1 + 1e-9) + 1e-12)
-    lists = cut.groupBy(*keys, "session").agg(
-        F.array_sort(F.collect_list(F.when(F.col("_kind") == 0, F.col("_t").cast("double")))).alias("r"), F.array_sort(F.collect_list(F.when(F.col("_kind") == 1, F.col("_t").cast("double")))).alias("e")
-    )
-    lists = lists.where((F.size("r") > 0) & (F.size("e") > 0))
-    # state: the next place in e, and the matches so far; each r skips the e that are too early for it
-    zero = F.struct(F.lit(0).alias("i"), F.array().cast("array<struct<r:double,e:double>>").alias("m"))
-
-    def step(s: Column, r: Column) -> Column:
-        late = F.filter(F.transform("e", lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda x: (x["i"] >= s["i"]) & (x["x"] >= r - tolerance))
-        front = F.get(late, 0)
-        hit = front.isNotNull() & (front["x"] <= r + tolerance)
-        i = F.when(front.isNull(), F.size("e")).when(hit, front["i"] + 1).otherwise(front["i"])
-        return F.struct(i.alias("i"), F.when(hit, F.concat(s["m"], F.array(F.struct(r.alias("r"), front["x"].alias("e"))))).otherwise(s["m"]).alias("m"))
-
-    found = lists.withColumn("_hit", F.explode(F.aggregate("r", zero, step)["m"]))
-    return found.select(*keys, F.col("_hit.r").alias("ref_at"), F.col("_hit.e").alias("est_at"))
+    dealt = sessions(both, keys, ["_t", "_kind", "_tie"], bucket, F.col("_t"), tolerance * (1 + 1e-9) + 1e-12)
+
+    def start():
+        queue: deque = deque()
+        kind = 0
+
+        def step(row: dict | None, new: bool) -> list[dict]:
+            nonlocal kind
+            if row is None or new:
+                queue.clear()
+            if row is None:
+                return []
+            t = row["_t"]
+            while queue and queue[0] < t and abs(queue[0] - t) > tolerance:
+                queue.popleft()
+            if queue and kind != row["_kind"]:
+                other = queue.popleft()
+                r, e = (other, t) if kind == 0 else (t, other)
+                return [{**{k: row[k] for k in keys}, "ref_at": r, "est_at": e}]
+            kind = row["_kind"]
+            queue.append(t)
+            return []
+
+        return step
+
+    rows = dealt.select(*keys, F.col("session._tie").alias("_session"), "_t", "_kind")
+    schema = ", ".join([*[f"{k} {kinds[k]}" for k in keys], "ref_at double", "est_at double"])
+    return stream_sorted(rows, [*keys, "_session"], ["_t", "_kind"], start, schema)
 
 
 def gather(rows: DataFrame, curve: DataFrame, keys: list[str], at: Column, idx: str, value: str) -> DataFrame:

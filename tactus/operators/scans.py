@@ -1,8 +1,8 @@
 """Order-dependent scans that no window expresses: each state depends on earlier decisions.
 
 Where a scan can be cut exactly (gap collapse, suppression within a distance) the cuts are found first and every piece is
-walked on its own with aggregate() over a sorted array. Where it can't (Viterbi, tempo tracking, moving averages with memory) a series
-is walked whole; a series is then the unit of parallel work, in Arrow batches, and its length the bound of a task.
+walked on its own. Greedy choices (suppression, top windows) are made in rounds, which settle every place at once where a choice is certain. Steps that compose (best paths,
+averages with memory) are in block_scans. Only tempo tracking is walked in order by one task for a series, as a stream.
 """
 
 from __future__ import annotations
@@ -12,7 +12,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tactus.operators.block_scans import ema, stream_sorted, viterbi  # noqa: F401  scans of this module's kind
 from tactus.operators.series import sessions
+from tactus.sources.materialise import cut
 
 
 def collapse_gaps(peaks: DataFrame, keys: list[str], at: str, value: str, gap: float, bucket: Column) -> DataFrame:
@@ -36,100 +38,123 @@ def collapse_gaps(peaks: DataFrame, keys: list[str], at: str, value: str, gap: f
     return kept.select(*keys, F.col("_kept.t").alias(at), F.col("_kept.v").alias(value))
 
 
-def suppress(peaks: DataFrame, keys: list[str], at: str, value: str, distance: float, bucket: Column) -> DataFrame:
-    """Non-maximum suppression: peaks by falling value (ties: the earlier first), kept if at least `distance` from all kept ones."""
-    named = peaks.select(*keys, F.col(at).cast("double").alias("_t"), F.col(value).cast("double").alias("_v"))
-    cut = sessions(named, keys, ["_t", "_v"], bucket, F.col("_t"), distance)
-    lists = cut.groupBy(*keys, "session").agg(F.array_sort(F.collect_list(F.struct((-F.col("_v")).alias("n"), F.col("_t").alias("t")))).alias("p"))
-    none = F.array().cast("array<struct<n:double,t:double>>")
-    step = lambda kept, p: F.when(F.exists(kept, lambda k: F.abs(k["t"] - p["t"]) < distance), kept).otherwise(F.concat(kept, F.array(p)))
-    kept = lists.withColumn("_kept", F.explode(F.aggregate("p", none, step)))
-    return kept.select(*keys, F.col("_kept.t").alias(at), (-F.col("_kept.n")).alias(value))
+#: Rounds of suppress() after which what is left open is walked session by session.
+ROUNDS = 12
+#: Periods by which follow_tempo() moves on one by one, as sums are rounded.
+STEPS = 4096
+
+
+def suppress(peaks: DataFrame, keys: list[str], at: str, value: str, distance: float, bucket: Column, rounds: int = ROUNDS) -> DataFrame:
+    """Non-maximum suppression: peaks by falling value (ties: the earlier first), kept if at least `distance` from all kept ones. Nulls and NaN are no peaks.
+
+    In each round the best open peak of every cell of width `distance` is kept unless a better open one of the next cells lies within reach of it; kept peaks then close all peaks
+    within reach. A peak meets the best of its two neighbour cells and the kept ones of three, so a round is linear in the open peaks however many lie close together. Long staircases of peaks, each
+    barely in reach of a better one, take a round a step: what is open after `rounds` is walked in sessions, which no distance links.
+    """
+    t, v = F.col(at).cast("double"), F.col(value).cast("double")
+    left = peaks.select(*keys, t.alias("_t"), v.alias("_v")).where("_t is not null and not isnan(_t) and _v is not null and not isnan(_v)").distinct()
+    left = cut(left.withColumn("_c", F.floor(F.col("_t") / distance)), "open")
+    by, done = [*keys, "_c"], []
+    near = lambda c: F.abs(F.col("_t") - c) < distance
+    for _ in range(rounds):
+        if left.isEmpty():
+            break
+        top = left.groupBy(*by).agg(F.max(F.struct("_v", (-F.col("_t")).alias("n"))).alias("_top"))
+        tops = top.select(*by, (-F.col("_top.n")).alias("_tt"), F.col("_top._v").alias("_tv"))
+        beside = tops.select(*keys, F.explode(F.array(F.col("_c") - 1, F.col("_c") + 1)).alias("_c"), F.col("_c").alias("_of"), "_tt", "_tv")
+        better = (F.col("_v") > F.col("_tv")) | ((F.col("_v") == F.col("_tv")) & (F.col("_t") < F.col("_tt")))
+        beaten = left.join(beside, by).where(near(F.col("_tt")) & better).select(*keys, F.col("_of").alias("_c")).distinct()
+        kept = cut(tops.join(beaten, by, "left_anti"), "kept")
+        done.append(kept)
+        reach = kept.select(*keys, F.explode(F.array(F.col("_c") - 1, F.col("_c"), F.col("_c") + 1)).alias("_c"), "_tt").groupBy(*by).agg(F.collect_list("_tt").alias("_near"))
+        left = cut(left.join(reach, by, "left").where(F.col("_near").isNull() | ~F.exists("_near", near)).drop("_near"), "open")
+    out = [k.select(*keys, F.col("_tt").alias(at), F.col("_tv").alias(value)) for k in done]
+    if not left.isEmpty():
+        out.append(_suppress_sessions(left, keys, at, value, distance, bucket))
+    first, *rest = out or [left.select(*keys, F.col("_t").alias(at), F.col("_v").alias(value))]
+    for x in rest:
+        first = first.unionAll(x)
+    return first
+
+
+def _suppress_sessions(left: DataFrame, keys: list[str], at: str, value: str, distance: float, bucket: Column) -> DataFrame:
+    kinds = {f.name: f.dataType.simpleString() for f in left.schema.fields}
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["_v", "_t"], ascending=[False, True])
+        kept: dict[int, float] = {}  # a cell has one kept peak at most
+        rows = []
+        for i, (c, t) in enumerate(zip(pdf["_c"], pdf["_t"], strict=True)):
+            if all(abs(t - kept.get(x, np.inf)) >= distance for x in (c - 1, c, c + 1)):
+                kept[c] = t
+                rows.append(i)
+        return pdf.iloc[rows][[*keys, "_t", "_v"]]
+
+    cut_ = sessions(left, keys, ["_t", "_v"], bucket, F.col("_t"), distance)
+    found = cut_.groupBy(*keys, "session").applyInPandas(walk, ", ".join([*[f"{k} {kinds[k]}" for k in keys], "_t double", "_v double"]))
+    return found.select(*keys, F.col("_t").alias(at), F.col("_v").alias(value))
 
 
 def follow_tempo(peaks: DataFrame, keys: list[str], at: str, value: str, period: str, share: float = 0.35, least: float = 0.02) -> DataFrame:
     """Peaks that a steady beat of `period` (a column, constant for each key) picks: keys, at.
 
     The first expectation is the first peak's time. The strongest peak nearer than max(share * period, least) to it (below it: up to that far; ties: the first) is
-    taken, sets the next expectation a period later, and all peaks of its window are done with; without one the expectation moves on by a period. A series
-    of one peak, or without a positive finite period, keeps all its peaks.
+    taken, sets the next expectation a period later, and all peaks of its window are done with; without one the expectation moves on by a period, again and again
+    until its window ends after the next peak, in a long gap (over STEPS periods) at once. A series of one peak, or without a positive finite period, keeps all its peaks. Peaks stream by in order: a window is the only state.
     """
     kinds = {f.name: f.dataType.simpleString() for f in peaks.schema.fields}
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(at, kind="stable")
-        t, v, step = pdf[at].to_numpy(float), pdf[value].to_numpy(float), float(pdf[period].iloc[0])
-        if len(t) < 2 or not (0 < step < np.inf):
-            return pdf[[*keys, at]]
-        keep: list[int] = []
-        half, want, i = max(share * step, least), t[0], 0
-        while i < len(t):
-            lo, hi = max(i, int(np.searchsorted(t, want - half, "left"))), int(np.searchsorted(t, want + half, "left"))
-            if hi > lo:
-                keep.append(lo + int(v[lo:hi].argmax()))
-                want, i = t[keep[-1]] + step, hi
-            else:
-                want += step
-                i = max(i, int(np.searchsorted(t, want - half, "left")))
-        return pdf.iloc[keep][[*keys, at]]
-
-    return peaks.select(*keys, at, value, period).groupBy(*keys).applyInPandas(walk, ", ".join(f"{k} {kinds[k]}" for k in [*keys, at]))
-
-
-def viterbi(steps: DataFrame, keys: list[str], idx: str, logs: str, stay: float) -> DataFrame:
-    """Most likely state of every step: keys, idx, state, score (log probability of the state at the step).
-
-    logs: log probabilities by state. A state stays with probability `stay` and moves to each other state with
-    an equal share of the rest; equally good predecessors: the lowest state; equally good ends: the last one.
-    """
-    kinds = {f.name: f.dataType.simpleString() for f in steps.schema.fields}
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(idx, kind="stable")
-        x = np.stack(pdf[logs].to_numpy()).astype(float)
-        n, k = x.shape
-        move = np.log((1 - stay) / max(1, k - 1))
-        hold = np.log(stay)
-        back = np.zeros((n, k), np.int32)
-        score = x[0].copy()
-        for t in range(1, n):
-            best = int(score.argmax())
-            other = score[best] + move
-            own = score + hold
-            # a state's best predecessor is itself or the best one of all; on ties the lower
-            use_self = (own > other) | ((own == other) & (np.arange(k) < best)) | (np.arange(k) == best)
-            back[t] = np.where(use_self, np.arange(k), best)
-            score = np.where(use_self, own, other) + x[t]
-        state = np.zeros(n, np.int32)
-        state[-1] = k - 1 - int(score[::-1].argmax())
-        for t in range(n - 1, 0, -1):
-            state[t - 1] = back[t, state[t]]
-        out = pdf[[*keys, idx]].copy()
-        out["state"], out["score"] = state, x[np.arange(n), state]
-        return out
-
-    schema = ", ".join(f"{c} {kinds[c]}" for c in [*keys, idx]) + ", state int, score double"
-    return steps.select(*keys, idx, logs).groupBy(*keys).applyInPandas(walk, schema)
-
-
-def ema(df: DataFrame, keys: list[str], order: list[str], value: str, decay: float) -> DataFrame:
-    """Moving average with memory, whose decay grows as (1 + u) / (10 + u) up to `decay`: one row per key with the last average."""
-    lists = df.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col(value).cast("double").alias("_v")))), lambda s: s["_v"]).alias("x"))
-    zero = F.struct(F.lit(0.0).alias("u"), F.lit(None).cast("double").alias("m"))
-
-    def step(s: Column, x: Column) -> Column:
-        d = F.least(F.lit(decay), (1 + s["u"]) / (10 + s["u"]))
-        return F.struct((s["u"] + 1).alias("u"), F.when(s["m"].isNull(), x).otherwise(d * s["m"] + (1 - d) * x).alias("m"))
-
-    return lists.select(*keys, F.aggregate("x", zero, step)["m"].alias("ema"))
+    def start():
+        made: dict = {}
+
+        def close() -> list[dict]:
+            best = made.pop("best", None)
+            if best is None:
+                return []
+            made["want"] = best[1] + made["step"]
+            return [{**made["keys"], at: best[2]}]
+
+        def step(row: dict | None, new: bool) -> list[dict]:
+            if row is None:
+                return close()
+            if new:
+                made.clear()
+                made.update(keys={k: row[k] for k in keys}, step=float(row[period]) if row[period] is not None else 0.0)
+                made["half"], made["want"] = max(share * made["step"], least), float(row[at])
+            if not (0 < made["step"] < np.inf):
+                return [{**made["keys"], at: row[at]}]
+            t, v, out = float(row[at]), float(row[value]), []
+            if t >= made["want"] + made["half"]:
+                out = close()
+            for _ in range(STEPS):
+                if t < made["want"] + made["half"]:
+                    break
+                made["want"] += made["step"]
+            if t >= made["want"] + made["half"]:
+                made["want"] += (np.floor((t - made["half"] - made["want"]) / made["step"]) + 1) * made["step"]
+            if made["want"] - made["half"] <= t and ("best" not in made or v > made["best"][0]):
+                made["best"] = (v, t, row[at])
+            return out
+
+        return step
+
+    rows = peaks.select(*keys, at, value, period).where(F.col(at).isNotNull() & F.col(value).isNotNull())
+    return stream_sorted(rows, keys, [at], start, ", ".join(f"{k} {kinds[k]}" for k in [*keys, at]))
 
 
 def top_windows(windows: DataFrame, keys: list[str], start: str, score: Column, length: float, most: int = 4) -> DataFrame:
-    """Greedy choice of at most `most` windows of one length that don't overlap, by falling score, then start."""
-    lists = windows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct((-score).alias("n"), F.col(start).cast("double").alias("t")))).alias("p"))
-    none = F.array().cast("array<struct<n:double,t:double>>")
-    step = lambda kept, p: F.when((F.size(kept) >= most) | F.exists(kept, lambda k: F.abs(k["t"] - p["t"]) < length), kept).otherwise(F.concat(kept, F.array(p)))
-    return lists.select(*keys, F.posexplode(F.aggregate("p", none, step)).alias("place", "_kept")).select(*keys, "place", F.col("_kept.t").alias(start), (-F.col("_kept.n")).alias("score"))
+    """Greedy choice of at most `most` windows of one length that don't overlap, by falling score, then start.
+
+    One round for each place: the best open window of every key, a maximum with map-side combine, closes those it overlaps. Windows without a score are left out.
+    """
+    left = windows.select(*keys, F.col(start).cast("double").alias("_t"), score.cast("double").alias("_v")).where("_t is not null and _v is not null and not isnan(_v)")
+    left, out = cut(left, "open"), None
+    for place in range(most):
+        best = left.groupBy(*keys).agg(F.max(F.struct("_v", (-F.col("_t")).alias("n"))).alias("_b"))
+        best = cut(best.select(*keys, F.lit(place).alias("place"), (-F.col("_b.n")).alias(start), F.col("_b._v").alias("score")), "best")
+        out = best if out is None else out.unionAll(best)
+        left = left.join(best.select(*keys, F.col(start).alias("_s")), keys).where(F.abs(F.col("_t") - F.col("_s")) >= length).drop("_s")
+    return out
 
 
 def novelty(pairs: DataFrame, keys: list[str], half: int) -> DataFrame:

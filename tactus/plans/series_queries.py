@@ -102,7 +102,11 @@ def j05_gather(spark, d):
     return J.gather(i.select("user_id", "event_id", "value"), i.select("user_id", "idx", F.col("value").alias("v")), KEY, F.col("value") / 7, "idx", "v").select("event_id", "sample")
 
 
-@query()
+@query("""with recursive $E, l as (select user_id, coalesce(list(t order by t) filter (event_type = 'view'), []) as a, coalesce(list(t order by t) filter (event_type = 'click'), []) as b from e group by user_id),
+    r(user_id, i, j, ref_at, est_at) as (select user_id, 1, 1, null::double, null::double from l union all
+        select user_id, case when hit or x < y then i + 1 else i end, case when hit or x >= y then j + 1 else j end, case when hit then x end, case when hit then y end
+        from (select r.user_id, i, j, a[i] as x, b[j] as y, abs(a[i] - b[j]) <= 21600 as hit from r join l using (user_id) where i <= len(a) and j <= len(b)))
+    select user_id, ref_at, est_at from r where ref_at is not null""")
 def j06_match_within(spark, d):
     e = events(spark, d).select("user_id", "t", "event_type")
     return J.match_within(kind(e, "view"), kind(e, "click"), KEY, "t", 21_600.0, F.floor(F.col("_t") / 86_400))
@@ -187,20 +191,44 @@ def w13_peaks(spark, d):
     return R.peaks(indexed(events(spark, d).select("user_id", "event_id", "us", "value")), KEY, "value", 60.0).select("event_id", r6("shift").alias("shift"))
 
 
-@query()
+#: peaks of each user's values: at least 60, above the row before, not below the row after
+_PEAKS = """$E, pk as (select user_id, t, value from (select *, lag(value) over w as l, lead(value) over w as r from e window w as (partition by user_id order by us, event_id)) where value >= 60 and (l is null or value > l) and (r is null or value >= r))"""
+
+
+@query(f"""with recursive {_PEAKS}, o as (select *, row_number() over (partition by user_id order by t, value) as k from pk),
+    r(user_id, k, kept) as (select user_id, k, [{{'t': t, 'v': value}}] from o where k = 1 union all
+        select o.user_id, o.k, case when o.t - kept[-1].t >= 86400 then list_append(kept, {{'t': o.t, 'v': o.value}}) when o.value > kept[-1].v then list_append(kept[:-2], {{'t': o.t, 'v': o.value}}) else kept end
+        from r join o on o.user_id = r.user_id and o.k = r.k + 1)
+    select user_id, x.t as t, x.v as value from (select user_id, unnest(kept) as x from r qualify k = max(k) over (partition by user_id))""")
 def w18_collapse_gaps(spark, d):
     p = R.peaks(indexed(events(spark, d).select("user_id", "event_id", "us", "t", "value")), KEY, "value", 60.0)
     return C.collapse_gaps(p, KEY, "t", "value", 86_400.0, F.floor(F.col("_t") / 86_400))
 
 
-@query()
+@query("""with recursive $E, p as (select user_id, t, value, lag(t) over (partition by user_id order by t, event_id) as b from e where event_type = 'purchase'),
+    m as (select user_id, median(t - b) as step from p where b is not null group by user_id having min(t - b) > 0),
+    l as (select user_id, step, greatest(0.35 * step, 0.02) as half, list(t order by t) as ts, list(value order by t) as vs from p join m using (user_id) group by user_id, step),
+    r(user_id, want, i, got) as (select user_id, ts[1], 0, null::double from l union all
+        select user_id, case when hi > lo then ts[pick] + step else want + step end, case when hi > lo then hi else greatest(i, len(list_filter(ts, lambda x: x < want + step - half))) end, case when hi > lo then ts[pick] end
+        from (select *, lo + list_position(vs[lo + 1 : hi], list_max(vs[lo + 1 : hi])) as pick from (select r.user_id, want, i, step, half, ts, vs, greatest(i, len(list_filter(ts, lambda x: x < want - half))) as lo, len(list_filter(ts, lambda x: x < want + half)) as hi
+            from r join l using (user_id) where r.i < len(ts))))
+    select user_id, got as t from r where got is not null""")
 def w19_follow_tempo(spark, d):
     e = kind(events(spark, d), "purchase").select("user_id", "event_id", "us", "t", "value")
     stats = A.tempo_stats(e, KEY, "t", "event_id", day()).select("user_id", "median_ibi")
     return C.follow_tempo(e.join(stats, "user_id"), KEY, "t", "value", "median_ibi")
 
 
-@query()
+@query("""with recursive $E, i as (select user_id, row_number() over (partition by user_id order by us, event_id) - 1 as idx, value from e),
+    x as (select user_id, idx, list_transform([1.0, 2.5, 4.0, 5.5], lambda c: -abs(ln(1 + value) - c)) as l from i),
+    q as (select user_id, idx, l, list_transform(l, lambda v: round((v - list_max(l)) * 268435456)::bigint) as q from x),
+    f(user_id, idx, sc, back) as (select user_id, idx, q, [0::bigint] from q where idx = 0 union all
+        select user_id, idx, list_transform(range(1, 5), lambda s: list_max(c[s]) + q[s]), list_transform(range(1, 5), lambda s: list_position(c[s], list_max(c[s]))::bigint) from
+        (select q.user_id, q.idx, q.q, list_transform(range(1, 5), lambda s: list_transform(range(1, 5), lambda r: f.sc[r] + (case when r = s then round(ln(0.8) * 268435456) else round(ln((1 - 0.8) / 3) * 268435456) end)::bigint)) as c
+            from f join q on q.user_id = f.user_id and q.idx = f.idx + 1)),
+    b(user_id, idx, s) as (select user_id, idx, 5 - list_position(list_reverse(sc), list_max(sc)) from f qualify idx = max(idx) over (partition by user_id) union all
+        select f.user_id, f.idx - 1, f.back[b.s] from b join f on f.user_id = b.user_id and f.idx = b.idx where f.idx > 0)
+    select b.user_id, b.idx, (b.s - 1)::int as state, round(x.l[b.s], 6) as score from b join x on x.user_id = b.user_id and x.idx = b.idx""")
 def w22_viterbi(spark, d):
     i = indexed(events(spark, d).select("user_id", "event_id", "us", "value"))
     logs = F.array(*[-F.abs(F.log1p("value") - c) for c in (1.0, 2.5, 4.0, 5.5)])
@@ -220,7 +248,10 @@ def w24_next_gap(spark, d):
     return R.carry(events(spark, d).select("user_id", "event_id", "us"), KEY, ORDER, day(), {"nx": F.col("us")}, ahead=True).select("event_id", (F.col("nx") - F.col("us")).alias("gap"))
 
 
-@query()
+@query(f"""with recursive {_PEAKS}, o as (select *, row_number() over (partition by user_id order by value desc, t) as k from pk),
+    r(user_id, k, kept) as (select user_id, k, [{{'t': t, 'v': value}}] from o where k = 1 union all
+        select o.user_id, o.k, case when len(list_filter(kept, lambda x: abs(x.t - o.t) < 172800)) > 0 then kept else list_append(kept, {{'t': o.t, 'v': o.value}}) end from r join o on o.user_id = r.user_id and o.k = r.k + 1)
+    select user_id, x.t as t, x.v as value from (select user_id, unnest(kept) as x from r qualify k = max(k) over (partition by user_id))""")
 def w26_suppress(spark, d):
     p = R.peaks(indexed(events(spark, d).select("user_id", "event_id", "us", "t", "value")), KEY, "value", 60.0)
     return C.suppress(p, KEY, "t", "value", 172_800.0, F.floor(F.col("_t") / 86_400))
@@ -327,9 +358,12 @@ def w43_frame_target(spark, d):
     return f.join(hit, ["user_id", "frame"], "left").groupBy("user_id").agg(F.sum(F.coalesce("hit", F.lit(0))).cast("long").alias("active"), F.count("*").alias("frames"))
 
 
-@query()
+@query("""with recursive $E, i as (select user_id, value, row_number() over (partition by user_id order by us, event_id) - 1 as u from e),
+    r(user_id, u, m) as (select user_id, u, value from i where u = 0 union all
+        select i.user_id, i.u, least(0.9::double, (1.0::double + i.u) / (10 + i.u)) * m + (1 - least(0.9::double, (1.0::double + i.u) / (10 + i.u))) * i.value from r join i on i.user_id = r.user_id and i.u = r.u + 1)
+    select user_id, round(m, 6) as ema from r qualify u = max(u) over (partition by user_id)""")
 def w46_ema(spark, d):
-    return C.ema(events(spark, d).select("user_id", "event_id", "us", "value"), KEY, ORDER, "value", 0.9).select("user_id", r6("ema").alias("ema"))
+    return C.ema(events(spark, d).select("user_id", "event_id", "us", "value"), KEY, ORDER, "value", 0.9, day()).select("user_id", r6("ema").alias("ema"))
 
 
 # --- vectors in sequence ---
@@ -386,6 +420,18 @@ def a05_tempo_stats(spark, d):
     return s.select("user_id", "beats", r6("median_ibi", 5).alias("median_ibi"), r6("mad_ms", 3).alias("mad_ms"), r6("r2").alias("r2"), "stability")
 
 
+@query("""with $E, d as (select user_id, event_id, event_type, t / 86400 as t from e), s as (select user_id, t, lag(t) over (partition by user_id order by t, event_id) as p from d where event_type = 'purchase'), i as (select user_id, p, t - p as ibi from s where p is not null),
+    m as (select user_id, median(ibi) as med, count(*) as n, regr_slope(60 / ibi, p / 60) as k, regr_r2(60 / ibi, p / 60) as r2, regr_sxx(60 / ibi, p / 60) as sxx, regr_syy(60 / ibi, p / 60) as syy from i group by user_id having min(ibi) > 0),
+    a as (select user_id, median(abs(ibi - med)) * 1000 as mad from i join m using (user_id) group by user_id)
+    select user_id, n + 1 as beats, round(med, 5) as median_ibi, round(mad, 3) as mad_ms, round(case when sxx <= 1e-12 then 0 else k end, 4) as drift, round(case when sxx <= 1e-12 then 0 when syy <= 1e-12 then 1 else r2 end, 6) as r2,
+        case when sxx > 1e-12 and abs(k) >= 1 and (syy <= 1e-12 or r2 >= 0.5) then 'Drifting' when mad <= 5 then 'Programmed' when mad <= 40 then 'Human' else 'Variable' end as stability from m join a using (user_id)""")
+def a07_stability(spark, d):
+    """The same with a day played as a second: tempos drift."""
+    e = kind(events(spark, d), "purchase").select("user_id", "event_id", "us", (F.col("t") / 86_400).alias("t"))
+    s = A.tempo_stats(e, KEY, "t", "event_id", F.floor("t"))
+    return s.select("user_id", "beats", r6("median_ibi", 5).alias("median_ibi"), r6("mad_ms", 3).alias("mad_ms"), r6("drift", 4).alias("drift"), r6("r2").alias("r2"), "stability")
+
+
 @query("""with $E, i as (select user_id, value, row_number() over (partition by user_id order by us, event_id) - 1 as idx, count(*) over (partition by user_id) as n from e),
     m(meter, prior) as (values (2, 0.8::double), (3, 0.9), (4, 1.0), (5, 0.65), (6, 0.75), (7, 0.6)), p as (select user_id, meter, prior, idx % meter as ph, avg(value) as a from i cross join m group by all),
     s as (select user_id, meter, (max(a) - avg(a)) * any_value(prior) as score from p group by user_id, meter), r as (select *, row_number() over (partition by user_id order by score desc, meter) as k from s),
@@ -407,7 +453,10 @@ def a19_lower_median(spark, d):
     return A.lower_median(events(spark, d).select("user_id", "event_id", "value"), KEY, ["value", "event_id"], "value", F.floor(F.col("value") / 50))
 
 
-@query()
+@query("""with recursive $E, w as (select user_id, floor(t / 86400) as s, sum(value) as v from e group by all), o as (select *, row_number() over (partition by user_id order by v desc, s) as k from w),
+    r(user_id, k, kept) as (select user_id, k, [{'s': s, 'v': v}] from o where k = 1 union all
+        select o.user_id, o.k, case when len(kept) >= 4 or len(list_filter(kept, lambda x: abs(x.s - o.s) < 3)) > 0 then kept else list_append(kept, {'s': o.s, 'v': o.v}) end from r join o on o.user_id = r.user_id and o.k = r.k + 1)
+    select user_id, place, kept[place + 1].s as s, round(kept[place + 1].v, 6) as score from (select user_id, kept, unnest(range(0, len(kept)))::int as place from r qualify k = max(k) over (partition by user_id))""")
 def r03_top_windows(spark, d):
     e = events(spark, d)
     w = e.select("user_id", F.floor(F.col("t") / 86_400).alias("s"), "value").groupBy("user_id", "s").agg(F.sum("value").alias("v"))

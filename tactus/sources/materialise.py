@@ -33,9 +33,12 @@ def resolve(spark: SparkSession, root: str, key: str, compute: Callable[[], Data
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; one of our own only where that is unset."""
+    """The folder that spark.checkpoint.dir names; one of our own only where that is unset and all runs in one JVM."""
+    master = spark.sparkContext.master
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tactus_"))
         named = spark.sparkContext.getCheckpointDir()
     return named.rstrip("/")

@@ -108,6 +108,113 @@ def test_viterbi_against_all_paths(spark):
     assert [x["state"] for x in scans.viterbi(df, ["k"], "idx", "logs", 0.7).orderBy("idx").collect()] == list(best)
 
 
+def best_path(logs, stay):
+    """Viterbi step by step in whole numbers: lowest of equally good predecessors, last of equally good ends."""
+    import math
+
+    k = len(logs[0])
+    least = lambda x: max(x, -1000.0)
+    count = lambda x: round(least(x) * 2**28)
+    hold, move = count(math.log(stay)), count(math.log((1 - stay) / (k - 1)))
+    x = [[count(v - max(row)) for v in row] for row in logs]
+    score, back = x[0], []
+    for row in x[1:]:
+        came = [max(range(k), key=lambda r: (score[r] + (hold if r == s else move), -r)) for s in range(k)]
+        score = [score[r] + (hold if r == s else move) + row[s] for s, r in enumerate(came)]
+        back.append(came)
+    path = [max(range(k), key=lambda s: (score[s], s))]
+    for came in reversed(back):
+        path.append(came[path[-1]])
+    return path[::-1]
+
+
+@pytest.mark.parametrize(("block", "stay"), [(1, 0.6), (2, 0.9), (7, 0.25), (4096, 0.6)])
+def test_viterbi_in_blocks_of_any_size(spark, block, stay):
+    r = random.Random(block)
+    series_ = {k: [[r.choice([-1.0, -2.0, -3.0, float("-inf"), -2.5]) for _ in range(3)] for _ in range(n)] for k, n in enumerate((1, 2, 13, 40, 41))}
+    series_[9] = [[-1.0] * 3] * 30  # ties everywhere
+    df = spark.createDataFrame([(k, i, x) for k, rows in series_.items() for i, x in enumerate(rows)], "k int, idx long, logs array<double>").repartition(3)
+    got = {}
+    for x in scans.viterbi(df, ["k"], "idx", "logs", stay, block=block).orderBy("idx").collect():
+        got.setdefault(x["k"], []).append(x["state"])
+        assert x["score"] == series_[x["k"]][x["idx"]][x["state"]]
+    for k, rows in series_.items():
+        assert got[k] == best_path([[-1e9 if v == float("-inf") else v for v in row] if max(row) > float("-inf") else [0.0] * 3 for row in rows], stay), k
+    assert scans.viterbi(df.limit(0), ["k"], "idx", "logs", stay).count() == 0
+
+
+def test_memory_average_in_blocks_of_any_size(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame(points(16, 90, 3), "k int, t double, v double")
+    want = {x["k"]: x["ema"] for x in scans.ema(df, ["k"], ["t"], "v", 0.9).collect()}
+    for block in (1, 7, 64):
+        for x in scans.ema(df, ["k"], ["t"], "v", 0.9, F.floor("t"), block).collect():
+            assert abs(x["ema"] - want[x["k"]]) < 1e-9
+
+
+def serial_suppression(p, distance):
+    kept = []
+    for t, v in sorted(set(p), key=lambda x: (-x[1], x[0])):
+        if all(abs(t - s) >= distance for s, _ in kept):
+            kept.append((t, v))
+    return sorted(kept)
+
+
+@pytest.mark.parametrize("rounds", [0, 1, 12])
+def test_suppression_of_crowds_and_staircases(spark, rounds):
+    r = random.Random(8)
+    rows = [(0, r.uniform(5, 5.9), float(r.randint(0, 50))) for _ in range(5000)]  # all within reach of one another
+    rows += [(1, 0.9 * i, 100.0 - i) for i in range(60)]  # each in reach of a better one
+    rows += [(2, float(i % 7), 1.0) for i in range(40)] + [(2, 3.5, None), (2, None, 9.0), (2, float("nan"), 1.0), (2, 3.5, float("nan"))]
+    df = spark.createDataFrame(rows, "k int, t double, v double").repartition(4)
+    got = by_key(map(tuple, scans.suppress(df, ["k"], "t", "v", 1.0, bucket(), rounds).collect()))
+    assert got == {k: serial_suppression([x for x in p if None not in x and x[0] == x[0] and x[1] == x[1]], 1.0) for k, p in {k: [(t, v) for kk, t, v in rows if kk == k] for k in range(3)}.items()}
+    assert scans.suppress(df.limit(0), ["k"], "t", "v", 1.0, bucket()).collect() == []
+
+
+def test_top_windows_against_the_serial_rule(spark):
+    rows = points(12, 60, 4) + [(0, 3.0, None)]
+    df = spark.createDataFrame(rows, "k int, t double, v double")
+    from pyspark.sql import functions as F
+
+    got = {}
+    for x in scans.top_windows(df, ["k"], "t", F.col("v"), 30.0).orderBy("place").collect():
+        got.setdefault(x["k"], []).append((x["t"], x["score"]))
+    for k, p in by_key(r for r in rows if r[2] is not None).items():
+        kept = []
+        for t, v in sorted(p, key=lambda x: (-x[1], x[0])):
+            if len(kept) < 4 and all(abs(t - s) >= 30.0 for s, _ in kept):
+                kept.append((t, v))
+        assert got[k] == kept
+
+
+def test_tempo_over_a_gap_of_a_million_million_periods(spark):
+    rows = [(1, t, 1.0, 1.0) for t in (0.0, 1.0, 1e12, 1e12 + 1, 1e12 + 1.5)] + [(2, t, 1.0, 1e-9) for t in (0.0, 1e12, 1e12 + 0.0001)]
+    df = spark.createDataFrame(rows, "k int, t double, v double, p double")
+    got = by_key((x["k"], x["t"]) for x in scans.follow_tempo(df, ["k"], "t", "v", "p").collect())
+    assert got == {1: [(0.0,), (1.0,), (1e12,), (1e12 + 1,)], 2: [(0.0,), (1e12,), (1e12 + 0.0001,)]}  # a window is 0.04 wide
+
+
+def test_matches_of_one_long_session(spark):
+    """All times close together: one session, walked as a stream."""
+    r = random.Random(9)
+    a, b = (sorted(round(r.uniform(0, 50), 3) for _ in range(3000)) for _ in range(2))
+    i = j = 0
+    want = []
+    while i < len(a) and j < len(b):
+        if abs(a[i] - b[j]) <= 0.1:
+            want.append((a[i], b[j]))
+            i, j = i + 1, j + 1
+        elif a[i] < b[j]:
+            i += 1
+        else:
+            j += 1
+    f = lambda x: spark.createDataFrame([(1, t) for t in x] + [(1, None)], "k int, t double")
+    got = [(x["ref_at"], x["est_at"]) for x in joins.match_within(f(a), f(b), ["k"], "t", 0.1, bucket()).collect()]
+    assert sorted(got) == want
+
+
 def test_memory_average(spark):
     rows = points(6, 40, 2)
     df = spark.createDataFrame(rows, "k int, t double, v double")
