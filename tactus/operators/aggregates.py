@@ -154,13 +154,15 @@ def prune_oldest(items: DataFrame, order: list[str], size: str, bucket: Column,
     return summed.join(F.broadcast(total), "_all").withColumn("before", before).where(F.col("_total") - F.col("before") > budget).drop("_all", "_to", "_total")
 
 
-def poisson(u: Column, rate: Column) -> Column:
-    """The Poisson count of `rate` at the quantile u in [0, 1)."""
-    step = lambda s, k: F.struct(
-        (s["n"] + (u >= s["sum"]).cast("int")).alias("n"), (s["p"] * rate / k).alias("p"), (s["sum"] + s["p"] * rate / k).alias("sum")
-    )
-    first = F.exp(-rate)
-    return F.aggregate(F.sequence(F.lit(1), 20 + 4 * F.ceil(rate).cast("int")), F.struct(F.lit(0).alias("n"), first.alias("p"), first.alias("sum")), step)["n"]
+def poisson_steps(rate: Column) -> Column:
+    """Cumulated Poisson probabilities of 0, 1, 2, ... up to where a draw of 32 bits can't lie."""
+    start = F.array(F.struct(F.exp(-rate).alias("p"), F.exp(-rate).alias("sum")))
+
+    def step(s: Column, k: Column) -> Column:
+        p = F.element_at(s, -1)["p"] * rate / k
+        return F.concat(s, F.array(F.struct(p.alias("p"), (F.element_at(s, -1)["sum"] + p).alias("sum"))))
+
+    return F.transform(F.aggregate(F.sequence(F.lit(1), 12 + 3 * F.ceil(rate).cast("int")), start, step), lambda x: x["sum"])
 
 
 def bootstrap(df: DataFrame, group: str, item: str, value: str, draws: int, seed: str, bucket: Column) -> DataFrame:
@@ -178,9 +180,11 @@ def bootstrap(df: DataFrame, group: str, item: str, value: str, draws: int, seed
     draw = F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")
     slots = df.sparkSession.range(n).select(F.col("id").alias("slot"), draw)
     taken = slots.groupBy("draw", F.floor(uniform(F.concat_ws("/", "draw", "slot"), seed) * n).alias("_g")).agg(F.count("*").alias("c"))
-    taken = taken.join(placed, "_g").groupBy(group).agg(F.collect_list(F.struct("draw", "c")).alias("_taken"))
+    taken = taken.join(placed, "_g").groupBy(group).agg(F.collect_list(F.struct("draw", poisson_steps(F.col("c").cast("double")).alias("steps"))).alias("_taken"))
     each = df.select(group, F.col(item).alias("_item"), F.col(value).cast("double").alias("_v")).where("_v is not null").join(taken, group).select(group, "_item", "_v", F.inline("_taken"))
-    times = poisson(uniform(F.concat_ws("/", "draw", group, "_item"), seed, 1), F.col("c").cast("double"))
-    means = each.withColumn("_w", times).groupBy("draw").agg(F.try_divide(F.sum(F.col("_w") * F.col("_v")), F.sum("_w")).alias("mean"))
+    u = uniform(F.concat_ws("/", "draw", group, "_item"), seed, 1)
+    # u is named twice, so that it stays a column of its own and isn't worked out again for each step
+    times = F.size(F.filter("steps", lambda x: (x <= F.col("_u")) & (F.col("_u") >= 0)))
+    means = each.withColumn("_u", u).withColumn("_w", times).groupBy("draw").agg(F.try_divide(F.sum(F.col("_w") * F.col("_v")), F.sum("_w")).alias("mean"))
     s = F.array_sort(F.collect_list("mean"))
     return means.agg(F.avg("mean").alias("mean"), F.get(s, F.lit(int(0.025 * draws))).alias("low"), F.get(s, F.lit(int(0.975 * draws) - 1)).alias("high"))

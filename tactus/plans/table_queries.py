@@ -226,7 +226,7 @@ def a26_inventory(spark, d):
     s as (select d.d, g.g as slot, n from g, (select unnest(range(100)) as d) d),
     c as (select d, floor(('0x' || md5(d || '/' || slot || '|boot|0')[1:8])::bigint / 4294967296.0::double * n)::bigint as g, count(*) as c from s group by all),
     w as (select c.d, e.value, c.c::double as c, ('0x' || md5(c.d || '/' || e.user_id || '/' || e.event_id || '|boot|1')[1:8])::bigint / 4294967296.0::double as q from c join g using (g) join events e using (user_id)),
-    k as (select d, value, list_reduce(list_prepend({'n': 0, 'p': exp(-c), 's': exp(-c)}, list_transform(range(1, 21 + 4 * ceil(c)::bigint), lambda k: {'n': 0, 'p': k::double, 's': 0.0::double})),
+    k as (select d, value, list_reduce(list_prepend({'n': 0, 'p': exp(-c), 's': exp(-c)}, list_transform(range(1, 14 + 3 * ceil(c)::bigint), lambda k: {'n': 0, 'p': k::double, 's': 0.0::double})),
         lambda x, y: {'n': x.n + (q >= x.s)::int, 'p': x.p * c / y.p, 's': x.s + x.p * c / y.p}).n as k from w),
     m as (select d, sum(k * value) / sum(k) as mean from k group by d), l as (select list(mean order by mean) as l, avg(mean) as a from m)
     select round(a, 6) as mean, round(l[3], 6) as low, round(l[97], 6) as high from l""")
