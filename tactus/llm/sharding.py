@@ -8,13 +8,13 @@ the driver sees only the counts of at most `probes` candidates for each splitter
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tactus.llm.common import materialise
 
@@ -23,6 +23,8 @@ SHARDS = 40
 ROW_OVERHEAD = 16
 #: Keys that one counting task reads, at least: fewer tasks send fewer partial counts.
 ROWS_A_TASK = 2_000_000
+#: Texts of a cell, which one task numbers.
+CELL_BYTES = 64 << 20
 TOP = (1 << 63) - 1
 
 
@@ -67,16 +69,23 @@ def histogram(rows: DataFrame, key: str, weights: list[str], bounds: np.ndarray)
     return out
 
 
-def splitters(rows: DataFrame, key: str, weight: str, parts: int, tolerance: float = 0.0, probes: int = 48, most_rounds: int = 64) -> np.ndarray:
-    """parts-1 keys s[k]: the weight of keys below s[k] is the least that reaches total*k/parts, within tolerance.
+def targets(total: int, parts: int) -> np.ndarray:
+    return np.array([-(-total * k // parts) for k in range(1, parts)], np.int64)
+
+
+def splitters(rows: DataFrame, key: str, weight: str, parts: int, tolerance: float = 0.0, probes: int = 48, most_rounds: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """parts-1 keys s[k]: the weight of keys below s[k] is the nearest to total*k/parts that a key gives, within tolerance; equally near ones: the larger.
+
+    Also the keys of several rows each, across which a boundary lies by more than the tolerance.
 
     tolerance: share of one part by which a splitter may be off; 0 refines until the splitter is the exact key,
     which makes the result independent of how the rows are partitioned.
     """
     # for splitter k: below(lo) < target <= below(hi), where below(x) is the weight of keys < x
     lo, hi = np.zeros(parts - 1, np.int64), np.full(parts - 1, TOP, np.int64)
+    at_lo, at_hi = np.zeros(parts - 1, np.int64), np.zeros(parts - 1, np.int64)
     target, off = None, 0.0
-    done = np.zeros(parts - 1, bool)
+    done, alike = np.zeros(parts - 1, bool), np.zeros(parts - 1, bool)
     for _ in range(most_rounds):
         open_ = np.flatnonzero((hi - lo > 1) & ~done)
         if not len(open_):
@@ -88,48 +97,40 @@ def splitters(rows: DataFrame, key: str, weight: str, parts: int, tolerance: flo
         below = np.cumsum(sums)[:-1]  # weight of keys < bounds[i]
         if target is None:
             total = int(sums.sum())
-            target = np.array([-(-total * k // parts) for k in range(1, parts)], np.int64)
+            target = targets(total, parts)
             off = tolerance * total / parts
+            at_hi[:] = total
         for k in open_:
-            i = int(np.searchsorted(below, target[k], "left"))
-            new_hi = bounds[min(i, len(bounds) - 1)]
-            new_lo = bounds[i - 1] if i else 0
-            lo[k], hi[k] = max(lo[k], new_lo), min(hi[k], max(new_hi, lo[k] + 1))
-            over = below[min(i, len(below) - 1)]
-            done[k] = over - target[k] <= off or counts[i] <= 1  # one row alone lies across the boundary
-    return hi
+            i = int(np.searchsorted(below, target[k], "left"))  # the last bound is above every key
+            lo[k], at_lo[k] = (bounds[i - 1], below[i - 1]) if i else (0, 0)
+            hi[k], at_hi[k] = bounds[i], below[i]
+            done[k] = at_hi[k] - target[k] <= off or counts[i] <= 1  # one row alone lies across the boundary
+            alike[k] = not done[k] and hi[k] - lo[k] == 1
+    if target is None:
+        return hi, hi[:0]
+    return np.where(at_hi - target <= target - at_lo, hi, lo), np.unique(lo[alike])
 
 
 def cell_of(key: Column, bounds: np.ndarray) -> Column:
-    """Number of bounds at or below key, by binary decisions on literals."""
-
-    def pick(a: int, b: int) -> Column:
-        if a == b:
-            return F.lit(a)
-        m = (a + b) // 2
-        return F.when(key < F.lit(int(bounds[m])), pick(a, m)).otherwise(pick(m + 1, b))
-
-    return pick(0, len(bounds))
-
-
-def _label(bounds: np.ndarray) -> object:
-    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at = np.searchsorted(bounds, b.column("sort_key").to_numpy(zero_copy_only=False), "right")
-            yield b.append_column("cell", pa.array(at.astype(np.int64)))
-
-    return label
+    """Number of bounds at or below key: first among every so many, then among those between two of these."""
+    if not len(bounds):
+        return F.lit(0).cast("long")
+    width = max(1, int(len(bounds) ** 0.5))
+    runs = F.from_json(F.lit(json.dumps([bounds[i : i + width].tolist() for i in range(0, len(bounds), width)])), "array<array<bigint>>")
+    heads = F.from_json(F.lit(json.dumps(bounds[::width].tolist())), "array<bigint>")
+    run = F.size(F.filter(heads, lambda b: b <= key))
+    within = F.size(F.filter(F.get(runs, run - 1), lambda b: b <= key))
+    return F.when(run == 0, 0).otherwise((run - 1) * width + within).cast("long")
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS, tolerance: float = 0.0, keep: list[str] | None = None) -> DataFrame:
     """Put every row of docs (doc_id, text, ...) into shards 0..shards-1 of near-equal bytes.
 
-    Returns doc_id, size, text_crc32, shard, slot and the columns named in `keep` (for example text). Law `bytes`: a row is in shard
-    floor(bytes of the rows with smaller keys * shards / all bytes) or, for the row across a boundary, in the shard
-    where it starts; sizes differ by one row at most. Equal texts are neighbours in the order, so a group of copies is
-    cut only where a boundary falls into it. slot is gapless from 0 within a shard, in key order, then by doc_id.
-    Null or empty text: size 16, crc32 of nothing. Rows with equal key and doc_id (repeated rows) are interchangeable.
-    An empty table gives an empty result. Extra columns are ignored unless named in `keep`.
+    Returns doc_id, size, text_crc32, shard, slot and the columns named in `keep` (for example text). Law `bytes`: in key order, the boundary of two shards
+    is that between rows which lies nearest to its share of all bytes, so a row goes where its middle lies, and no shard is further than the largest row from
+    the mean. Equal texts are neighbours in the order, and a group of copies is cut only where a boundary falls into it. slot is gapless from 0 within a shard, in key order, then by doc_id.
+    Null or empty text: size 16, crc32 of nothing. Rows that repeat an id and its text, ids null or not, share a key and are interchangeable: where a boundary falls among them they are numbered in their
+    parts of the table, and the number says on which side each lies. Very long texts move as a row. An empty table gives an empty result. Extra columns are ignored unless named in `keep`.
     With text in `keep` the whole text moves once to its shard, and size and text_crc32 are those of the text that arrived.
     """
     keep = keep or []
@@ -145,25 +146,46 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, tolerance: float = 0.
         slim = rows.drop(*[f"_keep_{c}" for c in keep])
     slim = materialise(slim.withColumn("one", F.lit(1).cast("long")), "shard_keys")
     rows = rows if keep else slim.drop("one")
-    count = slim.count()
+    count, total = slim.agg(F.count("*"), F.sum("size")).first()
+    if not count:
+        return docs.select("doc_id", size, _crc(F.col("text")), F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"), *keep)
     slim = slim.coalesce(max(docs.sparkSession.sparkContext.defaultParallelism, count // ROWS_A_TASK))
-    cut = splitters(slim, "sort_key", "size", shards, tolerance) if count else np.full(shards - 1, TOP, np.int64)
-    # cells: about equal numbers of rows, and never across a shard boundary; they give each slot its offset
-    n_cells = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    even = splitters(slim, "sort_key", "one", n_cells, tolerance=0.5, probes=4) if count else cut
-    bounds = np.unique(np.concatenate([cut, even]))
-    sizes = histogram(slim, "sort_key", ["one"], bounds)[0] if count else np.zeros(len(bounds) + 1, np.int64)
+    cut, alike = splitters(slim, "sort_key", "size", shards, tolerance)
+    # cells: about equal bytes, and never across a shard boundary; they give each slot its offset
+    n_cells = max(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // CELL_BYTES)
+    even, heavy = splitters(slim, "sort_key", "size", n_cells, tolerance=0.5, probes=4)
+    alike = np.unique(np.concatenate([alike, heavy]))
+    bounds = np.unique(np.concatenate([cut, even, alike, alike + 1]))
+    sizes, counts = histogram(slim, "sort_key", ["size", "one"], bounds)
     first = np.concatenate([[np.iinfo(np.int64).min], bounds])  # first key of each cell
-    shard = np.searchsorted(cut, first, "right")
-    start = np.cumsum(sizes) - sizes
-    offset = start - start[np.searchsorted(shard, shard, "left")]
-    where = docs.sparkSession.createDataFrame([(i, int(s), int(o)) for i, (s, o) in enumerate(zip(shard, offset, strict=True))], "cell long, shard int, offset long")
-    schema = T.StructType([*rows.schema.fields, T.StructField("cell", T.LongType())])
-    placed = rows.mapInArrow(_label(bounds), schema).join(F.broadcast(where), "cell")
+    rank, before = np.cumsum(counts) - counts, np.cumsum(sizes) - sizes
+    # the rank at which each shard starts; within cells of interchangeable rows, by the rows' middles
+    start = np.zeros(shards, np.int64)
+    start[1:] = rank[np.searchsorted(first, cut, "left").clip(max=len(first) - 1)]
+    start[1:][cut > first[-1]] = count
+    one = np.where(counts > 0, sizes // np.maximum(counts, 1), 0)
+    for c in np.flatnonzero(np.isin(first, alike)):
+        inside = np.flatnonzero((targets(total, shards) > before[c]) & (targets(total, shards) < before[c] + sizes[c]))
+        start[inside + 1] = rank[c] + (2 * (targets(total, shards)[inside] - before[c]) + one[c]) // (2 * one[c])
+    where = docs.sparkSession.createDataFrame([(i, int(r), bool(a)) for i, (r, a) in enumerate(zip(rank, np.isin(first, alike), strict=True))], "cell long, rank long, alike boolean")
+    placed = rows.withColumn("cell", cell_of(F.col("sort_key"), bounds)).join(F.broadcast(where), "cell")
+    if len(alike):
+        special = materialise(placed.where("alike").withColumn("sub", F.spark_partition_id()), "alike", "zstd")
+        placed = placed.where("not alike").withColumn("sub", F.lit(0)).unionByName(special)
+        parts = special.groupBy("cell", "sub").agg(F.count("*").alias("n"))
+        ahead = F.coalesce(F.sum("n").over(Window.partitionBy("cell").orderBy("sub").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        parts = materialise(parts.select("cell", "sub", ahead.alias("ahead")), "parts")  # a row for each task that has such rows
+    else:
+        placed = placed.withColumn("sub", F.lit(0))
     if moved:
         text = F.col("_keep_text")
-        placed = placed.repartition("cell").select("*", row_size(text).alias("size"), _crc(text))
-    rank = F.row_number().over(Window.partitionBy("cell").orderBy("sort_key", "doc_id", "text_crc32"))
-    return placed.select(
-        "doc_id", "size", "text_crc32", "shard", (F.col("offset") + rank - 1).cast("long").alias("slot"), *[F.col(f"_keep_{c}").alias(c) for c in keep]
-    )
+        placed = placed.repartition("cell", "sub").select("*", row_size(text).alias("size"), _crc(text))
+    number = F.row_number().over(Window.partitionBy("cell", "sub").orderBy("sort_key", "doc_id", "text_crc32")) - 1
+    placed = placed.withColumn("number", number)
+    if len(alike):
+        placed = placed.join(parts, ["cell", "sub"], "left").withColumn("number", F.col("number") + F.coalesce("ahead", F.lit(0)))
+    at = (F.col("rank") + F.col("number")).cast("long")
+    starts = F.lit(start.tolist()).cast("array<bigint>")
+    shard = F.size(F.filter(starts, lambda s: s <= at)) - 1
+    placed = placed.withColumn("shard", shard)
+    return placed.select("doc_id", "size", "text_crc32", "shard", (at - F.get(starts, F.col("shard"))).alias("slot"), *[F.col(f"_keep_{c}").alias(c) for c in keep])
