@@ -2,33 +2,31 @@
 
 Training texts are indexed in segments of bounded size: for each token of a segment, the sorted positions of its
 postings, where positions number the words of the segment's texts one after the other with a gap between texts. The
-index is a table in the shared folder. A search brings together only the postings of the searched terms, segment by segment; a
-phrase starts from its rarest term and intersects the other terms' lists, shifted by their offsets, until no start is left.
-Tokens are stored and looked up as text, so matches are exact.
+index is a table in the shared folder. Items are cut into phrases by Spark too, and a phrase visits only the segments that hold its rarest term, found by a join with the terms' counts. A segment's
+postings of searched terms and the phrases that visit it meet in one task, which holds the postings and lets the phrases stream by; a
+phrase starts from its rarest term there and intersects the other terms' lists, shifted by their offsets, until no start is left.
+Tokens are stored and looked up as text, so matches are exact. Nothing of the items passes through the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tactus.llm.common import forget, map_arrow, new_table_path, row_blocks, text_bytes
+from tactus.llm.common import forget, map_arrow, materialise, new_table_path, row_blocks, text_bytes
 from tactus.llm.words import find_words, hash_words, lower_table
 
 WINDOW = 10
 #: Text bytes of one segment; a longer text is a segment of its own.
 SEGMENT_BYTES = 4 << 20
-#: Terms of all searched items together up to which the items are broadcast; above, items are searched in several passes.
-ITEMS_BYTES = 32 << 20
 #: Positions between two texts of a segment, so that no phrase crosses from one to the next.
 GAP = 1 << 10
 
-INDEX_SCHEMA = "segment long, token string, doc_ids array<long>, data binary"
+INDEX_SCHEMA = "segment long, token string, n long, doc_ids array<long>, data binary"
 
 
 def _unpack(raw: bytes) -> np.ndarray:
@@ -72,10 +70,11 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [
                     pa.array(np.full(len(tokens) + 1, number)),
                     pa.concat_arrays([pa.nulls(1, pa.string()), tokens.cast(pa.string())]),
+                    pa.array(np.concatenate([[0], np.diff(np.append(new, len(h)))]).astype(np.int64)),
                     pa.array([ids, *[None] * len(tokens)], pa.list_(pa.int64())),
                     pa.concat_arrays([pa.array([counts.astype("<i8").tobytes()], pa.binary()), lists.cast(pa.binary())]),
                 ],
-                names=["segment", "token", "doc_ids", "data"],
+                names=["segment", "token", "n", "doc_ids", "data"],
             )
             number += 1
 
@@ -166,34 +165,17 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Postings]
 
 
 def _by_segment(index: DataFrame, terms: DataFrame) -> DataFrame:
-    """Directories and the postings of the given terms, each segment whole and sorted in one partition."""
-    wanted = index.where("token is not null").join(F.broadcast(terms), "token", "left_semi")  # terms of items_bytes of text at most
+    """Directories and the postings of the given terms (a table that has each once), each segment whole and sorted in one partition."""
+    wanted = index.where("token is not null").join(terms.select("token"), "token", "left_semi")
     rows = index.where("token is null").unionByName(wanted)
     return rows.repartition("segment").sortWithinPartitions("segment", F.col("token").asc_nulls_first())
 
 
-RESULT_SCHEMA = "segment long, ordinal int, doc_id long, n_words long, spans array<struct<first:long,end:long>>, items array<string>"
 MATCH_SCHEMA = "doc_id long, term_set int, first_word long"
+FOUND_SCHEMA = "segment long, ordinal int, doc_id long, n_words long, spans array<struct<first:long,end:long>>, phrases array<long>"
 _SPANS = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
-
-
-def _windows_of(items: list[tuple[str, list[str]]], window: int) -> dict[tuple[str, ...], list[str]]:
-    out: dict[tuple[str, ...], list[str]] = {}
-    for name, words in items:
-        for i in range(max(1, len(words) - window + 1)):
-            if words:
-                out.setdefault(tuple(words[i : i + window]), []).append(name)
-    return out
-
-
-def _by_rarest(phrases: dict[tuple[str, ...], list[str]], postings: dict[str, int]) -> dict[str, list]:
-    """The phrases by the term that has the fewest postings: a segment without it is done with them. Terms without postings find nothing."""
-    out: dict[str, list] = {}
-    for words, names in phrases.items():
-        rarest = min(words, key=lambda t: (postings.get(t, 0), t))
-        if rarest in postings:
-            out.setdefault(rarest, []).append((words, names))
-    return out
+#: Kinds of rows that a segment's task sees, in this order.
+DIRECTORY, POSTING, PHRASE = 0, 1, 2
 
 
 def _runs(hit: np.ndarray) -> list[dict[str, int]]:
@@ -202,38 +184,60 @@ def _runs(hit: np.ndarray) -> list[dict[str, int]]:
     return [{"first": a, "end": b} for a, b in edges.reshape(-1, 2).tolist()]
 
 
-def _phrase_searcher(packed):
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_term = packed.value
-        for number, seg in _grouped(batches):
-            n_docs = len(seg.ids)
-            hit = np.zeros(int(seg.counts.sum()) + n_docs * GAP, bool)
-            found: dict[int, set[str]] = {}
-            for words, names in (p for term in seg.raw if term in by_term for p in by_term[term]):
-                starts = seg.phrase(words)
-                if len(starts):
-                    for i in range(len(words)):
-                        hit[starts + i] = True
-                    for d in np.unique(seg.doc_of(starts)).tolist():
-                        found.setdefault(d, set()).update(names)
-            spans: list = [[]] * n_docs
-            items: list = [[]] * n_docs
-            for d, names in found.items():
-                s = int(seg.start[d])
-                spans[d], items[d] = _runs(hit[s : s + int(seg.counts[d])]), sorted(names)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.full(n_docs, number)),
-                    pa.array(np.arange(n_docs, dtype=np.int32)),
-                    pa.array(seg.ids, pa.int64()),
-                    pa.array(seg.counts),
-                    pa.array(spans, _SPANS),
-                    pa.array(items, pa.list_(pa.string())),
-                ],
-                names=["segment", "ordinal", "doc_id", "n_words", "spans", "items"],
-            )
+class _Search:
+    """What the phrases that have passed by found in one segment."""
+
+    def __init__(self, number: int, ids: list, counts: np.ndarray):
+        self.number, self.seg = number, Postings(ids, counts, {})
+        self.hit = np.zeros(int(counts.sum()) + len(ids) * GAP, bool)
+        self.found: dict[int, list[int]] = {}
+
+    def visit(self, phrase: int, words: list[str]) -> None:
+        starts = self.seg.phrase(tuple(words))
+        for i in range(len(words) if len(starts) else 0):
+            self.hit[starts + i] = True
+        for d in np.unique(self.seg.doc_of(starts)).tolist():
+            self.found.setdefault(d, []).append(phrase)
+
+    def rows(self) -> pa.RecordBatch:
+        seg, n = self.seg, len(self.seg.ids)
+        spans: list = [[]] * n
+        for d in self.found:
+            s = int(seg.start[d])
+            spans[d] = _runs(self.hit[s : s + int(seg.counts[d])])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.full(n, self.number)), pa.array(np.arange(n, dtype=np.int32)), pa.array(seg.ids, pa.int64()), pa.array(seg.counts), pa.array(spans, _SPANS), pa.array([self.found.get(d, []) for d in range(n)], pa.list_(pa.int64()))],
+            names=["segment", "ordinal", "doc_id", "n_words", "spans", "phrases"],
+        )
+
+
+def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Segments with their phrases, from rows sorted by segment and kind."""
+    now = None
+    for b in batches:
+        columns = [b.column(c) for c in ("segment", "kind", "token", "doc_ids", "data", "phrase", "words")]
+        for segment, kind, token, ids, raw, phrase, words in zip(*[c.to_pylist() for c in columns[:3]], *columns[3:], strict=True):
+            if kind == DIRECTORY:
+                if now is not None:
+                    yield now.rows()
+                now = _Search(segment, ids.as_py(), np.frombuffer(raw.as_py(), "<i8"))
+            elif kind == POSTING:
+                now.seg.raw[token] = raw.as_py()
+            else:
+                now.visit(phrase.as_py(), words.as_py())
+    if now is not None:
+        yield now.rows()
 
-    return search
+
+def _windows(window: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for item, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                words = item_words(text.as_py())
+                cut = [words[i : i + window] for i in range(max(1, len(words) - window + 1))] if words else []
+                yield pa.RecordBatch.from_arrays([pa.array([item] * len(cut), pa.string()), pa.array(cut, pa.list_(pa.string()))], names=["item", "words"])
+
+    return run
 
 
 def _near_searcher(term_sets: list[tuple[str, ...]], span: int):
@@ -248,60 +252,57 @@ def _near_searcher(term_sets: list[tuple[str, ...]], span: int):
     return search
 
 
-def _item_blocks(benchmark: DataFrame, most: int) -> Iterator[list[tuple[str, list[str]]]]:
-    """Items with their words, in blocks of at most `most` bytes of text."""
-    block, size = [], 0
-    for r in benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text is not null").toLocalIterator():
-        if block and size + len(r["text"]) > most:
-            yield block
-            block, size = [], 0
-        block.append((r["item_id"] or "", item_words(r["text"])))
-        size += len(r["text"])
-    yield block
-
-
-def _terms(spark, phrases) -> DataFrame:
-    tokens = sorted({t for p in phrases for t in p})
-    return spark.createDataFrame([(t,) for t in tokens], "token string")
-
-
 def find_near(index: DataFrame, term_sets: list[str], span: int) -> DataFrame:
     """Proximity matches: (doc_id, term_set number, word number of its rarest term) where all words of a term set lie within `span` words of that term."""
     sets = [tuple(item_words(t)) for t in term_sets]
-    rows = _by_segment(index, _terms(index.sparkSession, sets))
+    terms = index.sparkSession.createDataFrame([(t,) for t in sorted({t for terms in sets for t in terms})], "token string")
+    rows = _by_segment(index, terms)
     return map_arrow(rows, _near_searcher(sets, span), MATCH_SCHEMA)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, items_bytes: int = ITEMS_BYTES) -> DataFrame:
+def find_phrases(index: DataFrame, phrases: DataFrame) -> DataFrame:
+    """FOUND_SCHEMA: a row for every text of the index, with the runs of its words that lie in occurrences of phrases (phrase, words), and the numbers of those phrases.
+
+    phrases: a table that can be read again; each phrase once.
+    """
+    each = phrases.select("phrase", F.explode("words").alias("token"))
+    terms = materialise(each.select("token").distinct(), "terms")
+    postings = index.where("token is not null")
+    counts = materialise(postings.select("token", "n").join(terms, "token", "left_semi").groupBy("token").agg(F.sum("n").alias("n")), "counts")
+    # the term with the fewest postings; a phrase with a term that has none is done with
+    rarest = each.join(counts, "token", "left").groupBy("phrase").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token")).alias("r")).where("r.n > 0")
+    rarest = materialise(rarest.select("phrase", F.col("r.token").alias("token")), "rarest")
+    held = postings.select("segment", "token").join(rarest.select("token").distinct(), "token", "left_semi")
+    visits = held.join(rarest, "token").join(phrases, "phrase")
+    columns = ["segment", "kind", "token", "doc_ids", "data", "phrase", "words"]
+
+    def of(rows: DataFrame, kind: int) -> DataFrame:
+        kinds = {"token": "string", "doc_ids": "array<long>", "data": "binary", "phrase": "long", "words": "array<string>"}
+        return rows.withColumn("kind", F.lit(kind)).withColumns({c: F.lit(None).cast(k) for c, k in kinds.items() if c not in rows.columns}).select(*columns)
+
+    wanted = postings.join(terms, "token", "left_semi")
+    rows = of(index.where("token is null"), DIRECTORY).unionAll(of(wanted, POSTING)).unionAll(of(visits.select("segment", "phrase", "words"), PHRASE))
+    return map_arrow(rows.repartition("segment").sortWithinPartitions("segment", "kind"), _search, FOUND_SCHEMA)
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_hit, n_items, items (sorted item ids as strings), spans, contaminated.
 
     A document word is hit if it lies in an occurrence of `window` consecutive words of an item (of all words, if the item
     has fewer). spans: the runs of hit words [first, end). Null and empty texts have no words; items without words match
     nothing; a null item_id counts as ''. Repeated rows each give a row, a very long text is a segment of its own, and an empty table gives an empty
-    result; with an empty benchmark nothing is hit. The benchmark is searched in blocks of at most items_bytes
-    of text against the whole index, so neither side has to fit in memory. Other columns are ignored.
+    result; with an empty benchmark nothing is hit. Both sides may be of any size: a task holds one segment's postings, or one item's words. Other columns are ignored.
     """
     if window > GAP:
         raise ValueError(f"a window has {GAP} words at most")
-    spark = docs.sparkSession
     index = build_index(docs)
-    results = []
-    for block in _item_blocks(benchmark, items_bytes):
-        phrases = _windows_of(block, window)
-        terms = _terms(spark, phrases)
-        sizes = index.where("token is not null").join(F.broadcast(terms), "token").groupBy("token").agg(F.sum(F.octet_length("data")).alias("n"))
-        by_term = _by_rarest(phrases, {r["token"]: r["n"] for r in sizes.toLocalIterator()})
-        packed = spark.sparkContext.broadcast(by_term)  # bounded by items_bytes
-        results.append(map_arrow(_by_segment(index, terms), _phrase_searcher(packed), RESULT_SCHEMA))
-    out = results[0]
-    if len(results) > 1:  # every block gives a row for every text
-        every = reduce(DataFrame.unionAll, results)
-        out = every.groupBy("segment", "ordinal", "doc_id", "n_words").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
-    items = F.array_sort(F.array_distinct("items"))
-    covered = F.aggregate(
-        F.array_sort("spans"),
-        F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("to")),
-        lambda a, s: F.struct((a["n"] + F.greatest(F.lit(0), s["end"] - F.greatest(s["first"], a["to"]))).alias("n"), F.greatest(a["to"], s["end"]).alias("to")),
-        lambda a: a["n"],
-    )
-    return out.select("doc_id", "n_words", covered.alias("n_hit"), F.size(items).cast("long").alias("n_items"), items.alias("items"), "spans").withColumn("contaminated", F.col("n_hit") > 0)
+    items = benchmark.where("text is not null").select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text")
+    windows = materialise(items.mapInArrow(_windows(window), "item string, words array<string>"), "windows")
+    phrases = materialise(windows.select("words").distinct().withColumn("phrase", F.monotonically_increasing_id()), "phrases")
+    names = materialise(windows.join(phrases, "words").select("phrase", "item").distinct(), "names")
+    found = materialise(find_phrases(index, phrases), "found", "zstd")
+    hits = found.where(F.size("phrases") > 0).select("segment", "ordinal", F.explode("phrases").alias("phrase")).join(names, "phrase")
+    named = hits.groupBy("segment", "ordinal").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    out = found.join(named, ["segment", "ordinal"], "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["first"])  # runs don't overlap
+    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", "spans").withColumn("contaminated", F.col("n_hit") > 0)

@@ -98,8 +98,8 @@ def test_decontamination_against_brute_force(spark):
                         found.add(name)
         want[i] = (len(w), len(hit), sorted(found), bool(hit))
     bench = spark.createDataFrame(items, "item_id string, text string")
-    for most in (1 << 20, 40):  # one search, and several
-        got = decontaminate(frame(spark, docs), bench, items_bytes=most).collect()
+    for table in (bench, bench.repartition(5).union(bench.limit(2))):  # items in one task, or in several and repeated
+        got = decontaminate(frame(spark, docs), table).collect()
         assert len(got) == len(docs)
         assert {x["doc_id"]: (x["n_words"], x["n_hit"], x["items"], x["contaminated"]) for x in got} == want
     assert decontaminate(frame(spark, []), bench).collect() == []
