@@ -189,4 +189,13 @@ ORACLE_SQL: dict[str, str] = {
         z as (select a.id, a.d, count(*) filter (where c.k is null) as n_leaves, sum((n.n_convs - 1) * n.points) as saved from a join n on n.id = a.below left join c on c.up = n.id and c.d = n.d + 1 group by a.id, a.d)
         select n.d::bigint as depth, n.conv_id, p.conv_id as parent_conv_id, n.n_convs, coalesce(c.k, 0)::bigint as n_children, z.n_leaves, z.saved::bigint as saved_tokens, n.ends_sha256
         from n left join n p on n.d > 0 and p.id = n.up and p.d = n.d - 1 left join c on c.up = n.id and c.d = n.d + 1 join z on z.id = n.id and z.d = n.d""",
+    "op6_sharding": r"""
+        with d as (select doc_id, coalesce(text, '') as x from documents),
+        k as (select doc_id, x, (octet_length(encode(x)) + 16)::bigint as size, (((('0x' || md5(x)[1:10])::bigint & 549755813887) << 24) + ('0x' || md5(coalesce(doc_id::varchar, ''))[1:6])::bigint) as k from d),
+        r as (select doc_id, x, size, row_number() over (order by k, doc_id) as r, 2 * (sum(size) over (order by k, doc_id rows unbounded preceding)) - size as mid, sum(size) over () as total from k),
+        s as (select doc_id, x, size, r, len(list_filter(range(1, 40), lambda j: mid > 2 * ((total * j + 39) // 40)))::int as shard from r),
+        b as (select doc_id, list_transform(string_split(hex(encode(x)), ''), lambda c: (strpos('0123456789ABCDEF', c) - 1)::bigint) as h from s where x <> ''),
+        n as (select doc_id, xor(list_reduce(list_prepend(4294967295::bigint, flatten(list_transform(range(1, (len(h) // 2 + 1)::bigint), lambda i: [h[2 * i], 0, 0, 0, h[2 * i - 1], 0, 0, 0]))),
+            lambda a, c: xor(xor(a, c) >> 1, case when xor(a, c) & 1 = 1 then 3988292384 else 0 end)), 4294967295::bigint) as crc from b)
+        select s.doc_id, s.size, coalesce(n.crc, 0) as text_crc32, 'bytes' as law, s.shard, (row_number() over (partition by s.shard order by s.r) - 1)::bigint as slot, null::int as grown_shard from s left join n using (doc_id)""",
 }
