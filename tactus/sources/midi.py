@@ -247,3 +247,101 @@ def with_bars(events: DataFrame) -> DataFrame:
 def onsets(events: DataFrame) -> DataFrame:
     """file, micros: the distinct times at which notes start; a note on without velocity is a note off."""
     return with_times(events).where("kind = 'note_on' and values[1] > 0").select("file", "micros").distinct()
+
+
+# --- reference beats ---------------------------------------------------------------------------
+
+
+def _beat_unit(numerator: Column, power: Column, division: Column) -> tuple[Column, Column]:
+    """(beats in a bar, ticks of a beat): meters of eighths in threes beat on dotted quarters, all others on the meter's note."""
+    compound = (power == 3) & (numerator > 3) & (numerator % 3 == 0)
+    div = lambda a, b: F.call_function("div", a, b)
+    plain = F.greatest(F.lit(1).cast("long"), div(division.cast("long") * 4, F.call_function("shiftleft", F.lit(1).cast("long"), power)))
+    return F.when(compound, div(numerator, F.lit(3))).otherwise(numerator).cast("long"), F.when(compound, div(division.cast("long") * 3, F.lit(2))).otherwise(plain)
+
+
+def reference_beats(events: DataFrame) -> DataFrame:
+    """The beats of each file up to its last note: file, beat (from 0), tick, bar_beat (1: a downbeat), micros, bpm.
+
+    The first meter (4/4 without one) holds from the start. A meter that changes takes over at the first beat from there on, where a new bar starts; the beats before keep their
+    distance up to it. Numerators of 0 are ignored, and so are files whose ticks are frames or that have no note. A file's meters are one array.
+    """
+    own = events.where("division < 32768")
+    notes = own.where("kind = 'note_on' and values[1] > 0").groupBy("file", "division").agg(F.max("tick").alias("last"))
+    number = lambda k: F.get("values", F.lit(k))
+    per_bar, step = _beat_unit(number(0), number(1), F.col("division"))
+    meters = own.where("kind = 'time_signature'").where((number(0) > 0) & (number(1) <= 16))
+    meters = meters.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("tick", "track", "place", per_bar.alias("per_bar"), step.alias("step")))).alias("meters"))
+    common = F.array(F.struct(F.lit(0).cast("long").alias("tick"), F.lit(0).alias("track"), F.lit(0).alias("place"), F.lit(4).cast("long").alias("per_bar"), F.col("division").cast("long").alias("step")))
+    files = notes.join(meters, "file", "left").withColumn("meters", F.coalesce("meters", common))
+
+    def take_over(made: Column, m: Column) -> Column:
+        last = F.element_at(made, -1)
+        beats = F.greatest(F.lit(0).cast("long"), F.ceil((m["tick"] - last["start"]) / last["step"]).cast("long"))
+        return F.array_append(made, F.struct((last["start"] + beats * last["step"]).alias("start"), m["per_bar"].alias("per_bar"), m["step"].alias("step")))
+
+    first = F.get("meters", F.lit(0))
+    made = F.array(F.struct(F.lit(0).cast("long").alias("start"), first["per_bar"].alias("per_bar"), first["step"].alias("step")))
+    runs = files.select("file", "division", "last", F.aggregate(F.slice("meters", 2, F.size("meters")), made, take_over).alias("runs"))
+    runs = runs.select("file", "division", "last", "runs", F.posexplode("runs").alias("k", "run"))
+    end = F.least(F.coalesce(F.try_element_at("runs", F.col("k") + 2)["start"], F.col("last") + 1), F.col("last") + 1)
+    runs = runs.select("file", "division", "k", "run.*", end.alias("end")).where("start < end")
+    n = F.ceil((F.col("end") - F.col("start")) / F.col("step")).cast("long")
+    before = F.coalesce(F.sum(n).over(Window.partitionBy("file").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    beats = runs.withColumn("before", before).select("file", "division", "before", "per_bar", F.posexplode(F.sequence("start", F.col("end") - 1, "step")).alias("i", "tick"))
+    beats = beats.select("file", "division", F.lit((1 << 31) - 1).alias("track"), F.lit(0).alias("place"), "tick", F.lit("beat").alias("kind"), (F.col("before") + F.col("i")).alias("beat"), (F.col("i") % F.col("per_bar") + 1).alias("bar_beat"))
+    tempos = own.where("kind = 'tempo' and values[0] > 0").select("file", "division", "track", "place", "tick", "kind", "values")
+    both = with_times(beats.unionByName(tempos, allowMissingColumns=True))
+    order = Window.partitionBy("file").orderBy("tick", "track", "place").rowsBetween(Window.unboundedPreceding, 0)
+    tempo = F.coalesce(F.last(F.get("values", F.lit(0)), ignorenulls=True).over(order), F.lit(DEFAULT_TEMPO))
+    return both.withColumn("bpm", 60e6 / tempo).where("kind = 'beat'").select("file", "beat", "tick", "bar_beat", "micros", "bpm")
+
+
+def marked_sections(events: DataFrame, beats: DataFrame) -> DataFrame:
+    """The sections between a file's markers: file, name, start, end (microseconds). What comes before the first marker is the Intro; the last section ends a beat after the last beat.
+
+    beats: file, beat, micros. Sections that hold no beat are left out, and so are files of fewer than two beats.
+    """
+    grid = beats.groupBy("file").agg(F.array_sort(F.collect_list("micros")).alias("grid")).where(F.size("grid") > 1)
+    ended = F.element_at("grid", -1) * 2 - F.element_at("grid", -2)
+    kinds = events.where("division < 32768 and (kind = 'marker' or kind = 'tempo' and values[0] > 0)")
+    marks = with_times(kinds).where("kind = 'marker'").select("file", F.col("micros").alias("start"), "tick", "track", "place", F.col("text").alias("name"))
+    marks = grid.join(marks, "file", "left").groupBy("file").agg(F.first("grid").alias("grid"), F.array_sort(F.collect_list(F.when(F.col("start").isNotNull(), F.struct("start", "tick", "track", "place", "name")))).alias("m"))
+    intro = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.lit(-1).cast("long").alias("tick"), F.lit(-1).alias("track"), F.lit(-1).alias("place"), F.lit("Intro").alias("name")))
+    marks = marks.withColumn("m", F.when((F.size("m") == 0) | (F.get("m", F.lit(0))["start"] > 0), F.concat(intro, "m")).otherwise(F.col("m")))
+    out = marks.select("file", "grid", "m", F.posexplode("m").alias("k", "s"))
+    out = out.select("file", "grid", F.col("s.name").alias("name"), F.col("s.start").alias("start"), F.coalesce(F.try_element_at("m", F.col("k") + 2)["start"], ended).alias("end"))
+    return out.where(F.exists("grid", lambda b: (F.col("start") <= b) & (b < F.col("end")))).drop("grid")
+
+
+# --- writing -----------------------------------------------------------------------------------
+
+
+def _quantity(n: Column) -> Column:
+    """Seven bits a byte as hex digits, all but the last with the high bit."""
+    byte = lambda x: F.lpad(F.hex(x), 2, "0")
+    part = lambda k: F.shiftright(n, 7 * k).bitwiseAND(127)
+    more = [F.when(n >= 1 << 7 * k, byte(part(k).bitwiseOR(128))).otherwise("") for k in (3, 2, 1)]
+    return F.concat(*more, byte(part(0)))
+
+
+def tempo_tracks(points: DataFrame, key: str, at: str, bpm: str, quarter: int = 480) -> DataFrame:
+    """(key, content): a MIDI file of one track for each key that is its tempo map: `bpm` from `at` seconds on.
+
+    Ticks from point to point follow the tempo of the point before, before the first its own; microseconds of a quarter are rounded and at most 2^24 - 1. Points of one time keep
+    the order of their tempos. A tempo that isn't above 0, a null time, or a distance above 2^28 - 1 ticks is an error. A key has a point at least, its points are one array.
+    """
+    order = Window.partitionBy(key).orderBy(at, bpm)
+    t, b = F.col(at).cast("double"), F.col(bpm).cast("double")
+    was = F.coalesce(F.lag(b).over(order), b)
+    gap = F.greatest(F.lit(0.0), t - F.coalesce(F.lag(t).over(order), F.lit(0.0)))
+    ticks = F.round(gap * was * quarter / 60.0).cast("long")
+    micros = F.least(F.lit((1 << 24) - 1), F.greatest(F.lit(1), F.round(60_000_000.0 / b))).cast("long")
+    bad = t.isNull() | b.isNull() | F.isnan(b) | (b <= 0) | (ticks >= 1 << 28)
+    said = F.raise_error(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("a key")), F.lit(": no tempo of "), F.coalesce(b.cast("string"), F.lit("null")), F.lit(" can be written")))
+    code = F.when(bad, said.cast("string")).otherwise(F.concat(_quantity(ticks), F.lit("FF5103"), F.lpad(F.hex(micros), 6, "0")))
+    coded = points.select(key, t.alias("_t"), b.alias("_b"), code.alias("_code"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_t", "_b", "_code"))), lambda x: x["_code"]), "")
+    files = coded.groupBy(key).agg(F.concat(body, F.lit("00FF2F00")).alias("_body"))
+    size = F.lpad(F.hex(F.expr("length(_body) div 2")), 8, "0")
+    return files.select(key, F.unhex(F.concat(F.lit("4D54686400000006" + f"00000001{quarter:04X}" + "4D54726B"), size, F.col("_body"))).alias("content"))
