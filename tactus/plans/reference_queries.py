@@ -1,4 +1,4 @@
-"""Queries of reference beats and sections from MIDI files, and of written tempo maps."""
+"""Queries of reference beats and sections from MIDI files, of written tempo maps, and of training histories."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tactus.plans.series_queries import r6
 from tactus.plans.table_queries import tb
 from tactus.sources import midi as M
+from tactus.sources import runs as H
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -76,3 +77,43 @@ def k05_tempo_tracks(spark, d):
     """A tempo map of each customer's orders: days are seconds, prices set the tempo."""
     o = tb(spark, d, "orders").select("o_custkey", F.datediff("o_orderdate", F.lit("1992-01-01").cast("date")).alias("t"), (30 + F.col("o_totalprice") / 1000).alias("b"))
     return M.tempo_tracks(o, "o_custkey", "t", "b").select("o_custkey", F.hex("content").alias("content"))
+
+
+# --- histories ---
+
+
+def run_files(spark, d):
+    """(file, content): a training history for each customer with an epoch for each order; even customers name data sets, of every tenth the text is broken off."""
+    o = tb(spark, d, "orders")
+    score = lambda sign: F.struct(
+        F.struct((sign * F.col("o_totalprice") / 1000).alias("drums"), (F.col("o_orderkey") % 3).cast("double").alias("bass")).alias("si_sdr_improvement"),
+        F.when(F.col("o_custkey") % 2 == 0, F.struct((F.col("o_orderkey") % 5).alias("drums"))).alias("examples"), (sign * F.col("o_totalprice")).alias("mean_si_sdr_improvement"),
+        F.when(F.col("o_orderkey") % 7 > 0, F.struct((F.col("o_totalprice") / 10).alias("si_sdr_improvement"))).alias("group"),
+    )
+    plain = F.struct(F.col("o_orderkey").alias("epoch"), F.lit(0.5).alias("train_loss"), *[score(1)[c].alias(c) for c in ("si_sdr_improvement", "examples", "mean_si_sdr_improvement", "group")])
+    named = F.struct(F.col("o_orderkey").alias("epoch"), F.lit(0.5).alias("train_loss"), F.struct(score(1).alias("a"), score(-1).alias("b")).alias("validation"))
+    o = o.select("o_custkey", "o_orderdate", "o_orderkey", F.when(F.col("o_custkey") % 2 == 0, F.to_json(named)).otherwise(F.to_json(plain)).alias("h"))
+    history = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderdate", "o_orderkey", "h"))), lambda x: x["h"]), ",")
+    text = F.concat(F.lit('{"finished": true, "history": ['), F.col("_h"), F.when(F.col("o_custkey") % 10 == 7, "").otherwise("]}"))
+    return o.groupBy("o_custkey").agg(history.alias("_h")).select(F.col("o_custkey").cast("string").alias("file"), text.alias("content"))
+
+
+_RUNS = """with o as (select o_custkey as c, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) - 1 as place, count(*) over (partition by o_custkey) as epochs, * from orders),
+    x as (select *, unnest(case when c % 2 = 0 then ['a', 'b'] else ['val'] end) as dataset from o where c % 10 <> 7), y as (select *, unnest(['drums', 'bass']) as source from x),
+    r as (select c, place, epochs, o_orderkey::int as epoch, dataset, source, case when source = 'bass' then (o_orderkey % 3)::double else (case when dataset = 'b' then -1 else 1 end) * o_totalprice / 1000 end as improvement,
+        case when c % 2 = 0 and source = 'drums' then (o_orderkey % 5)::double else 1.0 end as examples, case when o_orderkey % 7 > 0 then o_totalprice / 10 end as grp from y)"""
+
+
+@query(f"""{_RUNS} select c::varchar as file, place::int as place, epoch, dataset, source, round(improvement, 6) as improvement, examples, round(grp, 6) as "group", null::varchar as error from r
+    union all select distinct o_custkey::varchar, null::int, null::int, null, null, null::double, null::double, null::double, 'not JSON' from orders where o_custkey % 10 = 7""")
+def s29_run_history(spark, d):
+    """Scores by epoch, data set and source of histories of two shapes; broken files as errors."""
+    h = H.run_history(run_files(spark, d))
+    return h.select("file", "place", "epoch", "dataset", "source", r6("improvement").alias("improvement"), "examples", r6("group").alias("group"), "error")
+
+
+@query(f"""{_RUNS} select c::varchar as file, dataset, source, round(avg(improvement), 6) as improvement, min(examples) as examples, round(case when count(grp) = count(*) then avg(grp) end, 6) as "group" from r where place >= epochs - 3 group by all""")
+def s29_last_epochs(spark, d):
+    """The mean of the last three epochs of each history."""
+    x = H.last_epochs(H.run_history(run_files(spark, d)))
+    return x.select("file", "dataset", "source", r6("improvement").alias("improvement"), "examples", r6("group").alias("group"))
