@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tactus.operators.block_scans import ema, stream_sorted, viterbi  # noqa: F401  scans of this module's kind
 from tactus.operators.series import sessions
+from tactus.operators.walks import TempoWalk
 from tactus.sources.materialise import cut
 
 
@@ -40,8 +41,6 @@ def collapse_gaps(peaks: DataFrame, keys: list[str], at: str, value: str, gap: f
 
 #: Rounds of suppress() after which what is left open is walked session by session.
 ROUNDS = 12
-#: Periods by which follow_tempo() moves on one by one, as sums are rounded.
-STEPS = 4096
 
 
 def suppress(peaks: DataFrame, keys: list[str], at: str, value: str, distance: float, bucket: Column, rounds: int = ROUNDS) -> DataFrame:
@@ -100,46 +99,26 @@ def follow_tempo(peaks: DataFrame, keys: list[str], at: str, value: str, period:
 
     The first expectation is the first peak's time. The strongest peak nearer than max(share * period, least) to it (below it: up to that far; ties: the first) is
     taken, sets the next expectation a period later, and all peaks of its window are done with; without one the expectation moves on by a period, again and again
-    until its window ends after the next peak, in a long gap (over STEPS periods) at once. A series of one peak, or without a positive finite period, keeps all its peaks. Peaks stream by in order: a window is the only state.
+    until its window ends after the next peak, in a long gap (over walks.STEPS periods) at once. A series of one peak, or without a positive finite period, keeps all its peaks. Peaks stream by in order: a window is the only state.
     """
     kinds = {f.name: f.dataType.simpleString() for f in peaks.schema.fields}
 
     def start():
-        made: dict = {}
-
-        def close() -> list[dict]:
-            best = made.pop("best", None)
-            if best is None:
-                return []
-            made["want"] = best[1] + made["step"]
-            return [{**made["keys"], at: best[2]}]
+        walk, own = TempoWalk(share, least), {}
 
         def step(row: dict | None, new: bool) -> list[dict]:
+            nonlocal walk, own
             if row is None:
-                return close()
+                return [{**own, at: t} for t in walk.close()]
             if new:
-                made.clear()
-                made.update(keys={k: row[k] for k in keys}, step=float(row[period]) if row[period] is not None else 0.0)
-                made["half"], made["want"] = max(share * made["step"], least), float(row[at])
-            if not (0 < made["step"] < np.inf):
-                return [{**made["keys"], at: row[at]}]
-            t, v, out = float(row[at]), float(row[value]), []
-            if t >= made["want"] + made["half"]:
-                out = close()
-            for _ in range(STEPS):
-                if t < made["want"] + made["half"]:
-                    break
-                made["want"] += made["step"]
-            if t >= made["want"] + made["half"]:
-                made["want"] += (np.floor((t - made["half"] - made["want"]) / made["step"]) + 1) * made["step"]
-            if made["want"] - made["half"] <= t and ("best" not in made or v > made["best"][0]):
-                made["best"] = (v, t, row[at])
-            return out
+                walk, own = TempoWalk(share, least), {k: row[k] for k in keys}
+            return [{**own, at: t} for t in walk.peak(float(row[at]), float(row[value]), row[period])]
 
         return step
 
     rows = peaks.select(*keys, at, value, period).where(F.col(at).isNotNull() & F.col(value).isNotNull())
-    return stream_sorted(rows, keys, [at], start, ", ".join(f"{k} {kinds[k]}" for k in [*keys, at]))
+    out = stream_sorted(rows, keys, [at], start, ", ".join([*[f"{k} {kinds[k]}" for k in keys], f"{at} double"]))
+    return out.withColumn(at, F.col(at).cast(kinds[at]))
 
 
 def top_windows(windows: DataFrame, keys: list[str], start: str, score: Column, length: float, most: int = 4) -> DataFrame:
