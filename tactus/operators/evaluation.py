@@ -42,11 +42,12 @@ def best_lag(a: DataFrame, b: DataFrame, keys: list[str], idx: str, value: str,
     @F.pandas_udf("array<double>")
     def products(at: pd.Series, ai: pd.Series, av: pd.Series, bi: pd.Series, bv: pd.Series) -> pd.Series:
         out = []
-        size = 1 << int(np.ceil(np.log2(2 * block + 4 * reach + 2)))
         for k, p, x, q, y in zip(at, ai, av, bi, bv):
+            p, q = np.asarray(p) - k * block, np.asarray(q) - k * block + reach
+            # what the block holds, not what it could: a sum of places up to the last of a, and those within reach
+            size = 1 << int(np.ceil(np.log2(max(int(p.max()) + 2 * reach, int(q.max())) + 2)))
             u, w = np.zeros(size), np.zeros(size)
-            u[np.asarray(p) - k * block] = x
-            w[np.asarray(q) - k * block + reach] = y
+            u[p], w[q] = x, y
             c = np.fft.irfft(np.fft.rfft(w) * np.fft.rfft(u).conj(), size)
             out.append(c[: 2 * reach + 1])
         return pd.Series(out, dtype=object)

@@ -46,11 +46,13 @@ def a30_least_squares(spark, d):
     return x.select("l_returnflag", r6(c(0), 3).alias("quantity"), r6(c(1), 2).alias("tax"), r6("explained", 5).alias("explained"))
 
 
-@query(f"""with {_I}, l as (select a.user_id, k.k as lag, sum(a.value * b.value) as p from i a cross join range(-12, 13) k(k) join i b on b.user_id = a.user_id and b.idx = a.idx + k.k and b.event_id % 3 > 0 where a.event_id % 2 = 0 group by all),
-    r as (select *, row_number() over (partition by user_id order by round(p, 6) desc, lag) as o from l) select user_id, lag::bigint as lag, round(p, 5) as product from r where o = 1 and user_id in (select user_id from i where event_id % 2 = 0)""")
+@query(f"""with {_I}, l as (select a.user_id, k.k as lag, sum(a.value * (b.us // 1000000 % 86400)) as p from i a cross join range(-12, 13) k(k) join i b on b.user_id = a.user_id and b.idx = a.idx + k.k group by all),
+    r as (select *, row_number() over (partition by user_id order by round(p, 6) desc, lag) as o from l) select user_id, lag::bigint as lag, round(p, 2) as product from r where o = 1""")
 def a32_best_lag(spark, d):
+    """Values of events against their times of day."""
     i = indexed(events(spark, d).select("user_id", "event_id", "us", "value"))
-    return V.best_lag(i.where("event_id % 2 = 0"), i.where("event_id % 3 > 0"), KEY, "idx", "value", 12).select("user_id", "lag", r6("product", 5).alias("product"))
+    day_time = i.select("user_id", "idx", (F.expr("us div 1000000") % 86_400).alias("value"))
+    return V.best_lag(i, day_time, KEY, "idx", "value", 12).select("user_id", "lag", r6("product", 2).alias("product"))
 
 
 @query("""with s as (select l_orderkey, l_returnflag, avg(abs(l_discount * l_quantity)) as e, avg(abs(case when l_linestatus = 'F' then l_quantity else 0 end)) as t from lineitem group by all)

@@ -180,7 +180,7 @@ def w42_resampled_lengths(spark, d):
     return G.resampled(signal(spark, d), KEY, "value", 4, 3, 4).groupBy("user_id").agg(F.count("*").alias("samples"))
 
 
-@query(f"""with {_S}, o as (select s.user_id, k.k, value, k.k * 2.0 - i as u from s join range(0, 100000) k(k) on k.k >= (i - 8) / 2.0 and k.k <= (i + 8) / 2.0 and k.k < s.n // 2),
+@query(f"""with {_S}, x as (select user_id, i, n, value, unnest(range(greatest(0, ceil((i - 8) / 2.0))::bigint, floor((i + 8) / 2.0)::bigint + 1)) as k from s), o as (select user_id, k, value, k * 2.0 - i as u from x where k < n // 2),
     w as (select user_id, k, value, (case when abs(u) < 1e-12 then 1 else sin(pi() * 0.5 * u) / (pi() * 0.5 * u) end) * (0.5 + 0.5 * cos(pi() * u / 8)) as w from o)
     select user_id, k as idx, round(sum(w * value) / sum(w), 5) as value from w group by all""")
 def w42_resample(spark, d):
