@@ -34,13 +34,13 @@ def as_of(rows: DataFrame, grid: DataFrame, keys: list[str], at: str, grid_at: s
     return out.where(F.col("_kind") == ROW).select("_row.*", "grid")
 
 
-def nearest(rows: DataFrame, grid: DataFrame, keys: list[str], at: str, grid_at: str, grid_id: str, bucket: Column, distance) -> DataFrame:
-    """Every row with `grid`: the nearest grid point of its key; equally near ones: the earlier. distance(a, b) is a number >= 0."""
+def nearest(rows: DataFrame, grid: DataFrame, keys: list[str], at: str, grid_at: str, grid_id: str, bucket: Column, distance, later: bool = False) -> DataFrame:
+    """Every row with `grid`: the nearest grid point of its key; equally near ones: the earlier, or the later if asked. distance(a, b) is a number >= 0."""
     both = _together(rows, grid, keys, at, grid_at, grid_id)
     back = carry(both, keys, _ORDER, bucket, {"_b": F.col("_g")}, own=True)
     out = carry(back, keys, _ORDER, bucket, {"_f": F.col("_g")}, ahead=True, own=True).where(F.col("_kind") == ROW)
     b, f, t = F.col("_b"), F.col("_f"), F.col("_t")
-    pick = F.when(b.isNull(), f).when(f.isNull(), b).when(distance(t, b["t"]) <= distance(t, f["t"]), b).otherwise(f)
+    pick = F.when(b.isNull(), f).when(f.isNull(), b).when(distance(t, b["t"]) < distance(t, f["t"]) if later else distance(t, b["t"]) <= distance(t, f["t"]), b).otherwise(f)
     return out.select("_row.*", pick.alias("grid"))
 
 
