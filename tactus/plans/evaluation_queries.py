@@ -63,7 +63,16 @@ def a16_separation_loss(spark, d):
     return x.select("l_orderkey", r6("l1", 9).alias("l1"), r6("normal", 9).alias("normal"), "sources")
 
 
-@query()
+#: one-to-one matches within tol of the lists a and b of l(user_id, tol, a, b)
+_HITS = """r(user_id, tol, i, j, hit) as (select user_id, tol, 1, 1, false from l union all
+        select user_id, tol, case when near or x < y then i + 1 else i end, case when near or x >= y then j + 1 else j end, near
+        from (select r.user_id, r.tol, i, j, a[i] as x, b[j] as y, abs(a[i] - b[j]) <= r.tol as near from r join l on l.user_id = r.user_id and l.tol = r.tol where i <= len(a) and j <= len(b))),
+    h as (select l.user_id, l.tol, count(*) filter (r.hit) as hits, any_value(len(l.a)) as refs, any_value(len(l.b)) as ests from l join r on r.user_id = l.user_id and r.tol = l.tol group by all)"""
+
+
+@query(f"""with recursive $E, l as (select user_id, 21600 as tol, coalesce(list(t order by t) filter (event_type = 'view'), []) as a, coalesce(list(t order by t) filter (event_type = 'click'), []) as b from e where event_type in ('view', 'click') group by user_id),
+    {_HITS}
+    select user_id, hits as found, refs::bigint as refs, ests::bigint as ests, round(hits / greatest(ests, 1), 6) as precision, round(hits / greatest(refs, 1), 6) as recall, round(2 * hits / greatest(refs + ests, 1), 6) as f from h""".replace("$E", _E))
 def a23_beat_score(spark, d):
     """Clicks as estimates of views: one-to-one matches within six hours."""
     e = events(spark, d).select("user_id", "t", "event_type")
@@ -71,7 +80,11 @@ def a23_beat_score(spark, d):
     return x.select("user_id", "found", "refs", "ests", *[r6(c).alias(c) for c in ("precision", "recall", "f")])
 
 
-@query()
+@query(f"""with recursive $E, x as (select user_id, event_type, t, row_number() over (partition by user_id, event_type order by us, event_id) as k from e where event_type in ('purchase', 'signup')),
+    l as (select user_id, unnest([10800, 64800]) as tol, coalesce(list(t order by t) filter (event_type = 'purchase'), []) as a, coalesce(list(t order by t) filter (event_type = 'signup'), []) as b from x where k > 1 group by user_id),
+    {_HITS}
+    select n.user_id, round(2 * n.hits / greatest(n.refs + n.ests, 1), 6) as f_narrow, round(n.ests / nullif(n.refs, 0), 6) as count_ratio, round(2 * w.hits / greatest(w.refs + w.ests, 1), 6) as f_wide
+    from h n join h w on w.user_id = n.user_id and n.tol = 10800 and w.tol = 64800""".replace("$E", _E))
 def a24_boundary_score(spark, d):
     """Boundary scores at a narrow and a wide tolerance, and how many estimates there are for a reference; the first boundary of each list is left out."""
     e = events(spark, d).select("user_id", "event_id", "us", "t", "event_type")
