@@ -277,3 +277,8 @@ def learning_rate(step: Column, top: float, warm: int, steps: int, final: float
     """Linear warm-up, then a cosine from top to the share `final` of it at the last step; 1 keeps the rate."""
     done = F.least(F.lit(1.0), (step - warm) / float(max(1, steps - warm)))
     return F.when(step < warm, top * (step + 1) / float(warm)).otherwise(top * (final + (1 - final) * 0.5 * (1 + F.cos(math.pi * done))))
+
+
+def rounded(x: Column, digits: int = 4) -> Column:
+    """Rounded half to even: times of labels to four digits, scores to two. What counts as a half is the product with the power of ten, in doubles."""
+    return F.rint(x.cast("double") * float(10**digits)) / float(10**digits)

@@ -83,3 +83,22 @@ def overridden(settings: Column, over: Column) -> Column:
     none = F.create_map().cast("map<string,string>")
     a, b = F.coalesce(settings, none), F.coalesce(over, none)
     return F.map_zip_with(a, b, lambda k, x, y: F.when(F.map_contains_key(b, k), y).otherwise(x))
+
+
+def nested_subsets(songs: DataFrame, song: str, sizes: list[int], bucket: Column, first: list[str] | None = None, seed: int = 0) -> DataFrame:
+    """(size, song) of nested subsets: the first `size` songs of one order, the named ones and then all others by a seeded hash.
+
+    bucket: an expression of the column _draw (0 to 1) that follows its order. A named song that isn't there, or a size above the number of songs, is an error.
+    """
+    named = list(dict.fromkeys(first or []))
+    draw = uniform(F.concat_ws("/", F.lit(str(seed)), song), "subset")
+    place = F.array_position(F.lit(named).cast("array<string>"), F.col(song).cast("string")) if named else F.lit(0)
+    all_ = songs.where(F.col(song).isNotNull()).select(song).distinct().withColumns({"_named": F.when(place > 0, place), "_draw": draw, "_all": F.lit(0)})
+    ranked = index_rows(all_.where("_named is null"), ["_all"], ["_draw", song], bucket, "_place").withColumn("_place", F.col("_place") + len(named))
+    ordered = cut(ranked.select(song, "_place").unionByName(all_.where("_named is not null").select(song, (F.col("_named") - 1).alias("_place"))), "order")
+    n, found = ordered.agg(F.count("*"), F.count_if(F.col("_place") < len(named))).first()
+    if found < len(named):
+        raise ValueError(f"{len(named) - found} of the named songs aren't there")
+    if max(sizes, default=0) > n:
+        raise ValueError(f"{n} songs, {max(sizes)} asked")
+    return ordered.select(F.explode(F.filter(F.lit(sizes), lambda s: s > F.col("_place"))).alias("size"), song)

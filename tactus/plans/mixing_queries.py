@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tactus.functions import scalar as S
 from tactus.operators import mixing as X
 from tactus.operators import units as U
 from tactus.plans.series_queries import r6
@@ -191,3 +192,18 @@ def g14_overridden_settings(spark, d):
     over = F.map_concat(F.when(F.col("c_acctbal") < 0, F.create_map(F.lit("effects"), F.lit("no"))).otherwise(nothing), F.when(F.col("c_nationkey") % 2 > 0, F.create_map(F.lit("crop"), F.lit(None).cast("string"))).otherwise(nothing))
     m = X.overridden(s, over)
     return tb(spark, d, "customer").select("c_custkey", *[m[k].alias(k) for k in ("effects", "name", "crop")])
+
+
+_DRAW = "('0x' || md5('5/' || s_suppkey || '|subset|0')[1:8])::bigint / 4294967296.0::double"
+
+
+@query(f"""with o as (select s_suppkey, row_number() over (order by case s_suppkey when 3 then 0 when 1 then 1 else 2 end, {_DRAW}, s_suppkey) as k from supplier) select size, s_suppkey from o, (values (1), (3), (8)) t(size) where k <= size""")
+def k24_nested_subsets(spark, d):
+    """Subsets of suppliers, each in the next: two named ones, then others by a seeded order."""
+    return X.nested_subsets(tb(spark, d, "supplier"), "s_suppkey", [1, 3, 8], F.floor(F.col("_draw") * 64), ["3", "1"], 5)
+
+
+@query("select event_id, round_even(value / 8 * 10000.0::double, 0) / 10000 as label_time, round_even(value / 8 * 100.0::double, 0) / 100 as score from events")
+def f29_rounded(spark, d):
+    v = F.col("value") / 8
+    return tb(spark, d, "events").select("event_id", S.rounded(v).alias("label_time"), S.rounded(v, 2).alias("score"))

@@ -117,3 +117,17 @@ def s29_last_epochs(spark, d):
     """The mean of the last three epochs of each history."""
     x = H.last_epochs(H.run_history(run_files(spark, d)))
     return x.select("file", "dataset", "source", r6("improvement").alias("improvement"), "examples", r6("group").alias("group"))
+
+
+# --- descriptions ---
+
+
+@query(f"""{_SONGS}, n as (select o_custkey as c, row_number() over w as k, o_orderkey, o_orderpriority as name, sum(84 + o_orderkey % 97) over w - 60 as tick from orders window w as (partition by o_custkey order by o_orderdate, o_orderkey rows unbounded preceding)),
+    x as (select c, 4 * (k - 1) as place, (24 + o_orderkey % 97)::varchar || ' - TimeSignature(' || [3, 4, 6, 12][1 + o_orderkey % 4] || '/' || (case when o_orderkey % 4 < 2 then 4 else 8 end) || ')' as line from n
+        union all select c, 4 * (k - 1) + 1, '0 - SetTempo(b=' || regexp_replace(printf('%.2f', 60000000.0::double / (300000 + o_orderkey % 400000)), '\\.?0+$', '') || ')' from n
+        union all select c, 4 * (k - 1) + 2, '0 - marker(' || name || ')' from n union all select c, 4 * (k - 1) + 3, '60 - note_on(0, 60, 64)' from n
+        union all select c, 4 * max(k), '0 - end_of_track()' from n group by c)
+    select c as o_custkey, place::int as place, line from x""")
+def k12_dump(spark, d):
+    """The events of the customers' files as lines: ticks from one to the next, and what each says."""
+    return M.dump_lines(M.midi_events(song_files(spark, d))).select(F.col("file").cast("long").alias("o_custkey"), "place", "line")

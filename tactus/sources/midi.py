@@ -345,3 +345,42 @@ def tempo_tracks(points: DataFrame, key: str, at: str, bpm: str, quarter: int =
     files = coded.groupBy(key).agg(F.concat(body, F.lit("00FF2F00")).alias("_body"))
     size = F.lpad(F.hex(F.expr("length(_body) div 2")), 8, "0")
     return files.select(key, F.unhex(F.concat(F.lit("4D54686400000006" + f"00000001{quarter:04X}" + "4D54726B"), size, F.col("_body"))).alias("content"))
+
+
+# --- descriptions --------------------------------------------------------------------------------
+
+#: Major keys from seven flats to seven sharps; the minor keys beside them lie three fifths on.
+MAJOR_KEYS = ["Cb", "Gb", "Db", "Ab", "Eb", "Bb", "F", "C", "G", "D", "A", "E", "B", "F#", "C#"]
+MINOR_KEYS = ["Ab", "Eb", "Bb", "F", "C", "G", "D", "A", "E", "B", "F#", "C#", "G#", "D#", "A#"]
+
+
+def describe(camelot: bool = False) -> Column:
+    """What an event says: meters as 6/8, keys as names (or codes of the Camelot wheel), tempos in quarters a minute with two decimals at most; other events, and
+    values outside the format's range, as kind and numbers or text."""
+    number = lambda k: F.get("values", F.lit(k))
+    plain = F.concat(F.col("kind"), F.lit("("), F.coalesce(F.concat_ws(", ", F.col("channel").cast("string"), F.transform("values", lambda v: v.cast("string")), F.col("text"), F.hex("data")), F.lit("")), F.lit(")"))
+    meter = F.when(number(1) < 32, F.format_string("TimeSignature(%d/%d)", number(0), F.call_function("shiftleft", F.lit(1).cast("long"), number(1))))
+    minor, at = number(1) != 0, number(0) + 7
+    names = F.when(minor, F.concat(F.get(F.lit(MINOR_KEYS), at), F.lit(" minor"))).otherwise(F.concat(F.get(F.lit(MAJOR_KEYS), at), F.lit(" major")))
+    codes = F.concat((F.pmod(at, F.lit(12)) + 1).cast("string"), F.when(minor, "A").otherwise("B"))
+    key = F.when(at.between(0, 14), F.concat(F.lit("KeySignature("), codes if camelot else names, F.lit(")")))
+    shown = F.regexp_replace(F.format_string("%.2f", 60_000_000.0 / number(0)), r"\.?0+$", "")
+    tempo = F.when(number(0) > 0, F.concat(F.lit("SetTempo(b="), shown, F.lit(")")))
+    readable = F.when(F.col("kind") == "time_signature", meter).when(F.col("kind") == "key_signature", key).when(F.col("kind") == "tempo", tempo)
+    return F.coalesce(readable, plain)
+
+
+def dump_lines(events: DataFrame, when: str = "delta", camelot: bool = False) -> DataFrame:
+    """file, track, place, line of every event as "when - what"; when: `delta` ticks since the track's last event, `bars`, or `clock` (m:ss:hundredths)."""
+    if when == "delta":
+        order = Window.partitionBy("file", "track").orderBy("place")
+        timed = events.withColumn("_when", (F.col("tick") - F.lag("tick", 1, 0).over(order)).cast("string"))
+    elif when == "bars":
+        timed = with_bars(events).withColumn("_when", F.coalesce("bar", F.lit("")))
+    elif when == "clock":
+        div = lambda a, b: F.call_function("div", a, F.lit(b).cast("long"))
+        us = F.col("micros")
+        timed = with_times(events).withColumn("_when", F.format_string("%d:%02d:%02d", div(us, 60_000_000), div(us, 1_000_000) % 60, div(us, 10_000) % 100))
+    else:
+        raise ValueError(f"no time named {when!r}")
+    return timed.select("file", "track", "place", F.concat("_when", F.lit(" - "), describe(camelot)).alias("line"))

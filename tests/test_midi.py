@@ -97,3 +97,30 @@ def test_name_rules(spark):
         bad.select(rules.checked_label(F.col("n"), ["Bass"])).collect()
     tempos = spark.createDataFrame([(v,) for v in (120.0, 0.0, float("nan"), float("inf"), None, 200.0, 201.0)], "v double")
     assert [r[0] for r in tempos.select(rules.usable_tempo(F.col("v"), 55, 200)).collect()] == [True, False, False, False, False, True, False]
+
+
+def test_descriptions_and_dumps(spark):
+    rows = [("time_signature", None, [6, 3, 24, 8]), ("time_signature", None, [4, 40, 24, 8]), ("key_signature", None, [-2, 0]), ("key_signature", None, [3, 1]), ("key_signature", None, [9, 0]), ("tempo", None, [500_000]), ("tempo", None, [497_925]), ("tempo", None, [0]), ("note_on", 3, [60, 1])]
+    df = spark.createDataFrame([("f", 1, 24, 0, i, 24 * i, k, c, v, None, None, None) for i, (k, c, v) in enumerate(rows)], midi.EVENTS)
+    said = [r["d"] for r in df.orderBy("place").select(midi.describe().alias("d")).collect()]
+    assert said == ["TimeSignature(6/8)", "time_signature(4, 40, 24, 8)", "KeySignature(Bb major)", "KeySignature(F# minor)", "key_signature(9, 0)", "SetTempo(b=120)", "SetTempo(b=120.5)", "tempo(0)", "note_on(3, 60, 1)"]
+    assert [r["d"] for r in df.where("kind = 'key_signature'").orderBy("place").select(midi.describe(True).alias("d")).collect()] == ["KeySignature(6B)", "KeySignature(11A)", "key_signature(9, 0)"]
+    lines = lambda when: [r["line"].split(" - ")[0] for r in midi.dump_lines(df, when).orderBy("place").collect()]
+    assert lines("delta") == ["0"] + ["24"] * 8 and lines("clock")[5] == "0:02:50" and lines("bars")[0] == "1:1:00"
+    with pytest.raises(ValueError):
+        midi.dump_lines(df, "hours")
+
+
+def test_subsets_are_nested(spark):
+    from pyspark.sql import functions as F
+
+    from tactus.operators.mixing import nested_subsets
+
+    songs = spark.createDataFrame([(f"s{i}",) for i in range(40)] + [("s1",), (None,)], "song string")
+    sets = {}
+    for r in nested_subsets(songs, "song", [3, 10, 40], F.floor(F.col("_draw") * 8), ["s7", "s3"], 1).collect():
+        sets.setdefault(r["size"], set()).add(r["song"])
+    assert {k: len(v) for k, v in sets.items()} == {3: 3, 10: 10, 40: 40} and {"s7", "s3"} < sets[3] < sets[10]
+    for bad in (dict(sizes=[41]), dict(sizes=[1], first=["none"])):
+        with pytest.raises(ValueError):
+            nested_subsets(songs, "song", bucket=F.lit(0), **bad)
