@@ -120,7 +120,8 @@ def cell_of(key: Column, bounds: np.ndarray) -> Column:
     heads = F.from_json(F.lit(json.dumps(bounds[::width].tolist())), "array<bigint>")
     run = F.size(F.filter(heads, lambda b: b <= key))
     within = F.size(F.filter(F.get(runs, run - 1), lambda b: b <= key))
-    return F.when(run == 0, 0).otherwise((run - 1) * width + within).cast("long")
+    # never null, or else a filter on the result would work the key out once more for each bound
+    return F.coalesce(F.when(run == 0, 0).otherwise((run - 1) * width + within).cast("long"), F.lit(0).cast("long"))
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS, tolerance: float = 0.0, keep: list[str] | None = None) -> DataFrame:
