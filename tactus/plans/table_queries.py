@@ -299,7 +299,9 @@ def a41_report(spark, d):
 @query("""with m as (select l_suppkey, l_returnflag, avg(l_discount) as v from lineitem group by all), x as (select *, max(v) over w as hi, min(v) over w as lo from m window w as (partition by l_suppkey))
     select l_suppkey, l_returnflag, case when hi = lo then '' when v = hi then 'best' when v = lo then 'worst' else '' end as mark from x""")
 def w44_best_worst(spark, d):
-    m = tb(spark, d, "lineitem").groupBy("l_suppkey", "l_returnflag").agg(F.avg("l_discount").alias("v"))
+    # summed as decimals: equal means stay equal in whatever order rows are added
+    x = F.col("l_discount").cast("decimal(20,12)")
+    m = tb(spark, d, "lineitem").groupBy("l_suppkey", "l_returnflag").agg(F.try_divide(F.sum(x), F.count(x)).alias("v"))
     w = Window.partitionBy("l_suppkey")
     x = m.withColumns({"hi": F.max("v").over(w), "lo": F.min("v").over(w)})
     return x.select("l_suppkey", "l_returnflag", F.when(F.col("hi") == F.col("lo"), "").when(F.col("v") == F.col("hi"), "best").when(F.col("v") == F.col("lo"), "worst").otherwise("").alias("mark"))
