@@ -132,12 +132,12 @@ _NOTES = """with l as (select l_orderkey, l_linenumber, l_quantity::bigint as q,
 @query(f"{_NOTES} select l_orderkey, (60 + l_linenumber)::bigint as note, tick::bigint as tick, ((scaled + 100 * tempo) // 24)::bigint as micros from b")
 def s10_midi_notes(spark, d):
     """Notes of the orders' files with the times that the tempo map gives."""
-    e = M.with_times(M.midi_events(order_files(spark, d))).where("kind = 'note_on'")
+    e = M.with_times(M.midi_events(order_files(spark, d), kinds=["note_on", "tempo"])).where("kind = 'note_on'")
     return e.select(F.col("file").cast("long").alias("l_orderkey"), F.get("values", F.lit(0)).cast("long").alias("note"), "tick", "micros")
 
 
 @query(f"{_NOTES} select l_orderkey, tick::bigint as tick, (bar0 + (100 << dd) // (nn * 96) + 1)::bigint || ':' || ((100 << dd) % (nn * 96) // 96 + 1)::bigint || ':' || lpad(((100 << dd) % (nn * 96) % 96 * 100 // 96)::bigint::varchar, 2, '0') as bar from b")
 def w29_meter_bars(spark, d):
     """Bars of the notes: a meter that changes inside a bar starts a new one."""
-    e = M.with_bars(M.midi_events(order_files(spark, d))).where("kind = 'note_on'")
+    e = M.with_bars(M.midi_events(order_files(spark, d), kinds=["note_on", "time_signature"])).where("kind = 'note_on'")
     return e.select(F.col("file").cast("long").alias("l_orderkey"), "tick", "bar")

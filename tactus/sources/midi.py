@@ -7,8 +7,9 @@ windows over the events of a file hold no more than that task did.
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -24,6 +25,7 @@ _MODE = {0x78: "all_sound_off", 0x79: "reset_controllers", 0x7A: "local_control"
 _TEXT = {0x01: "text", 0x02: "copyright", 0x03: "track_name", 0x04: "instrument", 0x05: "lyric", 0x06: "marker", 0x07: "cue"}
 _NUMBERS = {0x00: ("sequence_number", ">H"), 0x20: ("channel_prefix", ">B"), 0x2F: ("end_of_track", ">"), 0x51: ("tempo", ">BH"), 0x54: ("smpte_offset", ">5B"), 0x58: ("time_signature", ">4B"), 0x59: ("key_signature", ">bB")}
 _FRAME_RATES = (24, 25, 29, 30)
+_LAYOUTS = {code: (kind, struct.Struct(layout)) for code, (kind, layout) in _NUMBERS.items()}
 
 
 class MidiError(ValueError):
@@ -57,15 +59,20 @@ class _Bytes:
 
 
 def _meta(c: _Bytes) -> tuple:
-    code = c.number(1)
-    data = c.take(c.quantity())
+    raw, at = c.raw, c.at
+    if at + 1 < len(raw) and raw[at + 1] < 0x80 and at + 2 + raw[at + 1] <= len(raw):  # most sizes are a byte
+        code, c.at = raw[at], at + 2 + raw[at + 1]
+        data = raw[at + 2 : c.at]
+    else:
+        code = c.number(1)
+        data = c.take(c.quantity())
     if code in _TEXT:
         return _TEXT[code], None, [], data.decode("utf-8", "replace"), None
-    if code in _NUMBERS:
-        kind, layout = _NUMBERS[code]
-        if struct.calcsize(layout) != len(data):
+    if code in _LAYOUTS:
+        kind, layout = _LAYOUTS[code]
+        if layout.size != len(data):
             raise MidiError(f"{kind} of {len(data)} bytes")
-        values = list(struct.unpack(layout, data))
+        values = list(layout.unpack(data))
         return kind, None, [values[0] << 16 | values[1]] if kind == "tempo" else values, None, None
     if code == 0x7F:  # a maker's number of one byte, or of three where the first is 0
         head = 3 if data[:1] == b"\0" else 1
@@ -75,38 +82,61 @@ def _meta(c: _Bytes) -> tuple:
     return "unknown_meta", None, [code], None, data
 
 
-def _events(raw: bytes) -> Iterator[tuple]:
-    """(tick, kind, channel, values, text, data) of a track."""
-    c, tick, running = _Bytes(raw), 0, None
-    while c.at < len(raw):
-        tick += c.quantity()
-        if c.at >= len(raw):
+def _events(raw: bytes, kinds: frozenset[str] | None) -> list[tuple]:
+    """(place, tick, kind, channel, values, text, data) of a track's events; kinds: of these alone, all are checked."""
+    c, end, tick, running, place, out = _Bytes(raw), len(raw), 0, None, -1, []
+    at = 0  # the cursor; c takes the rarer shapes
+    while at < end:
+        place += 1
+        if raw[at] < 0x80:  # most distances are a byte
+            tick += raw[at]
+            at += 1
+        else:
+            c.at = at
+            tick += c.quantity()
+            at = c.at
+        if at >= end:
             raise MidiError("the chunk ends early")
-        if raw[c.at] < 0x80:
+        status = raw[at]
+        if status < 0x80:
             if running is None:
-                raise MidiError(f"data byte {raw[c.at]} without a status")
+                raise MidiError(f"data byte {status} without a status")
             status = running
         else:
-            status = c.number(1)
+            at += 1
         if status < 0xF0:
             running = status
             kind, size = _CHANNEL[status >> 4]
-            values = list(c.take(size))
-            if kind == "controller" and values[0] in _MODE:
-                kind = _MODE[values[0]]
-            yield tick, kind, status & 0xF, values, None, None
+            if at + size > end:
+                raise MidiError("the chunk ends early")
+            if kind == "controller" and raw[at] in _MODE:
+                kind = _MODE[raw[at]]
+            if kinds is None or kind in kinds:
+                out.append((place, tick, kind, status & 0xF, list(raw[at : at + size]), None, None))
+            at += size
             continue
-        running = None
+        running, c.at = None, at
         if status == 0xFF:
-            yield tick, *_meta(c)
+            e = _meta(c)
+            if kinds is None or e[0] in kinds:
+                out.append((place, tick, *e))
         elif status in (0xF0, 0xF7):
-            yield tick, "sysex", None, [], None, c.take(c.quantity())
+            data = c.take(c.quantity())
+            if kinds is None or "sysex" in kinds:
+                out.append((place, tick, "sysex", None, [], None, data))
         else:
             raise MidiError(f"status {status}")
+        at = c.at
+    return out
 
 
 def parse(raw: bytes) -> tuple[int, int, list[list[tuple]]]:
-    """(format, division, events of each track). More header bytes than six and chunks of other kinds are skipped; a broken file is a MidiError."""
+    """(format, division, events of each track as (tick, kind, channel, values, text, data)). More header bytes than six and chunks of other kinds are skipped; a broken file is a MidiError."""
+    layout, division, tracks = _parsed(raw, None)
+    return layout, division, [[e[1:] for e in track] for track in tracks]
+
+
+def _parsed(raw: bytes, kinds: frozenset[str] | None) -> tuple[int, int, list[list[tuple]]]:
     c = _Bytes(raw)
     if raw[:4] != b"MThd":
         raise MidiError("no MIDI file")
@@ -122,54 +152,65 @@ def parse(raw: bytes) -> tuple[int, int, list[list[tuple]]]:
             kind = c.take(4)
             body = c.take(c.number(4))
             if kind == b"MTrk":
-                tracks.append(list(_events(body)))
+                tracks.append(_events(body, kinds))
         except MidiError as e:
             raise MidiError(f"track {len(tracks) + 1}: {e}") from e
     return layout, division, tracks
 
 
-def _rows(name: str, raw: bytes) -> Iterator[tuple]:
-    try:
-        layout, division, tracks = parse(raw)
-    except MidiError as e:
-        yield name, None, None, None, None, None, None, None, None, None, None, str(e)
-        return
-    for t, events in enumerate(tracks):
-        for i, e in enumerate(events):
-            yield name, layout, division, t, i, *e, None
-
-
 _ARROW = pa.schema(
     [("file", pa.string()), *[(c, pa.int32()) for c in ("format", "division", "track", "place")], ("tick", pa.int64()), ("kind", pa.string()), ("channel", pa.int32())]
     + [("values", pa.list_(pa.int32())), ("text", pa.string()), ("data", pa.binary()), ("error", pa.string())]
 )
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True))
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ARROW, strict=True)], schema=_ARROW)
-
-
-def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows: list[tuple] = []
-    for b in batches:
-        for name, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            for row in _rows(name, raw.as_py() or b""):
-                rows.append(row)
-                if len(rows) == BATCH_ROWS:
-                    yield _batch(rows)
-                    rows = []
-    if rows:
-        yield _batch(rows)
-
-
-def midi_events(files: DataFrame, strict: bool = True) -> DataFrame:
-    """The events of each row of files (file, content), in the order of track and place.
+def _batch(heads: list[tuple], events: list[tuple]) -> pa.RecordBatch:
+    """heads: (file, format, division, track, error, number of events) of each track; events: (place, tick, kind, channel, values, text, data) of all."""
+    names, *numbers, errors, counts = zip(*heads, strict=True)
+    of = pa.array(np.repeat(np.arange(len(heads)), counts))
+    place, tick, kind, channel, values, text, data = zip(*events, strict=True)
+    lists = pa.ListArray.from_arrays(np.cumsum([0, *[len(v or ()) for v in values]], dtype=np.int32), pa.array([x for v in values for x in v or ()], pa.int32()))
+    if None in values:
+        lists = pa.array(values, pa.list_(pa.int32()))
+    made = {"file": pa.array(names, pa.string()).take(of), "error": pa.array(errors, pa.string()).take(of), "values": lists}
+    made |= {c: pa.array(x, pa.int32()).take(of) for c, x in zip(("format", "division", "track"), numbers, strict=True)}
+    made |= {c: pa.array(x, _ARROW.field(c).type) for c, x in (("place", place), ("tick", tick), ("kind", kind), ("channel", channel), ("text", text), ("data", data))}
+    return pa.RecordBatch.from_arrays([made[c] for c in _ARROW.names], schema=_ARROW)
+
+
+def _opened(kinds: frozenset[str] | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heads: list[tuple] = []
+        rows: list[tuple] = []
+        for b in batches:
+            for name, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                try:
+                    layout, division, tracks = _parsed(raw.as_py() or b"", kinds)
+                except MidiError as e:
+                    heads.append((name, None, None, None, str(e), 1))
+                    rows.append((None, None, None, None, None, None, None))
+                    continue
+                for t, own in enumerate(tracks):
+                    for k in range(0, len(own), BATCH_ROWS):
+                        part = own[k : k + BATCH_ROWS]
+                        heads.append((name, layout, division, t, None, len(part)))
+                        rows += part
+                        if len(rows) >= BATCH_ROWS:
+                            yield _batch(heads, rows)
+                            heads, rows = [], []
+        if rows:
+            yield _batch(heads, rows)
+
+    return opened
+
+
+def midi_events(files: DataFrame, strict: bool = True, kinds: list[str] | None = None) -> DataFrame:
+    """The events of each row of files (file, content), in the order of track and place; kinds: only events of these.
 
     tick counts from the track's start; values are the event's numbers. A file that can't be read, a null or empty content included, is an error that names the file;
     with strict off it gives one row with `error` and no event. Files without events give no row. Other columns are ignored.
     """
-    events = files.select(F.col("file").cast("string"), "content").mapInArrow(_opened, EVENTS)
+    events = files.select(F.col("file").cast("string"), "content").mapInArrow(_opened(None if kinds is None else frozenset(kinds)), EVENTS)
     if not strict:
         return events
     bad = F.raise_error(F.concat(F.coalesce("file", F.lit("a file")), F.lit(": "), F.col("error"))).cast("string")
@@ -208,40 +249,31 @@ def with_times(events: DataFrame) -> DataFrame:
     return scaled.withColumn("micros", _micros(F.col("division"), F.col("_scaled"), F.col("tick"))).drop("_step", "_scaled")
 
 
-def meter_map(events: DataFrame) -> DataFrame:
-    """file, tick, numerator, power, start_bar of the meters in effect, first four quarters at 0 unless the file starts with another.
+def with_bars(events: DataFrame) -> DataFrame:
+    """Adds bar, as bar:beat:hundredths of a beat in the meter in effect, counted from 1; null for ticks of frames.
 
-    A change inside a bar starts a new bar; of several at one tick the last in the file holds. Numerators of 0 and powers above 16 are ignored.
+    First four quarters hold, unless the file starts with another meter. A change inside a bar starts a new bar; of several at one tick the last in the file holds, for all events of
+    the tick. Numerators of 0 and powers above 16 are ignored. The events are read once: meters are carried along in windows over the ticks of a file.
     """
     at = lambda k: F.get("values", F.lit(k))
-    own = events.where("kind = 'time_signature' and division < 32768").where((at(0) > 0) & (at(1) <= 16))
-    changes = own.select("file", "division", "tick", "track", "place", at(0).alias("numerator"), at(1).alias("power"))
-    starts = events.where("division < 32768").select("file", "division").distinct()
-    first = starts.select("file", "division", F.lit(0).cast("long").alias("tick"), F.lit(-1).alias("track"), F.lit(-1).alias("place"), F.lit(4).alias("numerator"), F.lit(2).alias("power"))
-    held = changes.unionByName(first).groupBy("file", "division", "tick").agg(F.max_by(F.struct("numerator", "power"), F.struct("track", "place")).alias("m"))
-    order = Window.partitionBy("file").orderBy("tick")
-    held = held.withColumn("_was", F.lag(F.struct("tick", "m")).over(order))
-    passed = F.call_function("shiftleft", F.col("tick") - F.col("_was.tick"), F.col("_was.m.power"))
-    bars = F.ceil(passed / (F.col("_was.m.numerator") * 4 * F.col("division"))).cast("long")
-    held = held.withColumn("start_bar", F.sum(F.coalesce(bars, F.lit(0))).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return held.select("file", "tick", "m.numerator", "m.power", "start_bar")
-
-
-def with_bars(events: DataFrame) -> DataFrame:
-    """Adds bar, as bar:beat:hundredths of a beat in the meter in effect, counted from 1; null for ticks of frames."""
-    meters = meter_map(events).select("file", "tick", F.struct("tick", "numerator", "power", "start_bar").alias("_meter"))
-    # a meter comes before all events of its tick; its row goes once it is carried on
-    both = events.withColumn("_event", F.lit(True)).unionByName(meters, allowMissingColumns=True)
-    order = Window.partitionBy("file").orderBy("tick", F.col("_event").isNotNull(), "track", "place")
-    both = both.withColumn("_meter", F.last("_meter", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))).where("_event")
+    own = (F.col("kind") == "time_signature") & (F.col("division") < 32768) & (at(0) > 0) & (at(1) <= 16)
+    meter = F.when(own, F.struct("tick", "track", "place", at(0).alias("numerator"), at(1).alias("power")))
+    common = F.struct(F.lit(0).cast("long").alias("tick"), F.lit(-1).alias("track"), F.lit(-1).alias("place"), F.lit(4).alias("numerator"), F.lit(2).alias("power"))
+    ticks = Window.partitionBy("file").orderBy("tick")
+    so_far, before = (ticks.rangeBetween(Window.unboundedPreceding, end) for end in (Window.currentRow, -1))
+    # the largest in the order of ticks and places is the last
+    held = events.withColumn("_own", meter).withColumns({"_meter": F.coalesce(F.max("_own").over(so_far), common), "_was": F.coalesce(F.max("_own").over(before), common)})
+    passed = F.call_function("shiftleft", F.col("tick") - F.col("_was.tick"), F.col("_was.power"))
+    bars = F.when(F.col("_own") == F.col("_meter"), F.ceil(passed / (F.col("_was.numerator") * 4 * F.col("division"))).cast("long"))
+    held = held.withColumn("_bars", bars).withColumn("_start_bar", F.coalesce(F.sum("_bars").over(so_far), F.lit(0)))
     beat = F.col("division").cast("long") * 4
-    at = F.call_function("shiftleft", F.col("tick") - F.col("_meter.tick"), F.col("_meter.power"))
-    inside = F.pmod(at, beat * F.col("_meter.numerator"))
+    since = F.call_function("shiftleft", F.col("tick") - F.col("_meter.tick"), F.col("_meter.power"))
+    inside = F.pmod(since, beat * F.col("_meter.numerator"))
     div = lambda a, b: F.call_function("div", a, b)
-    bar = F.col("_meter.start_bar") + div(at, beat * F.col("_meter.numerator")) + 1
+    bar = F.col("_start_bar") + div(since, beat * F.col("_meter.numerator")) + 1
     part = div(F.pmod(inside, beat) * 100, beat)
     shown = F.concat_ws(":", bar.cast("string"), (div(inside, beat) + 1).cast("string"), F.lpad(part.cast("string"), 2, "0"))
-    return both.withColumn("bar", F.when(F.col("_meter").isNotNull(), shown)).drop("_meter", "_event")
+    return held.withColumn("bar", F.when(F.col("division") < 32768, shown)).drop("_own", "_meter", "_was", "_bars", "_start_bar")
 
 
 def onsets(events: DataFrame) -> DataFrame:
