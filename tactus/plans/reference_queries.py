@@ -8,6 +8,7 @@ from tactus.plans.series_queries import r6
 from tactus.plans.table_queries import tb
 from tactus.sources import midi as M
 from tactus.sources import runs as H
+from tactus.sources.materialise import cut
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -54,7 +55,7 @@ _SONGS = """with recursive o as (select o_custkey as c, row_number() over w as k
 @query(f"{_SONGS} select c as o_custkey, beat, tick, bar_beat::bigint as bar_beat, micros, round(60e6 / tempo, 6) as bpm from s")
 def w31_midi_beats(spark, d):
     """Beats of the customers' files: compound meters, changes between beats, tempos that change."""
-    b = M.reference_beats(M.midi_events(song_files(spark, d)))
+    b = M.reference_beats(M.midi_events(song_files(spark, d), kinds=["note_on", "time_signature", "tempo"]))
     return b.select(F.col("file").cast("long").alias("o_custkey"), "beat", "tick", "bar_beat", "micros", r6("bpm").alias("bpm"))
 
 
@@ -63,7 +64,8 @@ def w31_midi_beats(spark, d):
     x as (select c, name, start, lead(start) over (partition by c order by k) as nx from m)
     select x.c as o_custkey, name, start, coalesce(nx, 2 * g[-1] - g[-2])::bigint as end from x join e using (c) where len(list_filter(g, lambda b: start <= b and b < coalesce(nx, 2 * g[-1] - g[-2]))) > 0""")
 def w31_sections(spark, d):
-    e = M.midi_events(song_files(spark, d))
+    e = M.midi_events(song_files(spark, d), kinds=["note_on", "time_signature", "tempo", "marker"])
+    e = cut(e.select("file", "division", "track", "place", "tick", "kind", "values", "text"), "events")
     return M.marked_sections(e, M.reference_beats(e)).select(F.col("file").cast("long").alias("o_custkey"), "name", "start", "end")
 
 

@@ -296,16 +296,21 @@ def reference_beats(events: DataFrame) -> DataFrame:
     """The beats of each file up to its last note: file, beat (from 0), tick, bar_beat (1: a downbeat), micros, bpm.
 
     The first meter (4/4 without one) holds from the start. A meter that changes takes over at the first beat from there on, where a new bar starts; the beats before keep their
-    distance up to it. Numerators of 0 are ignored, and so are files whose ticks are frames or that have no note. A file's meters are one array.
+    distance up to it. Numerators of 0 are ignored, and so are files whose ticks are frames or that have no note. A file's meters and tempos are arrays; events are read once.
     """
-    own = events.where("division < 32768")
-    notes = own.where("kind = 'note_on' and values[1] > 0").groupBy("file", "division").agg(F.max("tick").alias("last"))
     number = lambda k: F.get("values", F.lit(k))
     per_bar, step = _beat_unit(number(0), number(1), F.col("division"))
-    meters = own.where("kind = 'time_signature'").where((number(0) > 0) & (number(1) <= 16))
-    meters = meters.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("tick", "track", "place", per_bar.alias("per_bar"), step.alias("step")))).alias("meters"))
+    place = ["tick", "track", "place"]
+    own = events.where("division < 32768")
+    is_note, is_meter, is_tempo = F.expr("kind = 'note_on' and values[1] > 0"), (F.col("kind") == "time_signature") & (number(0) > 0) & (number(1) <= 16), F.expr("kind = 'tempo' and values[0] > 0")
+    files = own.groupBy("file").agg(
+        F.max("division").alias("division"),
+        F.max(F.when(is_note, F.col("tick"))).alias("last"),
+        F.array_sort(F.collect_list(F.when(is_meter, F.struct(*place, per_bar.alias("per_bar"), step.alias("step"))))).alias("meters"),
+        F.collect_list(F.when(is_tempo, F.struct(*place, "values"))).alias("tempos"),
+    ).where("last is not null")
     common = F.array(F.struct(F.lit(0).cast("long").alias("tick"), F.lit(0).alias("track"), F.lit(0).alias("place"), F.lit(4).cast("long").alias("per_bar"), F.col("division").cast("long").alias("step")))
-    files = notes.join(meters, "file", "left").withColumn("meters", F.coalesce("meters", common))
+    files = files.withColumn("meters", F.when(F.size("meters") > 0, F.col("meters")).otherwise(common))
 
     def take_over(made: Column, m: Column) -> Column:
         last = F.element_at(made, -1)
@@ -314,17 +319,20 @@ def reference_beats(events: DataFrame) -> DataFrame:
 
     first = F.get("meters", F.lit(0))
     made = F.array(F.struct(F.lit(0).cast("long").alias("start"), first["per_bar"].alias("per_bar"), first["step"].alias("step")))
-    runs = files.select("file", "division", "last", F.aggregate(F.slice("meters", 2, F.size("meters")), made, take_over).alias("runs"))
-    runs = runs.select("file", "division", "last", "runs", F.posexplode("runs").alias("k", "run"))
-    end = F.least(F.coalesce(F.try_element_at("runs", F.col("k") + 2)["start"], F.col("last") + 1), F.col("last") + 1)
-    runs = runs.select("file", "division", "k", "run.*", end.alias("end")).where("start < end")
-    n = F.ceil((F.col("end") - F.col("start")) / F.col("step")).cast("long")
+    runs = files.withColumn("runs", F.aggregate(F.slice("meters", 2, F.size("meters")), made, take_over))
+    after = F.col("last") + 1
+    # a run of beats or one tempo a row, so that files are gathered once
+    none, no = F.lit(None).cast("array<int>"), F.lit(0)
+    run = F.transform("runs", lambda r, k: F.struct(r["start"].alias("tick"), F.lit((1 << 31) - 1).alias("track"), no.alias("place"), none.alias("values"), r["per_bar"].alias("per_bar"), r["step"].alias("step"), F.least(F.coalesce(F.try_element_at("runs", k + 2)["start"], after), after).alias("end"), k.alias("k")))
+    long = lambda x: F.lit(x).cast("long")
+    tempo = F.transform("tempos", lambda t: F.struct(t["tick"].alias("tick"), t["track"].alias("track"), t["place"].alias("place"), t["values"].alias("values"), long(None).alias("per_bar"), long(1).alias("step"), (t["tick"] + 1).alias("end"), F.lit(-1).alias("k")))
+    rows = runs.select("file", "division", F.inline(F.concat(run, tempo))).where("tick < end")
+    n = F.when(F.col("k") >= 0, F.ceil((F.col("end") - F.col("tick")) / F.col("step")).cast("long"))
     before = F.coalesce(F.sum(n).over(Window.partitionBy("file").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
-    beats = runs.withColumn("before", before).select("file", "division", "before", "per_bar", F.posexplode(F.sequence("start", F.col("end") - 1, "step")).alias("i", "tick"))
-    beats = beats.select("file", "division", F.lit((1 << 31) - 1).alias("track"), F.lit(0).alias("place"), "tick", F.lit("beat").alias("kind"), (F.col("before") + F.col("i")).alias("beat"), (F.col("i") % F.col("per_bar") + 1).alias("bar_beat"))
-    tempos = own.where("kind = 'tempo' and values[0] > 0").select("file", "division", "track", "place", "tick", "kind", "values")
-    both = with_times(beats.unionByName(tempos, allowMissingColumns=True))
-    order = Window.partitionBy("file").orderBy("tick", "track", "place").rowsBetween(Window.unboundedPreceding, 0)
+    each = rows.withColumn("before", before).select("file", "division", "track", "place", "values", "before", "per_bar", F.posexplode(F.sequence("tick", F.col("end") - 1, "step")).alias("i", "tick"))
+    both = each.select("file", "division", "track", "place", "tick", "values", F.when(F.col("values").isNull(), "beat").otherwise("tempo").alias("kind"), (F.col("before") + F.col("i")).alias("beat"), (F.col("i") % F.col("per_bar") + 1).alias("bar_beat"))
+    both = with_times(both)
+    order = Window.partitionBy("file").orderBy(*place).rowsBetween(Window.unboundedPreceding, 0)
     tempo = F.coalesce(F.last(F.get("values", F.lit(0)), ignorenulls=True).over(order), F.lit(DEFAULT_TEMPO))
     return both.withColumn("bpm", 60e6 / tempo).where("kind = 'beat'").select("file", "beat", "tick", "bar_beat", "micros", "bpm")
 
@@ -334,16 +342,24 @@ def marked_sections(events: DataFrame, beats: DataFrame) -> DataFrame:
 
     beats: file, beat, micros. Sections that hold no beat are left out, and so are files of fewer than two beats.
     """
-    grid = beats.groupBy("file").agg(F.array_sort(F.collect_list("micros")).alias("grid")).where(F.size("grid") > 1)
-    ended = F.element_at("grid", -1) * 2 - F.element_at("grid", -2)
     kinds = events.where("division < 32768 and (kind = 'marker' or kind = 'tempo' and values[0] > 0)")
-    marks = with_times(kinds).where("kind = 'marker'").select("file", F.col("micros").alias("start"), "tick", "track", "place", F.col("text").alias("name"))
-    marks = grid.join(marks, "file", "left").groupBy("file").agg(F.first("grid").alias("grid"), F.array_sort(F.collect_list(F.when(F.col("start").isNotNull(), F.struct("start", "tick", "track", "place", "name")))).alias("m"))
-    intro = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.lit(-1).cast("long").alias("tick"), F.lit(-1).alias("track"), F.lit(-1).alias("place"), F.lit("Intro").alias("name")))
-    marks = marks.withColumn("m", F.when((F.size("m") == 0) | (F.get("m", F.lit(0))["start"] > 0), F.concat(intro, "m")).otherwise(F.col("m")))
-    out = marks.select("file", "grid", "m", F.posexplode("m").alias("k", "s"))
-    out = out.select("file", "grid", F.col("s.name").alias("name"), F.col("s.start").alias("start"), F.coalesce(F.try_element_at("m", F.col("k") + 2)["start"], ended).alias("end"))
-    return out.where(F.exists("grid", lambda b: (F.col("start") <= b) & (b < F.col("end")))).drop("grid")
+    marks = with_times(kinds).where("kind = 'marker'").select("file", "micros", "tick", "track", "place", F.col("text").alias("name"), F.lit(True).alias("mark"))
+    # an Intro beside each file's first beat, dropped where a marker stands at the start
+    mark = lambda at, is_mark: F.struct(at.alias("micros"), F.lit(-1).cast("long").alias("tick"), F.lit(-1).alias("track"), F.lit(-1).alias("place"), F.when(F.lit(is_mark), "Intro").alias("name"), F.lit(is_mark).alias("mark"))
+    beat, intro = mark(F.col("micros"), False), mark(F.lit(0).cast("long"), True)
+    grid = beats.select("file", F.inline(F.when(F.col("beat") == 0, F.array(beat, intro)).otherwise(F.array(beat))))
+    whole, times = Window.partitionBy("file"), Window.partitionBy("file").orderBy("micros").rangeBetween(Window.unboundedPreceding, -1)
+    at_beat = F.when(~F.col("mark"), F.col("micros"))
+    # of each row the beats before it and the last of these; a section holds a beat if there are more before its end than before its start
+    rows = grid.unionByName(marks).withColumns({"_n": F.count(at_beat).over(times), "_was": F.max(at_beat).over(times)})
+    last = F.max(F.when(~F.col("mark"), F.struct("micros", "_n", "_was"))).over(whole)
+    rows = rows.withColumns({"_all": F.count(at_beat).over(whole), "_last": last}).where("mark and _all > 1")
+    doubled = F.col("_all") - F.col("_last._n") > 1  # two beats at the last time: the last section ends there
+    ended = F.when(doubled, F.col("_last.micros")).otherwise(2 * F.col("_last.micros") - F.col("_last._was"))
+    held = F.when(doubled, F.col("_last._n")).otherwise(F.col("_all"))
+    order = Window.partitionBy("file").orderBy("micros", "tick", "track", "place")
+    rows = rows.withColumns({"_next": F.lead("micros").over(order), "_next_n": F.lead("_n").over(order)}).where("not (tick = -1 and _next <=> 0)")
+    return rows.where(F.coalesce("_next_n", held) > F.col("_n")).select("file", "name", F.col("micros").alias("start"), F.coalesce("_next", ended).alias("end"))
 
 
 # --- writing -----------------------------------------------------------------------------------
