@@ -154,6 +154,10 @@ def prune_oldest(items: DataFrame, order: list[str], size: str, bucket: Column,
     return summed.join(F.broadcast(total), "_all").withColumn("before", before).where(F.col("_total") - F.col("before") > budget).drop("_all", "_to", "_total")
 
 
+#: Steps that a draw is compared with one by one; every table of steps has more.
+FIRST_STEPS = 8
+
+
 def poisson_steps(rate: Column) -> Column:
     """Cumulated Poisson probabilities of 0, 1, 2, ... up to where a draw of 32 bits can't lie."""
     start = F.array(F.struct(F.exp(-rate).alias("p"), F.exp(-rate).alias("sum")))
@@ -183,8 +187,11 @@ def bootstrap(df: DataFrame, group: str, item: str, value: str, draws: int, seed
     taken = taken.join(placed, "_g").groupBy(group).agg(F.collect_list(F.struct("draw", poisson_steps(F.col("c").cast("double")).alias("steps"))).alias("_taken"))
     each = df.select(group, F.col(item).alias("_item"), F.col(value).cast("double").alias("_v")).where("_v is not null").join(taken, group).select(group, "_item", "_v", F.inline("_taken"))
     u = uniform(F.concat_ws("/", "draw", group, "_item"), seed, 1)
-    # u is named twice, so that it stays a column of its own and isn't worked out again for each step
-    times = F.size(F.filter("steps", lambda x: (x <= F.col("_u")) & (F.col("_u") >= 0)))
+    # u is named twice, so that it stays a column of its own and isn't worked out again for each step; nearly all draws lie below one of the first steps, which are compared in compiled code
+    times = F.when(F.col("_u").isNull(), 0)
+    for k in range(FIRST_STEPS):
+        times = times.when(F.col("_u") < F.get("steps", F.lit(k)), k)
+    times = times.otherwise(F.size(F.filter("steps", lambda x: (x <= F.col("_u")) & (F.col("_u") >= 0))))
     means = each.withColumn("_u", u).withColumn("_w", times).groupBy("draw").agg(F.try_divide(F.sum(F.col("_w") * F.col("_v")), F.sum("_w")).alias("mean"))
     s = F.array_sort(F.collect_list("mean"))
     return means.agg(F.avg("mean").alias("mean"), F.get(s, F.lit(int(0.025 * draws))).alias("low"), F.get(s, F.lit(int(0.975 * draws) - 1)).alias("high"))
