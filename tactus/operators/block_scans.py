@@ -72,7 +72,7 @@ def ema(df: DataFrame, keys: list[str], order: list[str], value: str, decay: flo
 # --- best paths ---
 
 
-def _counted(logs: list) -> np.ndarray:
+def _counted(logs: list | np.ndarray) -> np.ndarray:
     """Rows of log probabilities as whole steps below each row's best."""
     x = np.array(logs, float)
     x = np.nan_to_num(x - x.max(axis=1, keepdims=True), nan=LEAST_LOG)
@@ -112,6 +112,53 @@ def _forward(score: np.ndarray, x: np.ndarray, hold: int, move: int, back: list
     return score
 
 
+#: Steps of the blocks that are worked on together.
+GROUP_STEPS = 65_536
+
+
+def _groups(items: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray, pa.StructArray]]:
+    """Blocks of a batch by groups of one number of states and about GROUP_STEPS: their places, sizes (longest first) and items laid end to end."""
+    offsets = items.offsets.to_numpy()
+    sizes, states = np.diff(offsets), np.diff(items.values.field("x").offsets.to_numpy())[offsets[:-1]]
+    order = np.lexsort((-sizes, states))
+    for _, same in _runs(states[order]):
+        ends = np.cumsum(sizes[order[same]])
+        for _, at in _runs(ends // GROUP_STEPS):
+            places = order[same][at]
+            yield places, sizes[places], items.take(pa.array(places)).flatten()
+
+
+def _runs(label: np.ndarray) -> Iterator[tuple[int, slice]]:
+    cuts = [0, *(np.flatnonzero(np.diff(label)) + 1).tolist(), len(label)]
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        if b > a:
+            yield int(label[a]), slice(a, b)
+
+
+def _steps(flat: pa.StructArray) -> np.ndarray:
+    """Log probabilities of the items, steps x states."""
+    return flat.field("x").flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
+
+
+def _together(score: np.ndarray, x: np.ndarray, sizes: np.ndarray, of: int, hold: int, move: int, back: np.ndarray | None = None, skip: np.ndarray | None = None) -> np.ndarray:
+    """Scores at the ends of blocks that are worked on side by side, `of` rows of scores each; sizes fall, x has the blocks' steps end to end.
+
+    back: filled with the state that each state comes from, by step. skip: blocks whose first step is only added, as nothing comes before it.
+    """
+    starts = np.cumsum(sizes) - sizes
+    score = score.copy()
+    for t in range(int(sizes[0]) if len(sizes) else 0):
+        n = int(np.searchsorted(-sizes, -t, side="left"))  # the blocks with a step t
+        at = starts[:n] + t
+        made, came = _advance(score[: n * of], hold, move)
+        if t == 0 and skip is not None:
+            made = np.where(np.repeat(skip[:n], of)[:, None], score[: n * of], made)
+        score[: n * of] = made + np.repeat(x[at], of, axis=0)
+        if back is not None:
+            back[at] = came.reshape(n, of, -1)[:, 0]
+    return score
+
+
 def viterbi(steps: DataFrame, keys: list[str], idx: str, logs: str, stay: float, block: int = 4096) -> DataFrame:
     """Most likely state of every step: keys, idx, state, score (log probability of the state at the step).
 
@@ -128,14 +175,22 @@ def viterbi(steps: DataFrame, keys: list[str], idx: str, logs: str, stay: float,
 
     def table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            tables, firsts = [], []
-            for items in b["_items"]:
-                x = _counted([r["x"] for r in items.as_py()])
-                hold, move = _costs(stay, x.shape[1])
+            tables, firsts = [None] * len(b), [None] * len(b)
+            for places, sizes, flat in _groups(b["_items"]):
+                x = _counted(_steps(flat))
+                k = x.shape[1]
+                hold, move = _costs(stay, k)
                 least = np.iinfo(np.int64).min // 4
-                start = np.where(np.eye(x.shape[1], dtype=bool), 0, least)
-                tables.append(np.maximum(_forward(start, x, hold, move), least).ravel().tolist())
-                firsts.append(_forward(x[:1].copy(), x[1:], hold, move)[0].tolist())
+                first = _together(np.zeros((len(places), k), np.int64), x, sizes, 1, hold, move, skip=np.ones(len(places), bool))
+                for p, f in zip(places, first.tolist(), strict=True):
+                    firsts[p] = f
+                later = np.array([b["_b"][int(p)].as_py() > 0 for p in places])  # a series' first block has no table
+                if later.any():
+                    held = x[np.repeat(later, sizes)]
+                    start = np.tile(np.where(np.eye(k, dtype=bool), 0, least), (int(later.sum()), 1))
+                    made = np.maximum(_together(start, held, sizes[later], k, hold, move), least)
+                    for p, m in zip(places[later], made.reshape(-1, k * k).tolist(), strict=True):
+                        tables[p] = m
             yield pa.RecordBatch.from_arrays([*[b[k] for k in keys], b["_b"], pa.array(tables, pa.list_(pa.int64())), pa.array(firsts, pa.list_(pa.int64()))], names=[*keys, "_b", "_table", "_first"])
 
     def carried() -> Callable[[dict, bool], list[dict]]:
@@ -160,24 +215,29 @@ def viterbi(steps: DataFrame, keys: list[str], idx: str, logs: str, stay: float,
     ins = stream_sorted(tables, keys, [F.col("_b")], carried, f"{named}, _b long, _in array<long>")
     ready = cut(blocks.join(ins, [*keys, "_b"]), "blocks")
 
-    def traced(x: np.ndarray, came: list | None, back: list) -> np.ndarray:
-        hold, move = _costs(stay, x.shape[1])
-        if came is None:
-            back.append(np.full((1, x.shape[1]), -1))
-            return _forward(x[:1].copy(), x[1:], hold, move, back)[0]
-        return _forward(np.array([came], np.int64), x, hold, move, back)[0]
+    def traced(x: np.ndarray, sizes: np.ndarray, came: list) -> tuple[np.ndarray, np.ndarray]:
+        """(scores at the ends of blocks, the state each state comes from by step); came: the scores that come in, or None."""
+        k = x.shape[1]
+        hold, move = _costs(stay, k)
+        back = np.empty(x.shape, np.int64)
+        score = np.array([c or [0] * k for c in came], np.int64)
+        return _together(score, x, sizes, 1, hold, move, back, np.array([c is None for c in came])), back
 
     def sources(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out, ends = [], []
-            for items, came in zip(b["_items"], b["_in"].to_pylist(), strict=True):
-                x, back = _counted([r["x"] for r in items.as_py()]), []
-                score = traced(x, came, back)
-                at = np.arange(x.shape[1])
-                for step in reversed(back):
-                    at = step[0][at] if came is not None or step is not back[0] else at
-                out.append(at.tolist())
-                ends.append(int(len(score) - 1 - score[::-1].argmax()))
+            out, ends = [None] * len(b), [None] * len(b)
+            came_in = b["_in"].to_pylist()
+            for places, sizes, flat in _groups(b["_items"]):
+                came = [came_in[p] for p in places]
+                score, back = traced(_counted(_steps(flat)), sizes, came)
+                k, starts = back.shape[1], np.cumsum(sizes) - sizes
+                at = np.tile(np.arange(k), (len(places), 1))
+                for t in range(int(sizes[0]) - 1, -1, -1):
+                    n = int(np.searchsorted(-sizes, -t, side="left"))
+                    at[:n] = np.take_along_axis(back[starts[:n] + t], at[:n], 1)
+                last = k - 1 - score[:, ::-1].argmax(axis=1)
+                for p, c, a, e in zip(places, came, at.tolist(), last.tolist(), strict=True):
+                    out[p], ends[p] = a if c is not None else [-1] * k, e
             yield pa.RecordBatch.from_arrays([*[b[k] for k in keys], b["_b"], pa.array(out, pa.list_(pa.int64())), pa.array(ends, pa.int64())], names=[*keys, "_b", "_from", "_end"])
 
     def carried_back() -> Callable[[dict, bool], list[dict]]:
@@ -198,16 +258,17 @@ def viterbi(steps: DataFrame, keys: list[str], idx: str, logs: str, stay: float,
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for items, came, last in zip(b["_items"], b["_in"].to_pylist(), b["_last"].to_pylist(), strict=True):
-                rows, back = items.as_py(), []
-                traced(_counted([r["x"] for r in rows]), came, back)
-                states = [last]
-                for step in reversed(back[1:]):
-                    states.append(int(step[0][states[-1]]))
-                out.append([{"i": r["i"], "state": s, "score": r["x"][s]} for r, s in zip(rows, reversed(states), strict=True)])
-            kind = pa.list_(pa.struct([("i", b["_items"].type.value_type.field("i").type), ("state", pa.int32()), ("score", pa.float64())]))
-            yield pa.RecordBatch.from_arrays([*[b[k] for k in keys], pa.array(out, kind)], names=[*keys, "_out"])
-
-    found = ready.join(lasts, [*keys, "_b"]).mapInArrow(fill, f"{named}, _out array<struct<i:{kinds[idx]},state:int,score:double>>")
-    return found.select(*keys, F.inline("_out")).select(*keys, F.col("i").alias(idx), "state", "score")
+            came_in, last_in = b["_in"].to_pylist(), b["_last"].to_numpy()
+            for places, sizes, flat in _groups(b["_items"]):
+                logs = _steps(flat)
+                back = traced(_counted(logs), sizes, [came_in[p] for p in places])[1]
+                starts, at = np.cumsum(sizes) - sizes, last_in[places].astype(np.int64)
+                states = np.empty(len(logs), np.int64)
+                for t in range(int(sizes[0]) - 1, -1, -1):
+                    n = int(np.searchsorted(-sizes, -t, side="left"))
+                    states[starts[:n] + t] = at[:n]
+                    at[:n] = back[starts[:n] + t, at[:n]]
+                rows = pa.array(np.repeat(places, sizes))
+                yield pa.RecordBatch.from_arrays([*[b[k].take(rows) for k in keys], flat.field("i"), pa.array(states, pa.int32()), pa.array(logs[np.arange(len(logs)), states])], names=[*keys, idx, "state", "score"])
+
+    return ready.join(lasts, [*keys, "_b"]).mapInArrow(fill, f"{named}, {idx} {kinds[idx]}, state int, score double")
