@@ -6,10 +6,10 @@ frames reach into, so a long signal spreads over tasks and every sample moves ab
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +22,8 @@ from tactus.sources.materialise import cut
 
 #: Samples of one block, without what its frames reach into beyond it.
 BLOCK_SAMPLES = 65_536
+#: Frames that numpy sees and hands on together, whatever the number and length of blocks in an Arrow batch.
+BATCH_FRAMES = 4096
 
 
 def mixed_down(samples: DataFrame, keys: list[str], idx: str, value: str) -> DataFrame:
@@ -74,12 +76,35 @@ def frames(dealt: DataFrame, keys: list[str], hop: int, win: int) -> DataFrame:
 def over_frames(dealt: DataFrame, keys: list[str], hop: int, win: int, made: Callable[[np.ndarray], np.ndarray], name: str) -> DataFrame:
     """keys, frame and the row of made(frames x win) that belongs to it; rows that begin with NaN are left out."""
 
-    @F.pandas_udf("array<array<double>>")
-    def rows(x: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series([list(made(np.lib.stride_tricks.sliding_window_view(np.asarray(a, float), win)[::hop][:k])) for a, k in zip(x, n)], dtype=object)
-
-    each = dealt.select(*keys, "first", F.posexplode(rows("x", "n")).alias("_k", name))
-    return each.where(~F.isnan(F.get(name, F.lit(0)))).select(*keys, (F.col("first") + F.col("_k")).alias("frame"), name)
+    kinds = {f.name: f.dataType.simpleString() for f in dealt.schema.fields}
+
+    def rows(b: pa.RecordBatch, of: list[int], views: list[np.ndarray], at: list[int]) -> pa.RecordBatch:
+        out = np.asarray(made(np.concatenate(views)), float)
+        sizes = [len(v) for v in views]
+        frame = np.concatenate([np.arange(a, a + n) for a, n in zip(at, sizes, strict=True)])
+        keep = ~np.isnan(out[:, 0])
+        out, place = np.ascontiguousarray(out[keep]), pa.array(np.repeat(of, sizes)[keep])
+        vectors = pa.ListArray.from_arrays(np.arange(len(out) + 1, dtype=np.int32) * out.shape[1], out.ravel())
+        return pa.RecordBatch.from_arrays([*[b[k].take(place) for k in keys], pa.array(frame[keep], pa.int64()), vectors], names=[*keys, "frame", name])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ends, samples = b["x"].offsets.to_numpy(), b["x"].values.to_numpy(zero_copy_only=False)
+            of, views, at, held = [], [], [], 0
+            for r, (first, n) in enumerate(zip(b["first"].to_pylist(), b["n"].to_pylist(), strict=True)):
+                each = np.lib.stride_tricks.sliding_window_view(samples[ends[r] : ends[r + 1]], win)[::hop][:n]
+                for k in range(0, len(each), BATCH_FRAMES):
+                    part = each[k : k + BATCH_FRAMES]
+                    of.append(r), views.append(part), at.append(first + k)
+                    held += len(part)
+                    if held >= BATCH_FRAMES:
+                        yield rows(b, of, views, at)
+                        of, views, at, held = [], [], [], 0
+            if held:
+                yield rows(b, of, views, at)
+
+    named = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
+    return dealt.select(*keys, "first", "n", "x").mapInArrow(run, f"{named}, frame long, {name} array<double>")
 
 
 def hann(n: int) -> np.ndarray:
