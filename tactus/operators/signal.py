@@ -249,14 +249,13 @@ def tempogram(activation: DataFrame, keys: list[str], value: str, fps: float, wi
 def tempo_candidates(grams: DataFrame, keys: list[str], tempi: list[float], centre: float = 120.0, spread: float = 0.7) -> DataFrame:
     """Tempi of each key by weight: the best by mean positive energy and a log-normal prior, and the strongest near its double and its half: keys, place, bpm, weight."""
     means = grams.select(*keys, F.posexplode("energy").alias("_k", "_e")).groupBy(*keys, "_k").agg(F.avg(F.greatest(F.col("_e"), F.lit(0.0))).alias("_e"))
-    prior = lambda b: F.exp(-0.5 * F.pow(F.log(b / centre) / spread, 2))
-    bpm = F.get(F.array(*[F.lit(t) for t in tempi]), F.col("_k"))
+    prior = F.array(*[F.exp(-0.5 * F.pow(F.log(F.lit(t) / centre) / spread, 2)) for t in tempi])
+    means = means.withColumn("_b", F.get(F.array(*[F.lit(t) for t in tempi]), F.col("_k"))).withColumn("_p", F.get(prior, F.col("_k")))
     # one row of all energies for each key: tempi are a fixed list
-    curve = means.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("_k").alias("k"), bpm.alias("b"), F.col("_e").alias("e")))).alias("c"))
+    x = F.struct(F.col("_k").alias("k"), F.col("_b").alias("b"), F.col("_e").alias("e"), F.col("_p").alias("p"))
     # on ties the last of the best, and the first near a multiple
-    last_best = lambda s, x: F.when(s.isNull() | (x["e"] * prior(x["b"]) >= s["e"] * prior(s["b"])), x).otherwise(s)
-    no = F.lit(None).cast("struct<k:int,b:double,e:double>")
-    best = curve.withColumn("best", F.aggregate("c", no, last_best))
+    best = means.groupBy(*keys).agg(F.array_sort(F.collect_list(x)).alias("c"), F.max_by(x, F.struct(F.col("_e") * F.col("_p"), "_k")).alias("best"))
+    no = F.lit(None).cast("struct<k:int,b:double,e:double,p:double>")
 
     def near(target: Column) -> Column:
         close = F.filter("c", lambda x: F.abs(x["b"] - target) <= F.greatest(target * 0.08, F.lit(1.0)))
@@ -266,10 +265,11 @@ def tempo_candidates(grams: DataFrame, keys: list[str], tempi: list[float], cent
     add = lambda found, x: F.when(x.isNull() | F.exists(found, lambda y: F.abs(y["b"] - x["b"]) < 1), found).otherwise(F.concat(found, F.array(x)))
     best = best.withColumn("found", F.array("best")).withColumn("_d", near(F.col("best.b") * 2)).withColumn("_h", near(F.col("best.b") / 2))
     best = best.withColumn("found", add(F.col("found"), F.col("_d"))).withColumn("found", add(F.col("found"), F.col("_h")))
-    weighed = F.transform("found", lambda x: F.struct((-F.greatest(x["e"], F.lit(1e-6)) * prior(x["b"])).alias("w"), x["b"].alias("b")))
+    weighed = F.transform("found", lambda x: F.struct((-F.greatest(x["e"], F.lit(1e-6)) * x["p"]).alias("w"), x["b"].alias("b")))
     ranked = best.select(*keys, F.array_sort(weighed).alias("f"))
     total = F.aggregate("f", F.lit(0.0), lambda s, x: s - x["w"])
-    return ranked.withColumn("_t", total).select(*keys, "_t", F.posexplode("f").alias("_p", "_f")).select(*keys, (F.col("_p") + 1).cast("long").alias("place"), F.col("_f.b").alias("bpm"), (-F.col("_f.w") / F.col("_t")).alias("weight"))
+    # outer, though no list is empty: else Spark filters by the list's size further down, and each name in its expression is written out there, again and again
+    return ranked.withColumn("_t", total).select(*keys, "_t", F.posexplode_outer("f").alias("_p", "_f")).select(*keys, (F.col("_p") + 1).cast("long").alias("place"), F.col("_f.b").alias("bpm"), (-F.col("_f.w") / F.col("_t")).alias("weight"))
 
 
 def top_keys(pcs: DataFrame, keys: list[str], most: int = 3) -> DataFrame:
